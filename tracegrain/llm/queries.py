@@ -8,13 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, packing, sharding, simhash
+from . import exact_dedup, html_extract, language_id, line_dedup, mixing, packing, sharding, simhash, toxicity, vector_search
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 SHARD_COUNT = 40
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain is low quality, then toxicity, the two categories that the labels have."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    categories = ["low_quality", "toxic"]
+    scored = toxicity.classify(docs, toxicity.train(docs, labels, categories), categories)
+    return scored.select("doc_id", (F.col("p_toxic") >= toxicity.THRESHOLD).alias("toxic"), "p_toxic", "p_low_quality")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.line_dedup(table(spark, sf_dir, "documents")))
 
@@ -27,6 +36,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op5_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vector_search.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("row_key")
 
@@ -36,12 +50,32 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(docs)).drop("row_key")
+
+
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("row_key")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_line_dedup, op3_sharding, op4_packing, op6_simhash, op7_mixing, op10_exact_dedup]
+    found = [
+        op1_toxicity,
+        op2_line_dedup,
+        op3_sharding,
+        op4_packing,
+        op5_vector_search,
+        op6_simhash,
+        op7_mixing,
+        op8_language_id,
+        op9_html_extract,
+        op10_exact_dedup,
+    ]
     return {f.__name__: f for f in found}
 
 

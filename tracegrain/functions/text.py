@@ -171,7 +171,7 @@ def ulid(ts: Column, sha: Column) -> Column:
     """The 26 characters of a ULID whose time is ts (seconds) and whose randomness is the first 10 bytes of the SHA."""
     head = F.when(F.lower(sha).rlike("^[0-9a-f]{20}"), F.lower(F.substring(sha, 1, 20))).otherwise(F.lit("0" * 20))
     # 48 bits of time behind two zero bits are 10 characters, 80 bits are 16
-    millis = F.greatest(ts, F.lit(0)) * 1000
+    millis = F.greatest(ts.cast("long"), F.lit(0)) * 1000
     time = [F.substring(F.lit(CROCKFORD), (F.shiftright(millis, 5 * i).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1)) for i in range(9, -1, -1)]
     halves = [F.conv(F.substring(head, 1 + 10 * h, 10), 16, 10).cast("long") for h in (0, 1)]
     rest = [F.substring(F.lit(CROCKFORD), (F.shiftright(h, 5 * i).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1)) for h in halves for i in range(7, -1, -1)]

@@ -138,7 +138,7 @@ def filters(fingerprints: DataFrame, skip: int) -> DataFrame:
         block = (ordered >> np.uint64(64 - skip)).astype(np.int64)
         cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, np.int64)
         blocks, payloads = [], []
-        for a, b in zip(cuts, np.append(cuts[1:], len(block)), strict=True):
+        for a, b in zip(cuts, np.append(cuts, len(block))[1:], strict=True):
             blocks.append(int(block[a]))
             payloads.append(CountingQuotientFilter.of(skip, int(block[a]), ordered[a:b]).to_bytes())
         yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(payloads, pa.binary())], ["block", "filter"])

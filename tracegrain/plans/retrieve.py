@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracegrain.functions import intent
@@ -36,6 +36,22 @@ class Corpus:
     hunk_symbols: DataFrame
 
 
+_TABLES = ("hunks", "commits", "vectors", "symbols", "hunk_symbols")
+_INDEXES = ("text", "semantic", "head")
+
+
+def save(corpus: Corpus, path: str) -> None:
+    """Write a corpus: each table, and postings sorted by term."""
+    for name in _TABLES:
+        getattr(corpus, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    for name in _INDEXES:
+        getattr(corpus, name).write(f"{path}/{name}")
+
+
+def load(spark: SparkSession, path: str) -> Corpus:
+    return Corpus(**{n: spark.read.parquet(f"{path}/{n}") for n in _TABLES}, **{n: TextIndex.read(spark, f"{path}/{n}") for n in _INDEXES})
+
+
 def _facts(corpus: Corpus) -> DataFrame:
     """hunk_id, language, ts: what lanes filter by."""
     return corpus.hunks.select("hunk_id", "commit_id", "language").join(corpus.commits.select("commit_id", "ts"), "commit_id").drop("commit_id")

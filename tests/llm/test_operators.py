@@ -373,7 +373,7 @@ def test_chain_uses_earlier_categories():
     x = (rng.random((800, 6)) < 0.5).astype(np.float32)
     first = x[:, 0]
     second = np.where(rng.random(800) < 0.95, first, 1 - first)
-    chain = toxicity.Chain(["a", "b"], {b"%d" % i: i for i in range(6)}).fit(x, np.column_stack([first, second]).astype(float), np.arange(800) % 4)
+    chain = toxicity.Chain(["a", "b"], {b"%d" % i: i for i in range(6)}).fit(x, np.column_stack([first, second]).astype(float), np.arange(800) % 3)
     assert len(chain.weights[1]) == 7 and chain.weights[1][6] > 0
 
 

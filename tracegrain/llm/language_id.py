@@ -194,8 +194,12 @@ def remainder(id_col: str):
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """A model of the documents with a language that are not held out; None if there are none."""
     open_ = docs.where((remainder(id_col) != 2) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = open_.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= train_docs)
+    ids = open_.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"))
+    # a common language is thinned by the hash it is ordered by, so that a few thousand ids are ranked in any
+    share = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / F.lit(2.0**63)
+    thinned = ids.join(F.broadcast(ids.groupBy("lang").count()), "lang").where(share < F.lit(4.0 * train_docs) / F.col("count"))
+    order = Window.partitionBy("lang").orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 1), "doc_id")
+    chosen = thinned.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= train_docs)
     chosen = common.stage(chosen.select("doc_id").distinct(), "language-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,6 +18,7 @@ from tracegrain.operators import chunking, fulltext, history, ignore, knn, ranki
 from tracegrain.plans import explain, retrieve
 from tracegrain.plans.index import DIM
 from tracegrain.sources import adapters as A
+from tracegrain.sources.parser import head_symbols
 
 #: The time that queries take for now: 2024-02-15T00:00:00Z.
 NOW = 1707955200
@@ -335,6 +336,19 @@ def u5_span_dedup(spark, d):
     return symbols.dedup_spans(rows)
 
 
+@query("""SELECT 'src/' || p_partkey || '.rs' AS file_path, unnest(['function', 'class']) AS kind, unnest([replace(p_name, ' ', '_'), 'S' || p_partkey]) AS name, unnest([1, 4])::INTEGER AS line_start, unnest([3, 4])::INTEGER AS line_end FROM part""")
+def s4_e3_x12_head_symbols(spark, d):
+    source = F.concat(F.lit("fn "), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("() {\n  x();\n}\nstruct S"), F.col("p_partkey").cast("string"), F.lit(";\n"))
+    files = A.read(spark, d, "part").select(F.concat(F.lit("src/"), F.col("p_partkey").cast("string"), F.lit(".rs")).alias("file_path"), source.alias("source"))
+    return head_symbols(files).select("file_path", "kind", "name", "line_start", "line_end")
+
+
+@query("SELECT DISTINCT sha256(text) AS blob_sha, 'm' AS embed_model FROM documents WHERE text IS NOT NULL")
+def w11_record_blobs(spark, d):
+    rows = A.read(spark, d, "documents").where("text is not null").select(F.sha2("text", 256).alias("blob_sha"), F.lit("m").alias("embed_model"))
+    return tables.insert_or_ignore(rows.where("1 = 0"), rows, ["blob_sha", "embed_model"])
+
+
 # --- Vectors -----------------------------------------------------------------------------------
 
 

@@ -98,13 +98,35 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM judged GROUP BY doc_id
 """
 
+#: The table of the CRC is made from its polynomial; the walk is that of the generator in sharding.MULTIPLIER.
+OP3_SQL = """
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS t),
+sized AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) + 16 AS size FROM documents),
+checked AS (
+  SELECT doc_id, size, xor(list_reduce(list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32
+  FROM sized, crc_table),
+walked AS (
+  SELECT *, list_reduce(range(42), lambda w, _: CASE WHEN w.j > 40 THEN w ELSE {
+      'key': (w.key * 2862933555777941757 + 1) % 18446744073709551616,
+      'j': floor((w.j + 1)::DOUBLE * (2147483648::DOUBLE / (((w.key * 2862933555777941757 + 1) % 18446744073709551616) // 8589934592 + 1)::DOUBLE))::BIGINT,
+      'n40': CASE WHEN w.j < 40 THEN w.j ELSE w.n40 END, 'n41': w.j} END,
+    {'key': (CASE WHEN coalesce(doc_id, 0) < 0 THEN coalesce(doc_id, 0)::HUGEINT + 18446744073709551616 ELSE coalesce(doc_id, 0)::HUGEINT END)::UHUGEINT, 'j': 0::BIGINT, 'n40': 0::BIGINT, 'n41': 0::BIGINT}) AS w
+  FROM checked)
+SELECT doc_id, size, text_crc32, 'key' AS law, w.n40::INTEGER AS shard,
+       row_number() OVER (PARTITION BY w.n40 ORDER BY substr(md5(coalesce(doc_id, 0)::VARCHAR), 1, 2), doc_id, text_crc32, size) - 1 AS slot,
+       CASE WHEN w.j > 40 THEN w.n41 END::INTEGER AS grown_shard
+FROM walked
+"""
+
 OP10_SQL = f"""
 WITH normal AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
 groups AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM normal GROUP BY t)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM normal JOIN groups USING (t)
 """
 
-ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op3_sharding": OP3_SQL, "op10_exact_dedup": OP10_SQL}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,6 +1,13 @@
+import os
+import sys
+
 import pytest
 from pyspark.sql import SparkSession
 
+HERE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, HERE)
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [HERE, os.environ.get("PYTHONPATH", "")]))
+
 
 @pytest.fixture(scope="session")
 def spark():

@@ -113,13 +113,14 @@ def scored_phrases(expression: object) -> list[Phrase]:
 
 def build_postings(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     """doc_id, term, positions, length: the tokens of the columns, one after the other."""
-    parts = [tokens(F.col(c)) for c in columns]
-    length = sum((F.size(p) for p in parts[1:]), F.size(parts[0]))
 
     def placed(words: Column, start: int) -> Column:
         return F.transform(words, lambda t, i: F.struct(t.alias("term"), (i + start).alias("pos")))
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), length.cast("long").alias("length"), F.explode(F.concat(*[placed(p, k * COLUMN_GAP) for k, p in enumerate(parts)])).alias("t"))
+    parts = F.concat(*[placed(tokens(F.col(c)), k * COLUMN_GAP) for k, c in enumerate(columns)])
+    # the length is a column before the explosion, or the text would be split again for each of its tokens
+    rows = docs.select(F.col(id_col).alias("doc_id"), parts.alias("toks")).select("doc_id", F.size("toks").cast("long").alias("length"), "toks")
+    rows = rows.select("doc_id", "length", F.explode("toks").alias("t"))
     return rows.groupBy("doc_id", "length", F.col("t.term").alias("term")).agg(F.sort_array(F.collect_list("t.pos")).alias("positions"))
 
 

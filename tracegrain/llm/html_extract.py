@@ -40,10 +40,10 @@ DROPPED = frozenset(
 )
 #: Words in a class, id or role that mark boilerplate, and those that mark content.
 BOILERPLATE = frozenset(
-    "ad ads advert advertisement advertising adverts adsense banner breadcrumb breadcrumbs combx comment comments commentlist consent cookie cookies "
-    "disqus disclaimer footer gdpr header hidden masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager "
+    "ad adbox ads adsbygoogle adsense adslot adunit advert advertisement advertising adverts banner breadcrumb breadcrumbs combx comment comments commentlist consent cookie cookies "
+    "copyright cta disqus disclaimer footer gdpr header hidden masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager "
     "pagination paywall popup promo promoted promotion recommended related remark replies reply respond rss share sharing shoutbox sidebar sidebars skip social "
-    "sponsor sponsored sponsors subscribe subscription tags toolbar topbar widget widgets alert complementary contentinfo".split()
+    "sponsor sponsored sponsors subscribe subscription taboola tags toolbar topbar widget widgets alert complementary contentinfo".split()
 )
 CONTENT = frozenset("article body content entry hentry main page post story text blog".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd h2 h3 h4 h5 h6 div section article main".split())

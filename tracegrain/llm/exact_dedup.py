@@ -212,8 +212,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     again = common.stage(repeated(marks), "repeated")
     groups = (
         candidates(docs, again, id_col, text_col)
-        .groupBy("normal")
-        .agg(F.first("sha").alias("sha"), F.max("doc_id").alias("largest"), F.count("*").alias("copies"))
+        .groupBy("sha", "normal")  # the digest is a key too, as a buffer of bytes would rule out hash aggregation
+        .agg(F.max("doc_id").alias("largest"), F.count("*").alias("copies"))
         .where("copies > 1")
         .select("sha", "largest", "copies", F.lit(True).alias("found"))
     )

@@ -37,7 +37,7 @@ ORDER = 3
 #: Documents of each language that are learned from.
 TRAIN_DOCS = 1500
 #: Bytes scored at a time.
-SLAB = 1 << 20
+SLAB = 1 << 19
 START = b"\n" * ORDER
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 

@@ -432,6 +432,37 @@ def test_vector_search(spark):
     assert vector_search.search(df.limit(0), df.limit(0), 20).count() == 0
 
 
+def test_equal_vectors_take_one_place_in_the_rerank():
+    rng = np.random.default_rng(10)
+    n, k = 8192, 20
+    x = rng.normal(size=(n, 16))
+    q = rng.normal(size=16)
+    ids = rng.permutation(n).astype(np.int64)
+    copies = rng.choice(n, n // 3, replace=False)
+    order = np.argsort(-(x @ q))
+    x[copies] = x[order[10]]  # more of them than are reranked
+    books = vector_search.Codebooks.fit(x[:2000])
+    block = vector_search.Block(ids, x, books.pack(books.encode(x)))
+    assert len(copies) > block.most
+    for query_id in (-1, int(ids[copies].min())):
+        got, scores = block.nearest(query_id, q, books.tables(q), k)
+        others = ids != query_id
+        exact = (x * q).sum(1)
+        best = np.lexsort((ids[others], -exact[others]))[:k]
+        assert got.tolist() == ids[others][best].tolist()
+        assert scores == pytest.approx(exact[others][best])
+
+
+def test_rows_tied_at_the_cut_are_all_reranked():
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(4000, 8))
+    books = vector_search.Codebooks.fit(x)
+    q = rng.normal(size=8)
+    codes = np.zeros((4000, 2), np.uint8)  # one code for all
+    got, _ = vector_search.Block(np.arange(4000), x, codes).nearest(-1, q, books.tables(q), 20)
+    assert got.tolist() == np.argsort(-(x * q).sum(1))[:20].tolist()
+
+
 def test_anisotropic_codes_lower_the_parallel_error():
     rng = np.random.default_rng(9)
     x = rng.normal(size=(2000, 16))

@@ -8,9 +8,11 @@ both in the choice of codes and in the fit of the codebooks.
 Every row is coded.  Rows are cut into blocks, and each block meets each block
 of queries in one task.  There a query's products with all codewords are its
 tables; two subspaces share a byte, so a block is scanned by lookups in tables of
-256.  The rows of a block with the best approximate products are reranked by
-exact products of the original vectors in double precision, and a block's best k
-go on to be merged.
+256.  Equal vectors of a block are scanned as one, so copies take one place among
+those with the best approximate products; these, and all that tie with the last
+of them, are reranked by exact products of the original vectors in double
+precision.  The best are expanded to the rows that hold them, and a block's best
+k rows go on to be merged.
 
 The codebooks are fitted on a bounded sample, the SAMPLE rows whose hashed vec_id
 is smallest.
@@ -118,6 +120,46 @@ class Codebooks:
         return (own[1::2, :, None] + own[0::2, None, :]).reshape(len(own) // 2, 256).astype(np.float32)
 
 
+class Block:
+    """Rows of which equal vectors are scanned as one."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray):
+        """ids, x: the rows; codes: their packed codes, a row each."""
+        x = x + 0.0  # without negative zeros, equal vectors have equal bytes
+        _, first, group = np.unique(x.view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel(), return_index=True, return_inverse=True)
+        self.x, self.codes = x[first], np.ascontiguousarray(codes[first].T)
+        order = np.lexsort((ids, group))
+        self.ids = ids[order]  # a group's rows stand together, smallest id first
+        self.count = np.bincount(group, minlength=len(first))
+        self.start = np.cumsum(self.count) - self.count
+        by_id = np.argsort(ids, kind="stable")
+        self.known, self.group = ids[by_id], group[by_id]
+        self.most = max(RERANK_LEAST, int(RERANK_SHARE * len(ids)))
+
+    def nearest(self, query_id: int, q: np.ndarray, tables: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """vec_id and product of the best k rows of another id."""
+        near = np.zeros(len(self.count), np.float32)
+        for table, code in zip(tables, self.codes, strict=True):
+            near += table[code]
+        held = self.group[slice(*np.searchsorted(self.known, [query_id, query_id + 1]))]
+        own, times = np.unique(held, return_counts=True)
+        near[own[times == self.count[own]]] = -np.inf  # vectors of the query's id alone
+        most = min(len(near), max(self.most, k))
+        at = np.flatnonzero((near >= np.partition(near, len(near) - most)[len(near) - most]) & (near > -np.inf))
+        exact = (self.x[at] * q).sum(1)  # numpy's pairwise sum, the same wherever a row stands
+        if len(at) > k:
+            best = exact >= np.partition(exact, len(at) - k)[len(at) - k]
+            at, exact = at[best], exact[best]
+        take = np.minimum(self.count[at], k + len(held))
+        end = np.cumsum(take)
+        rows = np.arange(end[-1] if len(end) else 0) + np.repeat(self.start[at] - (end - take), take)
+        ids, scores = self.ids[rows], np.repeat(exact, take)
+        other = ids != query_id
+        ids, scores = ids[other], scores[other]
+        top = np.lexsort((ids, -scores))[:k]
+        return ids[top], scores[top]
+
+
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, vector of the rows that take part."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector")).where("vec_id is not null and size(vector) > 0")
@@ -159,24 +201,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, sample: int = SAMPLE,
     def scan(data: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         if not len(data) or not len(asking):
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        data = data.sort_values("vec_id", kind="stable")
-        ids = data["vec_id"].to_numpy()
         x = np.frombuffer(b"".join(data["raw"]), float).reshape(-1, dim)
-        codes = np.ascontiguousarray(np.frombuffer(b"".join(data["codes"]), np.uint8).reshape(len(data), -1).T)
-        most = min(len(ids), max(RERANK_LEAST, k + 1, int(RERANK_SHARE * len(ids))))
+        codes = np.frombuffer(b"".join(data["codes"]), np.uint8).reshape(len(data), -1)
+        held = Block(data["vec_id"].to_numpy(), x, codes)
         found = ([], [], [])
         for query_id, query in zip(asking["query_id"], asking["query"], strict=True):
             q = np.asarray(query, float)
-            near = np.zeros(len(ids), np.float32)
-            for table, code in zip(books.value.tables(q), codes, strict=True):
-                near += table[code]
-            at = np.argpartition(near, len(ids) - most)[len(ids) - most :] if most < len(ids) else np.arange(len(ids))
-            at = np.sort(at[ids[at] != query_id])
-            exact = (x[at] * q).sum(1)  # numpy's pairwise sum, the same wherever a row stands
-            top = np.lexsort((ids[at], -exact))[:k]
-            found[0].append(np.full(len(top), query_id))
-            found[1].append(ids[at][top])
-            found[2].append(exact[top])
+            ids, scores = held.nearest(query_id, q, books.value.tables(q), k)
+            found[0].append(np.full(len(ids), query_id))
+            found[1].append(ids)
+            found[2].append(scores)
         return pd.DataFrame({"query_id": np.concatenate(found[0]), "vec_id": np.concatenate(found[1]), "score": np.concatenate(found[2])})
 
     met = left.groupBy("block", "set").cogroup(right.groupBy("block", "set")).applyInPandas(scan, "query_id long, vec_id long, score double")

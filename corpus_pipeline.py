@@ -27,9 +27,12 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that is known; those without a letter, or of no language in particular, go."""
-    found = language_id.identify(docs, language_id.train(docs))
-    return _without(docs, found.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_CHANCE)))
+    """Documents in a language that is known; those without a letter, or of no language in particular, go.
+
+    The chance among the languages says which fits best, the code length whether any fits.
+    """
+    found = language_id.score(docs, language_id.train(docs))
+    return _without(docs, found.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_CHANCE) | F.col("foreign")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

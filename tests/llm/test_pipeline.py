@@ -1,4 +1,7 @@
+import base64
+
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -32,6 +35,19 @@ def test_stages(spark):
     assert packed.select("doc_id").distinct().count() == mixed.select("doc_id").distinct().count()
 
 
+def test_text_in_no_learned_language_goes(spark):
+    rng = np.random.default_rng(3)
+    known = {
+        "en": "the of and to in is that for it with as was on be at by this had not are but from or have an they which one you were all her she there would their we him been has when who will no more if out so up".split(),
+        "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über so zum war haben nur oder".split(),
+    }
+    clean = [(i, " ".join(rng.choice(known[lang], int(rng.integers(3, 300)))), lang, "s", 0) for i in range(200) for lang in ["de" if i % 3 else "en"]]
+    strange = [rng.bytes(300).hex(), base64.b64encode(rng.bytes(300)).decode(), "Съешь же ещё этих мягких французских булок " * 12, "今天天气很好我们一起去公园散步吧然后回家吃晚饭" * 12, "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw " * 8]
+    cuts = [t[:n] for t in strange for n in (40, 200, 600)]
+    docs = spark.createDataFrame(clean + [(1000 + i, t, None, "s", 0) for i, t in enumerate(cuts)], DOCS)
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()} == set(range(200))
+
+
 def test_run(spark, tmp_path):
     spark.createDataFrame(rows(), DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))

@@ -12,11 +12,17 @@ language is the exact sum over its bytes.
 The trees are fitted on a bounded sample: the TRAIN_DOCS documents of each
 language whose hashed doc_id is smallest.  Every document is scored whole.
 
+A text is foreign, in none of the languages, if its code length in the best of
+them is over that language's usual length by more than MARGIN bits a byte, and
+SPARE bits for short texts, as it stands and in lower case.  The usual length is measured on the sample: trees of each half of
+it are asked for the other half.
+
 Defined cases: a null text, or one without any letter, is "und" with score 0; a
 null doc_id is never learned from and not held out; null languages are not
 learned; rows that repeat are scored alike; a tie goes to the language first in
-order; without anything to learn from, all are "und"; other columns are not
-read; an empty table gives an empty table.
+order; without anything to learn from, all are "und"; "und" is not foreign, nor
+is what is nearest to a language with documents in one half only; other columns
+are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -36,6 +42,8 @@ from . import common
 ORDER = 3
 #: Documents of each language that are learned from.
 TRAIN_DOCS = 1500
+#: A foreign text's code length is over the usual one by more than so many bits a byte, and so many bits.
+MARGIN, SPARE = 4.5, 32.0
 #: Bytes scored at a time.
 SLAB = 1 << 19
 START = b"\n" * ORDER
@@ -84,7 +92,8 @@ class Model:
     """Costs in bits, a column a language.
 
     cost[n] has a row for each n-byte sequence (n - 1 bytes of context) seen in
-    any language; escape[n] has one for each n-byte context.
+    any language; escape[n] has one for each n-byte context.  usual: bits a byte
+    of documents that were not learned from, infinite where none is known.
     """
 
     langs: list[str]
@@ -92,6 +101,7 @@ class Model:
     cost: dict[int, np.ndarray]
     escape_keys: dict[int, np.ndarray]
     escape: dict[int, np.ndarray]
+    usual: np.ndarray | None = None
 
     @classmethod
     def fit(cls, counted: pd.DataFrame) -> Model:
@@ -120,6 +130,29 @@ class Model:
             cost[size] = np.where(n > 0, share, escape[size - 1][at] + below)
         return cls(langs, keys, cost, escape_keys, escape)
 
+    def measure(self, halves: pd.DataFrame) -> Model:
+        """Set usual.  halves: lang, gram, n as in fit, and half, 0 or 1."""
+        bits, size = np.zeros(len(self.langs)), np.zeros(len(self.langs))
+        for half in (0, 1):
+            learned, asked = halves[halves["half"] != half], halves[halves["half"] == half]
+            if not len(learned):
+                continue
+            model = Model.fit(learned)
+            for i, lang in enumerate(model.langs):
+                own = asked[asked["lang"] == lang]
+                n, at = own["n"].to_numpy(float), self.langs.index(lang)
+                bits[at] += n @ model.scorer().costs(own["gram"].to_numpy(np.int64).astype(np.uint32))[:, i]
+                size[at] += n.sum()
+        self.usual = np.where(size > 0, bits / np.maximum(size, 1), np.inf)
+        return self
+
+    def strange(self, bits: np.ndarray, texts: list[bytes]) -> np.ndarray:
+        """Which texts are longer in the best language than its documents are."""
+        if self.usual is None:
+            return np.zeros(len(texts), bool)
+        most = (self.usual[bits.argmin(1)] + MARGIN) * np.array([len(t) for t in texts]) + SPARE
+        return bits.min(1) > most
+
     def scorer(self) -> Scorer:
         return Scorer(self)
 
@@ -149,6 +182,15 @@ class Scorer:
             out[~seen] = leave + self._backed_off(rest & np.uint32((1 << (8 * (size - 1))) - 1), size - 1)
         return out
 
+    def costs(self, sequences: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of four, a column a language."""
+        at = self.table.find(sequences)
+        costs = self.cost[at]
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            costs[new] = self._backed_off(sequences[new], ORDER + 1)
+        return costs
+
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """Code lengths in bits: a row a text, a column a language."""
         out = np.zeros((len(texts), len(self.model.langs)))
@@ -171,11 +213,7 @@ class Scorer:
         begin = np.append(0, ends[:-1])
         for first in range(0, len(data) - ORDER, 4 * SLAB):  # a single text may be longer than a slab
             sequence = grams(data[first : first + 4 * SLAB + ORDER])
-            at = self.table.find(sequence)
-            costs = self.cost[at]
-            new = np.flatnonzero(at < 0)
-            if len(new):
-                costs[new] = self._backed_off(sequence[new], ORDER + 1)
+            costs = self.costs(sequence)
             place = np.arange(first, first + len(sequence)) + ORDER  # of the byte that is paid for
             owner = np.searchsorted(ends, place, side="right")
             costs[place < begin[owner] + ORDER] = 0.0  # the start bytes of the next text
@@ -204,19 +242,22 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id",
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by_lang: dict[str, list[bytes]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), common.values(batch.column(1)), strict=True):
-                by_lang.setdefault(lang, []).append(text)
-            for lang, texts in by_lang.items():
+            by_lang: dict[tuple[str, int], list[bytes]] = {}
+            for lang, half, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.values(batch.column(2)), strict=True):
+                by_lang.setdefault((lang, half), []).append(text)
+            for (lang, half), texts in by_lang.items():
                 own = [grams(np.frombuffer(START + t, np.uint8)) for t in texts if t]
                 if own:
                     keys, n = np.unique(np.concatenate(own), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(np.full(len(keys), half, np.int32)), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "half", "gram", "n"])
 
     rows = open_.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")  # train_docs rows a language
-    counted = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    return Model.fit(counted) if len(counted) else None
+    sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi")  # train_docs rows a language
+    sample = sample.select("lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int").alias("half"), "text")
+    halves = sample.mapInArrow(count, "lang string, half int, gram long, n long").groupBy("lang", "half", "gram").agg(F.sum("n").alias("n")).toPandas()
+    if not len(halves):
+        return None
+    return Model.fit(halves.groupby(["lang", "gram"], as_index=False)["n"].sum()).measure(halves)
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,6 +266,11 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     score is the chance of the predicted language among all, each byte's cost
     being a likelihood; bits_per_byte is the code length in that language.
     """
+    return score(docs, model, id_col, text_col).drop("foreign")
+
+
+def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As identify, with foreign: whether a text is in none of the languages."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +278,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
         scorer = found.scorer() if found else None
         for batch in batches:
             lang: list[str] = ["und"] * batch.num_rows
-            score, rate = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+            score, rate, foreign = np.zeros(batch.num_rows), np.zeros(batch.num_rows), np.zeros(batch.num_rows, bool)
             held, texts, size = [], [], 0
 
             def settle() -> None:
@@ -242,6 +288,10 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                 best = bits.argmin(1)
                 least = bits.min(1)
                 chance = 1.0 / np.exp2(np.maximum(least[:, None] - bits, -1000.0)).sum(1)
+                strange = np.flatnonzero(found.strange(bits, texts))
+                if len(strange):
+                    lower = [texts[i].decode("utf-8", "replace").lower().encode() for i in strange]
+                    foreign[np.asarray(held)[strange]] = found.strange(scorer.lengths(lower), lower)
                 for i, k in enumerate(held):
                     lang[k], score[k], rate[k] = found.langs[best[i]], chance[i], least[i] / len(texts[i])
 
@@ -253,7 +303,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                         settle()
                         held, texts, size = [], [], 0
             settle()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang), pa.array(score), pa.array(rate), batch.column(2)], ["doc_id", "held_out", "lang_pred", "score", "bits_per_byte", "row_key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang), pa.array(score), pa.array(rate), batch.column(2), pa.array(foreign)], ["doc_id", "held_out", "lang_pred", "score", "bits_per_byte", "row_key", "foreign"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(remainder(id_col) == 2, F.lit(False)).alias("held_out"), common.row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double, row_key long")
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double, row_key long, foreign boolean")

@@ -402,6 +402,21 @@ def test_html_extraction(spark):
     assert html_extract.main_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("names", ["class='layout with-sidebar'", "class='post has-comments'", "id='page' class='no-ads'"])
+def test_wrappers_named_after_boilerplate_stay(names):
+    text = "A sentence, with commas, that goes on for a while, and then ends."
+    side = "<div class=sidebar><p>Related, links, and more of them, all here in the sidebar.</p></div>"
+    assert html_extract.extract(f"<body><div {names}><p>{text}</p><p>{text}</p>{side}</div></body>") == f"{text} {text}"
+    halves = f"<div {names}><p>{text}</p></div>"
+    assert text in html_extract.extract(f"<body>{halves}{halves}</body>")
+
+
+def test_long_comments_do_not_displace_an_article():
+    text = "A sentence, with commas, that goes on for a while, and then ends."
+    comments = f"<section id=comments>{'<p>A reader comment, with commas, that is rather long, yes.</p>' * 20}</section>"
+    assert html_extract.extract(f"<body><article><p>{text}</p></article>{comments}</body>") == text
+
+
 def test_vector_search(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(3000, 24)).astype(np.float32)

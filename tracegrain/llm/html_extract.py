@@ -7,6 +7,12 @@ element's points are discounted by the share of its text that is inside links.
 The element with the most points is the container; siblings with enough points
 of their own, and paragraphs of prose beside it, are kept too.
 
+Elements whose class, id or role names boilerplate are dropped, but not one that
+holds most of the page's paragraphs: that is a wrapper named after what it holds.
+It is dropped all the same where an article, a heading of the page or the like
+stands outside with paragraphs, so long comments don't displace a short article.
+If nothing is found, the page is read again without regard to such names.
+
 Defined cases: a null or empty page has no text; markup that is never closed is
 closed where its parent ends; a page without a scoring paragraph gives the text
 of its whole body without boilerplate; rows that repeat give the same text;
@@ -67,10 +73,11 @@ _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("children", "dropped", "links", "name", "parent", "points", "prose", "weight", "words")
+    __slots__ = ("boiler", "children", "dropped", "links", "name", "parent", "points", "prose", "weight", "words")
 
     def __init__(self, name: str, parent: Node | None, words: frozenset[str] = frozenset(), dropped: bool = False):
         self.name, self.parent, self.words, self.dropped = name, parent, words, dropped
+        self.boiler = False
         self.children: list[Node | str] = []
         self.points: float | None = None
         self.prose = self.links = self.weight = 0.0
@@ -115,7 +122,8 @@ def parse(page: str) -> Node:
             at = _close_open(at, *CLOSES[name])
         words, hidden = _names(match[3]) if match[3] else (frozenset(), False)
         boiler = bool(words & BOILERPLATE) and name not in ("html", "body", "article", "main") and not words & {"article", "content", "story", "entry"}
-        node = Node(name, at, words, hidden or name in DROPPED or boiler)
+        node = Node(name, at, words, hidden or name in DROPPED)
+        node.boiler = boiler and not node.dropped
         at.children.append(node)
         if name in VOID:
             continue
@@ -169,6 +177,26 @@ def _walk(root: Node) -> list[Node]:
     return out
 
 
+def _drop_boilerplate(root: Node) -> bool:
+    """Drop the elements named as boilerplate, but for wrappers; whether any were dropped."""
+    nodes = _walk(root)
+    named = [n for n in nodes if n.boiler]
+    if not named:
+        return False
+    held: dict[Node, int] = {}  # length of the paragraphs of an element
+    for node in reversed(nodes):  # children first
+        own = len("".join(_inline(node)).strip()) if node.name in PARAGRAPHS else 0
+        held[node] = (own if own >= 25 else 0) + sum(held[c] for c in node.children if not isinstance(c, str) and not c.dropped)
+    for node in named:
+        node.dropped = True
+    clear = _walk(root)
+    outside = any(len("".join(_inline(n)).strip()) >= 25 for n in clear if n.name in PARAGRAPHS) and any(n.name == "h1" or held[n] and (n.name in ("article", "main") or n.words & CONTENT and n.name not in ("html", "body")) for n in clear)
+    if not outside:
+        for node in named:
+            node.dropped = 2 * held[node] <= held[root]
+    return any(n.dropped for n in named)
+
+
 def _squeeze(text: str) -> str:
     return " ".join(html.unescape(text).split())
 
@@ -257,6 +285,12 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    dropped = _drop_boilerplate(root)
+    text = _main(root)
+    return _main(parse(page)) if dropped and not text else text
+
+
+def _main(root: Node) -> str:
     scored = score(root)
     if not scored:
         return " ".join(blocks(root))

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +75,26 @@ def test_neighbours_and_ancestors(spark):
     assert {r.commit_sha for r in history.ancestors(chain, "12").collect()} == {str(i) for i in range(13)}
 
 
+@pytest.mark.parametrize(("before", "after"), [(2, 2), (1, 3), (0, 1)])
+def test_neighbours_of_every_change(spark, before, after):
+    rng = random.Random(4)
+    rows = [(rng.choice("aab"), f"c{i}", rng.randrange(25)) for i in range(120)]
+    rows += rows[:5]  # two hunks of a commit
+    changes = spark.createDataFrame(rows, "file_path string, commit_sha string, ts long")
+    got = sorted(map(tuple, history.neighbours(changes, changes, before, after).collect()))
+    want = []
+    for f, sha, ts in set(rows):
+        for side, n in ((0, before), (1, after)):
+            near = sorted((abs(t - ts), c, t) for g, c, t in set(rows) if g == f and c != sha and (t > ts) == bool(side))
+            want += [(sha, f, c, t, side, i + 1, rows.count((f, c, t))) for i, (_, c, t) in enumerate(near[:n])]
+    assert got == sorted(want)
+
+
+def test_neighbours_do_not_pair_a_file_s_commits(spark):
+    changes = spark.range(40_000).selectExpr("'hot' as file_path", "cast(id as string) as commit_sha", "id as ts")
+    assert history.neighbours(changes, changes, 2, 2).count() == 4 * 40_000 - 6  # 1.6 billion pairs
+
+
 def test_share_threshold(spark):
     paths = spark.createDataFrame([(str(i), "src/a.rs") for i in range(30)] + [("0", "rare/x"), ("1", "docs/y"), ("2", "docs/z")], "commit_sha string, path string")
     assert [r.prefix for r in history.suggested(history.path_shares(paths), 30).collect()] == ["src/"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tracegrain.functions import vectors as V
 from tracegrain.operators import chunking, fulltext, ranking
 from tracegrain.operators.ignore import Layers
-from tracegrain.plans import explain, index, retrieve
+from tracegrain.plans import catalog, explain, index, retrieve
 from tracegrain.sources import adapters, gitlog
 from tracegrain.streaming import ingest
 
@@ -65,6 +65,21 @@ def test_golden_queries_are_recalled(spark, corpus):
     assert row.mrr >= 0.8
 
 
+def test_neighbours_of_all_changes(spark):
+    d = "/root/testdata/sf0.001"
+    by_file = {}
+    for r in catalog._changes(spark, d).collect():
+        by_file.setdefault(r.file_path, []).append(r)
+    want = []
+    for rows in by_file.values():
+        for a in rows:
+            for side in (0, 1):
+                near = sorted((abs(r.ts - a.ts), r.commit_sha) for r in rows if r.commit_sha != a.commit_sha and (r.ts > a.ts) == bool(side))
+                want += [(a.commit_sha, sha, side, i + 1) for i, (_, sha) in enumerate(near[:2])]
+    got = catalog.queries()["j13_j6_a1_u2_neighbours_whole"](spark, d).select("anchor_sha", "commit_sha", "side", "place").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_envelope_and_rerank(corpus):
     hits = retrieve.find_pattern(corpus, "retry with exponential backoff", NOW, k=3, rerank=True)
     told = retrieve.envelope(hits, {"last_indexed_commit": "x"}, None, "compatible", "unknown")

@@ -53,16 +53,33 @@ def neighbours(changes: DataFrame, anchors: DataFrame, before: int, after: int)
 
     changes: file_path, commit_sha, ts, one row a hunk; anchors: file_path,
     commit_sha.  Returns anchor_sha, file_path, commit_sha, ts, side, place and
-    touched_hunks, older ones nearest first, then newer ones.
+    touched_hunks, older ones nearest first, then newer ones.  A commit has one
+    time; one without a time or a file has no neighbours.  Work grows with the
+    changes, not with anchors times a file's commits.
     """
-    per = changes.groupBy("file_path", "commit_sha", "ts").agg(F.count("*").alias("touched_hunks"))
+    per = changes.where("file_path is not null and ts is not null").groupBy("file_path", "commit_sha", "ts").agg(F.count("*").alias("touched_hunks"))
+    # of a file's commits at one time the first few by sha are enough, and of its times the next few
+    most = max(before + 1, after)
+    place = F.row_number().over(Window.partitionBy("file_path", "ts").orderBy("commit_sha"))
+    few = per.withColumn("n", place).where(F.col("n") <= most).groupBy("file_path", "ts").agg(F.collect_list(F.struct("ts", "commit_sha", "touched_hunks")).alias("at"))
+    times = Window.partitionBy("file_path").orderBy("ts")
+    none = F.array().cast("array<struct<ts:bigint,commit_sha:string,touched_hunks:bigint>>")
+    sides = few.select(
+        "file_path",
+        F.col("ts").alias("anchor_ts"),
+        F.flatten(F.collect_list("at").over(times.rowsBetween(-before, 0))).alias("older"),
+        F.coalesce(F.flatten(F.collect_list("at").over(times.rowsBetween(1, max(after, 1)))), none).alias("newer"),
+    )
     own = per.select("file_path", F.col("commit_sha").alias("anchor_sha"), F.col("ts").alias("anchor_ts")).join(anchors.select("file_path", F.col("commit_sha").alias("anchor_sha")), ["file_path", "anchor_sha"], "left_semi")
-    near = per.join(own, "file_path").where("commit_sha != anchor_sha")
-    near = near.withColumn("side", F.when(F.col("ts") <= F.col("anchor_ts"), 0).otherwise(1))
-    distance = F.abs(F.col("ts") - F.col("anchor_ts"))
-    place = F.row_number().over(Window.partitionBy("anchor_sha", "file_path", "side").orderBy(distance, "commit_sha"))
-    limit = F.when(F.col("side") == 0, before).otherwise(after)
-    return near.withColumn("place", place).where(F.col("place") <= limit).select("anchor_sha", "file_path", "commit_sha", "ts", "side", "place", "touched_hunks")
+
+    def nearest(rows: Column, n: int) -> Column:
+        others = F.filter(rows, lambda x: x["commit_sha"] != F.col("anchor_sha"))
+        by = F.transform(others, lambda x: F.struct(F.abs(x["ts"] - F.col("anchor_ts")).alias("d"), x["commit_sha"].alias("commit_sha"), x["ts"].alias("ts"), x["touched_hunks"].alias("touched_hunks")))
+        return F.slice(F.array_sort(by), 1, n)
+
+    met = own.join(sides, ["file_path", "anchor_ts"])
+    out = [met.select("anchor_sha", "file_path", F.lit(side).alias("side"), F.posexplode(nearest(F.col(rows), n)).alias("place", "c")) for side, rows, n in ((0, "older", before), (1, "newer", after))]
+    return out[0].unionByName(out[1]).select("anchor_sha", "file_path", "c.commit_sha", "c.ts", "side", (F.col("place") + 1).alias("place"), "c.touched_hunks")
 
 
 def related_commits(near: DataFrame, anchors: DataFrame) -> DataFrame:

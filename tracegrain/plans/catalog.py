@@ -505,6 +505,12 @@ def j13_j6_a1_u2_neighbours(spark, d):
     return history.neighbours(_changes(spark, d), _anchors(spark, d), 2, 2)
 
 
+@query()
+def j13_j6_a1_u2_neighbours_whole(spark, d):
+    """The neighbours of every change, not of ANCHORS alone."""
+    return history.neighbours(_changes(spark, d), _changes(spark, d), 2, 2)
+
+
 @query(f"SELECT commit_sha, anchor_sha FROM {NEIGHBOURS} WHERE commit_sha NOT IN (SELECT commit_sha FROM {ANCHORS}) QUALIFY row_number() OVER (PARTITION BY commit_sha ORDER BY anchor_sha, side, place) = 1")
 def f14_u3_related_commits(spark, d):
     return explain.related(_changes(spark, d), _anchors(spark, d)).select("commit_sha", "anchor_sha")

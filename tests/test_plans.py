@@ -80,6 +80,15 @@ def test_neighbours_of_all_changes(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_live_attribution_of_all_hunks(spark):
+    d = "/root/testdata/sf0.001"
+    hunks, named = adapters.hunks(spark, d).collect(), adapters.symbols(spark, d).collect()
+    want = {(h.hunk_id, s.kind, s.name, "exact_span") for h in hunks for s in named if h.file_path == s.file_path}
+    got = catalog.queries()["w6_live_attribution_whole"](spark, d).collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+    assert max(r.hunk_id for r in got) >= 60
+
+
 def test_envelope_and_rerank(corpus):
     hits = retrieve.find_pattern(corpus, "retry with exponential backoff", NOW, k=3, rerank=True)
     told = retrieve.envelope(hits, {"last_indexed_commit": "x"}, None, "compatible", "unknown")

@@ -312,6 +312,12 @@ def w6_live_attribution(spark, d):
     return symbols.live_attribution(A.hunks(spark, d).where("hunk_id < 60"), A.symbols(spark, d))
 
 
+@query()
+def w6_live_attribution_whole(spark, d):
+    """The attribution of every hunk."""
+    return symbols.live_attribution(A.hunks(spark, d), A.symbols(spark, d))
+
+
 SPANS = f"(SELECT file_path, CASE symbol_id % 3 WHEN 0 THEN 'function' WHEN 1 THEN 'class' ELSE 'method' END AS kind, 'name' || CAST(symbol_id % 9 AS VARCHAR) AS name, CAST(symbol_id % 60 + 1 AS INTEGER) AS line_start, CAST(symbol_id % 60 + 1 + symbol_id % 5 AS INTEGER) AS line_end FROM {SYMBOLS})"
 
 

@@ -43,7 +43,7 @@ ORDER = 3
 #: Documents of each language that are learned from.
 TRAIN_DOCS = 1500
 #: A foreign text's code length is over the usual one by more than so many bits a byte, and so many bits.
-MARGIN, SPARE = 4.5, 32.0
+MARGIN, SPARE = 4.5, 64.0
 #: Bytes scored at a time.
 SLAB = 1 << 19
 START = b"\n" * ORDER

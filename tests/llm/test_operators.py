@@ -110,12 +110,22 @@ def test_line_dedup(odd, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
-def test_line_dedup_with_many_shared_lines(odd):
-    shared = line_dedup.counts(line_dedup.references(odd)).where("n_docs >= 3")
-    assert rows_of(line_dedup.drop_lines(odd, shared, {}, broadcast_rows=0)) == line_truth(BASE)
-
-
-def test_line_dedup_is_reversible(spark, odd):
+@pytest.mark.parametrize("filter_bytes", [1 << 20, 0])
+def test_line_dedup_with_many_shared_lines(spark, odd, monkeypatch, filter_bytes):
+    """Without broadcasting the exact table, and without broadcasting the filters."""
+    monkeypatch.setattr(line_dedup, "PROBE_ROWS", 3)
+    lines = spark.range(400).selectExpr("1000 + id as doc_id", "concat('a line of its own, number ', id, '\n', 'THIS line stands in all of these four hundred\n', repeat('x', 5000)) as text")
+    docs = odd.select("doc_id", "text").unionByName(lines)
+    index = line_dedup.LineIndex.build(docs)
+    want = line_truth([tuple(r) for r in docs.collect()])
+    assert rows_of(index.apply(docs, broadcast_rows=0, filter_bytes=filter_bytes)) == want == rows_of(index.apply(docs))
+    passed = line_dedup.maybe_shared(line_dedup.keyed(docs), index.filters, index.shards, 20, filter_bytes)
+    real = line_dedup.references(docs).join(index.shared(), ["h1", "h2"]).count()
+    assert real == 803 and real <= passed.count() <= real + 5  # of over 1200 keys
+
+
+def test_line_dedup_is_reversible(spark, odd, monkeypatch):
+    monkeypatch.setattr(line_dedup, "MOST_LAYERS", 2)  # the third layer merges
     other = [(20, PASSAGE, None, None), (21, "A line that only later is in three documents", None, None), (22, "a line that only later is in three documents\n", None, None), (23, " a LINE that only later is in three documents", None, None)]
     more = spark.createDataFrame([(*r, 0, "", "", "", "", "") for r in other], SCHEMA)
     base = line_dedup.LineIndex.build(odd)
@@ -124,19 +134,72 @@ def test_line_dedup_is_reversible(spark, odd):
     assert rows_of(grown.apply(both)) == line_truth(BASE + other)
     back = grown.delete(more)
     assert rows_of(back.apply(odd)) == rows_of(base.apply(odd))
+    again = back.insert(more)
+    assert rows_of(again.apply(both)) == line_truth(BASE + other)
     fewer = base.delete(odd.where("doc_id = 7"))
     assert rows_of(fewer.apply(odd.where("doc_id != 7"))) == line_truth([r for r in BASE if r[0] not in (7, None)])
 
 
+def test_line_index_with_repeated_and_null_ids(spark):
+    rows = [(1, PASSAGE), (1, PASSAGE), (2, PASSAGE), (None, PASSAGE + "\nend"), (None, PASSAGE), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = line_dedup.LineIndex.build(docs)
+
+    def truth(rows):
+        """As line_truth, with null below every id."""
+        ranked = [(-10**9 if i is None else i, t) for i, t in rows]
+        known = any(i is not None for i, t in rows if t)
+        out = line_truth(ranked) if known else collections.Counter({(i, len((t or "").split("\n")), 0, hashlib.sha256((t or "").encode()).hexdigest()): n for (i, t), n in collections.Counter(ranked).items()})
+        return collections.Counter({(None if k[0] == -10**9 else k[0], *k[1:]): n for k, n in out.items()})
+
+    assert rows_of(index.apply(docs)) == truth(rows)
+    left = index.delete(spark.createDataFrame([(2,), (99,)], "doc_id long"))
+    rest = [r for r in rows if r[0] != 2]
+    assert rows_of(left.apply(docs.where("doc_id is null or doc_id != 2"))) == truth(rest)
+    left = left.delete(spark.createDataFrame([(1,)], "doc_id long"))
+    rest = [r for r in rest if r[0] != 1]
+    assert rows_of(left.apply(docs.where("doc_id is null or doc_id > 2"))) == truth(rest)  # two holders
+    nulls = left.insert(spark.createDataFrame([(None, PASSAGE)], "doc_id long, text string"))
+    three = docs.where("doc_id is null").unionByName(spark.createDataFrame([(None, PASSAGE)], "doc_id long, text string"))
+    assert {r.n_dropped for r in nulls.apply(three).collect()} == {0} and nulls.shared().count() == 1
+    gone = nulls.delete(spark.createDataFrame([(None,)], "doc_id long"))
+    assert gone.shared().count() == 0 and gone.current().where("n_docs > 0").count() == 0
+    assert gone.filters.where("n_keys > 0").count() == 0
+
+
+def test_filters_grow_with_the_keys(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 20)
+    text = lambda a, b: "\n".join(f"a line that three documents have, number {i}" for i in range(a, b))
+
+    def docs(first, a, b):
+        return spark.createDataFrame([(first + k, text(a, b)) for k in range(3)], "doc_id long, text string")
+
+    index = line_dedup.LineIndex.build(docs(0, 0, 100))
+    assert index.shards == 16
+    small = index.insert(docs(10, 100, 290))  # filters that are full are made again
+    assert small.shards == 16 and small.filters.agg(F.sum("n_keys")).first()[0] == 290
+    large = small.insert(docs(20, 290, 900))
+    assert large.shards == 64 and large.filters.agg(F.sum("n_keys")).first()[0] == 900
+    for state, n in ((small, 290), (large, 900)):
+        held = line_dedup.Filters((state.shards, line_dedup._collected(state.filters)))
+        keys = line_dedup.keys_of(text(0, n).encode(), 20)[2]
+        assert held.maybe(*line_dedup.halves(keys)).all()
+        other = line_dedup.keys_of("\n".join(f"some other line of text, {i}" for i in range(5000)).encode(), 20)[2]
+        assert held.maybe(*line_dedup.halves(other)).mean() < 0.01
+
+
 def test_cuckoo_filter_deletes():
     rng = np.random.default_rng(2)
     h = rng.integers(0, 1 << 63, (2, 3000), dtype=np.uint64)
-    made = line_dedup.CuckooFilter(1000)  # far too small, so that the stash is used
-    made.insert(*h)
-    made = line_dedup.CuckooFilter.from_bytes(made.to_bytes())
+    assert not line_dedup.CuckooFilter(1000).insert(*h)  # too small
+    made = line_dedup.CuckooFilter.from_bytes(line_dedup.CuckooFilter.of(*h).to_bytes())
     assert made.contains(*h).all()
     made.delete(h[0, :2900], h[1, :2900])
     assert made.contains(h[0, 2900:], h[1, 2900:]).all() and made.contains(h[0, :2900], h[1, :2900]).mean() < 0.2
+    full = line_dedup.CuckooFilter(3000)
+    n = int(full.buckets * 4 * 0.9)
+    more = rng.integers(0, 1 << 63, (2, n), dtype=np.uint64)
+    assert full.insert(*more) and full.contains(*more).all()
 
 
 def jump(key, n):

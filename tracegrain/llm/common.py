@@ -39,7 +39,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tracegrain-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read.staged_at = path
+    return read
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete what stage() wrote for df, which nothing reads any more."""
+    _remove(df.sparkSession, df.staged_at)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -69,10 +76,17 @@ def values(column: pa.Array) -> Iterator[bytes | None]:
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text"):
-    """Tells apart rows that share an id but not a text."""
+    """Tells apart rows that share an id but not a text; a row is known by its id and this."""
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
+def with_facts(rows: DataFrame, facts: DataFrame, how: str) -> DataFrame:
+    """Join rows with facts about them (both with doc_id and row_key) by both, null ids too; facts add their other columns."""
+    named = facts.withColumnRenamed("doc_id", "__doc_id").withColumnRenamed("row_key", "__row_key")
+    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("row_key") == F.col("__row_key"))
+    return rows.join(named, same, how).drop("__doc_id", "__row_key")
+
+
 def attach(docs: DataFrame, facts: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Join whole documents with facts about them.
 

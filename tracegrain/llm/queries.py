@@ -81,21 +81,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Each row is a document of its own, as in the operator; a null doc_id ranks below all others.
 OP2_SQL = f"""
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
-  FROM documents),
+WITH docs AS (SELECT row_number() OVER () AS row_no, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT row_no, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM docs),
 keyed AS (
   SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS k FROM lines),
 shared AS (
   SELECT k, max(doc_id) AS last_doc FROM keyed WHERE length(k) >= 20
-  GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+  GROUP BY k HAVING count(DISTINCT row_no) >= 3),
 judged AS (
-  SELECT keyed.*, coalesce(keyed.doc_id <> shared.last_doc, false) AS gone FROM keyed LEFT JOIN shared USING (k))
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  SELECT keyed.*, last_doc IS NOT NULL AND keyed.doc_id IS DISTINCT FROM last_doc AS gone FROM keyed LEFT JOIN shared USING (k))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM judged GROUP BY doc_id
+FROM judged GROUP BY row_no
 """
 
 #: The table of the CRC is made from its polynomial; the walk is that of the generator in sharding.MULTIPLIER.

@@ -474,6 +474,106 @@ def test_wrappers_named_after_boilerplate_stay(names):
     assert text in html_extract.extract(f"<body>{halves}{halves}</body>")
 
 
+SENTENCE = "A sentence, with commas, that goes on for a while, and then ends."
+
+
+@pytest.mark.parametrize("names", ["class='layout no-sidebar'", "class='page header-fixed'", "class='site menu-open'", "class='market-share'", "class='sidebar'"])
+@pytest.mark.parametrize("tag", ["div", "form"])
+def test_ancestors_of_prose_stay(names, tag):
+    side = f"<div class=related-posts><p>{SENTENCE}</p></div><div class=discussion><p>{SENTENCE}</p></div><form><p>{SENTENCE}</p></form>"
+    for container in ("article", "main"):
+        page = f"<body><{tag} {names}><{container}><h1>Head</h1><p>{SENTENCE}</p><p>{SENTENCE}</p><p>{SENTENCE}</p>{side}</{container}></{tag}></body>"
+        assert html_extract.extract(page) == f"Head {SENTENCE} {SENTENCE} {SENTENCE}"
+
+
+@pytest.mark.parametrize(("name", "said"), [("cookie-notice", True), ("siteFooter", True), ("ads_300x250", True), ("comments-area", True), ("tags-explained", False), ("notice-board-history", False), ("ad-free", False), ("has-comments", False), ("entry-header", False), ("shared", False)])
+def test_names_say_boilerplate_as_a_whole(name, said):
+    page = f"<body><article><p>{SENTENCE}</p><p>{SENTENCE}</p><div class='{name}'><p>{SENTENCE}</p></div></article></body>"
+    assert html_extract.extract(page).count(SENTENCE) == (2 if said else 3)
+
+
+@pytest.mark.parametrize("page", ["<i>" * 20000 + "<h1>a</h1>" * 20000, "<b>" * 20000 + "</x>" * 20000, "<div>" * 20000 + f"<p>{SENTENCE}" * 5000, "<b><div>" + "<i>" * 20000 + "</b>" * 20000, "<ul>" + "<li><i>" * 20000])
+def test_deep_and_unclosed_markup_is_read_in_time(page):
+    import time
+
+    began = time.time()
+    text = html_extract.extract(page)
+    assert time.time() - began < 20  # a walk up the whole page for each element takes minutes
+    assert text.count(SENTENCE) == page.count(SENTENCE)
+
+
+def plain_points(page):
+    """(name, points) of the elements that a tree of well-formed markup gives points to, by the definition."""
+    from html.parser import HTMLParser
+
+    nodes = [{"name": "#root", "up": None, "parts": []}]
+
+    class Tree(HTMLParser):
+        at = 0
+
+        def handle_starttag(self, tag, attrs):
+            nodes.append({"name": tag, "up": self.at, "parts": []})
+            nodes[self.at]["parts"].append(len(nodes) - 1)
+            self.at = len(nodes) - 1
+
+        def handle_endtag(self, tag):
+            self.at = nodes[self.at]["up"]
+
+        def handle_data(self, data):
+            nodes[self.at]["parts"].append(data)
+
+    Tree().feed(page)
+
+    def prose(i, inside=False):
+        """Length of the text of an element, and of that in links."""
+        inside = inside or nodes[i]["name"] == "a"
+        both = [(len(p.strip()), len(p.strip()) if inside else 0) if isinstance(p, str) else prose(p, inside) for p in nodes[i]["parts"]]
+        return sum(b[0] for b in both), sum(b[1] for b in both)
+
+    def own(i):
+        """Text outside the blocks within."""
+        return "".join(p if isinstance(p, str) else own(p) if nodes[p]["name"] in ("a", "b", "i") else "" for p in nodes[i]["parts"])
+
+    start = {"article": 25, "main": 25, "div": 5, "section": 5, "blockquote": 3, "ul": -3, "#root": -50, "html": -50, "body": -5}
+    points = {}
+    for i, node in enumerate(nodes):
+        text = own(i)
+        if node["name"] in ("p", "li", "h2", "div", "section", "article", "main", "blockquote") and len(text.strip()) >= 25:
+            worth, up = 1 + text.count(",") + min(len(text) / 100, 3), node["up"]
+            for share in (1, 1 / 2, 1 / 6, 1 / 9, 1 / 12):
+                if up is not None:
+                    points[up] = points.get(up, start.get(nodes[up]["name"], 0)) + worth * share
+                    up = nodes[up]["up"]
+    density = {i: prose(i)[1] / prose(i)[0] if prose(i)[0] else 0 for i in points}
+    return sorted((nodes[i]["name"], round(p * (1 - density[i]), 9)) for i, p in points.items())
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_points_are_those_of_the_definition(seed):
+    import random
+
+    rng = random.Random(seed)
+    words = "one, two three four, five six seven eight nine ten".split()
+
+    def text(n):
+        return " ".join(rng.choice(words) for _ in range(rng.randrange(n)))
+
+    def inline(depth):
+        return "".join(rng.choice([text(12), f" <b>{text(6)}</b> ", f" <a>{text(8)}</a> ", f" <i>{text(3)}<a>{text(3)}</a></i> "]) for _ in range(rng.randrange(1, 5)))
+
+    def block(depth):
+        name = rng.choice(["p", "p", "p", "div", "section", "article", "blockquote", "ul", "h2"] if depth < 6 else ["p"])
+        if name in ("p", "h2"):
+            return f"<{name}>{inline(depth)}</{name}>"
+        if name == "ul":
+            return "<ul>" + "".join(f"<li>{inline(depth)}</li>" for _ in range(rng.randrange(1, 4))) + "</ul>"
+        return f"<{name}>" + (text(10) if name != "blockquote" else "") + "".join(block(depth + 1) for _ in range(rng.randrange(1, 5))) + f"</{name}>"
+
+    page = "<html><body>" + "".join(block(0) for _ in range(12)) + "</body></html>"
+    got = sorted((n.name, round(n.points, 9)) for n in html_extract.score(html_extract.parse(page)))
+    assert got == plain_points(page) and got
+
+
 def test_long_comments_do_not_displace_an_article():
     text = "A sentence, with commas, that goes on for a while, and then ends."
     comments = f"<section id=comments>{'<p>A reader comment, with commas, that is rather long, yes.</p>' * 20}</section>"

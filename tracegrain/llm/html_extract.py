@@ -7,16 +7,22 @@ element's points are discounted by the share of its text that is inside links.
 The element with the most points is the container; siblings with enough points
 of their own, and paragraphs of prose beside it, are kept too.
 
-Elements whose class, id or role names boilerplate are dropped, but not one that
-holds most of the page's paragraphs: that is a wrapper named after what it holds.
-It is dropped all the same where an article, a heading of the page or the like
-stands outside with paragraphs, so long comments don't displace a short article.
-If nothing is found, the page is read again without regard to such names.
+Names only lower a score or confirm what the scores say.  A class, id or role
+names boilerplate if one of its names says so as a whole: "cookie-notice" and
+"site-footer" do, "no-sidebar", "menu-open" or "market-share" do not.  An element
+with such a name, and a form, is dropped if it holds no more than half of the
+page's prose.  One that holds more is the wrapper of what it holds: it stays, with
+fewer points.  It goes all the same where an article, a heading of the page or the
+like stands outside with paragraphs, so long comments don't displace a short
+article.  If nothing is found, the page is read again without regard to names.
 
 Defined cases: a null or empty page has no text; markup that is never closed is
-closed where its parent ends; a page without a scoring paragraph gives the text
-of its whole body without boilerplate; rows that repeat give the same text;
-other columns are not read; an empty table gives an empty table.
+closed where its parent ends; elements nested deeper than DEEPEST become siblings,
+with their text, so that work grows with the page alone, however long it is; a
+page without a scoring paragraph gives the text of its whole body without
+boilerplate; of containers with equal points the first counts; rows that repeat
+give the same text; other columns are not read, whatever their names; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -41,17 +47,26 @@ BLOCK = frozenset(
 )
 #: Elements that are never part of the main text.
 DROPPED = frozenset(
-    "head script style noscript template nav footer header aside form button select option textarea input label fieldset iframe "
+    "head script style noscript template nav footer header aside button select option textarea input label fieldset iframe "
     "object embed applet svg canvas audio video map dialog menu search noframes noembed title".split()
 )
 #: Words in a class, id or role that mark boilerplate, and those that mark content.
 BOILERPLATE = frozenset(
-    "ad adbox ads adsbygoogle adsense adslot adunit advert advertisement advertising adverts banner breadcrumb breadcrumbs combx comment comments commentlist consent cookie cookies "
-    "copyright cta disqus disclaimer footer gdpr header hidden masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager "
-    "pagination paywall popup promo promoted promotion recommended related remark replies reply respond rss share sharing shoutbox sidebar sidebars skip social "
-    "sponsor sponsored sponsors subscribe subscription taboola tags toolbar topbar widget widgets alert complementary contentinfo".split()
+    "ad adbox ads adsbygoogle adsense adslot adunit advert advertisement advertising adverts alert banner breadcrumb breadcrumbs combx comment comments commentlist "
+    "complementary consent contentinfo cookie cookies copyright cta discussion discussions disqus disclaimer feedback footer gdpr header hidden masthead menu modal nav navbar navigation "
+    "newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended related remark replies reply respond responses rss search share "
+    "sharing shoutbox sidebar sidebars skip social sponsor sponsored sponsors subscribe subscription taboola tags talkback toolbar topbar widget widgets".split()
 )
 CONTENT = frozenset("article body content entry hentry main page post story text blog".split())
+#: Words that stand beside a boilerplate word in a name and leave it one.
+BESIDE = CONTENT | frozenset(
+    "area articles bar block bottom box button buttons center col column container counter footer form global group header icons inline inner item items js left link links list module "
+    "panel posts primary reader readers right row secondary section site stories strip td the top unit user users wp wrap wrapper zone".split()
+)
+#: Names of these with "header" are an article's own heading.
+HEADED = frozenset("article entry story post".split())
+#: Most elements within each other, as browsers have it.
+DEEPEST = 512
 PARAGRAPHS = frozenset("p pre td blockquote li dd h2 h3 h4 h5 h6 div section article main".split())
 SCOPE_ENDS = frozenset("html body table td th caption button object article section main div aside nav header footer form li ul ol dl blockquote fieldset figure".split())
 #: An element that starts closes these, up to the given ancestors.
@@ -73,20 +88,26 @@ _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("boiler", "children", "dropped", "links", "name", "parent", "points", "prose", "weight", "words")
+    __slots__ = ("boiler", "children", "depth", "dropped", "links", "name", "parent", "points", "prose", "words")
 
-    def __init__(self, name: str, parent: Node | None, words: frozenset[str] = frozenset(), dropped: bool = False):
-        self.name, self.parent, self.words, self.dropped = name, parent, words, dropped
-        self.boiler = False
+    def __init__(self, name: str, parent: Node | None, words: frozenset[str] = frozenset(), dropped: bool = False, boiler: bool = False):
+        self.name, self.parent, self.words, self.dropped, self.boiler = name, parent, words, dropped, boiler
+        self.depth = parent.depth + 1 if parent else 0
         self.children: list[Node | str] = []
         self.points: float | None = None
-        self.prose = self.links = self.weight = 0.0
+        self.prose = self.links = 0.0
+
+
+def _is_boilerplate(words: set[str]) -> bool:
+    """Whether the words of one name say boilerplate as a whole."""
+    said = words & BOILERPLATE
+    return bool(said) and words <= BOILERPLATE | BESIDE and not (said == {"header"} and words & HEADED)
 
 
-def _names(attributes: str) -> tuple[frozenset[str], bool]:
-    """The words of class, id and role; whether the element is hidden."""
+def _names(attributes: str) -> tuple[frozenset[str], bool, bool]:
+    """The words of class, id and role; whether a name of them is boilerplate's; whether the element is hidden."""
     words: set[str] = set()
-    hidden = False
+    hidden = boiler = False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden":
@@ -94,8 +115,11 @@ def _names(attributes: str) -> tuple[frozenset[str], bool]:
         elif name == "style":
             hidden = hidden or "display:none" in value.replace(" ", "").lower()
         else:
-            words.update(_WORD.findall(_HUMP.sub(" ", value).lower()))
-    return frozenset(words), hidden
+            for one in value.split():
+                own = {w for w in _WORD.findall(_HUMP.sub(" ", one).lower()) if len(w) > 1}
+                boiler = boiler or _is_boilerplate(own)
+                words |= own
+    return frozenset(words), boiler, hidden
 
 
 def parse(page: str) -> Node:
@@ -120,10 +144,11 @@ def parse(page: str) -> Node:
             at = _end_paragraph(at)
         if name in CLOSES:
             at = _close_open(at, *CLOSES[name])
-        words, hidden = _names(match[3]) if match[3] else (frozenset(), False)
-        boiler = bool(words & BOILERPLATE) and name not in ("html", "body", "article", "main") and not words & {"article", "content", "story", "entry"}
-        node = Node(name, at, words, hidden or name in DROPPED)
-        node.boiler = boiler and not node.dropped
+        words, boiler, hidden = _names(match[3]) if match[3] else (frozenset(), False, False)
+        boiler = name == "form" or boiler and name not in ("html", "body", "article", "main")
+        if at.depth >= DEEPEST:
+            at = at.parent
+        node = Node(name, at, words, hidden or name in DROPPED, boiler)
         at.children.append(node)
         if name in VOID:
             continue
@@ -178,22 +203,26 @@ def _walk(root: Node) -> list[Node]:
 
 
 def _drop_boilerplate(root: Node) -> bool:
-    """Drop the elements named as boilerplate, but for wrappers; whether any were dropped."""
+    """Drop forms and the elements named as boilerplate, but for wrappers; whether any were dropped."""
     nodes = _walk(root)
     named = [n for n in nodes if n.boiler]
     if not named:
         return False
+    own = {n: length for n in nodes if n.name in PARAGRAPHS and (length := len("".join(_inline(n)).strip())) >= 25}
     held: dict[Node, int] = {}  # length of the paragraphs of an element
     for node in reversed(nodes):  # children first
-        own = len("".join(_inline(node)).strip()) if node.name in PARAGRAPHS else 0
-        held[node] = (own if own >= 25 else 0) + sum(held[c] for c in node.children if not isinstance(c, str) and not c.dropped)
+        held[node] = own.get(node, 0) + sum(held[c] for c in node.children if not isinstance(c, str) and not c.dropped)
+    wrappers = [n for n in named if 2 * held[n] > held[root]]
     for node in named:
         node.dropped = True
-    clear = _walk(root)
-    outside = any(len("".join(_inline(n)).strip()) >= 25 for n in clear if n.name in PARAGRAPHS) and any(n.name == "h1" or held[n] and (n.name in ("article", "main") or n.words & CONTENT and n.name not in ("html", "body")) for n in clear)
-    if not outside:
-        for node in named:
-            node.dropped = 2 * held[node] <= held[root]
+    if wrappers:
+        clear = _walk(root)
+        left = {n: 0 for n in clear}
+        for node in reversed(clear):
+            left[node] = own.get(node, 0) + sum(left[c] for c in node.children if not isinstance(c, str) and not c.dropped)
+        headed = left[root] > 0 and any(n.name == "h1" or left[n] and (n.name in ("article", "main") or n.words & CONTENT and n.name not in ("html", "body")) for n in clear)
+        for node in wrappers:
+            node.dropped = headed and node.name != "form"
     return any(n.dropped for n in named)
 
 
@@ -230,8 +259,8 @@ def score(root: Node) -> list[Node]:
 
 
 def _start(node: Node) -> float:
-    base = {"article": 25, "main": 25, "div": 5, "section": 5, "pre": 3, "td": 3, "blockquote": 3, "ul": -3, "ol": -3, "dl": -3, "form": -3, "#root": -50, "html": -50, "body": -5}.get(node.name, 0)
-    return base + (25 if node.words & CONTENT and node.name not in ("html", "body") else 0)
+    base = {"article": 25, "main": 25, "div": 5, "section": 5, "pre": 3, "td": 3, "blockquote": 3, "ul": -3, "ol": -3, "dl": -3, "#root": -50, "html": -50, "body": -5}.get(node.name, 0)
+    return base + (25 if node.words & CONTENT and node.name not in ("html", "body") else 0) - (25 if node.boiler else 0)
 
 
 def _inline(node: Node) -> Iterator[str]:
@@ -297,10 +326,10 @@ def _main(root: Node) -> str:
     best = max(scored, key=lambda n: n.points)
     up = best
     while up.parent is not None:  # an article around the container is the container
-        up = up.parent
         if up.name in ("article", "main") and up.points is not None:
             best = up
             break
+        up = up.parent
     if best.parent is None:
         return " ".join(blocks(best))
     kept = []

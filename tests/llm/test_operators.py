@@ -347,6 +347,30 @@ def test_mixing(spark, odd, empty):
     assert mixing.mix(odd).count() == len(BASE) and mixing.mix(empty).count() == 0
 
 
+def plain_targets(sizes, share=1.5, most=2.0):
+    """Weights 3, 1, 2 in turn; what is above twice a source's size is shared again among those below."""
+    names = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight = {name: (3, 1, 2)[i % 3] for i, name in enumerate(names)}
+    left, target, free = share * sum(sizes.values()), {}, set(names)
+    while free:
+        level = left / sum(weight[x] for x in free)
+        over = {x for x in free if level * weight[x] > most * sizes[x]}
+        if not over:
+            return target | {x: level * weight[x] for x in free}
+        target |= {x: most * sizes[x] for x in over}
+        left -= sum(target[x] for x in over)
+        free -= over
+    return target
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_targets_are_those_of_sharing_again(spark, seed):
+    rng = np.random.default_rng(seed)
+    sizes = {f"s{i}": int(10 ** rng.uniform(0, 5)) for i in range(int(rng.integers(1, 12)))} | {None: int(rng.integers(0, 900))}
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()}
+    assert got == pytest.approx(plain_targets(sizes))
+
+
 def test_flight_keeps_totals():
     import random
 
@@ -357,6 +381,50 @@ def test_flight_keeps_totals():
     assert out.sum() == pytest.approx(p.sum()) and (out * size).sum() == pytest.approx((p * size).sum())
 
 
+@pytest.mark.parametrize("kind", ["equal chances", "mixed", "one large", "equal sizes", "one"])
+def test_documents_are_included_as_often_as_their_chances_say(kind):
+    import random
+
+    rng = np.random.default_rng(2)
+    n = {"one": 1}.get(kind, 14)
+    size = {"one large": np.array([5000] + [3] * 13), "equal sizes": np.full(14, 7)}.get(kind, rng.integers(1, 90, n))
+    p = np.full(n, 0.3) if kind in ("equal chances", "one") else rng.uniform(0.05, 0.95, n)
+    draws = np.array([mixing.settle(p, size, random.Random(i)) for i in range(1500)])
+    assert set(np.unique(draws)) <= {0.0, 1.0}
+    assert np.abs(draws.mean(0) - p).max() < 4.5 * 0.5 / np.sqrt(len(draws))
+    if kind == "mixed":  # and they are balanced: words miss the target by less than a document, drawn alone by much more
+        assert np.abs(draws @ size - p @ size).max() <= size.max()
+        assert np.abs(draws @ size - p @ size).mean() < 0.5 * np.sqrt((p * (1 - p)) @ size**2)
+
+
+def test_small_sources_fly_and_large_documents_are_settled_first():
+    import random
+
+    rng = np.random.default_rng(3)
+    size = np.ceil(rng.lognormal(4, 1.2, 300))  # up to thousands
+    p = np.full(len(size), 0.4)
+    missed = [abs(mixing.settle(p, size, random.Random(i)) @ size - p @ size) for i in range(20)]
+    assert max(missed) <= 20
+    few = np.array([5, 9, 2, 7, 30])
+    draws = {tuple(mixing.settle(np.full(5, 0.5), few, random.Random(i))) for i in range(60)}
+    assert len(draws) > 3
+
+
+def test_mixing_over_seeds_and_of_equal_rows(spark):
+    rows = [(i, "w " * (i % 9 + 1), "a") for i in range(30)] + [(100, "same words here", "b")] * 40 + [(200 + i, "x y", "c") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
+    taken = collections.Counter()
+    for seed in range(12):
+        out = mixing.mix(docs, seed=seed).collect()
+        assert len(out) == len(rows)
+        taken.update({r.doc_id: r.copies for r in out if r.source == "c"})
+        target = {r.source: r.target for r in out}
+        for source, aim in target.items():
+            assert abs(sum(r.size * r.copies for r in out if r.source == source) - aim) <= 9
+    share = target["c"] / 600
+    assert len(set(taken.values())) > 1 and abs(np.mean(list(taken.values())) / 12 - share) < 0.02
+
+
 def test_language_id(spark, odd, empty):
     words = {"en": "the thing is that this was with them ", "de": "und der schöne nicht für über das ", "fr": "être les était où ça qu'une très "}
     rows = [(n * 3 + i, (w * (n % 7 + 1)), lang, "s", 0, "", "", "", "", "") for n in range(80) for i, (lang, w) in enumerate(words.items())]

@@ -5,16 +5,20 @@ and, with inclusion probability r - floor(r), once more.  Which documents these
 are is drawn by the cube method, balanced on two totals of each source: its
 documents and its words.  The flight phase moves the vector of probabilities
 along directions that leave both totals as they are, until a bound stops it;
-with two totals any three fractional documents have such a direction.  It runs
-in blocks of a source; the two or fewer fractional documents of each meet, with
-a few that it keeps back, in blocks of blocks, until one group a source is left.
-The landing phase tries every sample of that group's last 14 documents and takes
-the one whose words, and then documents, come nearest to the target.
+steps one way or the other have chances that keep every probability's mean.  It
+runs in blocks of a source; the two or fewer fractional documents of each meet,
+with a few that it keeps back, in blocks of blocks, until a source's documents fit
+one.  There the flight takes the largest document first and lets all others make
+up for it, so that the last to be settled are small ones.  The landing phase gives
+up the balance of documents, then that of words, for the last two.  So a document
+is included as often as its probability says, and a source's words miss the
+target by less than the last document's.
 
 Defined cases: a null text has no words; a null source is a source of its own,
-ordered last; rows that repeat a document are drawn on their own; sources
-without words have target 0; other columns are not read; an empty table gives an
-empty table.
+ordered last; rows that repeat a document, all of it too, are drawn on their own;
+equal sizes are taken by hash of id and text; sources without words have target 0;
+a very long text is one document of its size; other columns are not read, whatever
+their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,9 +36,9 @@ from pyspark.sql import functions as F
 from . import common
 
 WEIGHTS = (3.0, 1.0, 2.0)
-#: Documents that one task moves at a time, about; levels of blocks before a source's last group.
-BLOCK, LEVELS = 2000, 2
-#: Documents that a block keeps fractional for the landing, which tries every sample of them.
+#: Documents that one task moves at a time, about.
+BLOCK = 2000
+#: Documents that a block keeps fractional for the next group, which they help to balance.
 RESERVE = 12
 
 
@@ -110,21 +114,45 @@ def flight(p: np.ndarray, size: np.ndarray, rng: random.Random) -> np.ndarray:
 
 
 def reserve(n: int) -> np.ndarray:
-    """The ranks, by falling size, of the documents that a block keeps for the landing: evenly spread below the largest."""
+    """The ranks, by falling size, of the documents that a block keeps back: evenly spread below the largest."""
     return np.unique(np.linspace(n // 10, n - 1, min(RESERVE, n)).astype(int)) if n else np.zeros(0, int)
 
 
-def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The fractional probabilities rounded, by the sample of them whose words, and then documents, are nearest."""
-    left = np.flatnonzero((p > 0) & (p < 1))
-    if not len(left):
-        return p
-    samples = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
-    words = np.abs(samples @ size[left] - p[left] @ size[left])
-    docs = np.abs(samples.sum(1) - p[left].sum())
-    out = p.copy()
-    out[left] = samples[np.argmin(words + 0.05 * docs * max(1.0, size[left].mean()))]
-    return out
+def _direction(size: np.ndarray, p: np.ndarray, totals: int) -> np.ndarray:
+    """A move that leaves the first so many of words and documents as they are, and moves the largest document it can.
+
+    It is what the totals leave of that document's own move, weighed by
+    p * (1 - p), so that the others share in it as far as they are from a bound.
+    """
+    weight = p * (1 - p)
+    kept = np.array([size / max(size.max(), 1.0), np.ones(len(size))])[:totals]
+    weighed = kept * weight
+    for k in np.argsort(-size, kind="stable"):
+        own = np.zeros(len(size))
+        own[k] = 1.0
+        if totals:
+            own -= kept.T @ np.linalg.lstsq(weighed @ kept.T, weighed[:, k], rcond=None)[0]
+        move = weight * own
+        if np.abs(kept @ move).max(initial=0.0) < 1e-9 * np.abs(move).max() and abs(move[k]) > 1e-9 * weight[k]:
+            return np.where(np.abs(move) < 1e-12 * np.abs(move).max(), 0.0, move)
+    return np.zeros(len(size))
+
+
+def settle(p: np.ndarray, size: np.ndarray, rng: random.Random) -> np.ndarray:
+    """All probabilities at 0 or 1, each with its mean kept: flight and landing of one group."""
+    p, size = p.astype(float), size.astype(float)
+    for totals in (2, 1, 0):
+        while True:
+            left = np.flatnonzero((p > 0) & (p < 1))
+            move = _direction(size[left], p[left], totals) if len(left) > totals else np.zeros(0)
+            if not move.any():
+                break
+            held, move = left[move != 0], move[move != 0]
+            up = np.where(move > 0, (1 - p[held]) / np.abs(move), p[held] / np.abs(move)).min()
+            down = np.where(move > 0, p[held] / np.abs(move), (1 - p[held]) / np.abs(move)).min()
+            now = p[held] + (up if rng.random() < down / (up + down) else -down) * move
+            p[held] = np.where(now < 1e-9, 0.0, np.where(now > 1 - 1e-9, 1.0, now))
+    return p
 
 
 def _seed(*names: object) -> random.Random:
@@ -133,33 +161,39 @@ def _seed(*names: object) -> random.Random:
 
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, row_key, source, size, source_size, target, copies for every row."""
-    sized = common.stage(sizes(docs, id_col, text_col, source_col), "sizes")
+    # rows that are the same in all that counts are numbered, so that they fall into different blocks
+    alike = sizes(docs, id_col, text_col, source_col).groupBy("doc_id", "row_key", "source", "size").agg(F.count("*").alias("times"))
+    sized = common.stage(alike.withColumn("twin", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("times"), "sizes")
     aims = targets(sized, share, most, weights)
     aims = aims.withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     aims = aims.withColumn("base", F.floor("ratio").cast("int")).withColumn("p", F.col("ratio") - F.col("base"))
     aims = common.stage(aims.select(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("none"), "source_size", "n", "target", "base", "p"), "targets")
     named = sized.select(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("none"), "*")
     rows = common.attach(named, aims, ["name", "none"], "inner").drop("name", "none")
-    rows = rows.withColumn("home", F.xxhash64("doc_id", "row_key", F.lit(seed)))
+    rows = rows.withColumn("home", F.xxhash64("doc_id", "row_key", "twin", F.lit(seed))).drop("twin")
 
     fields = "doc_id long, row_key long, source string, size long, source_size long, n long, target double, base int, p double, home long"
 
     def fly(last: bool):
         def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["size", "home", "doc_id", "row_key"], ascending=[False, True, True, True], kind="stable")
-            p, size = pdf["p"].to_numpy(float).copy(), pdf["size"].to_numpy()
-            flying = np.setdiff1d(np.arange(len(p)), reserve(len(p)))
-            p[flying] = flight(p[flying], size[flying], _seed(seed, *key[1:], last, len(p)))
-            return pdf.assign(p=land(p, size.astype(float)) if last else p)[[f.split()[0] for f in fields.split(", ")]]
+            p, size, rng = pdf["p"].to_numpy(float).copy(), pdf["size"].to_numpy(), _seed(seed, *key, last, len(pdf))
+            if last:
+                p = settle(p, size, rng)
+            else:
+                flying = np.setdiff1d(np.arange(len(p)), reserve(len(p)))
+                p[flying] = flight(p[flying], size[flying], rng)
+            return pdf.assign(p=p)[[f.split()[0] for f in fields.split(", ")]]
 
         return run
 
     done, left = rows.where("p = 0"), rows.where("p > 0")
-    per = BLOCK
-    for _ in range(LEVELS):
-        block = F.expr(f"pmod(home, greatest(1L, cast(ceil(n / {per}D) as long)))")
+    most_left = aims.agg(F.max("n")).first()[0] or 0
+    while most_left > BLOCK:
+        block = F.expr(f"pmod(home, greatest(1L, cast(ceil(n / {BLOCK}D) as long)))")
         flown = common.stage(left.groupBy(F.col("source"), block.alias("block")).applyInPandas(fly(False), fields), "flight")
-        done, left = done.unionByName(flown.where("p = 0 or p = 1")), flown.where("p > 0 and p < 1")
-        per *= BLOCK // (RESERVE + 2)
-    landed = left.groupBy(F.col("source"), F.lit(0).alias("block")).applyInPandas(fly(True), fields)
+        done = done.unionByName(flown.where("p = 0 or p = 1"))
+        left = flown.where("p > 0 and p < 1").withColumn("n", F.expr(f"cast(ceil(n / {BLOCK}D) * {RESERVE + 2} as long)"))
+        most_left = -(-most_left // BLOCK) * (RESERVE + 2)
+    landed = left.groupBy("source").applyInPandas(fly(True), fields)
     return done.unionByName(landed).select("doc_id", "row_key", "source", "size", "source_size", "target", (F.col("base") + F.col("p").cast("int")).alias("copies"))

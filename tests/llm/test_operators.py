@@ -648,36 +648,73 @@ def test_long_comments_do_not_displace_an_article():
     assert html_extract.extract(f"<body><article><p>{text}</p></article>{comments}</body>") == text
 
 
-def test_vector_search(spark):
-    rng = np.random.default_rng(8)
-    x = rng.normal(size=(3000, 24)).astype(np.float32)
-    x[50:90] = x[50]  # ties
-    rows = [(i, [float(v) for v in row], "c") for i, row in enumerate(x)]
-    odd = [(5000, None, "c"), (5001, [0.0] * 24, "c"), (5002, [float("nan")] * 24, "c"), (5003, [1.0, None] + [0.5] * 22, "c"), (5004, [1.0] * 3, "c"), (None, [1.0] * 24, "c"), (5006, [float("inf")] * 24, "c"), (60, [float(v) for v in x[60]], "c")]
-    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, rank string")
+def brute_search(ids, x, asked, k):
+    """The best k ids for each of asked (id, vector): by its best rows, without its own."""
+    out = {}
+    for query_id, q in asked:
+        best = out.setdefault(query_id, {})
+        for i, score in zip(ids.tolist(), (x @ q).tolist(), strict=True):
+            if i != query_id:
+                best[i] = max(score, best.get(i, -np.inf))
+    return {q: sorted(best.items(), key=lambda b: (-b[1], b[0]))[:k] for q, best in out.items()}
+
+
+def found_by(rows):
     got = collections.defaultdict(list)
-    for r in vector_search.search(df, df.where("vec_id % 100 = 0 or vec_id = 60 or vec_id > 4999"), 20).collect():
+    for r in rows:
         got[r.query_id].append((r.rank, r.vec_id, r.score))
-    ids = np.array([*range(3000), 60])
-    all_ = np.vstack([x, x[60:61]]).astype(float)
+    return {q: sorted(own) for q, own in got.items()}
+
+
+def test_vector_search(spark, monkeypatch):
+    """With cells and blocks so small that the coarse partition and the codes both leave out most rows."""
+    monkeypatch.setattr(vector_search, "CELL_ROWS", 150)
+    monkeypatch.setattr(vector_search, "RERANK_LEAST", 25)
+    monkeypatch.setattr(vector_search, "BLOCK", 100)
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=(40, 24))[rng.integers(40, size=3000)] + 0.6 * rng.normal(size=(3000, 24))).astype(np.float32)
+    x[50:90] = x[50]  # more copies than are asked for
+    x[120] = 0.0 * x[120] - 0.0
+    rows = [(i, [float(v) for v in row], "c") for i, row in enumerate(x) if i != 120]
+    odd = [(5000, None, "c"), (5001, [0.0] * 24, "c"), (5002, [float("nan")] * 24, "c"), (5003, [1.0, None] + [0.5] * 22, "c"), (5004, [1.0] * 3, "c"), (None, [1.0] * 24, "c"), (5006, [float("inf")] * 24, "c")]
+    again = [(60, [float(v) for v in x[60]], "c"), (61, [float(v) for v in x[9]], "c"), (200, [float(v) for v in x[200]], "c"), (200, [float(v) for v in x[900]], "c")]
+    df = spark.createDataFrame(rows + odd + again, "vec_id long, embedding array<float>, rank string")
+    got = found_by(vector_search.search(df, df.where("vec_id % 100 = 0 or vec_id in (60, 61) or vec_id > 4999"), 20).collect())
+    known = [(i, np.array(v, np.float32).astype(float)) for i, v, _ in rows + again]
+    want = brute_search(np.array([i for i, _ in known]), np.stack([v for _, v in known]), [k for k in known if k[0] % 100 == 0 or k[0] in (60, 61)], 20)
+    assert set(got) == set(want)
     hit = 0
     for q, own in got.items():
-        score = all_ @ all_[q]
-        keep = ids != q
-        order = np.lexsort((ids[keep], -score[keep]))[:20]
-        best = ids[keep][order]
-        own.sort()
-        if q == 60:  # asked twice, as two rows have its id
-            continue
-        assert [k for k, *_ in own] == list(range(1, 21)) and all(abs(s - all_[v] @ all_[q]) < 1e-9 for _, v, s in own)
-        hit += len(set(best.tolist()) & {v for _, v, _ in own})
-    assert set(got) == {*range(0, 3000, 100), 60}
-    assert hit >= 0.95 * 20 * (len(got) - 1)
+        assert [r for r, *_ in own] == list(range(1, 21)) and [(-s, v) for _, v, s in own] == sorted((-s, v) for _, v, s in own)
+        exact = dict(want[q])
+        hit += sum(v in exact and abs(s - exact[v]) < 1e-9 for _, v, s in own)
+    assert hit >= 0.95 * 20 * len(got)
+    assert [v for _, v, _ in got[60]][:18] == [v for v, _ in want[60]][:18]
     few = df.where("vec_id < 5")
     assert vector_search.search(few, few, 20).count() == 20
     assert vector_search.search(df.limit(0), df.limit(0), 20).count() == 0
 
 
+def test_a_vector_that_most_rows_share(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "CELL_ROWS", 100)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(900, 8))
+    x[:600] = x[0]
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)] + [(0, x[0].tolist())] * 30, "vec_id long, embedding array<double>")
+    got = found_by(vector_search.search(df, df.where("vec_id % 20 = 0"), 20).collect())
+    assert set(got) == set(range(0, 900, 20))
+    for q in range(0, 600, 20):
+        assert [v for _, v, _ in got[q]] == [v for v, _ in brute_search(np.arange(900), x, [(q, x[q])], 20)[q]]
+
+
+def test_cells_are_visited_as_the_sample_needs():
+    rng = np.random.default_rng(13)
+    tight = rng.normal(size=(64, 16))[rng.integers(64, size=6000)] + 0.05 * rng.normal(size=(6000, 16))
+    loose = rng.normal(size=(6000, 16))
+    assert vector_search.Cells.fit(tight, 64, 20).visits < 12 < vector_search.Cells.fit(loose, 64, 20).visits
+    assert vector_search.Cells.fit(loose[:3], 64, 20).visits <= 3
+
+
 def test_equal_vectors_take_one_place_in_the_rerank():
     rng = np.random.default_rng(10)
     n, k = 8192, 20
@@ -691,7 +728,7 @@ def test_equal_vectors_take_one_place_in_the_rerank():
     block = vector_search.Block(ids, x, books.pack(books.encode(x)))
     assert len(copies) > block.most
     for query_id in (-1, int(ids[copies].min())):
-        got, scores = block.nearest(query_id, q, books.tables(q), k)
+        got, scores = block.nearest(query_id, q, block.near(books.tables(q)[None])[0], k)
         others = ids != query_id
         exact = (x * q).sum(1)
         best = np.lexsort((ids[others], -exact[others]))[:k]
@@ -704,8 +741,8 @@ def test_rows_tied_at_the_cut_are_all_reranked():
     x = rng.normal(size=(4000, 8))
     books = vector_search.Codebooks.fit(x)
     q = rng.normal(size=8)
-    codes = np.zeros((4000, 2), np.uint8)  # one code for all
-    got, _ = vector_search.Block(np.arange(4000), x, codes).nearest(-1, q, books.tables(q), 20)
+    block = vector_search.Block(np.arange(4000), x, np.zeros((4000, 2), np.uint8))  # one code for all
+    got, _ = block.nearest(-1, q, block.near(books.tables(q)[None])[0], 20)
     assert got.tolist() == np.argsort(-(x * q).sum(1))[:20].tolist()
 
 

@@ -5,23 +5,33 @@ a quantiser gets wrong parallel to a vector changes its inner product with the
 queries that rank it high, so that part of the error counts ETA times the rest,
 both in the choice of codes and in the fit of the codebooks.
 
-Every row is coded.  Rows are cut into blocks, and each block meets each block
-of queries in one task.  There a query's products with all codewords are its
+Every row is coded.  A coarse partition stands in front: each row belongs to the
+cell of its nearest centroid, and a query visits the cells whose centroids have the
+largest product with it.  How many is calibrated on the sample: as few as hold
+RECALL of the sample's own nearest, which lie farther out than those of the whole
+table, so that the table's are found more often rather than less.
+
+In a cell, rows are cut into blocks, and each block meets the queries that visit it
+in tasks of QUERIES at most.  There a query's products with all codewords are its
 tables; two subspaces share a byte, so a block is scanned by lookups in tables of
 256.  Equal vectors of a block are scanned as one, so copies take one place among
 those with the best approximate products; these, and all that tie with the last
 of them, are reranked by exact products of the original vectors in double
 precision.  The best are expanded to the rows that hold them, and a block's best
-k rows go on to be merged.
+k rows go on to be merged.  Of a vector that very many rows share, the k + 1
+smallest ids are enough for any answer, and only these go on to its block.
 
-The codebooks are fitted on a bounded sample, the SAMPLE rows whose hashed vec_id
-is smallest.
+Codebooks, centroids and the number of cells to visit come from a bounded sample,
+the rows whose hashed vec_id is smallest: SAMPLE of them, or PER_CELL for each of
+MOST_CELLS cells at most.
 
 Defined cases: vectors that are null, zero, of another length than most of the
 sample's first, or hold null or non-finite components take no part; a query
-is never its own candidate, whichever rows repeat its id; rows that repeat are
-candidates each; ties go to the smaller vec_id; fewer candidates than k are all
-returned; other columns are not read; an empty table gives an empty table.
+is never its own candidate, whichever rows repeat its id; rows that share an id
+are one candidate, of which the best counts; a query whose id has several vectors
+asks with each, and its best k are given once; ties go to the smaller vec_id;
+fewer candidates than k are all returned; other columns are not read, whatever
+their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,16 +42,23 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 SAMPLE, ETA, CODES = 8192, 4.0, 16
-#: Vectors of a block, about, and queries that meet a block in one task.
+#: Rows of a cell, about, the most cells there are, and the sample's rows for each.
+CELL_ROWS, MOST_CELLS, PER_CELL = 2048, 16_384, 16
+#: Vectors of a block at most, about, and queries that meet a block in one task.
 BLOCK, QUERIES = 8192, 8192
+#: Share of the sample's nearest that the visited cells hold, of so many sampled queries.
+RECALL, PROBES = 0.97, 512
 #: Share of a block that is reranked, and the least number of its rows.
-RERANK_SHARE, RERANK_LEAST = 0.06, 300
+RERANK_SHARE, RERANK_LEAST = 0.06, 150
+#: Queries that a block is scanned for at a time.
+AT_ONCE = 32
 
 
 @dataclass
@@ -120,6 +137,53 @@ class Codebooks:
         return (own[1::2, :, None] + own[0::2, None, :]).reshape(len(own) // 2, 256).astype(np.float32)
 
 
+@dataclass
+class Cells:
+    """The centroids of the coarse partition, and how many of them a query visits."""
+
+    centroids: np.ndarray
+    visits: int
+
+    @classmethod
+    def fit(cls, x: np.ndarray, cells: int, k: int, rounds: int = 8, seed: int = 7) -> Cells:
+        """x: the sample's rows."""
+        rng = np.random.default_rng(seed)
+        cells = max(1, min(cells, len(x)))
+        self = cls(x[rng.choice(len(x), cells, replace=False)].astype(float), cells)
+        for _ in range(rounds if cells > 1 else 0):
+            home = self.home(x)
+            order = np.argsort(home, kind="stable")
+            used, first = np.unique(home[order], return_index=True)
+            self.centroids[used] = np.add.reduceat(x[order], first, axis=0) / np.diff(np.append(first, len(x)))[:, None]
+        self.visits = self._needed(x, k)
+        return self
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """The cell of each row: the nearest centroid's."""
+        half = (self.centroids**2).sum(1) / 2
+        return np.concatenate([(x[i : i + 4096] @ self.centroids.T - half).argmax(1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
+
+    def _needed(self, x: np.ndarray, k: int) -> int:
+        cells, k = len(self.centroids), min(k, len(x) - 1)
+        if cells == 1 or k < 1:
+            return cells
+        home = self.home(x)
+        places = np.zeros(cells, np.int64)
+        for i in range(min(PROBES, len(x))):
+            product = x @ x[i]
+            product[i] = -np.inf
+            near = np.argpartition(product, len(x) - k)[len(x) - k :]
+            order = np.argsort(-(self.centroids @ x[i]), kind="stable")
+            rank = np.empty(cells, np.int64)
+            rank[order] = np.arange(cells)
+            places += np.bincount(rank[home[near]], minlength=cells)
+        return int(np.searchsorted(np.cumsum(places), RECALL * places.sum())) + 1
+
+    def visited(self, q: np.ndarray) -> np.ndarray:
+        """The cells that each query visits, a row a query."""
+        return np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, : self.visits]
+
+
 class Block:
     """Rows of which equal vectors are scanned as one."""
 
@@ -136,28 +200,44 @@ class Block:
         self.known, self.group = ids[by_id], group[by_id]
         self.most = max(RERANK_LEAST, int(RERANK_SHARE * len(ids)))
 
-    def nearest(self, query_id: int, q: np.ndarray, tables: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """vec_id and product of the best k rows of another id."""
-        near = np.zeros(len(self.count), np.float32)
-        for table, code in zip(tables, self.codes, strict=True):
-            near += table[code]
+    def near(self, tables: np.ndarray) -> np.ndarray:
+        """Approximate products: a row a query of tables (queries, bytes, 256), a column a vector."""
+        near = np.zeros((len(tables), len(self.count)), np.float32)
+        for j, code in enumerate(self.codes):
+            near += np.take(tables[:, j], code, axis=1)
+        return near
+
+    def nearest(self, query_id: int, q: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """vec_id and product of the best k ids other than the query's; near is changed."""
         held = self.group[slice(*np.searchsorted(self.known, [query_id, query_id + 1]))]
         own, times = np.unique(held, return_counts=True)
         near[own[times == self.count[own]]] = -np.inf  # vectors of the query's id alone
         most = min(len(near), max(self.most, k))
         at = np.flatnonzero((near >= np.partition(near, len(near) - most)[len(near) - most]) & (near > -np.inf))
         exact = (self.x[at] * q).sum(1)  # numpy's pairwise sum, the same wherever a row stands
-        if len(at) > k:
-            best = exact >= np.partition(exact, len(at) - k)[len(at) - k]
-            at, exact = at[best], exact[best]
-        take = np.minimum(self.count[at], k + len(held))
+        order = np.argsort(-exact, kind="stable")
+        n = k
+        while True:
+            best = at[order[:n]]
+            if n < len(order):  # with all that tie with the last
+                best = at[exact >= exact[order[n - 1]]]
+            ids, scores = self._expanded(query_id, best, q, k + len(held))
+            if len(ids) >= k or n >= len(order):
+                return ids[:k], scores[:k]
+            n *= 4  # ids that stand in several vectors
+
+    def _expanded(self, query_id: int, at: np.ndarray, q: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of vectors, best first, each id once."""
+        take = np.minimum(self.count[at], most)
         end = np.cumsum(take)
         rows = np.arange(end[-1] if len(end) else 0) + np.repeat(self.start[at] - (end - take), take)
-        ids, scores = self.ids[rows], np.repeat(exact, take)
+        ids, scores = self.ids[rows], np.repeat((self.x[at] * q).sum(1), take)
         other = ids != query_id
         ids, scores = ids[other], scores[other]
-        top = np.lexsort((ids, -scores))[:k]
-        return ids[top], scores[top]
+        top = np.lexsort((ids, -scores))
+        ids, scores = ids[top], scores[top]
+        first = np.sort(np.unique(ids, return_index=True)[1])
+        return ids[first], scores[first]
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -171,48 +251,77 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, sample: int = SAMPLE,
     """query_id, rank, vec_id, score: each query's k largest inner products among the vectors of another id."""
     spark = vectors.sparkSession
     rows, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
-    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
+    cells = min(MOST_CELLS, -(-rows.count() // CELL_ROWS))
+    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(sample, PER_CELL * cells)).toArrow()
     schema = "query_id long, rank int, vec_id long, score double"
     if not chosen.num_rows:
         return spark.createDataFrame([], schema)
-    lengths = chosen.column(1).combine_chunks().value_lengths().to_numpy()
+    held = chosen.column(1).combine_chunks()
+    lengths = held.value_lengths().to_numpy()
     dim = int(np.bincount(lengths).argmax())
-    train = np.array([v for v in chosen.column(1).to_pylist() if len(v) == dim])
-    books = spark.sparkContext.broadcast(Codebooks.fit(train))
+    train = held.filter(pa.array(lengths == dim)).flatten().to_numpy().reshape(-1, dim)
+    index = spark.sparkContext.broadcast((Codebooks.fit(train[:sample]), Cells.fit(train, cells, k)))
     rows, asked = rows.where(F.size("vector") == dim), asked.where(F.size("vector") == dim)
 
+    def matrix(column: pa.Array) -> np.ndarray:
+        return column.flatten().to_numpy().reshape(-1, dim) + 0.0  # without negative zeros, equal vectors have equal bytes
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books, coarse = index.value
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy().reshape(-1, dim)
-            packed = books.value.pack(books.value.encode(x))
-            codes = pa.array([c.tobytes() for c in packed], pa.binary())
-            raw = pa.array([v.tobytes() for v in x], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), raw, codes], ["vec_id", "raw", "codes"])
-
-    coded = common.stage(rows.mapInArrow(encode, "vec_id long, raw binary, codes binary"), "codes")
-    n, n_asked = coded.count(), asked.count()
-    blocks, sets = max(16, -(-n // BLOCK)), max(1, -(-n_asked // QUERIES))
-    # a block of vectors and a set of queries meet by their two numbers; queries are the few
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")
-    set_ = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(sets)).cast("int").alias("set")
-    left = coded.select("vec_id", "raw", "codes", block, F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("set"))
-    right = asked.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), set_, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+            x, ids = matrix(batch.column(1)), batch.column(0).to_numpy()
+            raw = [v.tobytes() for v in x]
+            first = {pair: i for i, pair in reversed(list(enumerate(zip(ids.tolist(), raw, strict=True))))}
+            kept = np.sort(np.fromiter(first.values(), np.int64, len(first)))  # rows that repeat both are one
+            x, ids, raw = x[kept], ids[kept], [raw[i] for i in kept]
+            codes = [c.tobytes() for c in books.pack(books.encode(x))]
+            mark = np.fromiter((xxhash.xxh64_intdigest(v) for v in raw), np.uint64, len(raw)).view(np.int64)
+            columns = [pa.array(ids), pa.array(mark), pa.array(coarse.home(x).astype(np.int32)), pa.array(raw, pa.binary()), pa.array(codes, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["vec_id", "mark", "cell", "raw", "codes"])
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q = matrix(batch.column(1))
+            visited = pa.array(list(index.value[1].visited(q).astype(np.int32)), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in q], pa.binary()), visited], ["query_id", "query", "cells"])
+
+    coded = common.stage(rows.mapInArrow(encode, "vec_id long, mark long, cell int, raw binary, codes binary"), "codes")
+    asking = common.stage(asked.mapInArrow(route, "query_id long, query binary, cells array<int>"), "routes")
+    hot = common.stage(coded.groupBy("mark").count().where(F.col("count") > k + 1).select("mark"), "hot-vectors")
+    if hot.limit(1).count():
+        place = F.dense_rank().over(Window.partitionBy("mark", "raw").orderBy("vec_id"))
+        few = common.attach(coded, hot, ["mark"], "left_semi").withColumn("place", place).where(F.col("place") <= k + 1).drop("place")
+        coded = common.stage(common.attach(coded, hot, ["mark"], "left_anti").unionByName(few), "codes")
+    visits = asking.select("query_id", "query", F.explode("cells").alias("cell"))
+    # MOST_CELLS rows at most
+    blocks = coded.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sets = visits.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("sets"))
+    plan = F.broadcast(common.stage(blocks.join(sets, "cell"), "cells"))
+    # a block of vectors and a set of queries meet by their two numbers
+    left = coded.join(plan, "cell").select("cell", F.pmod("mark", "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("sets") - 1)).alias("set"), "vec_id", "raw", "codes")
+    right = visits.join(plan, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query_id"), F.col("sets")).cast("int").alias("set"), "query_id", "query")
 
     def scan(data: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        if not len(data) or not len(asking):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        x = np.frombuffer(b"".join(data["raw"]), float).reshape(-1, dim)
-        codes = np.frombuffer(b"".join(data["codes"]), np.uint8).reshape(len(data), -1)
-        held = Block(data["vec_id"].to_numpy(), x, codes)
-        found = ([], [], [])
-        for query_id, query in zip(asking["query_id"], asking["query"], strict=True):
-            q = np.asarray(query, float)
-            ids, scores = held.nearest(query_id, q, books.value.tables(q), k)
-            found[0].append(np.full(len(ids), query_id))
-            found[1].append(ids)
-            found[2].append(scores)
-        return pd.DataFrame({"query_id": np.concatenate(found[0]), "vec_id": np.concatenate(found[1]), "score": np.concatenate(found[2])})
-
-    met = left.groupBy("block", "set").cogroup(right.groupBy("block", "set")).applyInPandas(scan, "query_id long, vec_id long, score double")
+        found: tuple[list, list, list] = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)])
+        if len(data) and len(asking):
+            x = np.frombuffer(b"".join(data["raw"]), float).reshape(-1, dim)
+            codes = np.frombuffer(b"".join(data["codes"]), np.uint8).reshape(len(data), -1)
+            held, books = Block(data["vec_id"].to_numpy(), x, codes), index.value[0]
+            by_query: dict[bytes, list[int]] = {}
+            for query_id, query in zip(asking["query_id"].tolist(), asking["query"], strict=True):
+                by_query.setdefault(bytes(query), []).append(query_id)
+            distinct = list(by_query)
+            for i in range(0, len(distinct), AT_ONCE):
+                some = [np.frombuffer(q, float) for q in distinct[i : i + AT_ONCE]]
+                for q, raw, near in zip(some, distinct[i:], held.near(np.stack([books.tables(q) for q in some])), strict=False):
+                    for query_id in by_query[raw]:
+                        ids, scores = held.nearest(query_id, q, near.copy(), k)
+                        for out, own in zip(found, (np.full(len(ids), query_id), ids, scores), strict=True):
+                            out.append(own)
+        return pd.DataFrame({name: np.concatenate(out) for name, out in zip(("query_id", "vec_id", "score"), found, strict=True)})
+
+    keys = ["cell", "block", "set"]
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scan, "query_id long, vec_id long, score double")
+    best = met.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -11,14 +11,15 @@ largest product with it.  How many is calibrated on the sample: as few as hold
 RECALL of the sample's own nearest, which lie farther out than those of the whole
 table, so that the table's are found more often rather than less.
 
-In a cell, rows are cut into blocks, and each block meets the queries that visit it
-in tasks of QUERIES at most.  There a query's products with all codewords are its
-tables; two subspaces share a byte, so a block is scanned by lookups in tables of
-256.  Equal vectors of a block are scanned as one, so copies take one place among
+The cells are dealt to a few chunks, and a task has a chunk and QUERIES queries at
+most.  It reads its queries, then its cells in blocks, one after the other, and
+keeps the best k of each query, so that what leaves the tasks grows with the
+queries alone and memory with neither.  A query's products with all codewords are
+its tables; two subspaces share a byte, so a block is scanned by lookups in tables
+of 256.  Equal vectors of a block are scanned as one, so copies take one place among
 those with the best approximate products; these, and all that tie with the last
 of them, are reranked by exact products of the original vectors in double
-precision.  The best are expanded to the rows that hold them, and a block's best
-k rows go on to be merged.  Of a vector that very many rows share, the k + 1
+precision, and the best are expanded to the rows that hold them.  Of a vector that very many rows share, the k + 1
 smallest ids are enough for any answer, and only these go on to its block.
 
 Codebooks, centroids and the number of cells to visit come from a bounded sample,
@@ -40,7 +41,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -51,8 +51,10 @@ from . import common
 SAMPLE, ETA, CODES = 8192, 4.0, 16
 #: Rows of a cell, about, the most cells there are, and the sample's rows for each.
 CELL_ROWS, MOST_CELLS, PER_CELL = 2048, 16_384, 16
-#: Vectors of a block at most, about, and queries that meet a block in one task.
-BLOCK, QUERIES = 8192, 8192
+#: Vectors of a block at most, about, and queries of a task.
+BLOCK, QUERIES = 8192, 16_384
+#: Chunks of cells, and best rows that leave the tasks while there may be more chunks for few queries.
+CHUNKS, LEAVING = 16, 1 << 19
 #: Share of the sample's nearest that the visited cells hold, of so many sampled queries.
 RECALL, PROBES = 0.97, 512
 #: Share of a block that is reranked, and the least number of its rows.
@@ -240,6 +242,58 @@ class Block:
         return ids[first], scores[first]
 
 
+class Asking:
+    """The queries of a task and the best k that each has found."""
+
+    def __init__(self, k: int, dim: int):
+        self.k, self.dim = k, dim
+        self.ids: list[int] = []
+        self.cells: list[np.ndarray] = []
+        self.vector: list[int] = []  # queries with equal vectors share their tables
+        self.known: dict[bytes, int] = {}
+        self.best: list[tuple[np.ndarray, np.ndarray] | None] = []
+        self.visiting: dict[int, np.ndarray] | None = None
+
+    def add(self, query_id: int, raw: bytes, cells: np.ndarray) -> None:
+        self.ids.append(query_id)
+        self.cells.append(cells)
+        self.vector.append(self.known.setdefault(raw, len(self.known)))
+        self.best.append(None)
+
+    def ask(self, cell: int, block: Block, books: Codebooks) -> None:
+        """Let the queries that visit a cell scan a block of it."""
+        if self.visiting is None:
+            self.q = np.frombuffer(b"".join(self.known), float).reshape(-1, self.dim)
+            every, owner = np.concatenate(self.cells), np.repeat(np.arange(len(self.ids)), [len(c) for c in self.cells])
+            order = np.lexsort((np.asarray(self.vector)[owner], every))
+            cuts = np.flatnonzero(np.diff(every[order])) + 1
+            self.visiting = {int(every[part[0]]): owner[part] for part in np.split(order, cuts)}
+        rows = self.visiting.get(cell, ())
+        vectors = [self.vector[r] for r in rows]
+        starts = [i for i, v in enumerate(vectors) if i == 0 or v != vectors[i - 1]]
+        for i in range(0, len(starts), AT_ONCE):
+            some = starts[i : i + AT_ONCE]
+            near = block.near(np.stack([books.tables(self.q[vectors[a]]) for a in some]))
+            for j, (a, b) in enumerate(zip(some, [*starts[i + 1 : i + len(some)], starts[i + len(some)] if i + len(some) < len(starts) else len(rows)], strict=True)):
+                for r in rows[a:b]:
+                    self._merge(r, *block.nearest(self.ids[r], self.q[vectors[a]], near[j].copy() if b - a > 1 else near[j], self.k))
+
+    def _merge(self, r: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        held = self.best[r]
+        if held is not None:
+            ids, scores = np.concatenate([held[0], ids]), np.concatenate([held[1], scores])
+            top = np.lexsort((ids, -scores))
+            ids, scores = ids[top], scores[top]
+            first = np.sort(np.unique(ids, return_index=True)[1])[: self.k]
+            ids, scores = ids[first], scores[first]
+        self.best[r] = ids, scores
+
+    def answer(self) -> pa.RecordBatch:
+        done = [(i, *b) for i, b in zip(self.ids, self.best, strict=True) if b is not None]
+        columns = [np.repeat([i for i, *_ in done], [len(x) for _, x, _ in done]).astype(np.int64), *[np.concatenate([np.zeros(0, t), *[d[n] for d in done]]) for n, t in ((1, np.int64), (2, float))]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
+
+
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, vector of the rows that take part."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector")).where("vec_id is not null and size(vector) > 0")
@@ -292,36 +346,59 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, sample: int = SAMPLE,
         place = F.dense_rank().over(Window.partitionBy("mark", "raw").orderBy("vec_id"))
         few = common.attach(coded, hot, ["mark"], "left_semi").withColumn("place", place).where(F.col("place") <= k + 1).drop("place")
         coded = common.stage(common.attach(coded, hot, ["mark"], "left_anti").unionByName(few), "codes")
-    visits = asking.select("query_id", "query", F.explode("cells").alias("cell"))
-    # MOST_CELLS rows at most
-    blocks = coded.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    sets = visits.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("sets"))
-    plan = F.broadcast(common.stage(blocks.join(sets, "cell"), "cells"))
-    # a block of vectors and a set of queries meet by their two numbers
-    left = coded.join(plan, "cell").select("cell", F.pmod("mark", "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("sets") - 1)).alias("set"), "vec_id", "raw", "codes")
-    right = visits.join(plan, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query_id"), F.col("sets")).cast("int").alias("set"), "query_id", "query")
-
-    def scan(data: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        found: tuple[list, list, list] = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)])
-        if len(data) and len(asking):
-            x = np.frombuffer(b"".join(data["raw"]), float).reshape(-1, dim)
-            codes = np.frombuffer(b"".join(data["codes"]), np.uint8).reshape(len(data), -1)
-            held, books = Block(data["vec_id"].to_numpy(), x, codes), index.value[0]
-            by_query: dict[bytes, list[int]] = {}
-            for query_id, query in zip(asking["query_id"].tolist(), asking["query"], strict=True):
-                by_query.setdefault(bytes(query), []).append(query_id)
-            distinct = list(by_query)
-            for i in range(0, len(distinct), AT_ONCE):
-                some = [np.frombuffer(q, float) for q in distinct[i : i + AT_ONCE]]
-                for q, raw, near in zip(some, distinct[i:], held.near(np.stack([books.tables(q) for q in some])), strict=False):
-                    for query_id in by_query[raw]:
-                        ids, scores = held.nearest(query_id, q, near.copy(), k)
-                        for out, own in zip(found, (np.full(len(ids), query_id), ids, scores), strict=True):
-                            out.append(own)
-        return pd.DataFrame({name: np.concatenate(out) for name, out in zip(("query_id", "vec_id", "score"), found, strict=True)})
-
-    keys = ["cell", "block", "set"]
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scan, "query_id long, vec_id long, score double")
-    best = met.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    counts = {r.cell: r["count"] for r in coded.groupBy("cell").count().collect()}  # MOST_CELLS at most
+    n_asked = asking.count()
+    sets = max(1, -(-n_asked // QUERIES))
+    chunks = max(CHUNKS, min(common.parallelism(spark), LEAVING // (k * n_asked + 1)))
+    load, dealt = np.zeros(chunks, np.int64), []
+    for cell, n in sorted(counts.items(), key=lambda c: (-c[1], c[0])):  # the largest first, each to the chunk with the least
+        dealt.append((cell, int(load.argmin()), -(-n // BLOCK)))
+        load[load.argmin()] += n
+    plan = F.broadcast(spark.createDataFrame(dealt, "cell int, chunk int, blocks int"))
+    data = coded.join(plan, "cell").select("chunk", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("set"), F.lit(1).alias("kind"), "cell", F.pmod("mark", "blocks").cast("int").alias("block"), F.col("vec_id").alias("id"), "raw", "codes", F.lit(None).cast("array<int>").alias("cells"))
+    asks = asking.select(F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.pmod(F.xxhash64("query_id"), F.lit(sets)).cast("int").alias("set"), F.lit(0).alias("kind"), F.lit(0).alias("cell"), F.lit(0).alias("block"), F.col("query_id").alias("id"), F.col("query").alias("raw"), F.lit(None).cast("binary").alias("codes"), "cells")
+    # of a chunk and a set, the queries come first, then the chunk's blocks
+    met = asks.unionByName(data).repartition("chunk", "set").sortWithinPartitions("chunk", "set", "kind", "cell", "block")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books = index.value[0]
+        task = block = None  # (chunk, set) and (cell, block) that are being read
+        held: list[pa.RecordBatch] = []
+        asking = Asking(k, dim)
+
+        def settle() -> None:
+            if held and asking.ids:
+                ids = np.concatenate([b.column(5).to_numpy() for b in held])
+                x = np.frombuffer(b"".join(v for b in held for v in b.column(6).to_pylist()), float).reshape(-1, dim)
+                codes = np.frombuffer(b"".join(v for b in held for v in b.column(7).to_pylist()), np.uint8).reshape(len(ids), -1)
+                asking.ask(block[0], Block(ids, x, codes), books)
+            held.clear()
+
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy() for i in range(5)], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                chunk, set_, kind, cell, part = keys[a].tolist()
+                if (chunk, set_) != task:
+                    settle()
+                    if asking.ids:
+                        yield asking.answer()
+                    task, block, asking = (chunk, set_), None, Asking(k, dim)
+                own = batch.slice(a, b - a)
+                if kind == 0:
+                    for row in zip(own.column(5).to_pylist(), own.column(6).to_pylist(), own.column(8), strict=True):
+                        asking.add(row[0], row[1], np.asarray(row[2].values))
+                    continue
+                if (cell, part) != block:
+                    settle()
+                    block = cell, part
+                held.append(own)
+        settle()
+        if asking.ids:
+            yield asking.answer()
+
+    best = met.mapInArrow(scan, "query_id long, vec_id long, score double").repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

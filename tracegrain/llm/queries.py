@@ -114,7 +114,7 @@ walked AS (
     {'key': (CASE WHEN coalesce(doc_id, 0) < 0 THEN coalesce(doc_id, 0)::HUGEINT + 18446744073709551616 ELSE coalesce(doc_id, 0)::HUGEINT END)::UHUGEINT, 'j': 0::BIGINT, 'n40': 0::BIGINT, 'n41': 0::BIGINT}) AS w
   FROM checked)
 SELECT doc_id, size, text_crc32, 'key' AS law, w.n40::INTEGER AS shard,
-       row_number() OVER (PARTITION BY w.n40 ORDER BY substr(md5(coalesce(doc_id, 0)::VARCHAR), 1, 2), doc_id, text_crc32, size) - 1 AS slot,
+       row_number() OVER (PARTITION BY w.n40 ORDER BY md5(coalesce(doc_id, 0) || '|' || text_crc32 || '|' || size), doc_id, text_crc32, size) - 1 AS slot,
        CASE WHEN w.j > 40 THEN w.n41 END::INTEGER AS grown_shard
 FROM walked
 """

@@ -4,9 +4,10 @@ A key's shard follows from the key and the number of shards alone.  Going from
 n to n+1 shards moves about one row in n+1, and only into shard n.
 
 Defined cases: a null key counts as key 0; a null text has no bytes and the CRC
-of the empty text; rows that repeat a key share its shard and have slots of
-their own; other columns of the input are not read; an empty table gives an
-empty table.
+of the empty text, a very long one is read once, as a whole; rows that repeat a key
+share its shard and have slots of their own; slots follow the MD5 of id, CRC and
+size, rows that tie in these are the same; other columns of the input are not read,
+whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Parts into which a shard is cut to number its rows, so that no task sorts a whole shard.
-PARTS = 256
+from . import common
+
+#: Rows of the parts into which a shard is cut to number its rows, about, so that no task sorts a whole shard.
+PART_ROWS = 1_000_000
 #: Fixed value of the published generator, whose state is multiplied by it, plus 1, modulo 2^64.
 MULTIPLIER = 2862933555777941757
 #: Steps after which all but about one walk in 500 have ended, for 40 shards.
@@ -69,32 +72,31 @@ def with_shards(df: DataFrame, key: Column, counts: dict[str, int]) -> DataFrame
     return walked.select(*df.columns, *[at[i].cast("int").alias(name) for i, name in enumerate(counts)])
 
 
-def part_of(key: Column) -> Column:
-    """The part of a shard that a key is numbered in: two hex digits of its MD5."""
-    return F.conv(F.substring(F.md5(F.coalesce(key, F.lit(0)).cast("string").cast("binary")), 1, 2), 16, 10).cast("int")
+def order_of(key: Column, crc: Column, size: Column) -> Column:
+    """What rows of a shard are ordered by before all: an MD5, whose first digits also cut the shard into parts."""
+    return F.md5(F.concat_ws("|", F.coalesce(key, F.lit(0)).cast("string"), crc.cast("string"), size.cast("string")).cast("binary"))
 
 
-def assign_shards(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def assign_shards(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", part_rows: int = PART_ROWS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row.
 
-    One scan of the ids alone counts the rows of each part of each shard
-    (n_shards times PARTS counts, whatever the input) and gives each part its
-    first slot; one shuffle of narrow rows numbers the rows in the parts.
+    One scan of the documents writes their narrow rows.  A count of these by
+    shard and part, of which there are as many as the rows need, gives each part
+    its first slot; one shuffle of the narrow rows numbers them in their parts.
     """
-    key = F.col(id_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
+    narrow = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    rows = with_shards(narrow, F.col("doc_id"), {"shard": n_shards, "grown_shard": n_shards + 1})
+    rows = common.stage(rows.withColumn("md5", order_of(F.col("doc_id"), F.col("text_crc32"), F.col("size"))), "shards")
+    n, digits = rows.count(), 2
+    while n > n_shards * part_rows * 16**digits:
+        digits += 1
+    rows = rows.withColumn("part", F.substring("md5", 1, digits))
 
-    def sharded(df: DataFrame) -> DataFrame:
-        df = with_shards(df, F.col("doc_id"), {"shard": n_shards, "grown_shard": n_shards + 1})
-        return df.withColumn("part", part_of(F.col("doc_id")))
-
-    ids = sharded(docs.select(key.alias("doc_id")))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ids.groupBy("shard", "part").count().select("shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-
-    rows = sharded(docs.select(key.alias("doc_id"), (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")))
-    rank = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size"))
-    numbered = rows.withColumn("rank", rank.cast("long"))
-    return numbered.join(F.broadcast(starts), ["shard", "part"]).select(
+    starts = rows.groupBy("shard", "part").count().select("shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    rank = F.row_number().over(Window.partitionBy("shard", "part").orderBy("md5", "doc_id", "text_crc32", "size"))
+    few = n_shards * 16**digits <= common.BROADCAST_ROWS
+    return rows.withColumn("rank", rank.cast("long")).join(F.broadcast(starts) if few else starts, ["shard", "part"]).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("rank") - 1).alias("slot"), "grown_shard"
     )

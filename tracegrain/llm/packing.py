@@ -9,10 +9,14 @@ the histogram allows, so the work depends on the number of patterns and not on
 that of pieces.  Pieces of a length are numbered, and a piece's number says
 which bin of which pattern it goes to.
 
+A full piece is a sequence of its own and needs no number.
+
 Defined cases: a null text is empty and has the end token alone; documents
-longer than a sequence are cut from their end into full pieces, so that the first
-piece may be shorter; rows that repeat a document are packed each; other columns
-are not read; an empty table gives an empty table.
+longer than a sequence, however long, are cut from their end into full pieces, so
+that the first piece may be shorter; rows that repeat a document are packed each;
+pieces of one length are taken in the order of doc_id, piece, start and CRC, and of
+two pairs that fill a gap alike the one with the smaller piece; other columns are
+not read, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,8 +35,8 @@ from pyspark.sql import functions as F
 from . import common
 
 ROOM, END_ID = 2048, 0
-#: Parts in which pieces of one length are numbered, so that no task sorts them all.
-PARTS = 64
+#: Pieces of one length that are numbered in a task, about.
+PART_ROWS = 100_000
 WORDS_KEPT = 200_000
 #: A space that doesn't start a word.
 _LOOSE = re.compile(r" (?:\s|\Z)")
@@ -180,33 +184,37 @@ def layout(patterns: list[tuple[list[int], int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, room: int = ROOM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, room: int = ROOM, id_col: str = "doc_id", text_col: str = "text", part_rows: int = PART_ROWS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every row.
 
-    The driver sees counts by length and part alone, room * PARTS at most.
+    The driver sees the histogram of lengths alone, room numbers at most.
+    Pieces of a length are numbered in as many parts as they need.
     """
     spark = docs.sparkSession
-    part = F.expr(f"cast(pmod(xxhash64(doc_id, piece, ids_crc32), {PARTS}) as int)")
-    cut = common.stage(pieces(docs, tokenizer_path, room, id_col, text_col).withColumn("part", part), "pieces")
-    counts = sorted((r.length, r.part, r["count"]) for r in cut.groupBy("length", "part").count().collect())
-    histogram: dict[int, int] = {}
-    starts = np.zeros((room + 1, PARTS), np.int64)
-    for length, at, n in counts:
-        starts[length, at] = histogram.get(length, 0)
-        histogram[length] = histogram.get(length, 0) + n
-    sent = spark.sparkContext.broadcast((starts, layout(best_two_fit(histogram, room))))
+    cut = common.stage(pieces(docs, tokenizer_path, room, id_col, text_col), "pieces")
+    histogram = {r.length: r["count"] for r in cut.where(F.col("length") < room).groupBy("length").count().collect()}
+    plan = layout(best_two_fit(histogram, room))
+    sent = spark.sparkContext.broadcast(plan)
+    parts = spark.createDataFrame([(length, -(-n // part_rows)) for length, n in sorted(histogram.items())], "length long, parts long")
+    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("parts")).alias("part")
+    short = cut.join(F.broadcast(parts), "length").select(*cut.columns, part)
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = common.stage(short.groupBy("length", "part").count().select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first")), "parts")
+    rank = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "start", "ids_crc32"))
+    numbered = common.attach(short.withColumn("rank", rank), first, ["length", "part"], "inner").select(*cut.columns, (F.col("first") + F.col("rank") - 1).alias("number"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, plan = sent.value
+        plan = sent.value
         keys = plan[:, 0] << 44 | plan[:, 1]
         for batch in batches:
-            length, at, rank = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (3, 5, 6))
-            number = starts[length, at] + rank - 1
+            length, number = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (3, 5))
             row = plan[np.searchsorted(keys, length << 44 | number, side="right") - 1]
             turn = number - row[:, 1]
             sequence = row[:, 3] + turn // np.maximum(row[:, 2], 1)
             offset = row[:, 4] + turn % np.maximum(row[:, 2], 1) * length
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    rank = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "start", "ids_crc32"))
-    return cut.select("*", rank.alias("rank")).mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    placed = numbered.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    # full pieces come after all sequences of the plan; the rows' places in what was written make their numbers
+    full = cut.where(F.col("length") == room).withColumn("sequence_id", F.monotonically_increasing_id() + sum(histogram.values())).withColumn("offset", F.lit(0).cast("long"))
+    return placed.unionByName(full)

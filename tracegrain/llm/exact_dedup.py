@@ -9,9 +9,10 @@ is one belong to documents without a copy, which are done; the texts of all
 others are compared byte by byte.
 
 Defined cases: a null text equals the empty one; texts are equal if identical
-after lower-casing A-Z; a null doc_id ranks below all others; rows that repeat
-both doc_id and text of the row that stays are kept with it, as the same
-document; other columns are not read; an empty table gives an empty table.
+after lower-casing A-Z, very long ones by all their bytes; a null doc_id ranks
+below all others; rows that tie with the row that stays, in doc_id and text, are
+kept with it, as the same document; other columns are not read, whatever their
+names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -146,13 +147,18 @@ def filters(fingerprints: DataFrame, skip: int) -> DataFrame:
     return fingerprints.select("fp").mapInArrow(run, "block int, filter binary")
 
 
+#: Fingerprints of a block of merged filters, about.
+BLOCK_ROWS = 1_000_000
+
+
 def repeated(fingerprints: DataFrame, skip: int | None = None) -> DataFrame:
     """fp, n: the fingerprints that the merged filters count more than once.
 
-    skip: bits that share out the filters, 4 blocks to a shuffle partition
-    unless given, so that a merged block stays a small part of the data.
+    skip: bits that share out the filters; unless given, as many as make blocks
+    of BLOCK_ROWS fingerprints, and 4 blocks to a shuffle partition.
     """
-    skip = skip or max(4, min(20, (4 * common.parallelism(fingerprints.sparkSession) - 1).bit_length()))
+    blocks = max(4 * common.parallelism(fingerprints.sparkSession), -(-fingerprints.count() // BLOCK_ROWS))
+    skip = skip or max(4, (blocks - 1).bit_length())
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         fps, counts = merge([CountingQuotientFilter.from_bytes(x) for x in pdf["filter"]]).entries()

@@ -27,7 +27,9 @@ def connected_components(links: DataFrame) -> DataFrame:
         both = edges.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(edges.select(F.col("node").alias("a"), F.col("root").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("node"), F.col("m").alias("root")).where("node != root").distinct()
-        large = common.stage(large, "edges")
+        large, before = common.stage(large, "edges"), edges
         low = large.groupBy("node").agg(F.min("root").alias("m"))
         small = large.join(low, "node").select(F.explode(F.array(F.struct(F.col("root").alias("node"), F.col("m").alias("root")), F.struct("node", F.col("m").alias("root")))).alias("e"))
         edges = common.stage(small.select("e.node", "e.root").where("node != root").distinct(), "edges")
+        common.unstage(before)
+        common.unstage(large)

@@ -21,7 +21,9 @@ chunks, and each two chunks meet in a task of their own.
 Defined cases: a null text has no words; a text without words has fingerprint
 zero, which links like any other; a null doc_id has a fingerprint and links, and
 is never the smallest of a component unless all are null; rows that repeat share
-their component; other columns are not read; an empty table gives an empty table.
+their component; a bit set in exactly half of the shingles is zero; a very long
+text counts with all its shingles; other columns are not read, whatever their
+names; an empty table gives an empty table.
 """
 
 from __future__ import annotations

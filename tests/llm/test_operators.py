@@ -728,7 +728,7 @@ def test_equal_vectors_take_one_place_in_the_rerank():
     block = vector_search.Block(ids, x, books.pack(books.encode(x)))
     assert len(copies) > block.most
     for query_id in (-1, int(ids[copies].min())):
-        got, scores = block.nearest(query_id, q, block.near(books.tables(q)[None])[0], k)
+        got, scores = block.nearest(query_id, q, block.near(books.tables(q[None]))[0], k)
         others = ids != query_id
         exact = (x * q).sum(1)
         best = np.lexsort((ids[others], -exact[others]))[:k]
@@ -742,7 +742,7 @@ def test_rows_tied_at_the_cut_are_all_reranked():
     books = vector_search.Codebooks.fit(x)
     q = rng.normal(size=8)
     block = vector_search.Block(np.arange(4000), x, np.zeros((4000, 2), np.uint8))  # one code for all
-    got, _ = block.nearest(-1, q, block.near(books.tables(q)[None])[0], 20)
+    got, _ = block.nearest(-1, q, block.near(books.tables(q[None]))[0], 20)
     assert got.tolist() == np.argsort(-(x * q).sum(1))[:20].tolist()
 
 
@@ -760,6 +760,6 @@ def test_anisotropic_codes_lower_the_parallel_error():
 
     assert parallel(codes) < parallel(flat)
     q = rng.normal(size=16)
-    packed, table = books.pack(codes), books.tables(q)
+    packed, table = books.pack(codes), books.tables(q[None])[0]
     made = np.concatenate([books.words[s][codes[:, s]] for s in range(8)], 1)
     assert sum(table[j][packed[:, j]] for j in range(4)) == pytest.approx(made @ q, rel=1e-3, abs=1e-3)

@@ -103,24 +103,25 @@ class Codebooks:
 
     def encode(self, x: np.ndarray, sweeps: int = 2) -> np.ndarray:
         """Codes (rows, subspaces) that lower the anisotropic error, one subspace at a time."""
-        subs = len(self.words)
+        return np.concatenate([self._encode(x[i : i + 2048], sweeps) for i in range(0, len(x), 2048)]) if len(x) else np.zeros((0, len(self.words)), np.int64)
+
+    def _encode(self, x: np.ndarray, sweeps: int) -> np.ndarray:
+        n, subs = len(x), len(self.words)
         padded = np.pad(x, ((0, 0), (0, 2 * subs - x.shape[1]))).astype(float)
         unit = padded / np.maximum(np.linalg.norm(padded, axis=1, keepdims=True), 1e-30)
-        codes = np.empty((len(x), subs), np.int64)
-        along = np.zeros(len(x))  # <residual, unit>
-        for s in range(subs):
-            part = padded[:, 2 * s : 2 * s + 2]
-            codes[:, s] = ((part[:, None] - self.words[s]) ** 2).sum(2).argmin(1)
-            along += ((part - self.words[s][codes[:, s]]) * unit[:, 2 * s : 2 * s + 2]).sum(1)
+        rows = np.arange(n)
+        # of each row's part and codeword: the squared residual, and the residual along the row
+        parts, units = padded.reshape(n, subs, 2).transpose(1, 0, 2), unit.reshape(n, subs, 2).transpose(1, 0, 2)
+        words = self.words.transpose(0, 2, 1)
+        squared = (parts**2).sum(2)[:, :, None] - 2 * parts @ words + (self.words**2).sum(2)[:, None]
+        onto = (parts * units).sum(2)[:, :, None] - units @ words
+        codes = squared.argmin(2).T
+        along = sum(onto[s, rows, codes[:, s]] for s in range(subs))  # <residual, unit>
         for _ in range(sweeps):
             for s in range(subs):
-                part, u = padded[:, 2 * s : 2 * s + 2], unit[:, 2 * s : 2 * s + 2]
-                residual = part[:, None] - self.words[s]
-                onto = (residual * u[:, None]).sum(2)
-                rest = along - onto[np.arange(len(x)), codes[:, s]]
-                error = (residual**2).sum(2) + (ETA - 1) * (rest[:, None] + onto) ** 2
-                codes[:, s] = error.argmin(1)
-                along = rest + onto[np.arange(len(x)), codes[:, s]]
+                rest = along - onto[s, rows, codes[:, s]]
+                codes[:, s] = (squared[s] + (ETA - 1) * (rest[:, None] + onto[s]) ** 2).argmin(1)
+                along = rest + onto[s, rows, codes[:, s]]
         return codes
 
     def pack(self, codes: np.ndarray) -> np.ndarray:
@@ -129,14 +130,14 @@ class Codebooks:
             codes = np.pad(codes, ((0, 0), (0, 1)))
         return (codes[:, 0::2] | codes[:, 1::2] << 4).astype(np.uint8)
 
-    def tables(self, query: np.ndarray) -> np.ndarray:
-        """For each byte of the codes, its 256 possible contributions to the product."""
+    def tables(self, queries: np.ndarray) -> np.ndarray:
+        """For each query and byte of the codes, its 256 possible contributions to the product."""
         subs = len(self.words)
-        q = np.pad(query, (0, 2 * subs - len(query))).reshape(subs, 2)
-        own = np.einsum("scd,sd->sc", self.words, q)
+        q = np.pad(queries, ((0, 0), (0, 2 * subs - queries.shape[1]))).reshape(len(queries), subs, 2)
+        own = np.matmul(q.transpose(1, 0, 2), self.words.transpose(0, 2, 1)).transpose(1, 0, 2).astype(np.float32)
         if subs % 2:
-            own = np.pad(own, ((0, 1), (0, 0)))
-        return (own[1::2, :, None] + own[0::2, None, :]).reshape(len(own) // 2, 256).astype(np.float32)
+            own = np.pad(own, ((0, 0), (0, 1), (0, 0)))
+        return (own[:, 1::2, :, None] + own[:, 0::2, None, :]).reshape(len(queries), own.shape[1] // 2, 256)
 
 
 @dataclass
@@ -201,6 +202,7 @@ class Block:
         by_id = np.argsort(ids, kind="stable")
         self.known, self.group = ids[by_id], group[by_id]
         self.most = max(RERANK_LEAST, int(RERANK_SHARE * len(ids)))
+        self.plain = len(first) == len(ids) == len(np.unique(ids))  # neither copies nor repeated ids
 
     def near(self, tables: np.ndarray) -> np.ndarray:
         """Approximate products: a row a query of tables (queries, bytes, 256), a column a vector."""
@@ -209,14 +211,21 @@ class Block:
             near += np.take(tables[:, j], code, axis=1)
         return near
 
-    def nearest(self, query_id: int, q: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """vec_id and product of the best k ids other than the query's; near is changed."""
+    def nearest(self, query_id: int, q: np.ndarray, near: np.ndarray, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """vec_id and product of the best k ids other than the query's whose product is at least so large; near is changed."""
         held = self.group[slice(*np.searchsorted(self.known, [query_id, query_id + 1]))]
-        own, times = np.unique(held, return_counts=True)
-        near[own[times == self.count[own]]] = -np.inf  # vectors of the query's id alone
+        if len(held):
+            own, times = np.unique(held, return_counts=True)
+            near[own[times == self.count[own]]] = -np.inf  # vectors of the query's id alone
         most = min(len(near), max(self.most, k))
-        at = np.flatnonzero((near >= np.partition(near, len(near) - most)[len(near) - most]) & (near > -np.inf))
+        at = np.flatnonzero(near >= max(np.partition(near, len(near) - most)[len(near) - most], np.finfo(np.float32).min))
         exact = (self.x[at] * q).sum(1)  # numpy's pairwise sum, the same wherever a row stands
+        enough = exact >= least
+        at, exact = at[enough], exact[enough]
+        if self.plain:
+            ids = self.ids[at]
+            top = np.lexsort((ids, -exact))[:k]
+            return ids[top], exact[top]
         order = np.argsort(-exact, kind="stable")
         n = k
         while True:
@@ -273,13 +282,17 @@ class Asking:
         starts = [i for i, v in enumerate(vectors) if i == 0 or v != vectors[i - 1]]
         for i in range(0, len(starts), AT_ONCE):
             some = starts[i : i + AT_ONCE]
-            near = block.near(np.stack([books.tables(self.q[vectors[a]]) for a in some]))
+            near = block.near(books.tables(self.q[[vectors[a] for a in some]]))
             for j, (a, b) in enumerate(zip(some, [*starts[i + 1 : i + len(some)], starts[i + len(some)] if i + len(some) < len(starts) else len(rows)], strict=True)):
                 for r in rows[a:b]:
-                    self._merge(r, *block.nearest(self.ids[r], self.q[vectors[a]], near[j].copy() if b - a > 1 else near[j], self.k))
+                    held = self.best[r]
+                    least = held[1][-1] if held is not None and len(held[1]) == self.k else -np.inf
+                    self._merge(r, *block.nearest(self.ids[r], self.q[vectors[a]], near[j].copy() if b - a > 1 else near[j], self.k, least))
 
     def _merge(self, r: int, ids: np.ndarray, scores: np.ndarray) -> None:
         held = self.best[r]
+        if held is not None and not len(ids):
+            return
         if held is not None:
             ids, scores = np.concatenate([held[0], ids]), np.concatenate([held[1], scores])
             top = np.lexsort((ids, -scores))

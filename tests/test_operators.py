@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tracegrain.functions.text import fold_word, tokens
 from tracegrain.operators import chunking, fulltext, history, ignore, ranking, symbols, tables
 from tracegrain.sources.parser import extract, head_symbols
 
@@ -42,6 +43,43 @@ def test_query_language(spark):
     assert fulltext.sanitize("  a-b_c! ") == "a b_c"
 
 
+@pytest.mark.parametrize(
+    ("query", "want"),
+    [
+        ("alpha NOT beta AND gamma", {3}),
+        ("alpha NOT beta gamma", {1, 2, 3}),
+        ("alpha AND beta OR delta", {2, 4, 5}),
+        ("delta OR alpha NOT gamma", {1, 2, 5}),
+        ("delta OR alpha AND gamma", {3, 4, 5}),
+        ("alpha NOT beta NOT gamma", {1}),
+        ("alpha beta AND gamma", {4}),
+        ("alpha and", set()),
+    ],
+)
+def test_operators_bind_in_order(spark, query, want):
+    rows = [(1, "alpha"), (2, "alpha beta"), (3, "alpha gamma"), (4, "alpha beta gamma"), (5, "delta")]
+    index = fulltext.TextIndex.build(spark.createDataFrame(rows, "id long, t string"), "id", ["t"])
+    assert {r.doc_id for r in fulltext.search(index, query).collect()} == want
+
+
+@pytest.mark.parametrize("bad", ["NOT a", "a OR", "a AND OR b", "a NOT NOT b", "OR", "a AND _"])
+def test_operators_need_both_sides(bad):
+    with pytest.raises(fulltext.QuerySyntaxError):
+        fulltext.compile_query(fulltext.sanitize(bad))
+
+
+WORDS = ["чай", "Йод", "việt", "Việt", "ά", "ΆΛΦΑ", "ΣΙΣΥΦΟΣ", "e\u0301te\u0301", "été", "İstanbul", "straße", "naïve", "日本語", "Åse", "ệ", "हिन्दी"]
+
+
+def test_a_document_is_found_by_its_own_words(spark):
+    index = fulltext.TextIndex.build(spark.createDataFrame(list(enumerate(WORDS)), "id long, t string"), "id", ["t"])
+    for i, word in enumerate(WORDS):
+        assert i in {r.doc_id for r in fulltext.search(index, word).collect()}
+    folded = [tuple(r.ts) for r in spark.createDataFrame([(w,) for w in WORDS], "w string").select(tokens(F.col("w")).alias("ts")).collect()]
+    assert folded == [fold_word(w) for w in WORDS]
+    assert fold_word("e\u0301te\u0301") == fold_word("été") == ("ete",) and fold_word("чай") == ("чай",)
+
+
 def test_columns_do_not_share_phrases(spark):
     rows = spark.createDataFrame([(1, "function", "login")], "id long, kind string, name string")
     index = fulltext.TextIndex.build(rows, "id", ["kind", "name"])

@@ -10,23 +10,34 @@ from pyspark.sql import functions as F
 EXCERPT_LINES = 80
 
 
+#: Where Latin letters with marks are, and the marks that may follow a letter.
+LATIN, MARKS = (range(0xC0, 0x250), range(0x1E00, 0x1F00)), "".join(map(chr, range(0x300, 0x332)))
+
+
 def _accents() -> tuple[str, str]:
-    """Latin letters with marks and the letters they fold to, by Unicode decomposition."""
-    pairs = []
-    for code in range(0xC0, 0x250):
+    """Latin letters with one mark and the letters they fold to, by Unicode decomposition; a capital sigma."""
+    pairs = [("\u03a3", "\u03c3")]  # or its lower case would depend on what follows
+    for code in (c for part in LATIN for c in part):
         plain = unicodedata.normalize("NFD", chr(code))
-        if len(plain) > 1 and plain[0].isascii():
+        if len(plain) == 2 and plain[0].isascii():
             pairs.append((chr(code), plain[0]))
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
 ACCENTED, PLAIN = _accents()
+_FOLDS = str.maketrans(ACCENTED, PLAIN, MARKS)
 SEPARATORS = r"[^\p{L}\p{N}\p{Co}]+"
 
 
 def fold(text: Column) -> Column:
-    """Lower case without diacritics."""
-    return F.lower(F.translate(text, ACCENTED, PLAIN))
+    """Lower case, Latin letters without diacritics, no combining marks; what has no plain letter in place is deleted."""
+    return F.lower(F.translate(text, ACCENTED + MARKS, PLAIN))
+
+
+def fold_word(word: str) -> tuple[str, ...]:
+    """The tokens of a word of a query, as tokens() has them."""
+    kept = "".join(c if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co" else " " for c in word.translate(_FOLDS).lower())
+    return tuple(kept.split())
 
 
 def tokens(text: Column) -> Column:

@@ -1,19 +1,23 @@
 """Full-text search: query language, postings and BM25, for one query or many.
 
 An index is three tables: postings (doc_id, term, positions, length), one row
-for each term of a document, and the corpus statistics.  Postings are written
-sorted by term, so a query's terms prune the scan by row-group statistics.
+for each term of a document; terms (term, df); and the corpus statistics.  Postings
+and terms are written sorted by term, so a query's terms prune the scan by
+row-group statistics.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracegrain.functions.text import tokens
+from tracegrain.functions.text import fold_word, tokens
 
 #: BM25's parameters and the least inverse document frequency.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -27,7 +31,7 @@ class QuerySyntaxError(ValueError):
 
 def sanitize(query: str) -> str:
     """Letters, digits and underscores; each run of others is one space.  Case is kept."""
-    return re.sub(r"[^\w]+", " ", query).strip()
+    return re.sub(r"[^\w\u0300-\u0331]+", " ", query).strip()
 
 
 @dataclass(frozen=True)
@@ -43,52 +47,39 @@ class Both:
     parts: tuple[object, ...]
 
 
-def fold_word(word: str) -> tuple[str, ...]:
-    """A query word's terms, as the tokenizer would split it in a document."""
-    import unicodedata
-
-    plain = "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c)).lower()
-    return tuple(t for t in re.split(r"[\W_]+", plain) if t)
+#: Operators by how closely they bind; a space binds closer than all.
+LEVELS = ("OR", "AND", "NOT")
 
 
 def compile_query(query: str) -> object:
-    """The expression of a sanitised query: words are joined by AND, which binds closest, then NOT, then OR.
+    """The expression of a sanitised query: a space, which means AND, binds closest, then NOT, then AND, then OR.
 
     A word with underscores is a phrase of its parts.  AND, OR and NOT in upper
     case are operators; one that misses a side, or an empty query, is an error.
     """
-    words = query.split()
+    words = [w for w in query.split() if w in LEVELS or fold_word(w)]
     if not words:
         raise QuerySyntaxError("empty query")
-    operands: list[list[tuple[str, object]]] = []
-    pending = None
-    for word in words:
-        if word in ("AND", "OR", "NOT"):
-            if not operands or pending:
-                raise QuerySyntaxError(f"{word} has nothing before it")
-            pending = word
-            continue
-        terms = fold_word(word)
-        if not terms:
-            continue
-        if pending in ("OR", "NOT") or not operands:
-            operands.append([(pending or "", Phrase(terms))])
-        else:
-            operands[-1].append(("AND", Phrase(terms)))
-        pending = None
-    if pending or not operands:
-        raise QuerySyntaxError("an operator has nothing after it")
-    groups: list[tuple[str, object]] = []
-    for own in operands:
-        made = own[0][1] if len(own) == 1 else Both("and", tuple(p for _, p in own))
-        groups.append((own[0][0], made))
-    either: list[object] = []
-    for op, made in groups:
-        if op == "NOT":
-            either[-1] = Both("not", (either[-1], made))
-        else:
-            either.append(made)
-    return either[0] if len(either) == 1 else Both("or", tuple(either))
+    return _level(words, 0)
+
+
+def _level(words: list[str], level: int) -> object:
+    if not words:
+        raise QuerySyntaxError("an operator has nothing beside it")
+    if level == len(LEVELS):
+        parts: list[object] = [Phrase(fold_word(w)) for w in words]
+        return parts[0] if len(parts) == 1 else Both("and", tuple(parts))
+    cuts = [-1, *[i for i, w in enumerate(words) if w == LEVELS[level]], len(words)]
+    parts = [_level(words[a + 1 : b], level + 1) for a, b in zip(cuts, cuts[1:], strict=False)]
+    if len(parts) == 1:
+        return parts[0]
+    op = LEVELS[level].lower()
+    if op != "not":
+        return Both(op, tuple(parts))
+    made = parts[0]
+    for part in parts[1:]:
+        made = Both("not", (made, part))
+    return made
 
 
 def phrases(expression: object) -> list[Phrase]:
@@ -112,16 +103,33 @@ def scored_phrases(expression: object) -> list[Phrase]:
 
 
 def build_postings(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """doc_id, term, positions, length: the tokens of the columns, one after the other."""
+    """doc_id, term, positions, length: the tokens of the columns, one after the other.
 
-    def placed(words: Column, start: int) -> Column:
-        return F.transform(words, lambda t, i: F.struct(t.alias("term"), (i + start).alias("pos")))
-
-    parts = F.concat(*[placed(tokens(F.col(c)), k * COLUMN_GAP) for k, c in enumerate(columns)])
-    # the length is a column before the explosion, or the text would be split again for each of its tokens
-    rows = docs.select(F.col(id_col).alias("doc_id"), parts.alias("toks")).select("doc_id", F.size("toks").cast("long").alias("length"), "toks")
-    rows = rows.select("doc_id", "length", F.explode("toks").alias("t"))
-    return rows.groupBy("doc_id", "length", F.col("t.term").alias("term")).agg(F.sort_array(F.collect_list("t.pos")).alias("positions"))
+    Tokens are grouped where their document is: nothing is shuffled.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[tokens(F.col(c)).alias(f"c{i}") for i, c in enumerate(columns)])
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, doc, pos, length = [], [], [], np.zeros(batch.num_rows, np.int64)
+            for i in range(1, batch.num_columns):
+                lists = batch.column(i)
+                n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                start = np.cumsum(n) - n
+                words.append(lists.flatten())
+                doc.append(np.repeat(np.arange(len(n)), n))
+                pos.append(np.arange(n.sum()) - np.repeat(start, n) + (i - 1) * COLUMN_GAP)
+                length += n
+            coded = pa.concat_arrays(words).dictionary_encode()
+            code, doc, pos = coded.indices.to_numpy(zero_copy_only=False), np.concatenate(doc), np.concatenate(pos).astype(np.int32)
+            order = np.lexsort((pos, code, doc))
+            doc, code = doc[order], code[order]
+            first = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(code) != 0))) if len(doc) else np.zeros(0, np.int64)
+            positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)).astype(np.int32)), pa.array(pos[order]))
+            terms = coded.dictionary.take(pa.array(code[first])) if len(first) else pa.array([], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[first])), terms.cast(pa.string()), positions, pa.array(length[doc[first]])], ["doc_id", "term", "positions", "length"])
+
+    return rows.mapInArrow(group, "doc_id long, term string, positions array<int>, length long")
 
 
 def corpus_stats(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -130,22 +138,50 @@ def corpus_stats(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.agg(F.count("*").alias("n_docs"), F.avg(length).alias("avg_length"))
 
 
+def term_counts(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions").cast("long")).alias("cf"))
+
+
 @dataclass
 class TextIndex:
     postings: DataFrame
     stats: DataFrame
+    #: term, df, cf
+    terms: DataFrame
+    #: the documents, of an index that isn't written yet
+    docs: DataFrame | None = None
+    _known: tuple[int, float] | None = field(default=None, repr=False)
 
     @classmethod
     def build(cls, docs: DataFrame, id_col: str, columns: list[str]) -> TextIndex:
-        return cls(build_postings(docs, id_col, columns), corpus_stats(docs, columns))
+        postings = build_postings(docs, id_col, columns)
+        return cls(postings, corpus_stats(docs, columns), term_counts(postings), docs)
 
     def write(self, path: str) -> None:
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        """Texts are split once; all else comes from the postings that are written."""
+        spark = self.postings.sparkSession
+        self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        terms = term_counts(spark.read.parquet(f"{path}/postings"))
+        terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+        if self.docs is None:
+            stats = self.stats
+        else:
+            total = spark.read.parquet(f"{path}/terms").agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("total"))
+            n = self.docs.count()
+            stats = total.select(F.lit(n).cast("long").alias("n_docs"), (F.col("total") / F.lit(n)).alias("avg_length"))
+        stats.write.mode("overwrite").parquet(f"{path}/stats")
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> TextIndex:
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"))
+        schema = "doc_id long, term string, positions array<int>, length long"
+        return cls(spark.read.schema(schema).parquet(f"{path}/postings"), spark.read.schema("n_docs long, avg_length double").parquet(f"{path}/stats"), spark.read.schema("term string, df long, cf long").parquet(f"{path}/terms"))
+
+    def known(self) -> tuple[int, float]:
+        """n_docs and avg_length, read once."""
+        if self._known is None:
+            row = self.stats.select("n_docs", "avg_length").first()
+            self._known = row.n_docs, row.avg_length or 0.0
+        return self._known
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -160,7 +196,9 @@ def search(index: TextIndex, query: str, lenient: bool = False) -> DataFrame:
     """doc_id, score of all matches of one query; the score is negative, stronger matches are smaller.
 
     Only the query's terms are read.  Positions are compared inside a row, so
-    phrases cost no join.  Statistics are of the whole corpus.
+    phrases cost no join.  Statistics are of the whole corpus, whatever is
+    filtered afterwards; those of words were counted when the index was made,
+    those of phrases are counted here, in one job.
     """
     try:
         expression = compile_query(sanitize(query))
@@ -197,12 +235,16 @@ def search(index: TextIndex, query: str, lenient: bool = False) -> DataFrame:
             left = left & r if e.op == "and" else left & ~r if e.op == "not" else left | r
         return left
 
-    df = counted.agg(*[F.sum(F.when(F.col(c) > 0, 1).otherwise(0)).alias(c) for c in at.values()])
-    n_docs, avg_length = (index.stats.select(c).scalar() for c in ("n_docs", "avg_length"))
+    scored = scored_phrases(expression)
+    n_docs, avg_length = map(F.lit, index.known())
+    single = {r.term: r.df for r in index.terms.where(F.col("term").isin([p.terms[0] for p in scored if len(p.terms) == 1])).select("term", "df").collect()}
+    longer = [at[p] for p in scored if len(p.terms) > 1]
+    seen = counted.agg(*[F.sum(F.when(F.col(c) > 0, 1).otherwise(0)).alias(c) for c in longer]).first() if longer else None
     score = F.lit(0.0)
-    for p in scored_phrases(expression):
+    for p in scored:
         c = at[p]
-        score = score - F.when(F.col(c) > 0, idf(n_docs, df.select(c).scalar()) * saturation(F.col(c), F.col("length"), avg_length)).otherwise(0.0)
+        df = (single.get(p.terms[0], 0) if len(p.terms) == 1 else seen[c]) or 0
+        score = score - F.when(F.col(c) > 0, idf(n_docs, F.lit(df)) * saturation(F.col(c), F.col("length"), avg_length)).otherwise(0.0)
     return counted.where(holds(expression)).select("doc_id", score.alias("score"))
 
 
@@ -214,9 +256,10 @@ def search_batch(index: TextIndex, queries: DataFrame, k: int) -> DataFrame:
     """
     asked = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     need = asked.groupBy("qid").agg(F.count("*").alias("need"))
-    df = index.postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    hits = index.postings.join(asked, "term").join(df, "term").join(F.broadcast(index.stats))
-    part = idf(F.col("n_docs"), F.col("df")) * saturation(F.size("positions"), F.col("length"), F.col("avg_length"))
+    asked = asked.join(index.terms.select("term", "df"), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    hits = index.postings.join(asked, "term")
+    n_docs, avg_length = map(F.lit, index.known())
+    part = idf(n_docs, F.col("df")) * saturation(F.size("positions"), F.col("length"), avg_length)
     scored = hits.groupBy("qid", "doc_id").agg((-F.sum(part)).alias("score"), F.count("*").alias("got"))
     full = scored.join(need, "qid").where("got = need")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("score", "doc_id"))

@@ -20,13 +20,13 @@ def attribution_rank(kind):
     return out
 
 
-def head_symbol_hunks(index: fulltext.TextIndex, symbols: DataFrame, hunks: DataFrame, query: str, k: int) -> DataFrame:
+def head_symbol_hunks(index: fulltext.TextIndex, symbols: DataFrame, hunks: DataFrame, query: str, k: int, lenient: bool = False) -> DataFrame:
     """hunk_id, score: hunks of the files whose HEAD symbols match, best first.
 
     The best score of a file is found before the join, so the fan-out is one
     row a hunk rather than one for each symbol and hunk.
     """
-    best = fulltext.search(index, query).join(symbols.select(F.col("symbol_id").alias("doc_id"), "file_path"), "doc_id").groupBy("file_path").agg(F.min("score").alias("score"))
+    best = fulltext.search(index, query, lenient).join(symbols.select(F.col("symbol_id").alias("doc_id"), "file_path"), "doc_id").groupBy("file_path").agg(F.min("score").alias("score"))
     return hunks.select("hunk_id", "file_path").join(best, "file_path").groupBy("hunk_id").agg(F.min("score").alias("score")).orderBy("score", "hunk_id").limit(k)
 
 

@@ -76,7 +76,7 @@ def test_neighbours_of_all_changes(spark):
             for side in (0, 1):
                 near = sorted((abs(r.ts - a.ts), r.commit_sha) for r in rows if r.commit_sha != a.commit_sha and (r.ts > a.ts) == bool(side))
                 want += [(a.commit_sha, sha, side, i + 1) for i, (_, sha) in enumerate(near[:2])]
-    got = catalog.queries()["j13_j6_a1_u2_neighbours_whole"](spark, d).select("anchor_sha", "commit_sha", "side", "place").collect()
+    got = catalog.queries()["j13_j6_a1_u2_neighbours"](spark, d).select("anchor_sha", "commit_sha", "side", "place").collect()
     assert sorted(map(tuple, got)) == sorted(want)
 
 
@@ -84,7 +84,7 @@ def test_live_attribution_of_all_hunks(spark):
     d = "/root/testdata/sf0.001"
     hunks, named = adapters.hunks(spark, d).collect(), adapters.symbols(spark, d).collect()
     want = {(h.hunk_id, s.kind, s.name, "exact_span") for h in hunks for s in named if h.file_path == s.file_path}
-    got = catalog.queries()["w6_live_attribution_whole"](spark, d).collect()
+    got = catalog.queries()["w6_live_attribution"](spark, d).collect()
     assert len(got) == len(want) and set(map(tuple, got)) == want
     assert max(r.hunk_id for r in got) >= 60
 

@@ -160,7 +160,11 @@ class TextIndex:
     def write(self, path: str) -> None:
         """Texts are split once; all else comes from the postings that are written."""
         spark = self.postings.sparkSession
-        self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        raw = f"{path}/postings-unsorted"  # or the ranges' bounds would be found by splitting texts once more
+        self.postings.write.mode("overwrite").parquet(raw)
+        spark.read.parquet(raw).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(raw)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         terms = term_counts(spark.read.parquet(f"{path}/postings"))
         terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
         if self.docs is None:
@@ -209,7 +213,10 @@ def search(index: TextIndex, query: str, lenient: bool = False) -> DataFrame:
     wanted = phrases(expression)
     terms = sorted({t for p in wanted for t in p.terms})
     held = {t: f"p{i}" for i, t in enumerate(terms)}
-    hits = index.postings.where(F.col("term").isin(terms)).groupBy("doc_id").agg(F.first("length").alias("length"), *[F.first(F.when(F.col("term") == t, F.col("positions")), ignorenulls=True).alias(c) for t, c in held.items()])
+    df = F.broadcast(index.terms.where(F.col("term").isin(terms)).select("term", "df"))  # a row for each of the terms
+    read = index.postings.where(F.col("term").isin(terms)).join(df, "term")
+    own = [F.first(F.when(F.col("term") == t, F.col(value)), ignorenulls=True).alias(c + end) for t, c in held.items() for value, end in (("positions", ""), ("df", "_df"))]
+    hits = read.groupBy("doc_id").agg(F.first("length").alias("length"), *own)
 
     def occurrences(phrase: Phrase) -> Column:
         first, *rest = (F.coalesce(F.col(held[t]), F.array().cast("array<int>")) for t in phrase.terms)
@@ -224,7 +231,7 @@ def search(index: TextIndex, query: str, lenient: bool = False) -> DataFrame:
 
         return F.size(F.filter(first, follows))
 
-    counted = hits.select("doc_id", "length", *[occurrences(p).alias(f"f{i}") for i, p in enumerate(wanted)])
+    counted = hits.select("doc_id", "length", *[c + "_df" for c in held.values()], *[occurrences(p).alias(f"f{i}") for i, p in enumerate(wanted)])
     at = {p: f"f{i}" for i, p in enumerate(wanted)}
 
     def holds(e: object) -> Column:
@@ -237,14 +244,13 @@ def search(index: TextIndex, query: str, lenient: bool = False) -> DataFrame:
 
     scored = scored_phrases(expression)
     n_docs, avg_length = map(F.lit, index.known())
-    single = {r.term: r.df for r in index.terms.where(F.col("term").isin([p.terms[0] for p in scored if len(p.terms) == 1])).select("term", "df").collect()}
     longer = [at[p] for p in scored if len(p.terms) > 1]
     seen = counted.agg(*[F.sum(F.when(F.col(c) > 0, 1).otherwise(0)).alias(c) for c in longer]).first() if longer else None
     score = F.lit(0.0)
     for p in scored:
         c = at[p]
-        df = (single.get(p.terms[0], 0) if len(p.terms) == 1 else seen[c]) or 0
-        score = score - F.when(F.col(c) > 0, idf(n_docs, F.lit(df)) * saturation(F.col(c), F.col("length"), avg_length)).otherwise(0.0)
+        in_docs = F.col(held[p.terms[0]] + "_df") if len(p.terms) == 1 else F.lit(seen[c] or 0)
+        score = score - F.when(F.col(c) > 0, idf(n_docs, in_docs) * saturation(F.col(c), F.col("length"), avg_length)).otherwise(0.0)
     return counted.where(holds(expression)).select("doc_id", score.alias("score"))
 
 

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracegrain.functions.text import tokens
+
 DAY = 86400
 
 
@@ -49,14 +55,22 @@ def weigh_by_age(hits: DataFrame, now: int, weight: float, half_life_days: float
     return found.withColumn("combined_score", F.col("similarity") * (1 + F.lit(float(weight)) * F.col("recency")))
 
 
-def rerank_scores(hits: DataFrame, query: str, text_col: str = "diff_text") -> DataFrame:
-    """similarity from a lexical scorer: the logit of the share of the query's terms that a text has.
+#: Logits of a query and a batch of texts, higher for a better match.
+Scorer = Callable[[str, pd.Series], "pd.Series | np.ndarray | list[float]"]
+
 
-    The hook for a model: any function from (query, text) to a logit may take
-    its place; sigmoid() makes logits comparable.
+def rerank_scores(hits: DataFrame, query: str, text_col: str = "diff_text", scorer: Scorer | None = None) -> DataFrame:
+    """similarity from a scorer's logits, through a sigmoid, as the hits' texts are few.
+
+    Without a scorer it is lexical: the share of the query's terms that a text has.
     """
-    from tracegrain.functions.text import tokens
+    if scorer is not None:
+
+        @F.pandas_udf("double")
+        def logits(texts: pd.Series) -> pd.Series:
+            return pd.Series(np.asarray(scorer(query, texts.fillna("")), float), index=texts.index)
 
+        return hits.withColumn("similarity", sigmoid(logits(F.col(text_col))))
     terms = tokens(F.lit(query))
     share = F.size(F.array_intersect(terms, tokens(F.col(text_col)))) / F.greatest(F.size(F.array_distinct(terms)), F.lit(1))
     return hits.withColumn("similarity", sigmoid(share * 6.0 - 3.0))
@@ -69,11 +83,8 @@ def first_of_each(rows: DataFrame, keys: list[str], order: list[Column]) -> Data
 def quality(ranks: DataFrame) -> DataFrame:
     """cases, recall_at_1, recall_at_5, mrr, ndcg_lite, p50_ms, p95_ms of (id, rank or null, ms).
 
-    Percentiles are nearest-rank.
+    Percentiles are nearest-rank, by counting how often each latency occurs.
     """
-    def near(p: float) -> Column:
-        return F.element_at("all_ms", F.greatest(F.ceil(F.size("all_ms") * p), F.lit(1)).cast("int"))
-
     hit = F.col("rank").isNotNull()
     agg = ranks.agg(
         F.count("*").alias("cases"),
@@ -81,6 +92,7 @@ def quality(ranks: DataFrame) -> DataFrame:
         F.avg(F.when(hit & (F.col("rank") <= 5), 1.0).otherwise(0.0)).alias("recall_at_5"),
         F.avg(F.when(hit, 1.0 / F.col("rank")).otherwise(0.0)).alias("mrr"),
         F.avg(F.when(hit, 1.0 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias("ndcg_lite"),
-        F.sort_array(F.collect_list("ms")).alias("all_ms"),
+        F.expr("percentile_disc(0.5) within group (order by ms)").alias("p50_ms"),
+        F.expr("percentile_disc(0.95) within group (order by ms)").alias("p95_ms"),
     )
-    return agg.select("cases", "recall_at_1", "recall_at_5", "mrr", "ndcg_lite", near(0.5).alias("p50_ms"), near(0.95).alias("p95_ms"))
+    return agg.select("cases", "recall_at_1", "recall_at_5", "mrr", "ndcg_lite", F.col("p50_ms").cast("long"), F.col("p95_ms").cast("long"))

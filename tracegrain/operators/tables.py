@@ -24,6 +24,12 @@ def latest_wins(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(order.desc()))).where("__n = 1").drop("__n")
 
 
+def put_hunk_symbols(rows: DataFrame, order: str, old: DataFrame | None = None) -> DataFrame:
+    """hunk_id, symbol_kind, symbol_name, attribution_kind: a hunk's rows replace what old has of it, the last of duplicates stays."""
+    last = rows.groupBy("hunk_id", "symbol_kind", "symbol_name").agg(F.max_by("attribution_kind", order).alias("attribution_kind"))
+    return last if old is None else replace_by_key(old, last, ["hunk_id"])
+
+
 def last_known(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
     """Each key with its last value that is not null; null if there is none."""
     return rows.groupBy(*keys).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias(value))

@@ -220,6 +220,40 @@ def t2_bm25_not(spark, d):
     return _search(spark, d, "thnd NOT erble")
 
 
+#: query, terms, which of them are scored, and what FTS makes of it
+PRECEDENCE = {
+    "t2_bm25_not_before_and": ("the NOT thnd AND of", ["the", "thnd", "of"], (0, 2), "(f0 > 0 AND NOT f1 > 0) AND f2 > 0"),
+    "t2_bm25_space_before_not": ("the NOT thnd of", ["the", "thnd", "of"], (0,), "f0 > 0 AND NOT (f1 > 0 AND f2 > 0)"),
+    "t2_bm25_and_before_or": ("thnd OR der AND und", ["thnd", "der", "und"], (0, 1, 2), "f0 > 0 OR (f1 > 0 AND f2 > 0)"),
+    "t2_bm25_chain": ("der und OR the NOT of NOT thnd AND erble", ["der", "und", "the", "of", "thnd", "erble"], (0, 1, 2, 5), "(f0 > 0 AND f1 > 0) OR (((f2 > 0 AND NOT f3 > 0) AND NOT f4 > 0) AND f5 > 0)"),
+}
+
+
+def _precedence(name: str, text: str, terms: list[str], scored: tuple[int, ...], matched: str) -> None:
+    sql = _bm25(terms, matched)
+    for i in set(range(len(terms))) - set(scored):
+        sql = sql.replace(f"CASE WHEN f{i} > 0 THEN greatest", f"0 * CASE WHEN f{i} > 0 THEN greatest")
+
+    def run(spark, d):
+        return _search(spark, d, text)
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+for _name, _case in PRECEDENCE.items():
+    _precedence(_name, *_case)
+
+
+FOLDED = [("чай", "чай"), ("Việt", "việt"), ("ά", "ά"), ("ΣΙΣΥΦΟΣ", "σισυφοσ"), ("e\u0301te\u0301", "ete"), ("naïve Åse", "naive ase"), ("a_b", "a b"), ("x-1", "x 1"), ("Straße", "straße")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{t}')" for w, t in FOLDED) + ") AS v(word, tokens)")
+def t3_folding(spark, d):
+    """Fixed words, as the full-text engine folds them."""
+    return spark.createDataFrame([(w,) for w, _ in FOLDED], "word string").select("word", F.array_join(T.tokens(F.col("word")), " ").alias("tokens"))
+
+
 @query(f"""WITH {TOKENS_CTE}, ph AS (SELECT a.hunk_id, a.dl, count(*) AS f FROM toks a JOIN toks b ON a.hunk_id = b.hunk_id AND b.pos = a.pos + 1 WHERE a.t = 'of' AND b.t = 'the' GROUP BY ALL)
 SELECT hunk_id, f, round(-(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM ph, stats, (SELECT count(*) AS df FROM ph)""")
 def t2_t3_bm25_phrase(spark, d):
@@ -245,15 +279,15 @@ def t7_x5_semantic_lane(spark, d):
     return found.select(F.col("doc_id").alias("hunk_id"), r6(F.col("score")).alias("score")).orderBy("score", "hunk_id").limit(20)
 
 
-@query(f"SELECT hunk_id, len({_tokens('diff_text')})::BIGINT AS n_tokens, coalesce(array_to_string(list_slice({_tokens('diff_text')}, 1, 5), ' '), '') AS head FROM {HUNKS}")
+@query(f"SELECT hunk_id, len({_tokens('diff_text')})::BIGINT AS n_tokens, md5(array_to_string({_tokens('diff_text')}, ' ')) AS tokens_md5 FROM {HUNKS}")
 def t3_tokenizer(spark, d):
     found = T.tokens(F.col("diff_text"))
-    return A.hunks(spark, d).select("hunk_id", F.size(found).cast("long").alias("n_tokens"), F.array_join(F.slice(found, 1, 5), " ").alias("head"))
+    return A.hunks(spark, d).select("hunk_id", F.size(found).cast("long").alias("n_tokens"), F.md5(F.array_join(found, " ").cast("binary")).alias("tokens_md5"))
 
 
-@query(f"WITH {TOKENS_CTE} SELECT t AS term, count(DISTINCT hunk_id) AS df, count(*) AS cf FROM toks GROUP BY t HAVING df >= 20")
+@query(f"WITH {TOKENS_CTE} SELECT t AS term, count(DISTINCT hunk_id) AS df, count(*) AS cf FROM toks GROUP BY t")
 def a14_term_statistics(spark, d):
-    return _text_index(spark, d).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions")).alias("cf")).where("df >= 20")
+    return _text_index(spark, d).terms
 
 
 @query(f"WITH {TOKENS_CTE} SELECT n AS n_docs, round(avgdl, 6) AS avg_length FROM stats")
@@ -307,14 +341,8 @@ def j11_a13_symbols_by_hunk(spark, d):
     return symbols.symbols_by_hunk(A.hunks(spark, d).select("hunk_id"), A.hunk_symbols(spark, d)).select("hunk_id", F.array_join("related_head_symbols", ",").alias("names"))
 
 
-@query(f"SELECT DISTINCT hunk_id, kind AS symbol_kind, name AS symbol_name, 'exact_span' AS attribution_kind FROM {HUNKS} JOIN {SYMBOLS} USING (file_path) WHERE hunk_id < 60")
+@query(f"SELECT DISTINCT hunk_id, kind AS symbol_kind, name AS symbol_name, 'exact_span' AS attribution_kind FROM {HUNKS} JOIN {SYMBOLS} USING (file_path)")
 def w6_live_attribution(spark, d):
-    return symbols.live_attribution(A.hunks(spark, d).where("hunk_id < 60"), A.symbols(spark, d))
-
-
-@query()
-def w6_live_attribution_whole(spark, d):
-    """The attribution of every hunk."""
     return symbols.live_attribution(A.hunks(spark, d), A.symbols(spark, d))
 
 
@@ -492,10 +520,14 @@ def u3_first_of_each(spark, d):
 # --- History -----------------------------------------------------------------------------------
 
 CHANGES = "(SELECT CAST(user_id AS VARCHAR) AS file_path, CAST(event_id AS VARCHAR) AS commit_sha, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM events)"
-ANCHORS = f"(SELECT * FROM {CHANGES} WHERE CAST(commit_sha AS BIGINT) % 500 = 7)"
-NEIGHBOURS = f"""(SELECT a.commit_sha AS anchor_sha, a.file_path, c.commit_sha, c.ts, CASE WHEN c.ts <= a.ts THEN 0 ELSE 1 END AS side,
+#: What an answer is about: changes of one kind, a kind that a fifth of them are.
+ANCHORS = f"(SELECT * FROM {CHANGES} WHERE commit_sha IN (SELECT CAST(event_id AS VARCHAR) FROM events WHERE event_type = 'error'))"
+
+
+def _neighbours_sql(anchors: str) -> str:
+    return f"""(SELECT a.commit_sha AS anchor_sha, a.file_path, c.commit_sha, c.ts, CASE WHEN c.ts <= a.ts THEN 0 ELSE 1 END AS side,
 row_number() OVER (PARTITION BY a.commit_sha, a.file_path, CASE WHEN c.ts <= a.ts THEN 0 ELSE 1 END ORDER BY abs(c.ts - a.ts), c.commit_sha) AS place
-FROM {ANCHORS} a JOIN {CHANGES} c ON a.file_path = c.file_path AND a.commit_sha <> c.commit_sha QUALIFY place <= 2)"""
+FROM {anchors} a JOIN {CHANGES} c ON a.file_path = c.file_path AND a.commit_sha <> c.commit_sha QUALIFY place <= 2)"""
 
 
 def _changes(spark, d) -> DataFrame:
@@ -503,22 +535,18 @@ def _changes(spark, d) -> DataFrame:
 
 
 def _anchors(spark, d) -> DataFrame:
-    return _changes(spark, d).where("cast(commit_sha as bigint) % 500 = 7")
+    return A.plain_commits(spark, d).where("change_kind = 'error'").select(F.col("author").alias("file_path"), "commit_sha", "ts")
 
 
-@query(f"SELECT anchor_sha, file_path, commit_sha, ts, side, place::INTEGER AS place, 1::BIGINT AS touched_hunks FROM {NEIGHBOURS}")
+@query(f"SELECT anchor_sha, file_path, commit_sha, ts, side, place::INTEGER AS place, 1::BIGINT AS touched_hunks FROM {_neighbours_sql(CHANGES)}")
 def j13_j6_a1_u2_neighbours(spark, d):
-    return history.neighbours(_changes(spark, d), _anchors(spark, d), 2, 2)
-
-
-@query()
-def j13_j6_a1_u2_neighbours_whole(spark, d):
-    """The neighbours of every change, not of ANCHORS alone."""
+    """The neighbours of every change."""
     return history.neighbours(_changes(spark, d), _changes(spark, d), 2, 2)
 
 
-@query(f"SELECT commit_sha, anchor_sha FROM {NEIGHBOURS} WHERE commit_sha NOT IN (SELECT commit_sha FROM {ANCHORS}) QUALIFY row_number() OVER (PARTITION BY commit_sha ORDER BY anchor_sha, side, place) = 1")
+@query(f"SELECT commit_sha, anchor_sha FROM {_neighbours_sql(ANCHORS)} WHERE commit_sha NOT IN (SELECT commit_sha FROM {ANCHORS}) QUALIFY row_number() OVER (PARTITION BY commit_sha ORDER BY anchor_sha, side, place) = 1")
 def f14_u3_related_commits(spark, d):
+    """What happened around the changes of kind error, without these themselves."""
     return explain.related(_changes(spark, d), _anchors(spark, d)).select("commit_sha", "anchor_sha")
 
 
@@ -685,9 +713,11 @@ def w5_last_known_language(spark, d):
     return tables.last_known(rows, ["path"], "language", "doc_id")
 
 
-@query(f"SELECT DISTINCT hunk_id, symbol_kind, symbol_name, min({RANK}) OVER (PARTITION BY hunk_id, symbol_kind, symbol_name)::INTEGER AS best FROM {HUNK_SYMBOLS}")
+@query(f"""SELECT l_orderkey AS hunk_id, kind AS symbol_kind, name AS symbol_name, CASE max(l_linenumber) % 3 WHEN 1 THEN 'exact_span' WHEN 2 THEN 'hunk_header' ELSE 'file_fallback' END AS attribution_kind
+FROM lineitem JOIN {SYMBOLS} ON l_partkey = symbol_id GROUP BY l_orderkey, kind, name""")
 def w6_put_hunk_symbols(spark, d):
-    return A.hunk_symbols(spark, d).groupBy("hunk_id", "symbol_kind", "symbol_name").agg(F.min(symbols.attribution_rank(F.col("attribution_kind"))).alias("best"))
+    """Of rows that repeat a hunk's symbol the last one counts."""
+    return tables.put_hunk_symbols(A.hunk_symbols(spark, d, order=True), "ord").select("hunk_id", "symbol_kind", "symbol_name", "attribution_kind")
 
 
 @query("SELECT source AS repo_id, array_to_string(list(lang || '=' || n ORDER BY lang), ',') AS components FROM (SELECT source, lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY ALL) GROUP BY source")

@@ -1,14 +1,18 @@
 """How was something like this done before: hybrid retrieval as one plan.
 
-Up to five lanes rank hunks on narrow rows, each with a top-k; reciprocal rank
-fusion of at most 500 rows makes the pool; only the pool meets texts, commits
-and symbols.
+Up to five lanes rank hunks on narrow rows, each with a top-k, at the same time;
+reciprocal rank fusion of their few hundred rows makes the pool; only the pool
+meets texts, commits and symbols.  What leaves a lane is bounded by its top-k, so
+the driver holds LANES times that many narrow rows, whatever the corpus.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,9 +38,19 @@ class Corpus:
     head: TextIndex
     symbols: DataFrame
     hunk_symbols: DataFrame
+    #: hunk_id, file_path, language, ts: what lanes filter by; joined here if not stored
+    facts: DataFrame | None = None
 
+    def __post_init__(self) -> None:
+        if self.facts is None:
+            self.facts = self.hunks.select("hunk_id", "commit_id", "file_path", "language").join(self.commits.select("commit_id", "ts"), "commit_id").drop("commit_id")
 
-_TABLES = ("hunks", "commits", "vectors", "symbols", "hunk_symbols")
+
+class RebuildNeeded(RuntimeError):
+    """The index was made by an incompatible version."""
+
+
+_TABLES = ("hunks", "commits", "vectors", "symbols", "hunk_symbols", "facts")
 _INDEXES = ("text", "semantic", "head")
 
 
@@ -52,34 +66,50 @@ def load(spark: SparkSession, path: str) -> Corpus:
     return Corpus(**{n: spark.read.parquet(f"{path}/{n}") for n in _TABLES}, **{n: TextIndex.read(spark, f"{path}/{n}") for n in _INDEXES})
 
 
-def _facts(corpus: Corpus) -> DataFrame:
-    """hunk_id, language, ts: what lanes filter by."""
-    return corpus.hunks.select("hunk_id", "commit_id", "language").join(corpus.commits.select("commit_id", "ts"), "commit_id").drop("commit_id")
-
+def lanes(corpus: Corpus, query: str, vector: list[float] | None, enabled: tuple[str, ...], k: int, language: str | None = None, since: int | None = None, lenient: bool = True, strict: bool = True) -> dict[str, Callable[[], DataFrame]]:
+    """What makes each lane's ranked hits.  Full-text and symbol lanes filter before their top-k, the vector lane after.
 
-def lanes(corpus: Corpus, query: str, vector: list[float] | None, enabled: tuple[str, ...], k: int, language: str | None = None, since: int | None = None, lenient: bool = True) -> list[DataFrame]:
-    """The lanes' ranked hits.  Full-text and symbol lanes filter before their top-k, the vector lane after."""
-    facts = _facts(corpus)
-    fit = facts.where(knn.passes(language, since))
+    strict: similarities of full-text lanes as the engine we match has them,
+    falling with the strength of a match; otherwise they rise.
+    """
+    fit = corpus.facts.where(knn.passes(language, since))
     unfiltered = language is None and since is None
-    out = []
-    if "vec" in enabled and vector is not None:
-        near = knn.nearest(corpus.vectors, vector, k)
-        near = near.join(facts, "hunk_id")
-        out.append(ranking.lane(knn.filtered(near, language, since), 0, [F.col("distance"), F.col("hunk_id")], F.col("similarity")))
-    for ordinal, (name, index) in enumerate((("text", corpus.text), ("semantic", corpus.semantic)), 1):
-        if name in enabled:
-            hits = fulltext.search(index, query, lenient).withColumnRenamed("doc_id", "hunk_id")
-            hits = hits.join(fit.select("hunk_id"), "hunk_id", "left_semi").orderBy("score", "hunk_id").limit(k)
-            out.append(ranking.lane(hits, ordinal, [F.col("score"), F.col("hunk_id")], V.bm25_similarity(F.col("score"))))
-    if "historical_symbol" in enabled:
+    by_score = [F.col("score"), F.col("hunk_id")]
+
+    def vec() -> DataFrame:
+        near = F.broadcast(knn.nearest(corpus.vectors, vector, k))  # k rows
+        near = corpus.facts.join(near, "hunk_id")
+        return ranking.lane(knn.filtered(near, language, since), 0, [F.col("distance"), F.col("hunk_id")], F.col("similarity"))
+
+    def text(index: TextIndex, ordinal: int) -> DataFrame:
+        hits = fulltext.search(index, query, lenient).withColumnRenamed("doc_id", "hunk_id")
+        if not unfiltered:
+            hits = hits.join(fit.select("hunk_id"), "hunk_id", "left_semi")
+        return ranking.lane(hits.orderBy("score", "hunk_id").limit(k), ordinal, by_score, V.bm25_similarity(F.col("score"), strict))
+
+    def historical() -> DataFrame:
         hits = symbols.historical_symbol_hunks(corpus.hunk_symbols, fit.select("hunk_id", "ts"), query, k)
-        out.append(ranking.lane(hits, 3, [F.col("ord")], F.col("similarity")))
-    if "head_symbol" in enabled:
-        hunks = corpus.hunks if unfiltered else corpus.hunks.join(fit.select("hunk_id"), "hunk_id", "left_semi")
-        hits = symbols.head_symbol_hunks(corpus.head, corpus.symbols, hunks, query, k)
-        out.append(ranking.lane(hits, 4, [F.col("score"), F.col("hunk_id")], V.bm25_similarity(F.col("score"))))
-    return out
+        return ranking.lane(hits, 3, [F.col("ord")], F.col("similarity"))
+
+    def head() -> DataFrame:
+        hits = symbols.head_symbol_hunks(corpus.head, corpus.symbols, fit, query, k, lenient)
+        return ranking.lane(hits, 4, by_score, V.bm25_similarity(F.col("score"), strict))
+
+    made = {"vec": vec, "text": lambda: text(corpus.text, 1), "semantic": lambda: text(corpus.semantic, 2), "historical_symbol": historical, "head_symbol": head}
+    return {name: made[name] for name in LANES if name in enabled and (name != "vec" or vector is not None)}
+
+
+def _gathered(spark: SparkSession, made: dict[str, Callable[[], DataFrame]]) -> DataFrame:
+    """The lanes' rows, made at the same time; k a lane at most."""
+
+    schema = pa.schema([("lane", pa.int32()), ("rank", pa.int32()), ("hunk_id", pa.int64()), ("similarity", pa.float64())])
+
+    def rows(lane: Callable[[], DataFrame]) -> pa.Table:
+        return lane().select(*schema.names).toArrow().cast(schema)
+
+    with ThreadPoolExecutor(len(made)) as pool:
+        found = list(pool.map(rows, made.values()))
+    return spark.createDataFrame(pa.concat_tables(found)).coalesce(1)
 
 
 def find_pattern(
@@ -92,34 +122,43 @@ def find_pattern(
     since: int | None = None,
     rerank: bool = False,
     by_fusion: bool = False,
+    scorer: ranking.Scorer | None = None,
+    strict: bool = True,
+    verdict: str = "compatible",
+    extra: dict[str, Callable[[], DataFrame]] | None = None,
 ) -> DataFrame:
     """The k best hits, with their place.
 
     By default hits are ordered as the engine we match does, by the first
     lane's similarity weighed by age; with by_fusion by their fused score,
     weighed alike.  A language must be given to filter by it; a time named in the
-    query filters if none is given.
+    query filters if none is given.  scorer gives logits of (query, texts) in place of the
+    lexical one; strict is as for lanes(); extra are lanes beside the profile's, each making
+    rows of lane, rank, hunk_id and similarity.  A verdict of needs_rebuild is refused.
     """
+    if verdict == "needs_rebuild":
+        raise RebuildNeeded("the index has to be built again before it can be searched")
     parsed = intent.parse_query(query, now)
     profile = intent.PROFILES[parsed.intent]
     weights = profile.weights()
     since = parsed.since_unix if since is None else since
-    ranked = lanes(corpus, query, vector, profile.lanes, weights.lane_top_k, language, since)
-    if not ranked:
+    made = lanes(corpus, query, vector, profile.lanes, weights.lane_top_k, language, since, strict=strict) | (extra or {})
+    if not made:
         raise ValueError("no lane is enabled")
-    both = ranked[0]
-    for other in ranked[1:]:
-        both = both.unionByName(other)
-    pool = ranking.pool(ranking.fuse(both, weights.rrf_k), weights.rerank_top_k)
-    wide = F.broadcast(pool).join(corpus.hunks, "hunk_id").join(corpus.commits, "commit_id")  # 40 rows at most
+    spark = corpus.hunks.sparkSession
+    pool = ranking.pool(ranking.fuse(_gathered(spark, made), weights.rrf_k), weights.rerank_top_k)
+    few = pool.select("hunk_id", "rrf", "similarity", "pool_rank").toArrow()  # 40 rows at most
+    ids, pool = few.column("hunk_id").to_pylist(), spark.createDataFrame(few).coalesce(1)
+    own = corpus.hunks.where(F.col("hunk_id").isin(ids))
+    wide = F.broadcast(F.broadcast(pool).join(own, "hunk_id")).join(corpus.commits, "commit_id")
     if rerank:
-        wide = ranking.rerank_scores(wide, query)
+        wide = ranking.rerank_scores(wide, query, scorer=scorer)
     elif by_fusion:
         wide = wide.withColumn("similarity", F.col("rrf"))
     scored = ranking.weigh_by_age(wide, now, weights.recency_weight, weights.recency_half_life_days)
     top = scored.orderBy(F.desc("combined_score"), "pool_rank").limit(max(1, min(k, MOST_HITS)))
     excerpt, truncated = T.truncate_diff(F.col("diff_text"))
-    named = symbols.symbols_by_hunk(top, corpus.hunk_symbols)
+    named = symbols.symbols_by_hunk(top, corpus.hunk_symbols.where(F.col("hunk_id").isin(ids)))
     return named.select(
         "hunk_id",
         "commit_sha",

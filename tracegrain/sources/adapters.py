@@ -39,11 +39,11 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("symbol_id"), F.col("p_type").alias("kind"), F.col("p_name").alias("name"), F.col("p_brand").alias("sibling_names"), F.concat(F.lit("src"), (F.col("p_partkey") % 20).cast("string"), F.lit(".rs")).alias("file_path"))
 
 
-def hunk_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parts of a line item's order are the symbols of the hunk of that number."""
+def hunk_symbols(spark: SparkSession, sf_dir: str, order: bool = False) -> DataFrame:
+    """The parts of a line item's order are the symbols of the hunk of that number; with their order (ord) if asked for."""
     items = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("hunk_id"), F.col("l_partkey").alias("symbol_id"), F.col("l_linenumber"))
     kind = F.when(F.col("l_linenumber") % 3 == 1, "exact_span").when(F.col("l_linenumber") % 3 == 2, "hunk_header").otherwise("file_fallback")
-    return items.join(symbols(spark, sf_dir), "symbol_id").select("hunk_id", F.col("name").alias("symbol_name"), F.col("kind").alias("symbol_kind"), kind.alias("attribution_kind"))
+    return items.join(symbols(spark, sf_dir), "symbol_id").select("hunk_id", F.col("name").alias("symbol_name"), F.col("kind").alias("symbol_kind"), kind.alias("attribution_kind"), *([F.col("l_linenumber").alias("ord")] if order else []))
 
 
 def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:

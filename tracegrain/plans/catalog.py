@@ -761,21 +761,83 @@ def corpus(spark: SparkSession, d: str) -> retrieve.Corpus:
     return retrieve.Corpus(hunks, commits, A.vectors(spark, d), _text_index(spark, d), semantic, _head_index(spark, d), A.symbols(spark, d), A.hunk_symbols(spark, d))
 
 
-@query()
+SEMANTIC = f"(SELECT hunk_id, c.message || chr(10) || chr(10) || coalesce(diff_text, '') AS sem FROM {HUNKS} h JOIN {COMMITS} c USING (commit_id))"
+
+
+def _matches(rows: str, key: str, tokens: str, words: list[str]) -> str:
+    """key and score of the rows that hold all words."""
+    fs = ", ".join(f"count(*) FILTER (WHERE t = '{w}') AS f{i}" for i, w in enumerate(words))
+    score = " + ".join(f"greatest(ln((n - n{i} + 0.5) / (n{i} + 0.5)), 1e-6) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(words)))
+    return f"""(WITH d AS (SELECT {key}, {tokens} AS ts FROM {rows}), x AS (SELECT {key}, len(ts) AS dl, unnest(ts) AS t FROM d), st AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM d),
+fs AS (SELECT {key}, dl, {fs} FROM x GROUP BY ALL), ns AS (SELECT {", ".join(f"count(*) FILTER (WHERE f{i} > 0) AS n{i}" for i in range(len(words)))} FROM fs)
+SELECT {key}, -({score}) AS score FROM fs, ns, st WHERE {" AND ".join(f"f{i} > 0" for i in range(len(words)))})"""
+
+
+def _find_pattern_sql(text: str, k: int, pool: int, weight: float, similarity: str, where: str = "true", vector: bool = True) -> str:
+    """find_pattern in SQL: the lanes, their fusion, and the best of the pool with their facts."""
+    words = text.split()
+    facts = f"(SELECT hunk_id, file_path, language, ts FROM {HUNKS} JOIN {COMMITS} USING (commit_id))"
+    fit = f"(SELECT * FROM {facts} WHERE {where})"
+    near = f"(SELECT vec_id AS hunk_id, list_distance(embedding::DOUBLE[], {V_OF.format(7)}) AS distance FROM embeddings ORDER BY distance, vec_id LIMIT 100)"
+
+    def best(lane: int, matches: str) -> str:
+        top = f"(SELECT hunk_id, score FROM {matches} SEMI JOIN {fit} USING (hunk_id) ORDER BY score, hunk_id LIMIT 100)"
+        return f"SELECT {lane} AS lane, row_number() OVER (ORDER BY score, hunk_id) AS rank, hunk_id, 1 / (1 - score) AS similarity FROM {top}"
+
+    head = _matches(SYMBOLS, "symbol_id", f"{_tokens('kind')} || {_tokens('name')} || {_tokens('sibling_names')}", words)
+    head = f"(SELECT hunk_id, min(score) AS score FROM {fit} JOIN (SELECT file_path, score FROM {head} JOIN {SYMBOLS} USING (symbol_id)) USING (file_path) GROUP BY hunk_id)"
+    named = f"""(SELECT *, row_number() OVER (ORDER BY rank, ts DESC, hunk_id, symbol_name) AS ord FROM (SELECT hunk_id, symbol_name, ts, {RANK} AS rank FROM {HUNK_SYMBOLS} JOIN {fit} USING (hunk_id)
+WHERE lower(symbol_name) LIKE '%{text}%' ORDER BY rank, ts DESC, hunk_id, symbol_name LIMIT 100))"""
+    lanes = [
+        *([f"SELECT 0 AS lane, row_number() OVER (ORDER BY distance, hunk_id) AS rank, hunk_id, 1 / (1 + distance) AS similarity FROM {near} JOIN {fit} USING (hunk_id)"] if vector else []),
+        best(1, _matches(HUNKS, "hunk_id", _tokens("diff_text"), words)),
+        best(2, _matches(SEMANTIC, "hunk_id", _tokens("sem"), words)),
+        f"SELECT 3 AS lane, row_number() OVER (ORDER BY ord) AS rank, hunk_id, CASE r WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END AS similarity FROM (SELECT hunk_id, min(ord) AS ord, arg_min(rank, ord) AS r FROM {named} GROUP BY hunk_id)",
+        best(4, head),
+    ]
+    return f"""WITH l AS ({" UNION ALL ".join(f"(SELECT * FROM ({x}))" for x in lanes)}),
+fused AS (SELECT hunk_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, arg_min(similarity, lane * 1000 + rank) AS first_similarity, min(lane * 1000 + rank) AS first FROM l GROUP BY hunk_id),
+pool AS (SELECT *, row_number() OVER (ORDER BY rrf DESC, first, hunk_id) AS pool_rank FROM fused ORDER BY rrf DESC, first, hunk_id LIMIT {pool}),
+scored AS (SELECT *, {similarity} AS similarity, exp(-(greatest({NOW} - ts, 0) / 86400.0::DOUBLE) / 90.0::DOUBLE) AS recency FROM pool JOIN {HUNKS} h USING (hunk_id) JOIN {COMMITS} c USING (commit_id)),
+top AS (SELECT *, similarity * (1 + {weight}::DOUBLE * recency) AS combined FROM scored ORDER BY combined DESC, pool_rank LIMIT {k}),
+names AS (SELECT hunk_id, list(symbol_name ORDER BY {RANK}, symbol_name) AS ns FROM {HUNK_SYMBOLS} GROUP BY hunk_id)
+SELECT hunk_id, commit_sha, message AS commit_message, author AS commit_author, strftime(to_timestamp(ts) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') || '+00:00' AS commit_date, file_path, change_kind,
+len({_lines("coalesce(diff_text, '')")}) > 80 AS diff_truncated, coalesce(array_to_string(ns, ','), '') AS related_head_symbols, round(similarity, 9) AS similarity, round(recency, 9) AS recency_weight, round(combined, 9) AS combined_score, 'INFERRED' AS provenance
+FROM top LEFT JOIN names USING (hunk_id)"""
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    return found.drop("diff_excerpt").withColumns({"related_head_symbols": F.array_join("related_head_symbols", ","), **{c: r9(F.col(c)) for c in ("similarity", "recency_weight", "combined_score")}})
+
+
+@query(_find_pattern_sql("how did we fix the", 10, 20, 0.075, "first_similarity"))
 def find_pattern_hybrid(spark, d):
-    found = retrieve.find_pattern(corpus(spark, d), "how did we fix " + "the", NOW, list(_vector(spark, d, 7)), k=10)
-    return found.drop("diff_excerpt")
+    return _shown(retrieve.find_pattern(corpus(spark, d), "how did we fix " + "the", NOW, list(_vector(spark, d, 7)), k=10))
 
 
-@query()
+@query(_find_pattern_sql("the", 20, 20, 0.05, "first_similarity"))
+def find_pattern_all_lanes(spark, d):
+    """A word that hunks, messages, names and symbols hold."""
+    return _shown(retrieve.find_pattern(corpus(spark, d), "the", NOW, list(_vector(spark, d, 7)), k=20))
+
+
+@query(_find_pattern_sql(NAME, 20, 20, 0.05, "rrf"))
+def find_pattern_by_symbol(spark, d):
+    return _shown(retrieve.find_pattern(corpus(spark, d), NAME, NOW, list(_vector(spark, d, 7)), k=20, by_fusion=True))
+
+
+@query(_find_pattern_sql("thnd", 10, 20, 0.05, "rrf", f"language = 'en' AND ts >= {SINCE}"))
 def find_pattern_filtered(spark, d):
     found = retrieve.find_pattern(corpus(spark, d), "thnd", NOW, list(_vector(spark, d, 7)), k=10, language="en", since=SINCE, by_fusion=True)
-    return found.drop("diff_excerpt")
+    return _shown(found)
 
 
-@query()
+RERANKED = f"1 / (1 + exp(-(len(list_intersect(['thnd', 'erble'], {_tokens('h.diff_text')})) / 2::DOUBLE * 6 - 3)))"
+
+
+@query(_find_pattern_sql(WORDS, 10, 20, 0.05, RERANKED, vector=False))
 def find_pattern_reranked(spark, d):
-    return retrieve.find_pattern(corpus(spark, d), "thnd erble", NOW, k=10, rerank=True).drop("diff_excerpt")
+    return _shown(retrieve.find_pattern(corpus(spark, d), WORDS, NOW, k=10, rerank=True))
 
 
 @query("SELECT event_type, date_trunc('hour', ts)::VARCHAR AS hour, count(*) AS n FROM events GROUP BY ALL")

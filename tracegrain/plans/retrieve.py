@@ -109,7 +109,7 @@ def _gathered(spark: SparkSession, made: dict[str, Callable[[], DataFrame]]) ->
 
     with ThreadPoolExecutor(len(made)) as pool:
         found = list(pool.map(rows, made.values()))
-    return spark.createDataFrame(pa.concat_tables(found)).coalesce(1)
+    return spark.createDataFrame(pa.concat_tables(found).combine_chunks()).coalesce(1)  # an empty chunk would end the rows
 
 
 def find_pattern(
@@ -147,7 +147,7 @@ def find_pattern(
         raise ValueError("no lane is enabled")
     spark = corpus.hunks.sparkSession
     pool = ranking.pool(ranking.fuse(_gathered(spark, made), weights.rrf_k), weights.rerank_top_k)
-    few = pool.select("hunk_id", "rrf", "similarity", "pool_rank").toArrow()  # 40 rows at most
+    few = pool.select("hunk_id", "rrf", "similarity", "pool_rank").toArrow().combine_chunks()  # 40 rows at most
     ids, pool = few.column("hunk_id").to_pylist(), spark.createDataFrame(few).coalesce(1)
     own = corpus.hunks.where(F.col("hunk_id").isin(ids))
     wide = F.broadcast(F.broadcast(pool).join(own, "hunk_id")).join(corpus.commits, "commit_id")

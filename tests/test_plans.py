@@ -1,5 +1,6 @@
 import subprocess
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,12 +8,13 @@ from tracegrain.functions import vectors as V
 from tracegrain.operators import chunking, fulltext, ranking
 from tracegrain.operators.ignore import Layers
 from tracegrain.plans import catalog, explain, index, retrieve
-from tracegrain.sources import adapters, gitlog
+from tracegrain.sources import adapters, gitlog, parser
 from tracegrain.streaming import ingest
 
 DAY = 86400
 T0 = 1704067200  # 2024-01-01
 NOW = T0 + 182 * DAY  # 2024-07-01
+#: The acceptance set's history and queries.
 #: label, days after the start, message, file, language, diff
 HISTORY = [
     ("initial_skeleton_commit", 0, "initial: project skeleton", "src/fetch.rs", "rust", "+pub fn fetch() {}\n+pub struct Error;\n+pub fn lib() {}"),
@@ -142,23 +144,81 @@ def test_git_source_and_ingest(spark, repo, tmp_path):
     assert read(spark, repo, "commits", since=gitlog.first_commit(repo)).count() == 3
 
     made = index.Index(spark, str(tmp_path / "ix"))
-    made.ingest(commits, hunks)
+    walked = read(spark, repo, "commits")
+    images = read(spark, repo, "post_images")
+    asked = []
+
+    def embedder(texts, dim):
+        with open(tmp_path / "asked", "a") as f:
+            f.write("".join(f"{len(t)}\n" for t in texts))
+        return chunking.hashing_embedder(texts, dim)
+
+    report = made.ingest(walked, hunks, post_images=images, embedder=embedder, progress=lambda name, seconds: asked.append(name))
+    assert (report.commits, report.hunks, report.dead_letters) == (3, 3, 0) and "embed" in report.seconds and asked == list(report.seconds)
+    assert len((tmp_path / "asked").read_text().split()) == 3  # each text once
     assert made.table("commits", index.COMMITS).count() == 3  # the one that only locks is left out
-    assert made.bookmark == gitlog.head_sha(repo)
+    assert made.bookmark == gitlog.head_sha(repo) and made.status(walked)["commits_behind_head"] == 0
     rows = made.table("hunks", index.HUNKS)
     assert rows.count() == 3 and rows.where("size(diff_emb) = 384").count() == 3
-    made.ingest(commits, hunks)
-    assert made.table("hunks", index.HUNKS).count() == 3
+    assert {r.semantic_text.split("\n")[0] for r in rows.collect()} == {"fetch", "login"}  # the first symbol
+    assert {r.symbol_name for r in made.hunk_symbols().collect()} == {"fetch", "login"}
+    state = made._pointers()
+    again = made.ingest(walked, hunks, post_images=images)
+    assert again.commits == 0 and made._pointers() == state  # nothing new, nothing written
+    odd = spark.createDataFrame([("zz", None, False, "a", None, "no time", 9), ("c9", None, False, "a", T0 + 999 * DAY, "late by clock", 1)], "commit_sha string, parent_sha string, is_merge boolean, author string, ts long, message string, walk_ord long")
+    pieces = spark.createDataFrame([("c9", "b.rs", "rust", "added", "+fn b() {}"), ("c9", None, None, "added", "+x")], hunks.schema)
+    third = made.ingest(odd.unionByName(walked.select(*odd.columns)), pieces)
+    assert (third.commits, third.dead_letters) == (1, 2) and made.bookmark == gitlog.head_sha(repo)  # by walk, not by clock
+    assert made.commit("c9").count() == 1 and made.hunks_of("c9", "b.rs").count() == 1 and made.hunks_of("c9").count() == 1
+    assert {(r.path, r.language) for r in made.files().collect()} >= {("src.rs", "rust"), ("b.rs", "rust")}
+    sha = made.hunks_of(gitlog.first_commit(repo)).first().commit_sha
+    assert [r.touched_hunks for r in made.neighbours("src.rs", sha).collect()] == [1]
+
+    made.replace_symbols(parser.head_symbols(read(spark, repo, "head_files")))
     text, semantic = made.text_indexes()
     assert fulltext.search(semantic, "retry exponential").count() == 1 and fulltext.search(text, "login").count() == 1
-    assert made.latest().first().message == "add basic login"
+    vector = chunking.hashing_embedder(pd.Series(["retry with exponential backoff"]), index.DIM)[0].tolist()
+    best = retrieve.find_pattern(made.corpus(), "retry", NOW, vector, k=3, by_fusion=True, scorer=None).orderBy(F.desc("combined_score")).first()
+    assert best.commit_message == "add retry with exponential backoff" and best.related_head_symbols == ["fetch"]
+    logits = retrieve.find_pattern(made.corpus(), "login", NOW, vector, k=5, rerank=True, scorer=lambda q, texts: [9.0 if q in t else -9.0 for t in texts]).orderBy(F.desc("combined_score")).collect()
+    assert logits[0].commit_message == "add basic login" and logits[0].similarity > 0.99 and logits[-1].similarity < 0.01
+    with pytest.raises(retrieve.RebuildNeeded):
+        retrieve.find_pattern(made.corpus(), "retry", NOW, verdict="needs_rebuild")
+    assert retrieve.find_pattern(made.corpus(), "AND", NOW, vector, k=2).count() == 2  # a query that text lanes can't read
+    made.clear_symbols()
+    assert made.table("symbols", parser.SCHEMA).count() == 0
+    assert made.latest().first().message == "late by clock"
     made.put_metadata("r", {"schema": "4", "chunker_version": "1"}, 1)
     made.put_metadata("r", {"schema": "5"}, 2)
     assert made.metadata("r") == {"schema": "5", "chunker_version": "1"}
-    assert made.status(commits)["cache_rows"] == 3
+    assert made.status(commits)["cache_rows"] == 4
     with pytest.raises(ValueError):
-        index.drop(str(tmp_path), str(tmp_path))
-    index.drop(str(tmp_path / "ix"), str(tmp_path))
+        index.Index(spark, str(tmp_path)).drop(str(tmp_path))
+    made.drop(str(tmp_path))
+    assert not (tmp_path / "ix").exists()
+
+
+def test_parts_are_merged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "MOST_PARTS", 2)
+    made = index.Index(spark, str(tmp_path / "ix"))
+    for n in range(4):
+        commits = spark.createDataFrame([(f"c{n}", None, False, "a", T0 + n, "m")], "commit_sha string, parent_sha string, is_merge boolean, author string, ts long, message string")
+        report = made.ingest(commits, spark.createDataFrame([(f"c{n}", "a.rs", "rust", "added", f"+{n}")], "commit_sha string, file_path string, language string, change_kind string, diff_text string"))
+        assert report.seconds
+    assert len(made._pointers()["hunks"]) <= 2 and made.table("hunks", index.HUNKS).count() == made.table("commits", index.COMMITS).count() == 4
+
+
+def test_submodules_are_passed_over(spark, repo, tmp_path):
+    git = lambda *args: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *args], check=True, capture_output=True)
+    git("init", "-q")
+    (tmp_path / "a.rs").write_text("fn a() {}\n")
+    git("add", "-A")
+    git("update-index", "--add", "--cacheinfo", f"160000,{gitlog.head_sha(repo)},sub")
+    git("commit", "-q", "-m", "one")
+    spark.dataSource.register(gitlog.GitLog)
+    for table in ("head_files", "post_images", "hunks", "changed_paths"):
+        assert read(spark, str(tmp_path), table).count() == 1
+    assert parser.extract(None, None) == [] and parser.extract("a.rs", None) == []
 
 
 def test_streamed_ingest_is_idempotent(spark, tmp_path):

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
@@ -37,35 +36,39 @@ def chunk_symbols(symbols: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame
 
 
 def hashing_embedder(texts: pd.Series, dim: int) -> list[np.ndarray]:
-    """Unit vectors of hashed character trigrams: a stand-in for a model, the same everywhere."""
+    """Unit vectors of hashed byte trigrams: a stand-in for a model, the same everywhere."""
     out = []
     for text in texts:
-        raw = (text or "").lower().encode()
-        v = np.zeros(dim, np.float32)
-        for i in range(max(len(raw) - 2, 0)):
-            h = xxhash.xxh32_intdigest(raw[i : i + 3])
-            v[h % dim] += 1.0 if h & 0x80000000 else -1.0
+        raw = np.frombuffer((text or "").lower().encode(), np.uint8).astype(np.uint64)
+        h = (raw[:-2] << np.uint64(16) | raw[1:-1] << np.uint64(8) | raw[2:]) + np.uint64(1)
+        h = h * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+        signs = np.where(h & np.uint64(1 << 20), 1.0, -1.0)
+        v = np.bincount((h % np.uint64(dim)).astype(np.int64), weights=signs, minlength=dim).astype(np.float32)
         norm = float(np.linalg.norm(v))
         out.append(v / norm if norm else v)
     return out
 
 
 def embed(rows: DataFrame, text_col: str = "text", dim: int = 384, embedder=hashing_embedder) -> DataFrame:
-    """rows with diff_emb; the embedder gets a batch of texts, as large as Arrow's batches."""
+    """rows with diff_emb; the embedder gets (texts, dim), as many as Arrow's batches have, and gives a vector of dim for each."""
     schema = StructType([*rows.schema, StructField("diff_emb", ArrayType(FloatType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(diff_emb=[x.tolist() for x in embedder(pdf[text_col], dim)])
+            made = embedder(pdf[text_col], dim)
+            if len(made) != len(pdf) or any(len(v) != dim for v in made):
+                raise ValueError(f"an embedder gave {len(made)} vectors for {len(pdf)} texts, or one that has not {dim} numbers")
+            yield pdf.assign(diff_emb=[np.asarray(v, np.float32).tolist() for v in made])
 
     return rows.mapInPandas(run, schema)
 
 
-def embed_missing(inputs: DataFrame, cache: DataFrame, model: str, text_col: str = "text", dim: int = 384) -> tuple[DataFrame, DataFrame]:
+def embed_missing(inputs: DataFrame, cache: DataFrame, model: str, text_col: str = "text", dim: int = 384, embedder=hashing_embedder) -> tuple[DataFrame, DataFrame]:
     """Inputs with vectors, each distinct text embedded once, and the new rows of the cache."""
     from .tables import cache_lookup
 
     met, todo = cache_lookup(inputs, cache, model, text_col)
-    fresh = embed(todo, "text", dim).select("content_hash", F.lit(model).alias("embed_model"), "diff_emb")
+    fresh = embed(todo, "text", dim, embedder).select("content_hash", F.lit(model).alias("embed_model"), "diff_emb")
     filled = met.join(fresh.select("content_hash", F.col("diff_emb").alias("__new")), "content_hash", "left")
     return filled.withColumn("diff_emb", F.coalesce("diff_emb", "__new")).drop("__new"), fresh

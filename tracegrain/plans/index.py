@@ -1,34 +1,60 @@
 """Building and extending an index of parquet tables, and its state.
 
-Hunks are written before commits and commits before the bookmark, so an
-interrupted run is done again and never leaves a commit without its hunks.
+A batch writes its own folder of each table, and then one file that names all
+folders, so that it is there as a whole or not at all: an interrupted run leaves
+folders that nothing names and is done again.  What is indexed is not written
+again; a table is merged when it has MOST_PARTS folders.
 """
 
 from __future__ import annotations
 
 import json
-import shutil
+import time
 import uuid
-from pathlib import Path
+from collections.abc import Callable
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracegrain.functions import text as T
-from tracegrain.operators import chunking, tables
+from tracegrain.operators import chunking, history, symbols, tables
 from tracegrain.operators.fulltext import TextIndex
 from tracegrain.operators.ignore import Layers, kept_hunks
+from tracegrain.plans import retrieve
+from tracegrain.sources import parser
 
 MODEL, DIM = "hashed-trigrams", 384
 COMMITS = "commit_sha string, parent_sha string, is_merge boolean, author string, ts long, message string, ulid string"
 HUNKS = "commit_sha string, file_path string, language string, change_kind string, diff_text string, semantic_text string, diff_emb array<float>"
 CACHE = "content_hash string, embed_model string, diff_emb array<float>"
 META = "repo_id string, component string, version string, recorded_at long"
-FILES = "path string, language string"
+FILES = "path string, language string, ord long"
+HUNK_SYMBOLS = "hunk_id long, symbol_kind string, symbol_name string, attribution_kind string"
+DEAD = "commit_sha string, reason string"
+IGNORED = "commit_sha string"
+#: The tables that batches add to.
+SCHEMAS = {"commits": COMMITS, "hunks": HUNKS, "cache": CACHE, "files": FILES, "hunk_symbols": HUNK_SYMBOLS, "dead_letters": DEAD, "ignored": IGNORED}
+MOST_PARTS = 32
+
+
+@dataclass
+class Report:
+    """What a batch has done: counts, and seconds by phase."""
+
+    commits: int = 0
+    hunks: int = 0
+    dead_letters: int = 0
+    seconds: dict[str, float] = field(default_factory=dict)
+
+
+def hunk_id():
+    return F.xxhash64("commit_sha", "file_path")
 
 
 class Index:
-    """Tables under a folder.  Each write makes a new version of a table and then points to it."""
+    """Tables under a folder, each in parts that current.json names."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -38,61 +64,168 @@ class Index:
         where = jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
 
-    def _pointers(self) -> dict[str, str]:
+    def _pointers(self) -> dict:
         fs, where = self._fs(f"{self.path}/current.json")
         if not fs.exists(where):
             return {}
         return json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/current.json").collect()))
 
-    def _point(self, **changed: str) -> None:
+    def _point(self, **changed) -> None:
         fs, where = self._fs(f"{self.path}/current.json")
         raw = json.dumps(self._pointers() | changed).encode()
         out = fs.create(where, True)
         out.write(raw)
         out.close()
 
+    def _delete(self, path: str) -> None:
+        fs, where = self._fs(path)
+        fs.delete(where, True)
+
     def table(self, name: str, schema: str) -> DataFrame:
-        version = self._pointers().get(name)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/{version}") if version else self.spark.createDataFrame([], schema)
+        parts = self._pointers().get(name) or []
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{name}/{part}" for part in parts]) if parts else self.spark.createDataFrame([], schema)
+
+    def _write(self, name: str, rows: DataFrame) -> str:
+        part = uuid.uuid4().hex
+        rows.write.parquet(f"{self.path}/{name}/{part}")
+        return part
 
     def put(self, name: str, rows: DataFrame) -> None:
-        version = uuid.uuid4().hex
-        rows.write.parquet(f"{self.path}/{name}/{version}")
-        self._point(**{name: version})
+        """Rows in place of a table's; the old parts go."""
+        old = self._pointers().get(name) or []
+        self._point(**{name: [self._write(name, rows)]})
+        for part in old:
+            self._delete(f"{self.path}/{name}/{part}")
 
     @property
     def bookmark(self) -> str | None:
+        """The commit that was walked last."""
         return self._pointers().get("bookmark")
 
-    def ingest(self, commits: DataFrame, hunks: DataFrame, layers: Layers | None = None, embed_mode: str = "semantic") -> None:
-        """Index the commits that are not yet known.
+    def _known(self) -> DataFrame:
+        """commit_sha of what is indexed, and of what was looked at and left out."""
+        return self.table("commits", COMMITS).select("commit_sha").unionByName(self.table("ignored", IGNORED))
+
+    def ingest(
+        self,
+        commits: DataFrame,
+        hunks: DataFrame,
+        layers: Layers | None = None,
+        embed_mode: str = "semantic",
+        post_images: DataFrame | None = None,
+        embedder: Callable = chunking.hashing_embedder,
+        progress: Callable[[str, float], None] | None = None,
+    ) -> Report:
+        """Index the commits that are not yet known; nothing is written if there are none.
 
-        commits: commit_sha, parent_sha, is_merge, author, ts, message;
-        hunks: commit_sha, file_path, language, change_kind, diff_text.
+        commits: commit_sha, parent_sha, is_merge, author, ts, message, and walk_ord
+        if their order is to be other than that of ts; hunks: commit_sha, file_path,
+        language, change_kind, diff_text; post_images: commit_sha, path, source, whose
+        symbols are attributed to the hunks of their files.  Commits without a sha or
+        a time, and hunks without a path, become dead letters and stop nothing.
         embed_mode: semantic (the text with its message), diff (the diff alone),
         or off (semantic, without the cache).
         """
+        report = Report()
+
+        @contextmanager
+        def phase(name: str):
+            began = time.time()
+            yield
+            report.seconds[name] = time.time() - began
+            if progress:
+                progress(name, report.seconds[name])
+
         layers = layers or Layers()
-        known = self.table("commits", COMMITS)
-        new = tables.missing(commits, known, ["commit_sha"])
-        own = hunks.join(new.select("commit_sha"), "commit_sha", "left_semi")
-        kept, emptied = kept_hunks(own, layers)
-        new = new.join(emptied, "commit_sha", "left_anti")
-        rows = kept.join(new.select("commit_sha", "message"), "commit_sha").withColumn("semantic_text", T.semantic_text(F.col("message"), F.col("diff_text")))
-        source = "diff_text" if embed_mode == "diff" else "semantic_text"
-        cache = self.table("cache", CACHE)
-        filled, fresh = chunking.embed_missing(rows, cache if embed_mode != "off" else cache.limit(0), MODEL, source, DIM)
-        old = self.table("hunks", HUNKS)
-        self.put("hunks", tables.replace_by_key(old, filled.select(*old.columns), ["commit_sha"]))
-        if embed_mode != "off":
-            self.put("cache", tables.insert_or_ignore(cache, fresh, ["content_hash", "embed_model"]))
-        files = self.table("files", FILES).select("path", "language", F.lit(0).alias("ord")).unionByName(kept.select(F.col("file_path").alias("path"), "language", F.lit(1).alias("ord")))
-        self.put("files", tables.last_known(files, ["path"], "language", "ord"))
-        stamped = new.withColumn("ulid", T.ulid(F.col("ts"), F.col("commit_sha"))).select(*known.columns)
-        self.put("commits", tables.replace_by_key(known, stamped, ["commit_sha"]))
-        last = commits.orderBy(F.desc("ts"), F.desc("commit_sha")).limit(1).collect()
-        if last:
-            self._point(bookmark=last[0].commit_sha)
+        with phase("scan"):
+            good = F.col("commit_sha").isNotNull() & F.col("ts").isNotNull()
+            fresh = tables.missing(commits.where(good), self._known(), ["commit_sha"]).dropDuplicates(["commit_sha"])
+            walked = F.col("walk_ord") if "walk_ord" in commits.columns else F.lit(0)
+            last = commits.where(good).agg(F.max_by("commit_sha", F.struct(walked.alias("w"), "ts", "commit_sha")).alias("sha"), F.count("*").alias("n")).first()
+            bad = commits.where(~good).select("commit_sha", F.lit("commit without sha or time").alias("reason"))
+            bad = bad.unionByName(hunks.where("file_path is null").select("commit_sha", F.lit("hunk without path").alias("reason")))
+            bad = tables.missing(bad.where("commit_sha is not null"), self.table("dead_letters", DEAD), ["commit_sha", "reason"]).distinct()
+            if not fresh.limit(1).count():
+                if last.sha and last.sha != self.bookmark:
+                    self._point(bookmark=last.sha)
+                return report
+        parts: dict[str, str] = {}
+        with phase("filter"):
+            new = self._staged(parts, "seen", fresh.drop("walk_ord"))
+            own = hunks.where("file_path is not null").join(new.select("commit_sha"), "commit_sha", "left_semi")
+            kept, emptied = kept_hunks(own, layers)
+            parts["ignored"] = self._write("ignored", emptied.join(new.select("commit_sha"), "commit_sha", "left_semi").select("commit_sha"))
+            new = new.join(self._part("ignored", parts["ignored"]), "commit_sha", "left_anti")
+        with phase("parse"):
+            named = self._staged(parts, "parsed", symbols_of(post_images.join(new.select("commit_sha"), "commit_sha", "left_semi"))) if post_images is not None else None
+        with phase("embed"):
+            first = named.groupBy("commit_sha", "file_path").agg(F.min_by("name", "span_start").alias("first_symbol")) if named is not None else None
+            rows = kept.join(new.select("commit_sha", "message"), "commit_sha")
+            rows = rows.join(first, ["commit_sha", "file_path"], "left") if first is not None else rows.withColumn("first_symbol", F.lit(None).cast("string"))
+            rows = rows.withColumn("semantic_text", T.semantic_text(F.coalesce("message", F.lit("")), F.coalesce("diff_text", F.lit("")), F.col("first_symbol")))
+            rows = rows.withColumn("embedded", F.coalesce("diff_text", F.lit("")) if embed_mode == "diff" else F.col("semantic_text"))
+            columns = [c.split()[0] for c in HUNKS.split(", ")]
+            cache = self.table("cache", CACHE)
+            todo = tables.cache_lookup(rows, cache if embed_mode != "off" else cache.limit(0), MODEL, "embedded")[1]
+            made = chunking.embed(todo, "text", DIM, embedder).select("content_hash", F.lit(MODEL).alias("embed_model"), "diff_emb")
+            parts["cache"] = self._write("cache", made)  # each text is embedded once, here
+            vectors = cache.unionByName(self._part("cache", parts["cache"])).where(F.col("embed_model") == MODEL)
+            filled = rows.withColumn("content_hash", F.sha2("embedded", 256)).join(vectors.select("content_hash", "diff_emb"), "content_hash", "left")
+            if embed_mode == "off":
+                parts["unkept"] = parts.pop("cache")
+        with phase("write"):
+            parts["hunks"] = self._write("hunks", filled.select(*columns))
+            stored = self._part("hunks", parts["hunks"])
+            parts["files"] = self._write("files", stored.select(F.col("file_path").alias("path"), "language").distinct().withColumn("ord", F.lit(time.time_ns())))
+            if named is not None:
+                met = symbols.live_attribution(stored.select(hunk_id().alias("hunk_id"), F.concat_ws("\0", "commit_sha", "file_path").alias("file_path")), named.withColumn("file_path", F.concat_ws("\0", "commit_sha", "file_path")))
+                parts["hunk_symbols"] = self._write("hunk_symbols", met)
+            parts["dead_letters"] = self._write("dead_letters", bad)
+            stamped = new.withColumn("ulid", T.ulid(F.col("ts"), F.col("commit_sha"))).select(*[c.split()[0] for c in COMMITS.split(", ")])
+            parts["commits"] = self._write("commits", stamped)
+            report.commits, report.hunks, report.dead_letters = (self._part(name, parts[name]).count() for name in ("commits", "hunks", "dead_letters"))
+        with phase("publish"):
+            temporary = {name: parts.pop(name) for name in ("seen", "parsed", "unkept") if name in parts}
+            held = self._pointers()
+            self._point(bookmark=last.sha, **{name: [*(held.get(name) or []), part] for name, part in parts.items()})
+            for name, part in temporary.items():
+                self._delete(f"{self.path}/{'cache' if name == 'unkept' else name}/{part}")
+            self._merge_many()
+        return report
+
+    def _part(self, name: str, part: str) -> DataFrame:
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}/{part}")
+
+    def _staged(self, parts: dict[str, str], name: str, rows: DataFrame) -> DataFrame:
+        parts[name] = self._write(name, rows)
+        return self.spark.read.schema(rows.schema).parquet(f"{self.path}/{name}/{parts[name]}")
+
+    def _merge_many(self) -> None:
+        for name, parts in self._pointers().items():
+            if name in SCHEMAS and len(parts) > MOST_PARTS:
+                self.put(name, self.table(name, SCHEMAS[name]))
+
+    # --- Lookups ---
+
+    def commit(self, sha: str) -> DataFrame:
+        return self.table("commits", COMMITS).where(F.col("commit_sha") == sha)
+
+    def hunks_of(self, sha: str, file: str | None = None) -> DataFrame:
+        own = self.table("hunks", HUNKS).where(F.col("commit_sha") == sha)
+        return own if file is None else own.where(F.col("file_path") == file)
+
+    def files(self) -> DataFrame:
+        """path and its last known language."""
+        return tables.last_known(self.table("files", FILES), ["path"], "language", "ord")
+
+    def neighbours(self, file: str, sha: str, before: int = 2, after: int = 2) -> DataFrame:
+        """Indexed commits of a file around one of them."""
+        own = self.table("hunks", HUNKS).where(F.col("file_path") == file).join(self.table("commits", COMMITS).select("commit_sha", "ts"), "commit_sha")
+        changes = own.select("file_path", "commit_sha", "ts")
+        return history.neighbours(changes, changes.where(F.col("commit_sha") == sha), before, after)
+
+    def hunk_symbols(self) -> DataFrame:
+        return self.table("hunk_symbols", HUNK_SYMBOLS)
 
     def put_metadata(self, repo: str, components: dict[str, str], now: int) -> None:
         """Record components; those not named stay."""
@@ -104,28 +237,67 @@ class Index:
         found = tables.metadata_map(self.table("metadata", META).where(F.col("repo_id") == repo)).collect()
         return dict(found[0].components) if found else {}
 
-    def replace_symbols(self, symbols: DataFrame) -> None:
-        self.put("symbols", symbols)
+    def replace_symbols(self, rows: DataFrame) -> None:
+        """The symbols at HEAD, as parser.head_symbols has them, in place of all there were."""
+        self.put("symbols", rows.select(*[c.split()[0] for c in parser.SCHEMA.split(", ")]))
+
+    def clear_symbols(self) -> None:
+        self.put("symbols", self.spark.createDataFrame([], parser.SCHEMA))
+
+    # --- Search ---
+
+    def corpus(self) -> retrieve.Corpus:
+        """What retrieve.find_pattern searches; made once for each state of the tables and read again after."""
+        held = self._pointers()
+        state = {name: held.get(name) for name in ("hunks", "commits", "symbols", "hunk_symbols")}
+        if held.get("corpus_of") != state:
+            rows = self.table("hunks", HUNKS).withColumn("hunk_id", hunk_id()).withColumn("commit_id", F.xxhash64("commit_sha"))
+            commits = self.table("commits", COMMITS).select(F.xxhash64("commit_sha").alias("commit_id"), "commit_sha", "ts", "author", "message")
+            head = self.table("symbols", parser.SCHEMA).select(F.xxhash64("file_path", "name", "span_start").alias("symbol_id"), "kind", "name", F.lit("").alias("sibling_names"), "file_path")
+            own = retrieve.Corpus(
+                rows.select("hunk_id", "commit_id", "file_path", "language", "change_kind", "diff_text"),
+                commits,
+                rows.select("hunk_id", F.col("diff_emb").alias("vector")),
+                TextIndex.build(rows, "hunk_id", ["diff_text"]),
+                TextIndex.build(rows, "hunk_id", ["semantic_text"]),
+                TextIndex.build(head, "symbol_id", ["kind", "name", "sibling_names"]),
+                head,
+                self.hunk_symbols(),
+            )
+            part = uuid.uuid4().hex
+            retrieve.save(own, f"{self.path}/corpus/{part}")
+            self._point(corpus=part, corpus_of=state)
+            if held.get("corpus"):
+                self._delete(f"{self.path}/corpus/{held['corpus']}")
+        return retrieve.load(self.spark, f"{self.path}/corpus/{self._pointers()['corpus']}")
 
     def text_indexes(self) -> tuple[TextIndex, TextIndex]:
         """Postings over the diffs and over the semantic texts."""
-        rows = self.table("hunks", HUNKS).withColumn("hunk_id", F.xxhash64("commit_sha", "file_path"))
-        return TextIndex.build(rows, "hunk_id", ["diff_text"]), TextIndex.build(rows, "hunk_id", ["semantic_text"])
+        made = self.corpus()
+        return made.text, made.semantic
 
     def latest(self) -> DataFrame:
         """The commit with the largest ULID."""
         return self.table("commits", COMMITS).where("ulid != ''").orderBy(F.desc("ulid")).limit(1)
 
     def status(self, commits: DataFrame) -> dict[str, object]:
-        """bookmark, commits that are not indexed, and what the cache holds."""
-        behind = tables.missing(commits, self.table("commits", COMMITS), ["commit_sha"]).count()
+        """bookmark, commits that were never looked at, and what the cache holds."""
+        behind = tables.missing(commits, self._known(), ["commit_sha"]).count()
         stats = tables.cache_stats(self.table("cache", CACHE)).first()
         return {"last_indexed_commit": self.bookmark, "commits_behind_head": behind, "cache_rows": stats.rows, "cache_bytes": stats.bytes}
 
+    def drop(self, home: str) -> None:
+        """Delete the index folder, if it is below home and not home itself."""
+        fs, where = self._fs(self.path)
+        top = self._fs(home)[1]
+        here, above = (fs.makeQualified(x).toString().rstrip("/") for x in (where, top))
+        if here == above or not here.startswith(above + "/") or ".." in self.path.split("/"):
+            raise ValueError(f"{here} is not below {above}")
+        fs.delete(where, True)
+
 
-def drop(path: str, home: str) -> None:
-    """Delete an index folder, if it is below home and not home itself."""
-    where, top = Path(path).resolve(), Path(home).resolve()
-    if top == where or top not in where.parents:
-        raise ValueError(f"{where} is not below {top}")
-    shutil.rmtree(where)
+def symbols_of(post_images: DataFrame) -> DataFrame:
+    """commit_sha, file_path and the symbols of the files that commits (commit_sha, path, source) have left."""
+    files = post_images.select(F.concat_ws(":", "commit_sha", "path").alias("file_path"), "source")
+    found = parser.head_symbols(files).withColumn("commit_sha", F.substring_index("file_path", ":", 1))
+    return found.select("commit_sha", F.expr("substring(file_path, length(commit_sha) + 2)").alias("file_path"), "kind", "name", "span_start")

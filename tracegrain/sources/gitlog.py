@@ -80,7 +80,8 @@ class GitLogReader(DataSourceReader):
         if self.table == "blame":
             return [Range([self.file])]
         if self.table == "head_files":
-            names = git(self.repo, "ls-tree", "-r", "--name-only", "-z", "HEAD").decode().split("\0")[:-1]
+            entries = [e.split("\t", 1) for e in git(self.repo, "ls-tree", "-r", "-z", "HEAD").decode("utf-8", "surrogateescape").split("\0")[:-1]]
+            names = [name for facts, name in entries if facts.split()[1] == "blob"]  # a submodule is a commit
         else:
             names = git(self.repo, "rev-list", "--topo-order", "--reverse", "HEAD", *([f"^{self.since}"] if self.since else [])).decode().split()
         numbered = list(enumerate(names))
@@ -101,7 +102,7 @@ class GitLogReader(DataSourceReader):
         return parents[0] if parents else ROOT
 
     def _changes(self, sha: str) -> list[tuple[str, str]]:
-        fields = git(self.repo, "diff", "--name-status", "-M50%", "-z", self._base(sha), sha).decode("utf-8", "replace").split("\0")[:-1]
+        fields = git(self.repo, "diff", "--ignore-submodules=all", "--name-status", "-M50%", "-z", self._base(sha), sha).decode("utf-8", "replace").split("\0")[:-1]
         out, i = [], 0
         while i < len(fields):
             moved = fields[i][0] in "RC"

@@ -44,7 +44,7 @@ def _braced_end(source: str, at: int) -> int:
 
 def extract(path: str, source: str) -> list[tuple[str, str, int, int]]:
     """(kind, name, start, end) in characters; where two patterns name a span, methods and classes stay."""
-    language = PARSED.get(path.rsplit(".", 1)[-1]) if "." in path else None
+    language = PARSED.get(path.rsplit(".", 1)[-1]) if path and source and "." in path else None
     found: dict[tuple[int, int, str], str] = {}
     if language == "python":
         for m in _PYTHON.finditer(source):
@@ -71,7 +71,11 @@ def head_symbols(files: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for r in pdf.itertuples():
-                for kind, name, start, end in extract(r.file_path, r.source):
+                try:
+                    found = extract(r.file_path, r.source)
+                except (TypeError, ValueError, RecursionError):
+                    continue
+                for kind, name, start, end in found:
                     first = r.source.count("\n", 0, start) + 1
                     span = len(r.source[:start].encode()), len(r.source[:end].encode())
                     rows.append((r.file_path, PARSED[r.file_path.rsplit(".", 1)[-1]], kind, name, *span, first, first + r.source.count("\n", start, max(end - 1, start)), r.blob_sha, r.source[start:end]))

@@ -3,7 +3,11 @@ from pyspark.sql import functions as F
 
 from tracegrain.functions import compatibility, intent
 from tracegrain.functions import text as T
+from tracegrain.functions import vectors as V
+from tracegrain.functions.counters import Counters
+from tracegrain.functions.held import Held
 from tracegrain.functions.session import resources
+from tracegrain.operators import tables
 
 
 def one(spark, *columns):
@@ -74,3 +78,45 @@ def test_compatibility():
 def test_resources():
     assert resources(8) == {"commit_batch": 256, "threads": 8, "embed_batch": 128}
     assert resources(4, "conservative") == {"commit_batch": 64, "threads": 2, "embed_batch": 32}
+
+
+def test_held_values():
+    now, gone, made = [0.0], [], []
+    held = Held(2, 5.0, gone=gone.append, clock=lambda: now[0])
+
+    def get(key):
+        return held.get(key, lambda: made.append(key) or key)
+
+    assert [get(k) for k in "aba"] == ["a", "b", "a"] and made == ["a", "b"]
+    get("c")  # b was used longest ago
+    assert gone == ["b"] and len(held) == 2
+    now[0] = 5.0
+    get("a")
+    now[0] = 5.1
+    get("a")  # too old
+    assert made == ["a", "b", "c", "a"] and gone == ["b", "a"]
+    held.drop("c")
+    held.drop("none")
+    assert gone == ["b", "a", "c"] and len(held) == 1
+
+
+def test_counters(spark):
+    counted = Counters()
+    with counted.timed("knn") as rows:
+        rows.append(3)
+    with pytest.raises(ValueError), counted.timed("knn"):
+        raise ValueError
+    counted.record("text", 7, 2)
+    told = counted.snapshot()
+    assert told["knn"][0] == 2 and told["knn"][2] == 3 and told["text"] == (1, 7, 2)
+    twice = tables.method_metrics(counted.table(spark).unionByName(counted.table(spark)))
+    assert {r.method: (r.calls, r.rows) for r in twice.collect()} == {"knn": (4, 6), "text": (2, 4)}
+    assert tables.method_metrics(Counters().table(spark)).count() == 0
+
+
+def test_vector_codec(spark):
+    rows = spark.createDataFrame([(1, [1.0, -0.5]), (2, []), (3, None)], "id int, v array<float>")
+    coded = rows.withColumn("raw", V.to_bytes(F.col("v")))
+    assert bytes(coded.where("id = 1").first().raw) == b"\x00\x00\x80\x3f\x00\x00\x00\xbf"
+    assert [r.back for r in coded.select("id", V.from_bytes(F.col("raw")).alias("back")).orderBy("id").collect()] == [[1.0, -0.5], [], None]
+    assert spark.range(1).select(V.from_bytes(F.unhex(F.lit("0000803f00"))).alias("v")).first().v == [1.0]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracegrain.functions import vectors as V
 from tracegrain.operators import chunking, fulltext, ranking
 from tracegrain.operators.ignore import Layers
-from tracegrain.plans import catalog, explain, index, retrieve
+from tracegrain.plans import catalog, explain, index, retrieve, service
 from tracegrain.sources import adapters, gitlog, parser
 from tracegrain.streaming import ingest
 
@@ -155,8 +155,8 @@ def test_git_source_and_ingest(spark, repo, tmp_path):
 
     report = made.ingest(walked, hunks, post_images=images, embedder=embedder, progress=lambda name, seconds: asked.append(name))
     assert (report.commits, report.hunks, report.dead_letters) == (3, 3, 0) and "embed" in report.seconds and asked == list(report.seconds)
-    assert len((tmp_path / "asked").read_text().split()) == 3  # each text once
-    assert made.table("commits", index.COMMITS).count() == 3  # the one that only locks is left out
+    assert len((tmp_path / "asked").read_text().split()) == 6  # each text and each message once
+    assert made.commits().where("size(message_emb) = 384").count() == 3  # the one that only locks is left out
     assert made.bookmark == gitlog.head_sha(repo) and made.status(walked)["commits_behind_head"] == 0
     rows = made.table("hunks", index.HUNKS)
     assert rows.count() == 3 and rows.where("size(diff_emb) = 384").count() == 3
@@ -180,6 +180,17 @@ def test_git_source_and_ingest(spark, repo, tmp_path):
     vector = chunking.hashing_embedder(pd.Series(["retry with exponential backoff"]), index.DIM)[0].tolist()
     best = retrieve.find_pattern(made.corpus(), "retry", NOW, vector, k=3, by_fusion=True, scorer=None).orderBy(F.desc("combined_score")).first()
     assert best.commit_message == "add retry with exponential backoff" and best.related_head_symbols == ["fetch"]
+    asking = service.Service(made)
+    first, second = (asking.find_pattern("retry", NOW, k=3, by_fusion=True).orderBy(F.desc("combined_score")).first() for _ in range(2))
+    assert first == second and first.commit_message == "add retry with exponential backoff"
+    told = asking.counters.snapshot()
+    assert told["lane_vec"][0] == told["pool"][0] == 2 and told["lane_vec"][2] > 0 and len(asking._vectors) == 1
+    behind, meta = asking.explain_change(repo, "src.rs", 1, 3)
+    assert [r.commit_message for r in behind.collect()] == ["add retry with exponential backoff", "initial fetch"] and meta.first().blame_coverage == 1.0
+    assert asking.blame(repo, "src.rs") is asking.blame(repo, "src.rs")
+    assert asking.status(walked) is asking.status(walked) and asking.metadata("none") == {}
+    asking.changed()
+    assert asking.status(walked)["commits_behind_head"] == 0 and asking.counters.snapshot()["get_index_status"][0] == 2
     logits = retrieve.find_pattern(made.corpus(), "login", NOW, vector, k=5, rerank=True, scorer=lambda q, texts: [9.0 if q in t else -9.0 for t in texts]).orderBy(F.desc("combined_score")).collect()
     assert logits[0].commit_message == "add basic login" and logits[0].similarity > 0.99 and logits[-1].similarity < 0.01
     with pytest.raises(retrieve.RebuildNeeded):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,3 +32,23 @@ def bm25_similarity(score: Column, strict: bool = True) -> Column:
     values; otherwise strength s = -score gives s / (1 + s).
     """
     return F.lit(1.0) / (F.lit(1.0) - score) if strict else -score / (F.lit(1.0) - score)
+
+
+def to_bytes(vector: Column) -> Column:
+    """A vector as little-endian 32-bit floats, for stores that keep vectors so; null stays null."""
+
+    @F.pandas_udf("binary")
+    def encode(column: pd.Series) -> pd.Series:
+        return column.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+    return encode(vector)
+
+
+def from_bytes(raw: Column) -> Column:
+    """The vector that to_bytes has written; bytes after its last whole number are passed over."""
+
+    @F.pandas_udf("array<float>")
+    def decode(column: pd.Series) -> pd.Series:
+        return column.map(lambda b: None if b is None else np.frombuffer(b, "<f4", len(b) // 4))
+
+    return decode(raw)

@@ -55,6 +55,11 @@ def cache_stats(cache: DataFrame) -> DataFrame:
     return cache.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("diff_emb").cast("long") * 4), F.lit(0)).alias("bytes"))
 
 
+def method_metrics(snapshots: DataFrame) -> DataFrame:
+    """calls, elapsed_us and rows by method, over the snapshots (the same columns) of all drivers."""
+    return snapshots.groupBy("method").agg(*[F.sum(c).alias(c) for c in ("calls", "elapsed_us", "rows")])
+
+
 def metadata_map(rows: DataFrame) -> DataFrame:
     """repo_id and a map of its components."""
     return rows.groupBy("repo_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("component", "version")))).alias("components"))

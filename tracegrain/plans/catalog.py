@@ -444,6 +444,12 @@ def a2_cache_stats(spark, d):
     return tables.cache_stats(A.read(spark, d, "embeddings").withColumnRenamed("embedding", "diff_emb"))
 
 
+@query("SELECT event_type AS method, count(*) AS calls, CAST(sum(CAST(floor(value * 1000) AS BIGINT)) AS BIGINT) AS elapsed_us, CAST(sum(user_id) AS BIGINT) AS rows FROM events GROUP BY event_type")
+def a16_a17_method_metrics(spark, d):
+    events = A.read(spark, d, "events")
+    return tables.method_metrics(events.select(F.col("event_type").alias("method"), F.lit(1).cast("long").alias("calls"), F.floor(F.col("value") * 1000).alias("elapsed_us"), F.col("user_id").alias("rows")))
+
+
 @query("SELECT count(*) > 0 AS seen FROM documents WHERE sha256(text) = (SELECT sha256(text) FROM documents WHERE doc_id = 5)")
 def a3_blob_seen(spark, d):
     docs = A.read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
@@ -646,10 +652,15 @@ def x13_estimate_tokens(spark, d):
     return A.read(spark, d, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT 'f' || p_partkey % 20 AS file_path, p_type AS kind, p_name AS name, CAST(p_partkey AS INTEGER) AS span_start, CAST(p_partkey + 10 AS INTEGER) AS span_end, p_size * 20 // 4 AS t,
+    row_number() OVER (PARTITION BY p_partkey % 20 ORDER BY p_partkey, p_name) AS n FROM part),
+  w AS (SELECT file_path, n, t AS tokens, 1 AS chunk FROM s WHERE n = 1 UNION ALL
+    SELECT s.file_path, s.n, CASE WHEN w.tokens + s.t <= 500 THEN w.tokens + s.t ELSE s.t END, CASE WHEN w.tokens + s.t <= 500 THEN w.chunk ELSE w.chunk + 1 END FROM w JOIN s ON s.file_path = w.file_path AND s.n = w.n + 1)
+SELECT file_path, arg_min(kind, n) AS kind, arg_min(name, n) AS name, array_to_string(list(name ORDER BY n)[2:], '|') AS sibling_names, min(span_start) AS span_start, arg_max(span_end, n) AS span_end, CAST(max(tokens) AS INTEGER) AS tokens
+FROM s JOIN w USING (file_path, n) GROUP BY file_path, chunk""")
 def x14_chunk_symbols(spark, d):
     rows = A.read(spark, d, "part").select(F.concat(F.lit("f"), (F.col("p_partkey") % 20).cast("string")).alias("file_path"), F.col("p_type").alias("kind"), F.col("p_name").alias("name"), F.col("p_partkey").cast("int").alias("span_start"), (F.col("p_partkey") + 10).cast("int").alias("span_end"), (F.col("p_size") * 20).alias("n_chars"))
-    return chunking.chunk_symbols(rows)
+    return chunking.chunk_symbols(rows).withColumn("sibling_names", F.array_join("sibling_names", "|"))
 
 
 @query("SELECT doc_id, substr(sha256(encode(CAST(doc_id AS VARCHAR)) || '\\x00'::BLOB || encode(source)), 1, 32) AS repo_id FROM documents")

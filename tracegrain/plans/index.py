@@ -26,7 +26,7 @@ from tracegrain.plans import retrieve
 from tracegrain.sources import parser
 
 MODEL, DIM = "hashed-trigrams", 384
-COMMITS = "commit_sha string, parent_sha string, is_merge boolean, author string, ts long, message string, ulid string"
+COMMITS = "commit_sha string, parent_sha string, is_merge boolean, author string, ts long, message string, ulid string, message_emb array<float>"
 HUNKS = "commit_sha string, file_path string, language string, change_kind string, diff_text string, semantic_text string, diff_emb array<float>"
 CACHE = "content_hash string, embed_model string, diff_emb array<float>"
 META = "repo_id string, component string, version string, recorded_at long"
@@ -181,7 +181,8 @@ class Index:
                 met = symbols.live_attribution(stored.select(hunk_id().alias("hunk_id"), F.concat_ws("\0", "commit_sha", "file_path").alias("file_path")), named.withColumn("file_path", F.concat_ws("\0", "commit_sha", "file_path")))
                 parts["hunk_symbols"] = self._write("hunk_symbols", met)
             parts["dead_letters"] = self._write("dead_letters", bad)
-            stamped = new.withColumn("ulid", T.ulid(F.col("ts"), F.col("commit_sha"))).select(*[c.split()[0] for c in COMMITS.split(", ")])
+            stamped = new.withColumn("ulid", T.ulid(F.col("ts"), F.col("commit_sha"))).withColumn("said", F.coalesce("message", F.lit("")))
+            stamped = chunking.embed(stamped, "said", DIM, embedder).withColumnRenamed("diff_emb", "message_emb").select(*[c.split()[0] for c in COMMITS.split(", ")])
             parts["commits"] = self._write("commits", stamped)
             report.commits, report.hunks, report.dead_letters = (self._part(name, parts[name]).count() for name in ("commits", "hunks", "dead_letters"))
         with phase("publish"):
@@ -207,6 +208,12 @@ class Index:
 
     # --- Lookups ---
 
+    def commits(self) -> DataFrame:
+        return self.table("commits", COMMITS)
+
+    def hunks(self) -> DataFrame:
+        return self.table("hunks", HUNKS)
+
     def commit(self, sha: str) -> DataFrame:
         return self.table("commits", COMMITS).where(F.col("commit_sha") == sha)
 
@@ -246,10 +253,14 @@ class Index:
 
     # --- Search ---
 
+    def state(self) -> dict[str, list[str] | None]:
+        """The parts of the tables that are searched."""
+        held = self._pointers()
+        return {name: held.get(name) for name in ("hunks", "commits", "symbols", "hunk_symbols")}
+
     def corpus(self) -> retrieve.Corpus:
         """What retrieve.find_pattern searches; made once for each state of the tables and read again after."""
-        held = self._pointers()
-        state = {name: held.get(name) for name in ("hunks", "commits", "symbols", "hunk_symbols")}
+        held, state = self._pointers(), self.state()
         if held.get("corpus_of") != state:
             rows = self.table("hunks", HUNKS).withColumn("hunk_id", hunk_id()).withColumn("commit_id", F.xxhash64("commit_sha"))
             commits = self.table("commits", COMMITS).select(F.xxhash64("commit_sha").alias("commit_id"), "commit_sha", "ts", "author", "message")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tracegrain.functions import intent
 from tracegrain.functions import text as T
 from tracegrain.functions import vectors as V
+from tracegrain.functions.counters import Counters
 from tracegrain.operators import fulltext, knn, ranking, symbols
 from tracegrain.operators.fulltext import TextIndex
 
@@ -99,16 +100,20 @@ def lanes(corpus: Corpus, query: str, vector: list[float] | None, enabled: tuple
     return {name: made[name] for name in LANES if name in enabled and (name != "vec" or vector is not None)}
 
 
-def _gathered(spark: SparkSession, made: dict[str, Callable[[], DataFrame]]) -> DataFrame:
+def _gathered(spark: SparkSession, made: dict[str, Callable[[], DataFrame]], counters: Counters) -> DataFrame:
     """The lanes' rows, made at the same time; k a lane at most."""
 
     schema = pa.schema([("lane", pa.int32()), ("rank", pa.int32()), ("hunk_id", pa.int64()), ("similarity", pa.float64())])
 
-    def rows(lane: Callable[[], DataFrame]) -> pa.Table:
-        return lane().select(*schema.names).toArrow().cast(schema)
+    def rows(named: tuple[str, Callable[[], DataFrame]]) -> pa.Table:
+        name, lane = named
+        with counters.timed(f"lane_{name}") as n:
+            found = lane().select(*schema.names).toArrow().cast(schema)
+            n.append(found.num_rows)
+        return found
 
     with ThreadPoolExecutor(len(made)) as pool:
-        found = list(pool.map(rows, made.values()))
+        found = list(pool.map(rows, made.items()))
     return spark.createDataFrame(pa.concat_tables(found).combine_chunks()).coalesce(1)  # an empty chunk would end the rows
 
 
@@ -126,6 +131,7 @@ def find_pattern(
     strict: bool = True,
     verdict: str = "compatible",
     extra: dict[str, Callable[[], DataFrame]] | None = None,
+    counters: Counters | None = None,
 ) -> DataFrame:
     """The k best hits, with their place.
 
@@ -135,6 +141,7 @@ def find_pattern(
     query filters if none is given.  scorer gives logits of (query, texts) in place of the
     lexical one; strict is as for lanes(); extra are lanes beside the profile's, each making
     rows of lane, rank, hunk_id and similarity.  A verdict of needs_rebuild is refused.
+    counters get the calls, the time and the rows of each lane and of the pool.
     """
     if verdict == "needs_rebuild":
         raise RebuildNeeded("the index has to be built again before it can be searched")
@@ -146,8 +153,11 @@ def find_pattern(
     if not made:
         raise ValueError("no lane is enabled")
     spark = corpus.hunks.sparkSession
-    pool = ranking.pool(ranking.fuse(_gathered(spark, made), weights.rrf_k), weights.rerank_top_k)
-    few = pool.select("hunk_id", "rrf", "similarity", "pool_rank").toArrow().combine_chunks()  # 40 rows at most
+    counters = counters or Counters()
+    pool = ranking.pool(ranking.fuse(_gathered(spark, made, counters), weights.rrf_k), weights.rerank_top_k)
+    with counters.timed("pool") as n:
+        few = pool.select("hunk_id", "rrf", "similarity", "pool_rank").toArrow().combine_chunks()  # 40 rows at most
+        n.append(few.num_rows)
     ids, pool = few.column("hunk_id").to_pylist(), spark.createDataFrame(few).coalesce(1)
     own = corpus.hunks.where(F.col("hunk_id").isin(ids))
     wide = F.broadcast(F.broadcast(pool).join(own, "hunk_id")).join(corpus.commits, "commit_id")

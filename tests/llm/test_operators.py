@@ -508,6 +508,92 @@ def test_chain_uses_earlier_categories():
     assert len(chain.weights[1]) == 7 and chain.weights[1][6] > 0
 
 
+def plain_features(text):
+    """By the definition, a word at a time."""
+    words, word = [], ""
+    for c in text + " ":
+        if c in " \t\n\r\x0b\x0c" or (c.isascii() and not c.isalnum() and c.isprintable()):
+            words += [word] if word else []
+            word = ""
+        else:
+            word += c.lower() if c.isascii() else c
+    found = {w.encode() for w in words}
+    out = set(found)
+    for w in found:
+        out |= {b"%d:%s" % (n, w[:n]) for n in (4, 5, 6) if len(w) >= n}
+    raw = text.encode()
+    counted = {
+        b"capitals": sum(65 <= c <= 90 for c in raw) / len(raw),
+        b"digits": sum(48 <= c <= 57 for c in raw) / len(raw),
+        b"marks": sum(chr(c) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" for c in raw) / len(raw),
+        b"repeats": 1 - len(found) / len(words) if words else 0.0,
+    }
+    for name, share in counted.items():
+        out |= {b":%s:%d:" % (name, i) for i, step in enumerate((0.02, 0.05, 0.1, 0.2, 0.4, 0.7)) if share >= step - 1e-12}
+    return out
+
+
+@pytest.mark.parametrize("text", ["A b-c, A! 12 naïve ÉTÉ", "same same same", "...", "word_word don't STOP 2024", "x" * 50])
+def test_features_are_those_of_the_definition(text):
+    assert toxicity.features(text.encode()) == plain_features(text)
+
+
+def test_logistic_fit_is_at_the_least_loss():
+    rng = np.random.default_rng(8)
+    x = (rng.random((300, 5)) < 0.4).astype(np.float32)
+    y = (rng.random(300) < 0.1 + 0.4 * x[:, 0]).astype(np.float32)
+    positives = y.sum()
+    odds = np.sqrt(max(1.0, (300 - positives) / positives))
+
+    def loss(w, b):
+        total = 0.0
+        for row, mark in zip(x.astype(float), y, strict=True):
+            z = float(row @ w + b)
+            total += odds * np.log1p(np.exp(-z)) if mark else np.log1p(np.exp(z))
+        return total / 300 + 1e-4 * float(w @ w)
+
+    w, b = toxicity.fit_logistic(x, y)
+    best = loss(w.astype(float), b)
+    for i in range(5):
+        for move in (-0.05, 0.05):
+            other = w.astype(float)
+            other[i] += move
+            assert loss(other, b) > best
+    assert loss(w.astype(float), b + 0.05) > best < loss(w.astype(float), b - 0.05)
+
+
+def test_chain_is_that_of_the_definition():
+    rng = np.random.default_rng(7)
+    n, d = 240, 5
+    x = (rng.random((n, d)) < 0.5).astype(np.float32)
+    marks = np.column_stack([(rng.random(n) < 0.2 + 0.6 * x[:, i]).astype(float) for i in range(3)])
+    marks[rng.random((n, 3)) < 0.1] = np.nan
+    fold = np.arange(n) % toxicity.FOLDS
+    vocabulary = {b"f%d" % i: i for i in range(d)}
+    chain = toxicity.Chain(["a", "b", "c"], vocabulary).fit(x, marks, fold)
+    seen = [list(row) for row in x]
+    for i in range(3):
+        def fit(rows):
+            return toxicity.fit_logistic(np.array([seen[r] for r in rows], np.float32), np.array([marks[r, i] for r in rows], np.float32))
+
+        known = [r for r in range(n) if not np.isnan(marks[r, i])]
+        w, b = fit(known)
+        np.testing.assert_allclose(chain.weights[i], w, atol=1e-4)
+        assert abs(chain.biases[i] - b) < 1e-4
+        models = [fit([r for r in known if fold[r] != k]) for k in range(toxicity.FOLDS)]
+        for r in range(n):  # from the model that has not seen the document's fold
+            w, b = models[fold[r]]
+            seen[r] = [*seen[r], 1 / (1 + np.exp(-(sum(a * c for a, c in zip(seen[r], w, strict=True)) + b)))]
+    sets = [{b"f%d" % i for i in range(d) if row[i]} | {b"unknown"} for row in x[:40]] + [set()]
+    got = chain.score(sets)
+    for row, own in zip(got, sets, strict=True):
+        earlier = []
+        for w, b in zip(chain.weights, chain.biases, strict=True):
+            z = b + sum(float(w[vocabulary[f]]) for f in own if f in vocabulary) + sum(float(w[d + j]) * p for j, p in enumerate(earlier))
+            earlier.append(1 / (1 + np.exp(-z)))
+        np.testing.assert_allclose(row, earlier, atol=1e-5)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p><p>no";</script></head><body class="has-sidebar">
 <header><h1>Site</h1></header><nav><ul><li><a href=x>Menu, one</a></li></ul></nav><div class="cookie-notice"><p>We use cookies, of course, on this site.</p></div>
 <article class="post"><h1>Head &amp; line</h1><p>First   paragraph,

@@ -324,6 +324,22 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert all(got[i] == 0 for i in range(1, 201)) and all(got[1000 + i] == 1000 for i in range(1, 50))
 
 
+def test_no_join_of_simhash_broadcasts_more_than_spark_expects(spark, monkeypatch):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.sha1(F.col("id").cast("string")).alias("text"))
+    docs = docs.union(docs.selectExpr("doc_id + 20000", "text"))
+    monkeypatch.setattr("tracegrain.llm.common.BROADCAST_ROWS", 20_000)
+    held = {"spark.sql.autoBroadcastJoinThreshold": "1m", "spark.sql.maxBroadcastTableSize": "16m"}  # 20,000 fingerprints have 500,000 keys
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = simhash.near_duplicates(docs).groupBy("component_id").count()
+        assert found.where("count = 2 and component_id < 20000").count() == 20_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_mixing_targets(spark):
     rows = [("a", 100), ("b", 1000), (None, 10), ("c", 0)]
     got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(rows, "source string, size long")).collect()}

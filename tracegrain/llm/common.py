@@ -93,6 +93,16 @@ def with_facts(rows: DataFrame, facts: DataFrame, how: str, broadcast: bool = Fa
     return rows.join(named, same, how).drop("__doc_id", "__row_key")
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """df for a join that broadcasts neither side, whatever Spark takes their sizes to be.
+
+    Spark goes by the sizes of files: rows that explode() makes of others, and
+    rows that compress well, are far more than those let it expect, and the
+    driver would build a table of all of them.  Skewed partitions are split.
+    """
+    return df.hint("merge")
+
+
 def attach(docs: DataFrame, facts: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Join whole documents with facts about them.
 

@@ -14,7 +14,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     Each round links the neighbours of a node to the smallest among them, until
     nothing changes; a round is written to the shared folder.  Minima are
     combined before they are shuffled, and the joins that bring them back are
-    split where a node has very many neighbours.
+    split where a node has very many neighbours; beyond BROADCAST_ROWS rows
+    they broadcast nothing.
     """
     u, v = F.least("u", "v"), F.greatest("u", "v")
     edges = common.stage(links.where("u != v").select(u.alias("root"), v.alias("node")).distinct(), "edges")
@@ -24,12 +25,13 @@ def connected_components(links: DataFrame) -> DataFrame:
         if not found.n or (found.n, found.sum) == mark:
             return edges.select("node", "root")
         mark = (found.n, found.sum)
+        facts = common.by_shuffle if 2 * found.n > common.BROADCAST_ROWS else lambda df: df
         both = edges.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(edges.select(F.col("node").alias("a"), F.col("root").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("node"), F.col("m").alias("root")).where("node != root").distinct()
+        large = both.where("b > a").join(facts(least), "a").select(F.col("b").alias("node"), F.col("m").alias("root")).where("node != root").distinct()
         large, before = common.stage(large, "edges"), edges
         low = large.groupBy("node").agg(F.min("root").alias("m"))
-        small = large.join(low, "node").select(F.explode(F.array(F.struct(F.col("root").alias("node"), F.col("m").alias("root")), F.struct("node", F.col("m").alias("root")))).alias("e"))
+        small = large.join(facts(low), "node").select(F.explode(F.array(F.struct(F.col("root").alias("node"), F.col("m").alias("root")), F.struct("node", F.col("m").alias("root")))).alias("e"))
         edges = common.stage(small.select("e.node", "e.root").where("node != root").distinct(), "edges")
         common.unstage(before)
         common.unstage(large)

@@ -140,7 +140,7 @@ def links(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """u, v: links between fingerprints of distance DISTANCE or less that connect all that such links connect."""
     keyed = distinct.select("fp", F.explode(keys(F.col("fp"))).alias("key")).select("key.k", "key.bits", "fp")
     shared = keyed.groupBy("k", "bits").agg(F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(shared, ["k", "bits"])
+    met = keyed.join(common.by_shuffle(shared), ["k", "bits"])
     chunks = F.ceil(F.col("n") / chunk).cast("int")
     met = met.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -168,7 +168,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", t
     marks = common.stage(fingerprints(docs, k, id_col, text_col), "simhash")
     classes = common.stage(marks.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
     roots = connected_components(links(classes.select("fp"))).withColumnRenamed("node", "fp")
-    rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = classes.join(common.by_shuffle(roots), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = common.stage(rooted.join(least, "root").select("fp", "component_id"), "simhash-named")
-    return marks.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "row_key")
+    return marks.join(common.by_shuffle(named), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "row_key")

@@ -70,6 +70,21 @@ def near_kept(texts):
     return kept
 
 
+def test_near_copies_broadcast_no_more_than_is_counted(spark, monkeypatch):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "sha1(cast(id AS string)) AS text", "'en' AS lang", "'s' AS source", "0L AS n_chars")
+    docs = docs.union(docs.selectExpr("doc_id + 20000", "text", "lang", "source", "n_chars"))
+    monkeypatch.setattr("tracegrain.llm.common.BROADCAST_ROWS", 10_000)
+    held = {"spark.sql.autoBroadcastJoinThreshold": "1m", "spark.sql.maxBroadcastTableSize": "4m"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        assert corpus_pipeline.drop_near_copies(spark, docs, "").agg(F.count("*"), F.max("doc_id")).first() == (20_000, 19_999)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_run(spark, tmp_path):
     from tokenizers import Tokenizer
 

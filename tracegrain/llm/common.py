@@ -80,19 +80,6 @@ def row_key(id_col: str = "doc_id", text_col: str = "text"):
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
-def with_facts(rows: DataFrame, facts: DataFrame, how: str, broadcast: bool = False) -> DataFrame:
-    """Join rows with facts about them (both with doc_id and row_key) by both, null ids too; facts add their other columns.
-
-    broadcast: whether facts of up to BROADCAST_ROWS rows, counted first, are
-    broadcast, so that the rows stay where they are.
-    """
-    named = facts.withColumnRenamed("doc_id", "__doc_id").withColumnRenamed("row_key", "__row_key")
-    if broadcast and facts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        named = F.broadcast(named)
-    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("row_key") == F.col("__row_key"))
-    return rows.join(named, same, how).drop("__doc_id", "__row_key")
-
-
 def by_shuffle(df: DataFrame) -> DataFrame:
     """df for a join that broadcasts neither side, whatever Spark takes their sizes to be.
 
@@ -103,6 +90,19 @@ def by_shuffle(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def with_facts(rows: DataFrame, facts: DataFrame, how: str, broadcast: bool = False) -> DataFrame:
+    """Join rows with facts about them (both with doc_id and row_key) by both, null ids too; facts add their other columns.
+
+    broadcast: whether facts of up to BROADCAST_ROWS rows, counted first, are
+    broadcast, so that the rows stay where they are; more are not.
+    """
+    named = facts.withColumnRenamed("doc_id", "__doc_id").withColumnRenamed("row_key", "__row_key")
+    if broadcast:
+        named = F.broadcast(named) if facts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else by_shuffle(named)
+    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("row_key") == F.col("__row_key"))
+    return rows.join(named, same, how).drop("__doc_id", "__row_key")
+
+
 def attach(docs: DataFrame, facts: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Join whole documents with facts about them.
 

@@ -11,6 +11,9 @@ an empty table; texts count as a whole, however long.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,22 @@ from tracegrain.llm.queries import TOKENIZER
 ORACLE_SQL = None
 #: A language is accepted if its chance among all is so high at least.
 LEAST_CHANCE = 0.3
+#: Bytes of texts that go to Python at a time, about.  Spark's own 64 MB are held by each task as a
+#: buffer that doubles as it grows, and by its Python worker, beside all that earlier stages have left.
+BATCH_BYTES = 4 << 20
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _in_small_batches(stage: Stage) -> Stage:
+    """The stage with Arrow batches of BATCH_BYTES; all its jobs that hand texts to Python run before it returns."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with common.arrow_batches(spark, BATCH_BYTES):
+            return stage(spark, docs, sf_dir)
+
+    return run
 
 
 def _known(docs: DataFrame) -> DataFrame:
@@ -34,6 +53,7 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     return common.with_facts(_known(docs), rejected, "left_anti", broadcast=True).select("doc.*")
 
 
+@_in_small_batches
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that is known; those without a letter, or of no language in particular, go.
 
@@ -45,6 +65,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return _without(docs, found.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_CHANCE) | F.col("foreign")))
 
 
+@_in_small_batches
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, one document: that with the largest doc_id, and one row where rows share this id.
 
@@ -65,6 +86,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return common.with_facts(_known(left), twice, "left_anti", broadcast=True).select("doc.*").unionByName(once)
 
 
+@_in_small_batches
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by their fingerprints, the one with the smallest doc_id.
 
@@ -75,6 +97,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return _without(docs, simhash.near_duplicates(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
+@_in_small_batches
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; rows that repeat id and text share their copies, rounded down.
 
@@ -86,6 +109,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return met.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
+@_in_small_batches
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document goes.
 

@@ -272,6 +272,15 @@ def test_word_tokenizer_is_exact():
         assert np.frombuffer(fast.ids(text), "<u4").tolist() == exact.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_holds_little_in_the_workers(odd):
+    assert "ExistingRDD" not in packing.pack(odd, TOKENIZER)._jdf.queryExecution().toString()
+    fast = packing.WordTokenizer(TOKENIZER)
+    fast.ids("no special token")
+    assert "exact" not in vars(fast)
+    fast.ids("<|endoftext|>")
+    assert "exact" in vars(fast)
+
+
 def plain_simhash(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", low(text).decode())
     shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or ([" ".join(words)] if words else [])

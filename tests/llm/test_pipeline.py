@@ -85,6 +85,46 @@ def test_near_copies_broadcast_no_more_than_is_counted(spark, monkeypatch):
             spark.conf.set(k, v)
 
 
+def batch_bytes(spark, docs, stage, seen, monkeypatch):
+    """Bytes of all Arrow batches that a stage sends to Python before it returns."""
+    plain = type(docs).mapInArrow
+
+    def seeing(df, run, *args):
+        def noted(batches):
+            def note():
+                for batch in batches:
+                    with open(seen, "a") as f:
+                        f.write(f"{batch.nbytes}\n")
+                    yield batch
+
+            return run(note())
+
+        return plain(df, noted, *args)
+
+    seen.write_text("")
+    with monkeypatch.context() as m:
+        m.setattr(type(docs), "mapInArrow", seeing)
+        stage(spark, docs, "")
+    return [int(x) for x in seen.read_text().split()]
+
+
+def test_texts_go_to_python_in_small_batches(spark, tmp_path, monkeypatch):
+    docs = spark.range(0, 240, 1, 1).selectExpr("id AS doc_id", "concat(id % 120, repeat(' some words', 5000)) AS text", "'en' AS lang", "'s' AS source", "0L AS n_chars")
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    for _, stage in corpus_pipeline.STAGES:
+        found = batch_bytes(spark, docs, stage, tmp_path / "seen", monkeypatch)
+        assert sum(found) > 12 << 20
+        assert max(found) < 5 << 20
+        assert spark.conf.get(key) == before
+    try:
+        spark.conf.set(key, "1m")
+        assert max(batch_bytes(spark, docs, corpus_pipeline.mix_sources, tmp_path / "seen", monkeypatch)) < 2 << 20
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_run(spark, tmp_path):
     from tokenizers import Tokenizer
 

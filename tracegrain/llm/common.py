@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,20 @@ def values(column: pa.Array) -> Iterator[bytes | None]:
         yield None if null and null[i] else bytes(view[ends[i] : ends[i + 1]])
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, most: int) -> Iterator[None]:
+    """Arrow batches of jobs that run within this have `most` bytes, about, or a single row; a lower limit of the session's stands."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    limit = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before)
+    if limit <= 0 or limit > most:
+        spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text"):
     """Tells apart rows that share an id but not a text; a row is known by its id and this."""
     return F.xxhash64(F.col(id_col), F.col(text_col))

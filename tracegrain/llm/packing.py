@@ -22,6 +22,7 @@ not read, whatever their names; an empty table gives an empty table.
 from __future__ import annotations
 
 import base64
+import functools
 import re
 import zlib
 from array import array
@@ -54,9 +55,8 @@ class WordTokenizer:
         import json
 
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         ranks_path = path.rsplit(".", 1)[0] + ".tiktoken"
@@ -77,6 +77,13 @@ class WordTokenizer:
 
         self.encode_ordinary, self.kept = encode, Kept()
 
+    @functools.cached_property
+    def exact(self):
+        """For texts that name a special token, which few tasks meet."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if any(s in text for s in self.special):
@@ -195,7 +202,9 @@ def pack(docs: DataFrame, tokenizer_path: str, room: int = ROOM, id_col: str = "
     histogram = {r.length: r["count"] for r in cut.where(F.col("length") < room).groupBy("length").count().collect()}
     plan = layout(best_two_fit(histogram, room))
     sent = spark.sparkContext.broadcast(plan)
-    parts = spark.createDataFrame([(length, -(-n // part_rows)) for length, n in sorted(histogram.items())], "length long, parts long")
+    lengths = sorted(histogram)
+    # a table becomes a local relation; a list would be an RDD, for which every executor starts Python workers of another kind
+    parts = spark.createDataFrame(pa.table({"length": pa.array(lengths, pa.int64()), "parts": pa.array([-(-histogram[k] // part_rows) for k in lengths], pa.int64())}))
     part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("parts")).alias("part")
     short = cut.join(F.broadcast(parts), "length").select(*cut.columns, part)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -10,8 +10,10 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 #: Largest number of rows that a join may broadcast (three longs a row at most).
 BROADCAST_ROWS = 500_000
@@ -132,3 +134,76 @@ def attach(docs: DataFrame, facts: DataFrame, keys: list[str], how: str) -> Data
 def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions, the measure of the data that the cluster's operator has set."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def running(df: DataFrame, order: list, by: str | None = None, sums: tuple[str, ...] = (), xors: tuple[str, ...] = ()) -> DataFrame:
+    """df with `number` (from 1) and with sums and xors (longs, not null) made running, in the order given.
+
+    by: a long column, not null and the first of the order, with whose change all start again.
+
+    A scan in two passes.  Ranges of the order are tasks, so that no group of
+    rows, not even of one `by`, has to fit into one of them; each runs from its
+    own beginning and is written.  What a range takes over from those before it
+    is a row a range, which the driver adds up and sends to all.
+    """
+    spark, values_, n_sums = df.sparkSession, [*sums, *xors], len(sums)
+    names = df.columns
+    at = [names.index(c) for c in values_]
+    by_at = names.index(by) if by else None
+    ufuncs = [np.add] * n_sums + [np.bitwise_xor] * len(xors)
+    undo = [np.subtract] * n_sums + [np.bitwise_xor] * len(xors)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid = TaskContext.get().partitionId()
+        key, state = None, [0] * (len(values_) + 1)
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys = batch.column(by_at).to_numpy() if by else np.zeros(n, np.int64)
+            rows = np.arange(n)
+            starts = np.append(key is None or keys[0] != key, keys[1:] != keys[:-1])
+            first = np.maximum.accumulate(np.where(starts, rows, 0))
+            goes_on = (first == 0) & (not starts[0])
+            columns = [rows - first + 1 + np.where(goes_on, state[0], 0)]
+            for i, f, back, held in zip(at, ufuncs, undo, state[1:], strict=True):
+                own = batch.column(i).to_numpy()
+                total = f.accumulate(own)
+                total = back(total, back(total[first], own[first]))
+                columns.append(np.where(goes_on, f(total, np.int64(held)), total))
+            key, state = keys[-1], [int(c[-1]) for c in columns]
+            made = dict(zip(values_, columns[1:], strict=True))
+            out = [pa.array(made[c]) if c in made else batch.column(i) for i, c in enumerate(names)]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(columns[0]), pa.array(np.full(n, pid, np.int32))], [*names, "number", "__range"])
+
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    schema = StructType([*df.schema.fields, StructField("number", LongType()), StructField("__range", IntegerType())])
+    written = stage(sorted_.mapInArrow(scan, schema), "running")
+    key = F.col(by) if by else F.lit(0).cast("long")
+    ends = written.groupBy("__range").agg(
+        F.min(key).alias("first"), F.max(F.struct(key.alias("key"), "number", *[F.col(c).alias(f"v{i}") for i, c in enumerate(values_)])).alias("last")
+    ).orderBy("__range").collect()  # a row a task
+    taken, before = [], None
+    for r in ends:
+        carry = before[1] if before and before[0] == r["first"] else [0] * (len(values_) + 1)
+        if any(carry):
+            taken.append((r["__range"], r["first"], *carry))
+        last = list(r["last"])
+        if last[0] == r["first"]:  # the range goes on with what was taken over
+            last[1:] = [last[1] + carry[0], *[_wrapped(x + c) if i < n_sums else x ^ c for i, (x, c) in enumerate(zip(last[2:], carry[1:], strict=True))]]
+        before = (last[0], last[1:])
+    if not taken:
+        return written.drop("__range")
+    columns = ["__range", "__key", "__number", *[f"__v{i}" for i in range(len(values_))]]
+    carried = spark.createDataFrame(pa.table([pa.array(c, pa.int32() if i == 0 else pa.int64()) for i, c in enumerate(zip(*taken, strict=True))], names=columns))
+    met = written.join(F.broadcast(carried), (written["__range"] == carried["__range"]) & (key == F.col("__key")), "left")
+
+    def more(name: str):
+        return F.coalesce(F.col(name), F.lit(0))
+
+    whole = {c: F.col(c) + more(f"__v{i}") if i < n_sums else F.col(c).bitwiseXOR(more(f"__v{i}")) for i, c in enumerate(values_)}
+    return met.select(*[whole.get(c, F.col(c)).alias(c) for c in names], (F.col("number") + more("__number")).alias("number"))
+
+
+def _wrapped(x: int) -> int:
+    return (x + (1 << 63)) % (1 << 64) - (1 << 63)

@@ -172,7 +172,7 @@ class TextIndex:
         else:
             total = spark.read.parquet(f"{path}/terms").agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("total"))
             n = self.docs.count()
-            stats = total.select(F.lit(n).cast("long").alias("n_docs"), (F.col("total") / F.lit(n)).alias("avg_length"))
+            stats = total.select(F.lit(n).cast("long").alias("n_docs"), (F.col("total") / F.lit(n) if n else F.lit(0.0)).alias("avg_length"))
         stats.write.mode("overwrite").parquet(f"{path}/stats")
 
     @classmethod

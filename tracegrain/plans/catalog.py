@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from tracegrain.functions import intent
 from tracegrain.functions import text as T
 from tracegrain.functions import vectors as V
-from tracegrain.operators import chunking, fulltext, history, ignore, knn, ranking, symbols, tables
+from tracegrain.functions.session import scratch
+from tracegrain.operators import cells, chunking, fulltext, history, ignore, knn, ranking, segments, symbols, tables
 from tracegrain.plans import explain, retrieve
 from tracegrain.plans.index import DIM
 from tracegrain.sources import adapters as A
@@ -308,6 +309,22 @@ def t4_bm25_many_queries(spark, d):
     return fulltext.search_batch(_text_index(spark, d), asked, 1_000_000).select("qid", F.col("doc_id").alias("hunk_id"), r9(F.col("score")).alias("score"))
 
 
+LIVING = f"(SELECT * FROM {HUNKS} WHERE language IS DISTINCT FROM 'es')"
+
+
+@query(_bm25(["thnd", "erble"], "f0 > 0 OR f1 > 0").replace(HUNKS, LIVING))
+def a14_t5_w4_segmented_search(spark, d):
+    """All documents come in three batches, a language is deleted, two segments become one, and what lives is searched."""
+    root, hunks = scratch(spark), A.hunks(spark, d)
+    state = segments.empty()
+    for batch in (F.col("language") == "en", F.col("language").isin("de", "fr"), F.coalesce(~F.col("language").isin("en", "de", "fr"), F.lit(True))):
+        state = segments.add(spark, root, state, hunks.where(batch), "hunk_id", ["diff_text"])
+    state = segments.delete(spark, root, state, hunks.where("language = 'es'").select(F.col("hunk_id").alias("doc_id")))
+    state = segments.merge(spark, root, state, [s["id"] for s in state["segments"][1:]])
+    found = fulltext.search(segments.view(spark, root, state), "thnd OR erble")
+    return found.select(F.col("doc_id").alias("hunk_id"), r6(F.col("score")).alias("score"))
+
+
 # --- Symbols -----------------------------------------------------------------------------------
 
 HEAD_CTE = f"""sd AS (SELECT symbol_id, file_path, {_tokens('kind')} || {_tokens('name')} || {_tokens('sibling_names')} AS ts FROM {SYMBOLS}),
@@ -412,10 +429,31 @@ def v1_knn_post_filter(spark, d):
 @query(f"""SELECT q.vec_id AS qid, e.vec_id AS hunk_id, round(list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance FROM embeddings e, embeddings q WHERE q.vec_id IN (1, 2, 3, 5, 8)
 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), e.vec_id) <= 10""")
 def v1_knn_many_queries(spark, d):
-    asked = [(i, list(_vector(spark, d, i))) for i in (1, 2, 3, 5, 8)]
+    asked = A.vectors(spark, d).where(F.col("hunk_id").isin(1, 2, 3, 5, 8)).select(F.col("hunk_id").alias("qid"), F.col("vector").alias("query"))
     return knn.nearest_batch(A.vectors(spark, d), asked, 10).select(F.col("qid").cast("long").alias("qid"), "hunk_id", r6(F.col("distance")).alias("distance"))
 
 
+EVERY_100TH = "SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0"
+
+
+@query(f"""SELECT q.vec_id AS qid, e.vec_id AS hunk_id, round(list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), e.vec_id) AS rank
+FROM embeddings e, ({EVERY_100TH}) q QUALIFY rank <= 10""")
+def v1_v8_j15_cells_many_queries(spark, d):
+    """Every vector is dealt to cells; asked are those whose id is divisible by 100."""
+    root = scratch(spark)
+    held = cells.view(spark, root, cells.build(spark, root, A.vectors(spark, d)))
+    asked = A.vectors(spark, d).where("hunk_id % 100 = 0").select(F.col("hunk_id").alias("qid"), F.col("vector").alias("query"))
+    return cells.nearest_batch(held, asked, 10).select("qid", "hunk_id", r6(F.col("distance")).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"SELECT hunk_id, round(distance, 6) AS distance, round(1 / (1 + distance), 6) AS similarity FROM {NEAR}")
+def v8_cells_knn(spark, d):
+    root = scratch(spark)
+    held = cells.view(spark, root, cells.build(spark, root, A.vectors(spark, d)))
+    near = cells.nearest(held, list(_vector(spark, d, 7)), 50)
+    return near.select("hunk_id", r6(F.col("distance")).alias("distance"), r6(F.col("similarity")).alias("similarity"))
+
+
 @query("SELECT h AS content_hash, count(*) AS n FROM (SELECT sha256(text) AS h FROM documents) GROUP BY h HAVING n > 1")
 def x15_content_hash_groups(spark, d):
     return A.hunks(spark, d).groupBy(T.content_hash(F.col("diff_text")).alias("content_hash")).agg(F.count("*").alias("n")).where("n > 1")

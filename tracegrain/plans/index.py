@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracegrain.functions import text as T
-from tracegrain.operators import chunking, history, segments, symbols, tables
+from tracegrain.operators import cells, chunking, history, segments, symbols, tables
 from tracegrain.operators.fulltext import TextIndex
 from tracegrain.operators.ignore import Layers, kept_hunks
 from tracegrain.plans import retrieve
@@ -96,9 +96,9 @@ class Index:
         named: set[str] = set()
         for state in self.manifests.forget(kept):
             for name, held in state.items():
-                named |= {f"{name}/{x}" for x in (segments.folders(held) if name in TEXTS else held if isinstance(held, list) else [])}
+                named |= {f"{name}/{x}" for x in (segments.folders(held) if name in TEXTS else cells.folders(held) if name == "cells" else held if isinstance(held, list) else [])}
         gone = 0
-        for name in (*SCHEMAS, *TEXTS, "metadata", "symbols", "seen", "parsed", "unkept"):
+        for name in (*SCHEMAS, *TEXTS, "cells", "metadata", "symbols", "seen", "parsed", "unkept"):
             fs, where = self._fs(f"{self.path}/{name}")
             for part in [x.getPath().getName() for x in fs.listStatus(where)] if fs.exists(where) else []:
                 if f"{name}/{part}" not in named and self.manifests.age(f"{self.path}/{name}/{part}") >= seconds:
@@ -235,11 +235,20 @@ class Index:
             for name, more in (added or {}).items():
                 held = new.get(name) or segments.empty()
                 new[name] = held | {"segments": [*held["segments"], *more]}
+            if "hunks" in parts:
+                new["cells"] = self._dealt(new, parts["hunks"])
             return new | ({"bookmark": bookmark} if bookmark else {})
 
         self.manifests.commit(change)
         return not met
 
+    def _dealt(self, state: dict, part: str) -> dict:
+        """The vectors of a state by cell, those of a new part among them; all are dealt anew when there are many more than before."""
+        held = state.get("cells") or {}
+        if not held.get("parts") or cells.size(held) >= cells.GROWTH * max(held["fitted"], cells.CELL_ROWS):
+            return cells.build(self.spark, f"{self.path}/cells", self.table("hunks", HUNKS, state), "hunk_id", "diff_emb")
+        return cells.add(self.spark, f"{self.path}/cells", held, self._part("hunks", part), "hunk_id", "diff_emb")
+
     def _part(self, name: str, part: str) -> DataFrame:
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}/{part}")
 
@@ -254,6 +263,9 @@ class Index:
             if name in SCHEMAS and len(parts) > MOST_PARTS:
                 merged = self._write(name, self.table(name, SCHEMAS[name], state))
                 self._replace(name, parts, [merged])
+            elif name == "cells" and len(parts["parts"]) > MOST_PARTS:
+                made = cells.merge(self.spark, f"{self.path}/cells", parts)
+                self.manifests.commit(lambda now, was=parts, made=made: now | {"cells": made} if now.get("cells") == was else now)
             elif name in TEXTS:
                 names = segments.to_merge(parts)
                 if names:
@@ -299,6 +311,8 @@ class Index:
             for name in TEXTS:
                 if name != "head" and name in state:
                     new[name] = segments.delete(self.spark, f"{self.path}/{name}", state[name], ids.withColumnRenamed("hunk_id", "doc_id"))
+            if state.get("cells"):
+                new["cells"] = cells.delete(self.spark, f"{self.path}/cells", state["cells"], ids.withColumnRenamed("hunk_id", "id"))
             return new
 
         self.manifests.commit(change)
@@ -356,7 +370,7 @@ class Index:
     def state(self) -> dict[str, object]:
         """What is searched: the parts of the tables, and the segments."""
         held = self._pointers()
-        return {name: held.get(name) for name in ("hunks", "commits", "symbols", "hunk_symbols", "facts", *TEXTS)}
+        return {name: held.get(name) for name in ("hunks", "commits", "symbols", "hunk_symbols", "facts", "cells", *TEXTS)}
 
     def corpus(self) -> retrieve.Corpus:
         """What retrieve.find_pattern searches, as the index is now: tables and segments, nothing of which is built or copied here."""
@@ -373,6 +387,7 @@ class Index:
             _head(self.table("symbols", parser.SCHEMA, state)),
             self.table("hunk_symbols", HUNK_SYMBOLS, state),
             self.table("facts", FACTS, state),
+            cells.view(self.spark, f"{self.path}/cells", state.get("cells") or {}),
         )
 
     def text_indexes(self) -> tuple[TextIndex, TextIndex]:

@@ -8,6 +8,7 @@ the driver holds LANES times that many narrow rows, whatever the corpus.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -20,7 +21,7 @@ from tracegrain.functions import intent
 from tracegrain.functions import text as T
 from tracegrain.functions import vectors as V
 from tracegrain.functions.counters import Counters
-from tracegrain.operators import fulltext, knn, ranking, symbols
+from tracegrain.operators import cells, fulltext, knn, ranking, symbols
 from tracegrain.operators.fulltext import TextIndex
 
 LANES = ("vec", "text", "semantic", "historical_symbol", "head_symbol")
@@ -41,6 +42,8 @@ class Corpus:
     hunk_symbols: DataFrame
     #: hunk_id, file_path, language, ts: what lanes filter by; joined here if not stored
     facts: DataFrame | None = None
+    #: the vectors by cell; without it they are all read for each question
+    cells: cells.CellIndex | None = None
 
     def __post_init__(self) -> None:
         if self.facts is None:
@@ -56,15 +59,19 @@ _INDEXES = ("text", "semantic", "head")
 
 
 def save(corpus: Corpus, path: str) -> None:
-    """Write a corpus: each table, and postings sorted by term."""
+    """Write a corpus: each table, postings sorted by term, and vectors sorted by cell."""
+    spark = corpus.hunks.sparkSession
     for name in _TABLES:
         getattr(corpus, name).write.mode("overwrite").parquet(f"{path}/{name}")
     for name in _INDEXES:
         getattr(corpus, name).write(f"{path}/{name}")
+    state = cells.build(spark, f"{path}/cells", spark.read.parquet(f"{path}/vectors"))
+    spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/cells-state")
 
 
 def load(spark: SparkSession, path: str) -> Corpus:
-    return Corpus(**{n: spark.read.parquet(f"{path}/{n}") for n in _TABLES}, **{n: TextIndex.read(spark, f"{path}/{n}") for n in _INDEXES})
+    state = json.loads(spark.read.text(f"{path}/cells-state").first().value)
+    return Corpus(**{n: spark.read.parquet(f"{path}/{n}") for n in _TABLES}, **{n: TextIndex.read(spark, f"{path}/{n}") for n in _INDEXES}, cells=cells.view(spark, f"{path}/cells", state))
 
 
 def lanes(corpus: Corpus, query: str, vector: list[float] | None, enabled: tuple[str, ...], k: int, language: str | None = None, since: int | None = None, lenient: bool = True, strict: bool = True) -> dict[str, Callable[[], DataFrame]]:
@@ -78,7 +85,8 @@ def lanes(corpus: Corpus, query: str, vector: list[float] | None, enabled: tuple
     by_score = [F.col("score"), F.col("hunk_id")]
 
     def vec() -> DataFrame:
-        near = F.broadcast(knn.nearest(corpus.vectors, vector, k))  # k rows
+        found = cells.nearest(corpus.cells, vector, k) if corpus.cells else knn.nearest(corpus.vectors, vector, k)
+        near = F.broadcast(found)  # k rows
         near = corpus.facts.join(near, "hunk_id")
         return ranking.lane(knn.filtered(near, language, since), 0, [F.col("distance"), F.col("hunk_id")], F.col("similarity"))
 
@@ -100,15 +108,15 @@ def lanes(corpus: Corpus, query: str, vector: list[float] | None, enabled: tuple
     return {name: made[name] for name in LANES if name in enabled and (name != "vec" or vector is not None)}
 
 
-def _gathered(spark: SparkSession, made: dict[str, Callable[[], DataFrame]], counters: Counters) -> DataFrame:
-    """The lanes' rows, made at the same time; k a lane at most."""
+def _gathered(spark: SparkSession, made: dict[str, Callable[[], DataFrame]], counters: Counters, k: int) -> DataFrame:
+    """The lanes' rows, made at the same time; the first k of each."""
 
     schema = pa.schema([("lane", pa.int32()), ("rank", pa.int32()), ("hunk_id", pa.int64()), ("similarity", pa.float64())])
 
     def rows(named: tuple[str, Callable[[], DataFrame]]) -> pa.Table:
         name, lane = named
         with counters.timed(f"lane_{name}") as n:
-            found = lane().select(*schema.names).toArrow().cast(schema)
+            found = lane().select(*schema.names).orderBy("rank", "hunk_id").limit(k).toArrow().cast(schema)
             n.append(found.num_rows)
         return found
 
@@ -140,7 +148,7 @@ def find_pattern(
     weighed alike.  A language must be given to filter by it; a time named in the
     query filters if none is given.  scorer gives logits of (query, texts) in place of the
     lexical one; strict is as for lanes(); extra are lanes beside the profile's, each making
-    rows of lane, rank, hunk_id and similarity.  A verdict of needs_rebuild is refused.
+    rows of lane, rank, hunk_id and similarity, of which the first lane_top_k count.  A verdict of needs_rebuild is refused.
     counters get the calls, the time and the rows of each lane and of the pool.
     """
     if verdict == "needs_rebuild":
@@ -154,7 +162,7 @@ def find_pattern(
         raise ValueError("no lane is enabled")
     spark = corpus.hunks.sparkSession
     counters = counters or Counters()
-    pool = ranking.pool(ranking.fuse(_gathered(spark, made, counters), weights.rrf_k), weights.rerank_top_k)
+    pool = ranking.pool(ranking.fuse(_gathered(spark, made, counters, weights.lane_top_k), weights.rrf_k), weights.rerank_top_k)
     with counters.timed("pool") as n:
         few = pool.select("hunk_id", "rrf", "similarity", "pool_rank").toArrow().combine_chunks()  # 40 rows at most
         n.append(few.num_rows)

@@ -194,3 +194,47 @@ def test_symbols_of_sources(spark):
 def test_quality(spark):
     row = ranking.quality(spark.createDataFrame([("a", 1, 5), ("b", 3, 10), ("c", None, 20)], "id string, rank int, ms int")).first()
     assert (row.cases, row.recall_at_1, row.recall_at_5, row.mrr, row.p50_ms, row.p95_ms) == (3, pytest.approx(1 / 3), pytest.approx(2 / 3), pytest.approx((1 + 1 / 3) / 3), 10, 20)
+
+
+def test_intervals_meet_once(spark):
+    import random
+
+    rng = random.Random(3)
+
+    def made(n, longest):
+        out = []
+        for i in range(n):
+            s = rng.randint(0, 60_000)
+            out.append((i, rng.choice(["a", "b", None]), s, s + int(rng.random() ** 6 * longest) - (rng.random() < 0.1)))
+        return out
+
+    left, right = made(300, 50_000), made(300, 2_000_000)
+    left += [(300, "a", 5, 4), (301, "a", None, 9), (302, "a", 64, 64), (303, "b", 0, 2_000_000_000)]
+    right += [(300, "a", 4, 5), (301, "a", 63, 64), (302, "b", 5, 5), (303, "a", 5, 5)]
+    a = spark.createDataFrame(left, "i int, key string, s long, e long")
+    b = spark.createDataFrame(right, "j int, key string, line_start int, line_end int")
+    got = sorted((r.i, r.j) for r in symbols.overlapping(a, b, "key").select("i", "j").collect())
+    want = sorted((i, j) for i, k, s, e in left for j, m, x, y in right if k is not None and k == m and s is not None and x <= e and s <= y)
+    assert got == want
+
+
+def test_intervals_of_one_key_follow_what_they_find(spark):
+    """A file with 100,000 spans and as many hunks, where all pairs would be ten thousand million."""
+    n = 100_000
+    a = spark.range(n).select(F.col("id").alias("i"), F.lit("f").alias("key"), (F.col("id") * 10).alias("s"), (F.col("id") * 10 + 4).alias("e"))
+    b = spark.range(n).select(F.col("id").alias("j"), F.lit("f").alias("key"), (F.col("id") * 10 + 3).alias("line_start"), (F.col("id") * 10 + 11).alias("line_end"))
+    assert symbols.overlapping(a, b, "key").count() == 2 * n - 1
+
+
+def test_parents_come_first_whatever_the_clocks_say(spark):
+    #: a merge of a long and a short side, with clocks that run backwards
+    edges = [("b", "a"), ("c", "b"), ("d", "c"), ("m", "a"), ("m", "d"), ("n", "m"), ("x", "gone"), ("n", "x")]
+    commits = spark.createDataFrame([(c, i) for i, c in enumerate(["n", "m", "d", "c", "b", "a", "x"])], "commit_sha string, ts long")
+    parents = spark.createDataFrame(edges, "commit_sha string, parent_sha string")
+    got = {r.commit_sha: (r.generation, r.walk_key) for r in history.commit_scan(commits, parents=parents).collect()}
+    assert {c: g for c, (g, _) in got.items()} == {"a": 0, "b": 1, "c": 2, "d": 3, "m": 4, "n": 5, "x": 0}
+    assert all(got[p][1] < got[c][1] for c, p in edges if p in got)
+    known = spark.createDataFrame([("a",), ("b",)], "commit_sha string")
+    assert {r.commit_sha: r.generation for r in history.commit_scan(commits, known, parents).collect()} == {"c": 0, "d": 1, "m": 2, "n": 3, "x": 0}
+    with pytest.raises(ValueError):
+        history.generations(commits, spark.createDataFrame([("a", "b"), ("b", "a")], parents.schema)).collect()

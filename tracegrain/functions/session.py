@@ -40,11 +40,14 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df by a reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """df as a written table in the shared folder, without its lineage.
+
+    A checkpoint would keep the plan's estimate of its size, which a loop of joins
+    squares in each round until planning alone takes for ever.
+    """
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def resources(cores: int, intensity: str = "auto") -> dict[str, int]:

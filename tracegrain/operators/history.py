@@ -32,10 +32,56 @@ def ancestors(commits: DataFrame, sha: str) -> DataFrame:
         jump = cut(jump.alias("a").join(jump.alias("b"), F.col("a.p") == F.col("b.c")).select(F.col("a.c").alias("c"), F.col("b.p").alias("p")))
 
 
-def commit_scan(commits: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Commits that are not known (commit_sha), with their place in an order that has parents first."""
+def generations(commits: DataFrame, parents: DataFrame) -> DataFrame:
+    """commit_sha, generation: the length of the longest way to a commit without parents, by any of its parents.
+
+    commits: commit_sha; parents: commit_sha, parent_sha, a row for each parent; those
+    not among the commits count for nothing.  Each commit chooses one parent; the
+    lengths of the ways that this makes are found by pointer doubling, in as many
+    rounds as the longest has binary digits; then each commit chooses the parent
+    with the longest way, until no choice would make a way longer.
+    """
+    nodes = commits.select("commit_sha").where("commit_sha is not null").distinct()
+    edges = parents.select("commit_sha", "parent_sha").where("commit_sha is not null and parent_sha is not null").distinct()
+    edges = edges.join(nodes, "commit_sha", "left_semi").join(nodes.withColumnRenamed("commit_sha", "parent_sha"), "parent_sha", "left_semi")
+    edges = cut(edges)
+    chosen = cut(nodes.join(edges.groupBy("commit_sha").agg(F.min("parent_sha").alias("p")), "commit_sha", "left"))
+    n = chosen.count()
+    while True:  # each choice makes a way longer, so this ends
+        level = _lengths(chosen, n)
+        best = edges.join(level.select(F.col("commit_sha").alias("parent_sha"), F.col("generation").alias("g")), "parent_sha").groupBy("commit_sha").agg(F.max(F.struct("g", "parent_sha")).alias("best"))
+        judged = level.join(best, "commit_sha", "left")
+        longer = F.coalesce(F.col("best.g") + 1 > F.col("generation"), F.lit(False))
+        judged = cut(judged.join(chosen, "commit_sha").select("commit_sha", "generation", F.when(longer, F.col("best.parent_sha")).otherwise(F.col("p")).alias("p"), longer.alias("longer")))
+        if not judged.where("longer").limit(1).count():
+            return judged.select("commit_sha", "generation")
+        chosen = judged.select("commit_sha", "p")
+
+
+def _lengths(chosen: DataFrame, n: int) -> DataFrame:
+    """commit_sha, generation: how many steps p (null at the end) leads on; n: how many commits there are."""
+    jump = chosen.select("commit_sha", "p", F.when(F.col("p").isNull(), 0).otherwise(1).cast("long").alias("generation"))
+    while True:
+        longest = jump.where("p is not null").agg(F.max("generation").alias("g")).first().g
+        if longest is None:
+            return jump.select("commit_sha", "generation")
+        if longest > n:
+            raise ValueError("the parents of commits form a cycle")
+        for _ in range(2):
+            ahead = jump.select(F.col("commit_sha").alias("p"), F.col("p").alias("next"), F.col("generation").alias("more"))
+            jump = jump.join(ahead, "p", "left").select("commit_sha", F.col("next").alias("p"), (F.col("generation") + F.coalesce("more", F.lit(0))).alias("generation"))
+        jump = cut(jump)
+
+
+def commit_scan(commits: DataFrame, known: DataFrame | None = None, parents: DataFrame | None = None) -> DataFrame:
+    """Commits that are not known (commit_sha), with generation and walk_key, an order that has parents first whatever the clocks say.
+
+    parents: commit_sha, parent_sha, a row for each parent; without it only the first parents of the commits count.
+    """
     new = commits if known is None else commits.join(known, "commit_sha", "left_anti")
-    return new.withColumn("walk_key", F.struct("ts", "commit_sha"))
+    edges = commits.select("commit_sha", "parent_sha") if parents is None else parents
+    level = generations(new, edges)
+    return new.join(level, "commit_sha").withColumn("walk_key", F.struct("generation", "ts", "commit_sha"))
 
 
 def root_commits(commits: DataFrame) -> DataFrame:

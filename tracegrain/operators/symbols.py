@@ -54,16 +54,55 @@ def live_attribution(hunks: DataFrame, symbols: DataFrame) -> DataFrame:
     return met.select("hunk_id", "symbol_kind", "symbol_name").distinct().withColumn("attribution_kind", F.lit("exact_span"))
 
 
+#: Lines of the narrowest bucket, how much wider each level is, and the number of levels.
+NARROW, WIDER, LEVELS = 64, 16, 7
+
+
+def _bucketed(rows: DataFrame, start: str, end: str, wider: int | None) -> DataFrame:
+    """rows with width and bucket, once for each bucket of their own level that they touch; or of all levels from `wider` above it on.
+
+    Their own level is the narrowest that has a bucket as long as they are.
+    """
+    lo, hi = F.least(start, end).cast("long"), F.greatest(start, end).cast("long")
+    level = F.lit(LEVELS - 1)
+    for j in reversed(range(LEVELS - 1)):
+        level = F.when(hi - lo < NARROW * WIDER**j, F.lit(j)).otherwise(level)
+    levels = F.array(level) if wider is None else F.filter(F.array(*[F.lit(j) for j in range(LEVELS)]), lambda j: j >= level + wider)
+    at = rows.where(lo.isNotNull()).withColumn("level", F.explode(levels))
+    width = F.element_at(F.array(*[F.lit(NARROW * WIDER**j) for j in range(LEVELS)]), F.col("level") + 1).cast("long")
+    return at.withColumn("width", width).withColumn("bucket", F.explode(F.sequence(F.floor(lo / F.col("width")), F.floor(hi / F.col("width"))))).drop("level")
+
+
+def overlapping(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Rows of left (key, s, e) and right (key, line_start, line_end) of one key that share a line: each pair once.
+
+    Two intervals meet at the level of the longer one, in the bucket where their
+    overlap begins: either the left one at its own level, or the right one where
+    that is wider.  So the work follows the pairs found and not those of a key, and
+    a key with very many intervals is as many groups as it has buckets.
+    """
+    begins = F.greatest(F.least("s", "e"), F.least("line_start", "line_end")).cast("long")
+
+    def met(a: DataFrame, b: DataFrame) -> DataFrame:
+        pairs = a.join(b, [key, "width", "bucket"]).where("line_start <= e and s <= line_end")
+        return pairs.where(F.floor(begins / F.col("width")) == F.col("bucket")).drop("width", "bucket")
+
+    def sides(ours: int | None, theirs: int | None) -> DataFrame:
+        return met(_bucketed(left, "s", "e", ours), _bucketed(right, "line_start", "line_end", theirs))
+
+    return sides(None, 0).unionByName(sides(1, None))
+
+
 def attribute(hunks: DataFrame, symbols: DataFrame) -> DataFrame:
     """Symbols whose lines a hunk changes, and else those its headers name.
 
     hunks: hunk_id, file_path, diff_text; symbols: file_path, kind, name,
-    line_start, line_end.  An interval join on the file's rows; a name found
-    both ways is exact.
+    line_start, line_end.  A name found both ways is exact.
     """
     ranges = hunks.select("hunk_id", "file_path", F.explode(T.post_image_ranges(F.col("diff_text"))).alias("r"))
     changed = ranges.select("hunk_id", "file_path", F.col("r.start").alias("s"), (F.col("r.start") + F.col("r.count") - 1).alias("e"))
-    exact = changed.join(symbols, "file_path").where("line_start <= e and s <= line_end").select("hunk_id", F.col("kind").alias("symbol_kind"), F.col("name").alias("symbol_name"), F.lit("exact_span").alias("attribution_kind"))
+    spans = symbols.select("file_path", "kind", "name", "line_start", "line_end")
+    exact = overlapping(changed, spans, "file_path").select("hunk_id", F.col("kind").alias("symbol_kind"), F.col("name").alias("symbol_name"), F.lit("exact_span").alias("attribution_kind"))
     named = hunks.select("hunk_id", F.explode(T.header_suffixes(F.col("diff_text"))).alias("suffix")).select("hunk_id", T.header_symbol(F.col("suffix")).alias("s")).where("s is not null")
     header = named.select("hunk_id", F.col("s.kind").alias("symbol_kind"), F.col("s.name").alias("symbol_name"), F.lit("hunk_header").alias("attribution_kind"))
     both = exact.unionByName(header)
@@ -74,13 +113,18 @@ def attribute(hunks: DataFrame, symbols: DataFrame) -> DataFrame:
 SPAN_KINDS = ("method", "class", "function", "const")
 
 
+#: Languages whose patterns never name a span twice, and all of whose symbols stay.
+EACH_STAYS = ("rust", "java")
+
+
 def dedup_spans(symbols: DataFrame) -> DataFrame:
-    """One symbol for each span of a file: methods and classes before functions."""
+    """One symbol for each span of a file: methods and classes before functions; with a language, all of EACH_STAYS."""
     order = F.lit(len(SPAN_KINDS))
     for i, kind in enumerate(SPAN_KINDS):
         order = F.when(F.col("kind") == kind, F.lit(i)).otherwise(order)
     first = F.row_number().over(Window.partitionBy("file_path", "span_start", "span_end").orderBy(order, "name"))
-    return symbols.withColumn("__n", first).where("__n = 1").drop("__n")
+    stays = F.coalesce(F.col("language").isin(*EACH_STAYS), F.lit(False)) if "language" in symbols.columns else F.lit(False)
+    return symbols.withColumn("__n", first).where((F.col("__n") == 1) | stays).drop("__n")
 
 
 def symbols_by_hunk(hits: DataFrame, hunk_symbols: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracegrain.functions import intent
@@ -103,6 +103,22 @@ def s1_commit_scan_since_bookmark(spark, d):
     return history.commit_scan(own, history.ancestors(own, "900")).select("commit_sha", "parent_sha", "ts")
 
 
+#: An event has the one of its user before it as its parent; signups merge, and have that before them of either of two users too.  Clocks are up to 60 days late.
+GRAPH = """(SELECT event_id AS c, unnest([lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id), CASE WHEN event_type = 'signup' THEN lag(event_id) OVER (PARTITION BY user_id // 2 ORDER BY event_id) END]) AS p FROM events)"""
+
+
+@query(f"""WITH RECURSIVE edges AS (SELECT DISTINCT c, p FROM {GRAPH} WHERE p IS NOT NULL),
+ways AS (SELECT event_id AS c, 0::BIGINT AS n FROM events UNION SELECT e.c, w.n + 1 FROM ways w JOIN edges e ON e.p = w.c)
+SELECT w.c::VARCHAR AS commit_sha, max(n) AS generation, any_value(CAST(floor(epoch(ts)) AS BIGINT) - w.c % 13 * 432000) AS ts FROM ways w JOIN events ON event_id = w.c GROUP BY w.c""")
+def s1_s8_generations(spark, d):
+    """Commits by how many must come before them, merges and late clocks among them."""
+    events = A.read(spark, d, "events")
+    own, either = (F.lag("event_id").over(Window.partitionBy(key).orderBy("event_id")) for key in ("user_id", F.floor(F.col("user_id") / 2)))
+    edges = events.select("event_id", F.array(own, F.when(F.col("event_type") == "signup", either)).alias("ps")).select(F.col("event_id").cast("string").alias("commit_sha"), F.explode(F.col("ps").cast("array<string>")).alias("parent_sha"))
+    commits = events.select(F.col("event_id").cast("string").alias("commit_sha"), (F.unix_timestamp(F.col("ts").cast("timestamp")) - F.col("event_id") % 13 * 432000).alias("ts"))
+    return history.commit_scan(commits, parents=edges).select("commit_sha", "generation", "ts")
+
+
 @query(f"SELECT hunk_id, file_path, language, length(diff_text) AS n_chars FROM {HUNKS} WHERE language = 'de' AND diff_text IS NOT NULL")
 def s2_f1_f2_diff_scan(spark, d):
     return A.hunks(spark, d).where("language = 'de' and diff_text is not null").select("hunk_id", "file_path", "language", F.length("diff_text").cast("long").alias("n_chars"))
@@ -378,13 +394,13 @@ def x10_f12_j14_attribution(spark, d):
 
 
 @query("""SELECT file_path, span_start, span_end, kind, name FROM (SELECT 'f' || CAST(p_partkey % 10 AS VARCHAR) AS file_path, p_size AS span_start, p_size + 10 AS span_end,
-CASE p_partkey % 3 WHEN 0 THEN 'function' WHEN 1 THEN 'class' ELSE 'method' END AS kind, p_name AS name FROM part)
-QUALIFY row_number() OVER (PARTITION BY file_path, span_start, span_end ORDER BY CASE kind WHEN 'method' THEN 0 WHEN 'class' THEN 1 WHEN 'function' THEN 2 ELSE 3 END, name) = 1""")
+CASE p_partkey % 3 WHEN 0 THEN 'function' WHEN 1 THEN 'class' ELSE 'method' END AS kind, p_name AS name, CASE WHEN p_partkey % 10 < 3 THEN 'rust' ELSE 'python' END AS language FROM part)
+QUALIFY language = 'rust' OR row_number() OVER (PARTITION BY file_path, span_start, span_end ORDER BY CASE kind WHEN 'method' THEN 0 WHEN 'class' THEN 1 WHEN 'function' THEN 2 ELSE 3 END, name) = 1""")
 def u5_span_dedup(spark, d):
     p = F.col("p_partkey")
     kind = F.when(p % 3 == 0, "function").when(p % 3 == 1, "class").otherwise("method")
-    rows = A.read(spark, d, "part").select(F.concat(F.lit("f"), (p % 10).cast("string")).alias("file_path"), F.col("p_size").alias("span_start"), (F.col("p_size") + 10).alias("span_end"), kind.alias("kind"), F.col("p_name").alias("name"))
-    return symbols.dedup_spans(rows)
+    rows = A.read(spark, d, "part").select(F.concat(F.lit("f"), (p % 10).cast("string")).alias("file_path"), F.col("p_size").alias("span_start"), (F.col("p_size") + 10).alias("span_end"), kind.alias("kind"), F.col("p_name").alias("name"), F.when(p % 10 < 3, "rust").otherwise("python").alias("language"))
+    return symbols.dedup_spans(rows).drop("language")
 
 
 @query("""SELECT 'src/' || p_partkey || '.rs' AS file_path, unnest(['function', 'class']) AS kind, unnest([replace(p_name, ' ', '_'), 'S' || p_partkey]) AS name, unnest([1, 4])::INTEGER AS line_start, unnest([3, 4])::INTEGER AS line_end FROM part""")

@@ -18,6 +18,7 @@ from tracegrain.functions.text import LANGUAGES
 
 SCHEMAS = {
     "commits": "commit_sha string, parent_sha string, is_merge boolean, author string, ts long, message string, walk_ord long",
+    "parents": "commit_sha string, parent_sha string, ord int",
     "hunks": "commit_sha string, file_path string, language string, change_kind string, diff_text string",
     "changed_paths": "commit_sha string, path string",
     "blame": "file string, line int, commit_sha string",
@@ -90,13 +91,25 @@ class GitLogReader(DataSourceReader):
     def read(self, partition: Range) -> Iterator[tuple]:
         return getattr(self, f"_{self.table}")(partition.items)
 
+    def _shown(self, items: list, *fields: str) -> Iterator[list[str]]:
+        """Fields of a range's commits, in their order, by one process."""
+        if not items:
+            return
+        told = subprocess.run(["git", "-C", self.repo, "log", "--no-walk=unsorted", "--stdin", "-z", "--format=" + "%x00".join(fields)], input="\n".join(sha for _, sha in items).encode(), capture_output=True, check=True).stdout
+        flat = told.decode("utf-8", "replace").split("\0")
+        for i in range(len(items)):
+            yield flat[i * len(fields) : (i + 1) * len(fields)]
+
     def _commits(self, items: list) -> Iterator[tuple]:
-        for place, sha in items:
-            raw = git(self.repo, "show", "-s", "--format=%P%x00%an%x00%ct%x00%B", sha).decode("utf-8", "replace")
-            parents, author, ts, message = raw.split("\0", 3)
+        for (place, _), (sha, parents, author, ts, message) in zip(items, self._shown(items, "%H", "%P", "%an", "%ct", "%B"), strict=True):
             own = parents.split()
             yield sha, own[0] if own else None, len(own) > 1, author, int(ts), message.rstrip("\n"), place
 
+    def _parents(self, items: list) -> Iterator[tuple]:
+        for sha, parents in self._shown(items, "%H", "%P"):
+            for i, parent in enumerate(parents.split()):
+                yield sha, parent, i
+
     def _base(self, sha: str) -> str:
         parents = git(self.repo, "show", "-s", "--format=%P", sha).decode().split()
         return parents[0] if parents else ROOT

@@ -11,7 +11,23 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tracegrain.llm import components, exact_dedup, html_extract, language_id, line_dedup, mixing, packing, sharding, simhash, toxicity, vector_search
+from tracegrain.llm import (
+    common,
+    components,
+    exact_dedup,
+    html_extract,
+    importance,
+    language_id,
+    line_dedup,
+    mixing,
+    packing,
+    prefix_trie,
+    sharding,
+    simhash,
+    token_counts,
+    toxicity,
+    vector_search,
+)
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, fp string, size string, Part string, copies string"
@@ -874,3 +890,158 @@ def test_anisotropic_codes_lower_the_parallel_error():
     packed, table = books.pack(codes), books.tables(q[None])[0]
     made = np.concatenate([books.words[s][codes[:, s]] for s in range(8)], 1)
     assert sum(table[j][packed[:, j]] for j in range(4)) == pytest.approx(made @ q, rel=1e-3, abs=1e-3)
+
+
+def brute_tokens(text):
+    from tokenizers import Tokenizer
+
+    if not hasattr(brute_tokens, "made"):
+        brute_tokens.made = Tokenizer.from_file(TOKENIZER)
+    return len(brute_tokens.made.encode(text, add_special_tokens=False).ids)
+
+
+PIECES = ["a", "The", " the", " ", "  ", "\n", "\t", "'", "'re", "'ll", "é", "ß", "日", "1", "23", "!", "!!", "<|endoftext|>", "<|end", "ing", "\x1c", "\xa0", "́", "😀", "don't"]
+
+
+def test_token_counts_of_every_prefix():
+    known = token_counts.Vocabulary(TOKENIZER)
+    rng = np.random.default_rng(2)
+    for _ in range(250):
+        text = "".join(rng.choice(PIECES, rng.integers(0, 12)).tolist())
+        want = [brute_tokens(text[:i]) for i in range(len(text) + 1)]
+        made = token_counts.Prefixes(known, text)
+        assert [made.count(i) for i in range(len(text) + 1)] == want and known.count(text) == want[-1], text
+        for budget in range(6):
+            assert made.longest(budget) == max(i for i, n in enumerate(want) if n <= budget), (text, budget)
+
+
+def test_token_counts_follow_the_library(odd, empty, monkeypatch):
+    monkeypatch.setattr(token_counts, "SLICE", 100)
+    known = token_counts.Vocabulary(TOKENIZER)
+    long = "x" * 5000 + " word\n\n  and more'" * 300
+    assert known.count(long) == brute_tokens(long)
+    monkeypatch.undo()
+    got = collections.Counter(map(tuple, token_counts.count(odd, TOKENIZER, 1024).collect()))
+    want = collections.Counter((i, len((t or "").encode()), brute_tokens(t or ""), brute_tokens(t or "") > 1024) for i, t, *_ in BASE)
+    assert got == want and any(k[3] for k in want)
+    assert token_counts.count(empty, TOKENIZER).count() == 0
+    cut = {r.doc_id: r for r in token_counts.truncate(odd, TOKENIZER, 7).collect()}
+    assert all(r.n_kept == brute_tokens(r.text) <= 7 for r in cut.values()) and LONG.startswith(cut[5].text) and brute_tokens(LONG[: len(cut[5].text) + 1]) > 7
+    tables = token_counts.prefix_tables(odd, TOKENIZER).collect()
+    assert len(tables) == len(BASE) and all(len(r.starts) == len(r.before) for r in tables)
+
+
+def test_small_caches_give_the_same_counts(monkeypatch):
+    for name in ("UNITS_KEPT", "PREFIXES_KEPT", "PAIRS_KEPT"):
+        monkeypatch.setattr(token_counts, name, 3)
+    known = token_counts.Vocabulary(TOKENIZER)
+    for _, text, *_ in BASE:
+        assert known.count(text or "") == brute_tokens(text or "")
+
+
+TURNS = [
+    *[(0, t, "user", f"t{t}") for t in range(4)],
+    *[(c, t, "user", f"own {t if t < 3 else c}") for c in range(1, 40) for t in range(8)],
+    *[(200, 1, None, None), (200, None, "b", "first"), (200, 1, None, None), (200, 1, "a", "é"), (200, 1, "a", "b")],
+    *[(250, t, "user", "x") for t in range(3)],
+    *[(251, t, "user", "x") for t in range(3)],
+    (777, 0, "user", "alone"),
+    (None, 0, "user", "nobody's"),
+    (-105, 0, "user", "negative"),
+]
+
+
+def brute_trie(rows):
+    turns = collections.defaultdict(list)
+    for c, t, role, text in rows:
+        if c is not None:
+            turns[c].append((t is not None, t or 0, role or "", hashlib.sha256((text or "").encode()).hexdigest(), text or ""))
+    said = {c: [(r, x) for _, _, r, _, x in sorted(v)] for c, v in turns.items()}
+    paths = {}
+    for c, own in said.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        base = c - int(np.fmod(c, 100))
+        paths[c] = said.get(base, [])[:h] + own[h:]
+    nodes = collections.defaultdict(list)
+    for c, path in paths.items():
+        for d in range(len(path) + 1):
+            nodes[tuple(path[:d])].append(c)
+    out = set()
+    for node, members in nodes.items():
+        below = [n for n in nodes if n[: len(node)] == node]
+        leaves = [n for n in below if not any(m[: len(n)] == n and len(m) > len(n) for m in nodes)]
+        saved = sum((len(nodes[n]) - 1) * len(n[-1][1]) for n in below if n)
+        ends = ",".join(str(c) for c in sorted(members) if len(paths[c]) == len(node))
+        out.add((min(members), len(node), min(nodes[node[:-1]]) if node else None, len(members), sum(len(n) == len(node) + 1 for n in below), len(leaves), saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return out
+
+
+def test_prefix_trie(spark, monkeypatch):
+    monkeypatch.setattr(prefix_trie, "CHUNK", 8)  # ends in many chunks
+    schema = "conv_id long, turn long, role string, text string, depth string, len string, conv string, x1 string"
+    rows = spark.createDataFrame([(*r, "d", "l", "c", "x") for r in TURNS], schema).repartition(5)
+    got = [tuple(r) for r in prefix_trie.prefix_trie(rows).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_trie(TURNS)
+    assert prefix_trie.prefix_trie(rows.limit(0)).count() == 0
+
+
+def test_running_totals_go_on_from_range_to_range(spark):
+    rng = np.random.default_rng(7)
+    keys = np.sort(np.concatenate([np.zeros(700, np.int64), rng.integers(1, 9, 300)]))  # one key over many ranges
+    rows = [(int(k), i, int(v), int(w)) for i, (k, v, w) in enumerate(zip(keys, rng.integers(-9, 9, 1000), rng.integers(-(2**62), 2**62, 1000), strict=True))]
+    df = spark.createDataFrame(rows, "k long, i int, v long, w long").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.i: (r.number, r.v, r.w) for r in common.running(df, [F.col("k"), F.col("i")], by="k", sums=("v",), xors=("w",)).collect()}
+        whole = {r.i: r.number for r in common.running(df, [F.desc("v"), F.col("i")]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want, n, total, x, last = {}, 0, 0, 0, None
+    for k, i, v, w in rows:
+        n, total, x = (n + 1, total + v, x ^ w) if k == last else (1, v, w)
+        last, want[i] = k, (n, total, x)
+    assert got == want
+    assert whole == {i: n for n, (_, i) in enumerate(sorted((-v, i) for _, i, v, _ in rows), 1)}
+    assert common.running(df.limit(0), [F.col("k")], by="k", sums=("v",)).count() == 0
+
+
+def brute_resample(docs, target, longest, buckets):
+    import math
+
+    def features(text):
+        ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return ws, [" ".join(ws[i : i + n]) for n in range(1, longest + 1) for i in range(len(ws) - n + 1)]
+
+    at = lambda f: zlib.crc32(f.encode()) % buckets
+    s = collections.Counter(at(f) for _, t in docs for f in features(t)[1])
+    t = collections.Counter(at(f) for x in target for f in features(x)[1])
+    big_s, big_t = sum(s.values()), sum(t.values())
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (big_s + buckets) / ((s[b] + 1) * (big_t + buckets)))) for b in range(buckets)]
+    out = []
+    for i, text in docs:
+        ws, fs = features(text)
+        weight = sum(gain[at(f)] for f in fs) // len(fs) if fs else 0
+        h = int(hashlib.sha256(f"2024:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        out.append([i, len(ws), len(fs), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None])
+    drawn = sorted((r for r in out if r[1] >= 20), key=lambda r: (-r[4], r[0] is None, r[0] or 0))
+    for n, r in enumerate(drawn[: 30 * len(drawn) // 100], 1):
+        r[5] = n
+    return sorted(map(tuple, out), key=repr)
+
+
+def test_importance_resampling(spark, odd, empty, monkeypatch):
+    monkeypatch.setattr(importance, "SLICE", 64)
+    rng = np.random.default_rng(3)
+    vocabulary = ["Wörter", "a1", "be", "日本", "x_y", "THE", "the", "12", "née"]
+    docs = [(i, " ".join(rng.choice(vocabulary, rng.integers(0, 60)).tolist())) for i in range(150)] + [(7, "the " * 30), (7, "the " * 30), (None, "word " * 25), (900, None), (901, "x" * 500 + " y" * 30)]
+    target = ["the be the be a1", "Wörter 日本", None]
+    df = spark.createDataFrame([(*d, "w", "s") for d in docs], "doc_id long, text string, weight string, score string").repartition(4)
+    want_df = spark.createDataFrame([(i, t) for i, t in enumerate(target)], "item_id long, text string")
+    for longest, buckets in ((1, 50), (3, 997)):
+        got = importance.resample(df, want_df, longest, buckets, percent=30)
+        assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_resample(docs, target, longest, buckets)
+    totals = lambda most: {r.bucket: r.n for r in importance.bucket_totals(df, 2, 97, most_nodes=most).collect()}
+    assert totals(5) == totals(10**6)  # tries that are emptied often
+    assert importance.resample(empty, want_df).count() == 0
+    assert importance.resample(df, want_df.limit(0)).where("rank is not null").count() > 0
+    assert importance.resample(odd, want_df).count() == len(BASE)

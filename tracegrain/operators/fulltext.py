@@ -3,7 +3,8 @@
 An index is three tables: postings (doc_id, term, positions, length), one row
 for each term of a document; terms (term, df); and the corpus statistics.  Postings
 and terms are written sorted by term, so a query's terms prune the scan by
-row-group statistics.
+row-group statistics; a fourth table, of what blocks of documents can score at most,
+lets a batch of queries skip what cannot be among the best (operators.topk).
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 from tracegrain.functions.text import fold_word, tokens
 
+from . import topk
+
 #: BM25's parameters and the least inverse document frequency.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Positions between the starts of two columns, so that no phrase spans them.
@@ -150,6 +153,8 @@ class TextIndex:
     terms: DataFrame
     #: the documents, of an index that isn't written yet
     docs: DataFrame | None = None
+    #: of an index that is written, by whose blocks the postings are
+    blocks: DataFrame | None = None
     _known: tuple[int, float] | None = field(default=None, repr=False)
 
     @classmethod
@@ -162,9 +167,12 @@ class TextIndex:
         spark = self.postings.sparkSession
         raw = f"{path}/postings-unsorted"  # or the ranges' bounds would be found by splitting texts once more
         self.postings.write.mode("overwrite").parquet(raw)
-        spark.read.parquet(raw).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        unsorted = spark.read.parquet(raw).select("doc_id", "term", "positions", "length")
+        blocked = unsorted.select(F.lit("").alias("segment"), topk.block(topk.histogram(unsorted.select("doc_id", "length").distinct())).alias("block"), "doc_id", "term", "positions", "length")
+        blocked.repartitionByRange("term", "block", "doc_id").sortWithinPartitions("term", "block", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(raw)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        topk.block_table(spark.read.parquet(f"{path}/postings")).repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/blocks")
         terms = term_counts(spark.read.parquet(f"{path}/postings"))
         terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
         if self.docs is None:
@@ -177,8 +185,8 @@ class TextIndex:
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> TextIndex:
-        schema = "doc_id long, term string, positions array<int>, length long"
-        return cls(spark.read.schema(schema).parquet(f"{path}/postings"), spark.read.schema("n_docs long, avg_length double").parquet(f"{path}/stats"), spark.read.schema("term string, df long, cf long").parquet(f"{path}/terms"))
+        schema = "segment string, block long, doc_id long, term string, positions array<int>, length long"
+        return cls(spark.read.schema(schema).parquet(f"{path}/postings"), spark.read.schema("n_docs long, avg_length double").parquet(f"{path}/stats"), spark.read.schema("term string, df long, cf long").parquet(f"{path}/terms"), blocks=spark.read.schema(topk.BLOCKS).parquet(f"{path}/blocks"))
 
     def known(self) -> tuple[int, float]:
         """n_docs and avg_length, read once."""
@@ -258,8 +266,11 @@ def search_batch(index: TextIndex, queries: DataFrame, k: int) -> DataFrame:
     """qid, doc_id, score, rank: the k best matches of each of many queries of words, all of which must occur.
 
     queries: qid, text.  One join by term serves all queries; scores are summed
-    by query and document with partial aggregation.
+    by query and document with partial aggregation.  An index that has blocks is
+    read where the k best can be alone.
     """
+    if index.blocks is not None:
+        return topk.search(index, queries, k)
     asked = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     need = asked.groupBy("qid").agg(F.count("*").alias("need"))
     asked = asked.join(index.terms.select("term", "df"), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))

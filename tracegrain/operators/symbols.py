@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracegrain.functions import text as T
 
-from . import fulltext
+from . import fulltext, trigrams
 
 #: What kinds of attribution count, and how they rank.
 ATTRIBUTION_SIMILARITY = {"exact_span": 1.0, "hunk_header": 0.6, "file_fallback": 0.3}
@@ -30,15 +30,19 @@ def head_symbol_hunks(index: fulltext.TextIndex, symbols: DataFrame, hunks: Data
     return hunks.select("hunk_id", "file_path").join(best, "file_path").groupBy("hunk_id").agg(F.min("score").alias("score")).orderBy("score", "hunk_id").limit(k)
 
 
-def historical_symbol_hunks(hunk_symbols: DataFrame, commits_of: DataFrame, query: str, k: int) -> DataFrame:
+def historical_symbol_hunks(hunk_symbols: DataFrame, commits_of: DataFrame, query: str, k: int, grams: DataFrame | None = None) -> DataFrame:
     """hunk_id, similarity, ord: hunks with a symbol whose name holds the whole query, lower-cased.
 
     % and _ of the query are wildcards, as LIKE has them.  The limit comes
     before a hunk's rows are reduced to its first, so fewer than k may be left.
-    commits_of: hunk_id, ts.
+    commits_of: hunk_id, ts; grams: trigrams.GRAMS of the names, if there are any.
     """
-    pattern = "%" + query.lower().replace("\\", "\\\\") + "%"
-    hits = hunk_symbols.where(F.lower("symbol_name").like(pattern)).join(commits_of, "hunk_id")
+    if grams is None:
+        named = hunk_symbols.where(trigrams.holds(F.col("symbol_name"), query))
+    else:
+        names = trigrams.matching(grams, query)
+        named = hunk_symbols.join(names, F.lower("symbol_name") == names["name"], "left_semi")
+    hits = named.join(commits_of, "hunk_id")
     rank = attribution_rank(F.col("attribution_kind"))
     top = hits.select("hunk_id", "symbol_name", "attribution_kind", "ts", rank.alias("rank")).orderBy("rank", F.desc("ts"), "hunk_id", "symbol_name").limit(k)
     place = F.row_number().over(Window.orderBy("rank", F.desc("ts"), "hunk_id", "symbol_name"))  # of k rows at most

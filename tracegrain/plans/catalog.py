@@ -15,7 +15,7 @@ from tracegrain.functions import intent
 from tracegrain.functions import text as T
 from tracegrain.functions import vectors as V
 from tracegrain.functions.session import scratch
-from tracegrain.operators import cells, chunking, fulltext, history, ignore, knn, ranking, segments, symbols, tables
+from tracegrain.operators import cells, chunking, fulltext, history, ignore, knn, ranking, segments, symbols, tables, trigrams
 from tracegrain.plans import explain, retrieve
 from tracegrain.plans.index import DIM
 from tracegrain.sources import adapters as A
@@ -265,10 +265,13 @@ for _name, _case in PRECEDENCE.items():
 FOLDED = [("чай", "чай"), ("Việt", "việt"), ("ά", "ά"), ("ΣΙΣΥΦΟΣ", "σισυφοσ"), ("e\u0301te\u0301", "ete"), ("naïve Åse", "naive ase"), ("a_b", "a b"), ("x-1", "x 1"), ("Straße", "straße")]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{t}')" for w, t in FOLDED) + ") AS v(word, tokens)")
+@query("SELECT doc_id, coalesce(lang, '') || ' ' || w || ' ' || coalesce(source, '') AS said, trim(coalesce(lower(lang), '') || ' ' || t || ' ' || coalesce(lower(source), '')) AS tokens FROM documents JOIN (VALUES " + ", ".join(f"({i}, '{w}', '{t}')" for i, (w, t) in enumerate(FOLDED)) + f") AS v(i, w, t) ON doc_id % {len(FOLDED)} = i")
 def t3_folding(spark, d):
-    """Fixed words, as the full-text engine folds them."""
-    return spark.createDataFrame([(w,) for w, _ in FOLDED], "word string").select("word", F.array_join(T.tokens(F.col("word")), " ").alias("tokens"))
+    """Words that the full-text engine folds in its own way, between columns of every document."""
+    word = F.element_at(F.array(*[F.lit(w) for w, _ in FOLDED]), (F.col("doc_id") % len(FOLDED) + 1).cast("int"))
+    said = F.concat(F.coalesce("lang", F.lit("")), F.lit(" "), word, F.lit(" "), F.coalesce("source", F.lit("")))
+    rows = A.read(spark, d, "documents").select("doc_id", said.alias("said"))
+    return rows.withColumn("tokens", F.array_join(T.tokens(F.col("said")), " "))
 
 
 @query(f"""WITH {TOKENS_CTE}, ph AS (SELECT a.hunk_id, a.dl, count(*) AS f FROM toks a JOIN toks b ON a.hunk_id = b.hunk_id AND b.pos = a.pos + 1 WHERE a.t = 'of' AND b.t = 'the' GROUP BY ALL)
@@ -341,6 +344,18 @@ def a14_t5_w4_segmented_search(spark, d):
     return found.select(F.col("doc_id").alias("hunk_id"), r6(F.col("score")).alias("score"))
 
 
+@query(f"""WITH {TOKENS_CTE}, q(qid, t) AS (VALUES {BATCH_SQL}), need AS (SELECT qid, count(*) AS need FROM q GROUP BY qid),
+tf AS (SELECT hunk_id, dl, t, count(*) AS f FROM toks WHERE t IN (SELECT t FROM q) GROUP BY ALL), df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+s AS (SELECT qid, hunk_id, -sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS raw, count(*) AS got FROM tf JOIN q USING (t) JOIN df USING (t), stats GROUP BY qid, hunk_id)
+SELECT qid, hunk_id, round(raw, 9) AS score, row_number() OVER (PARTITION BY qid ORDER BY raw, hunk_id) AS rank FROM s JOIN need USING (qid) WHERE got = need QUALIFY rank <= 10""")
+def t4_t10_topk_blocks(spark, d):
+    """The best of each query, from the blocks that may hold them alone."""
+    path = scratch(spark)
+    _text_index(spark, d).write(path)
+    found = fulltext.search_batch(fulltext.TextIndex.read(spark, path), spark.createDataFrame(BATCH, "qid int, text string"), 10)
+    return found.select("qid", F.col("doc_id").alias("hunk_id"), r9(F.col("score")).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 # --- Symbols -----------------------------------------------------------------------------------
 
 HEAD_CTE = f"""sd AS (SELECT symbol_id, file_path, {_tokens('kind')} || {_tokens('name')} || {_tokens('sibling_names')} AS ts FROM {SYMBOLS}),
@@ -369,6 +384,22 @@ def t9_j4_r12_u3_historical_symbol_lane(spark, d):
     return symbols.historical_symbol_hunks(A.hunk_symbols(spark, d), facts, NAME, 60)
 
 
+@query(f"SELECT DISTINCT lower(name) AS name FROM {SYMBOLS} WHERE lower(name) LIKE '%{NAME}%'")
+def f5_trigram_names(spark, d):
+    """Names that hold a string, through their trigrams."""
+    path = scratch(spark)
+    trigrams.write(A.symbols(spark, d), path, "name")
+    return trigrams.matching(spark.read.schema(trigrams.GRAMS).parquet(path), NAME)
+
+
+@query(f"SELECT hunk_id, min(ord)::INTEGER AS ord, CASE arg_min(rank, ord) WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END AS similarity FROM (SELECT *, row_number() OVER (ORDER BY rank, ts DESC, hunk_id, symbol_name) AS ord FROM {HIST}) GROUP BY hunk_id")
+def t9_f5_trigram_symbol_lane(spark, d):
+    path = scratch(spark)
+    trigrams.write(A.hunk_symbols(spark, d), path)
+    facts = A.hunks(spark, d).select("hunk_id", "commit_id").join(A.plain_commits(spark, d).select("commit_id", "ts"), "commit_id").select("hunk_id", "ts")
+    return symbols.historical_symbol_hunks(A.hunk_symbols(spark, d), facts, NAME, 60, spark.read.schema(trigrams.GRAMS).parquet(path))
+
+
 @query(f"SELECT hunk_id, coalesce(array_to_string(names, ','), '') AS names FROM {HUNKS} LEFT JOIN (SELECT hunk_id, list(symbol_name ORDER BY {RANK}, symbol_name) AS names FROM {HUNK_SYMBOLS} GROUP BY hunk_id) USING (hunk_id)")
 def j11_a13_symbols_by_hunk(spark, d):
     return symbols.symbols_by_hunk(A.hunks(spark, d).select("hunk_id"), A.hunk_symbols(spark, d)).select("hunk_id", F.array_join("related_head_symbols", ",").alias("names"))
@@ -682,10 +713,12 @@ def x6_x7_x8_diff_headers(spark, d):
 
 
 @query("""SELECT doc_id, (length(regexp_replace(substr(t, 1, a), '[^\\n]', '', 'g')) + 1)::INTEGER AS first_line, (length(regexp_replace(substr(t, 1, b), '[^\\n]', '', 'g')) + 1)::INTEGER AS last_line
-FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') AS t, least(100, length(regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g'))) AS a, least(500, length(text)) - 1 AS b FROM documents WHERE n_chars > 0)""")
+FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') AS t, length(text) // 3 AS a, greatest(2 * length(text) // 3 - 1, 0) AS b FROM documents WHERE n_chars > 0)""")
 def x9_line_spans(spark, d):
+    """The lines of the middle third of every text."""
     plain = F.regexp_replace("text", r"[^\x00-\x7F]", "?")
-    first, last = T.line_span(F.col("t"), F.lit(100), F.lit(500))
+    n = F.octet_length("t")
+    first, last = T.line_span(F.col("t"), F.floor(n / 3).cast("int"), F.floor(2 * n / 3).cast("int"))
     return A.read(spark, d, "documents").where("n_chars > 0").select("doc_id", plain.alias("t")).select("doc_id", first.alias("first_line"), last.alias("last_line"))
 
 
@@ -738,10 +771,12 @@ ASKED_SQL = "[" + ", ".join(f"'{x}'" for x in ASKED) + "]"
 
 @query(f"""SELECT doc_id, q, CASE WHEN q LIKE '%where do we configure%' OR q LIKE '%load configuration%' OR q LIKE '%config%' THEN 'configuration'
 WHEN q LIKE '%how did we fix%' OR ((q LIKE '% error%' OR q LIKE '% crash%') AND (q LIKE '% fix%' OR q LIKE '%fixed%')) THEN 'bug_fix_precedent' WHEN q LIKE '%callers of%' THEN 'api_usage'
-WHEN q LIKE '%how did we%' OR q LIKE '%pattern for%' OR (q LIKE '%how was%' AND q LIKE '%done before%') THEN 'implementation_pattern' ELSE 'unknown' END AS intent FROM (SELECT doc_id, ({ASKED_SQL})[doc_id % 8 + 1] AS q FROM documents)""")
+WHEN q LIKE '%how did we%' OR q LIKE '%pattern for%' OR (q LIKE '%how was%' AND q LIKE '%done before%') THEN 'implementation_pattern' ELSE 'unknown' END AS intent FROM (SELECT doc_id, lower(coalesce(text, '') || ' ' || ({ASKED_SQL})[doc_id % 8 + 1]) AS q FROM documents)""".replace("SELECT doc_id, q, CASE", "SELECT doc_id, md5(q) AS asked_md5, CASE"))
 def x24_classify_intents(spark, d):
-    q = F.element_at(F.array(*[F.lit(x) for x in ASKED]), (F.col("doc_id") % 8 + 1).cast("int"))
-    return A.read(spark, d, "documents").select("doc_id", q.alias("q")).withColumn("intent", intent.intent_column(F.col("q")))
+    """Every text with a question after it is a query."""
+    asked = F.element_at(F.array(*[F.lit(x) for x in ASKED]), (F.col("doc_id") % 8 + 1).cast("int"))
+    q = F.lower(F.concat(F.coalesce("text", F.lit("")), F.lit(" "), asked))
+    return A.read(spark, d, "documents").select("doc_id", q.alias("q")).select("doc_id", F.md5(F.col("q").cast("binary")).alias("asked_md5"), intent.intent_column(F.col("q")).alias("intent"))
 
 
 # --- Writes ------------------------------------------------------------------------------------

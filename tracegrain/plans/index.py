@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracegrain.functions import text as T
-from tracegrain.operators import cells, chunking, history, segments, symbols, tables
+from tracegrain.operators import cells, chunking, history, segments, symbols, tables, trigrams
 from tracegrain.operators.fulltext import TextIndex
 from tracegrain.operators.ignore import Layers, kept_hunks
 from tracegrain.plans import retrieve
@@ -38,7 +38,7 @@ DEAD = "commit_sha string, reason string, detail string"
 FACTS = "hunk_id long, file_path string, language string, ts long"
 IGNORED = "commit_sha string"
 #: The tables that batches add to.
-SCHEMAS = {"commits": COMMITS, "hunks": HUNKS, "cache": CACHE, "files": FILES, "hunk_symbols": HUNK_SYMBOLS, "dead_letters": DEAD, "ignored": IGNORED, "facts": FACTS}
+SCHEMAS = {"commits": COMMITS, "hunks": HUNKS, "cache": CACHE, "files": FILES, "hunk_symbols": HUNK_SYMBOLS, "dead_letters": DEAD, "ignored": IGNORED, "facts": FACTS, "grams": trigrams.GRAMS}
 #: The text indexes and their columns: over the hunks, and over the symbols at HEAD.
 TEXTS = {"text": ["diff_text"], "semantic": ["semantic_text"], "head": ["kind", "name", "sibling_names"]}
 MOST_PARTS = 32
@@ -203,6 +203,8 @@ class Index:
             if named is not None:
                 met = symbols.live_attribution(stored.select("hunk_id", F.concat_ws("\0", "commit_sha", "file_path").alias("file_path")), named.withColumn("file_path", F.concat_ws("\0", "commit_sha", "file_path")))
                 parts["hunk_symbols"] = self._write("hunk_symbols", met)
+                parts["grams"] = uuid.uuid4().hex
+                trigrams.write(self._part("hunk_symbols", parts["hunk_symbols"]), f"{self.path}/grams/{parts['grams']}")
             stamped = new.withColumn("ulid", T.ulid(F.col("ts"), F.col("commit_sha"))).withColumn("said", F.coalesce("message", F.lit("")))
             stamped = chunking.embed(stamped, "said", DIM, embedder).withColumnRenamed("diff_emb", "message_emb").select(*[c.split()[0] for c in COMMITS.split(", ")])
             parts["commits"] = self._write("commits", stamped)
@@ -370,7 +372,7 @@ class Index:
     def state(self) -> dict[str, object]:
         """What is searched: the parts of the tables, and the segments."""
         held = self._pointers()
-        return {name: held.get(name) for name in ("hunks", "commits", "symbols", "hunk_symbols", "facts", "cells", *TEXTS)}
+        return {name: held.get(name) for name in ("hunks", "commits", "symbols", "hunk_symbols", "facts", "cells", "grams", *TEXTS)}
 
     def corpus(self) -> retrieve.Corpus:
         """What retrieve.find_pattern searches, as the index is now: tables and segments, nothing of which is built or copied here."""
@@ -388,6 +390,7 @@ class Index:
             self.table("hunk_symbols", HUNK_SYMBOLS, state),
             self.table("facts", FACTS, state),
             cells.view(self.spark, f"{self.path}/cells", state.get("cells") or {}),
+            self.table("grams", trigrams.GRAMS, state),
         )
 
     def text_indexes(self) -> tuple[TextIndex, TextIndex]:

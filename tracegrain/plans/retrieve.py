@@ -21,7 +21,7 @@ from tracegrain.functions import intent
 from tracegrain.functions import text as T
 from tracegrain.functions import vectors as V
 from tracegrain.functions.counters import Counters
-from tracegrain.operators import cells, fulltext, knn, ranking, symbols
+from tracegrain.operators import cells, fulltext, knn, ranking, symbols, trigrams
 from tracegrain.operators.fulltext import TextIndex
 
 LANES = ("vec", "text", "semantic", "historical_symbol", "head_symbol")
@@ -44,6 +44,8 @@ class Corpus:
     facts: DataFrame | None = None
     #: the vectors by cell; without it they are all read for each question
     cells: cells.CellIndex | None = None
+    #: trigrams of the names of hunk_symbols; without them all names are read
+    grams: DataFrame | None = None
 
     def __post_init__(self) -> None:
         if self.facts is None:
@@ -65,13 +67,14 @@ def save(corpus: Corpus, path: str) -> None:
         getattr(corpus, name).write.mode("overwrite").parquet(f"{path}/{name}")
     for name in _INDEXES:
         getattr(corpus, name).write(f"{path}/{name}")
+    trigrams.write(corpus.hunk_symbols, f"{path}/grams")
     state = cells.build(spark, f"{path}/cells", spark.read.parquet(f"{path}/vectors"))
     spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/cells-state")
 
 
 def load(spark: SparkSession, path: str) -> Corpus:
     state = json.loads(spark.read.text(f"{path}/cells-state").first().value)
-    return Corpus(**{n: spark.read.parquet(f"{path}/{n}") for n in _TABLES}, **{n: TextIndex.read(spark, f"{path}/{n}") for n in _INDEXES}, cells=cells.view(spark, f"{path}/cells", state))
+    return Corpus(**{n: spark.read.parquet(f"{path}/{n}") for n in _TABLES}, **{n: TextIndex.read(spark, f"{path}/{n}") for n in _INDEXES}, cells=cells.view(spark, f"{path}/cells", state), grams=spark.read.schema(trigrams.GRAMS).parquet(f"{path}/grams"))
 
 
 def lanes(corpus: Corpus, query: str, vector: list[float] | None, enabled: tuple[str, ...], k: int, language: str | None = None, since: int | None = None, lenient: bool = True, strict: bool = True) -> dict[str, Callable[[], DataFrame]]:
@@ -97,7 +100,7 @@ def lanes(corpus: Corpus, query: str, vector: list[float] | None, enabled: tuple
         return ranking.lane(hits.orderBy("score", "hunk_id").limit(k), ordinal, by_score, V.bm25_similarity(F.col("score"), strict))
 
     def historical() -> DataFrame:
-        hits = symbols.historical_symbol_hunks(corpus.hunk_symbols, fit.select("hunk_id", "ts"), query, k)
+        hits = symbols.historical_symbol_hunks(corpus.hunk_symbols, fit.select("hunk_id", "ts"), query, k, corpus.grams)
         return ranking.lane(hits, 3, [F.col("ord")], F.col("similarity"))
 
     def head() -> DataFrame:

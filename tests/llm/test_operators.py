@@ -1045,3 +1045,25 @@ def test_importance_resampling(spark, odd, empty, monkeypatch):
     assert importance.resample(empty, want_df).count() == 0
     assert importance.resample(df, want_df.limit(0)).where("rank is not null").count() > 0
     assert importance.resample(odd, want_df).count() == len(BASE)
+
+
+PROSE = [
+    "The committee met on Tuesday, and after a long debate, which nobody had expected, it put off the vote until the spring of the next year.",
+    "Several members said, in the corridor and later to the press, that the figures were not yet complete, and that no one could decide on such grounds.",
+    "A spokesman for the other side, who had waited outside, called this a pretext, and announced that they would go to court before the month was over.",
+]
+
+
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        lambda ps: "".join(f'<div class="row"><div class="col"><p>{p}</p></div></div>' for p in ps),
+        lambda ps: "".join(f"<section><div><div><p>{p}</p></div></div></section>" for p in ps),
+        lambda ps: "<table>" + "".join(f"<tr><td>{p}</td></tr>" for p in ps) + "</table>",
+        lambda ps: "<div><div>" + "".join(f'<div class="block"><div><p>{p}</p></div></div>' for p in ps) + "</div></div>",
+    ],
+)
+def test_split_articles_stay_whole(wrap):
+    menu = '<div class="col"><ul>' + "".join(f'<li><a href="/{i}">Section number {i} of the paper</a></li>' for i in range(8)) + "</ul></div>"
+    page = f"<html><body><nav>{menu}</nav><div class='row'>{menu}</div>{wrap(PROSE)}<footer><p>Copyright, all rights reserved, and so on and so forth.</p></footer></body></html>"
+    assert html_extract.extract(page) == " ".join(PROSE)

@@ -332,16 +332,58 @@ def _main(root: Node) -> str:
         up = up.parent
     if best.parent is None:
         return " ".join(blocks(best))
-    kept = []
-    for c in best.parent.children:
-        if isinstance(c, str) or c.dropped:
-            continue
-        density = c.links / c.prose if c.prose else 0.0
-        enough = c.points is not None and c.points >= max(10.0, best.points * 0.2)
-        prose = c.name == "p" and (c.prose > 80 and density < 0.25 or 0 < c.prose <= 80 and density == 0 and "." in "".join(_inline(c)))
-        if c is best or enough or prose:
-            kept += blocks(c)
-    return " ".join(kept)
+    peers = [n for n in scored if n is not best and _alike(n, best)]
+    return " ".join(_kept(best, peers))
+
+
+def _alike(node: Node, best: Node) -> bool:
+    """Whether a container is another part of the best one's article: the same box at the same depth, with enough points and few links."""
+    same = node.name == best.name and node.depth == best.depth and node.words == best.words and not node.dropped
+    return same and node.points >= best.points * 0.2 and node.links < node.prose * 0.25
+
+
+def _kept(best: Node, peers: list[Node]) -> list[str]:
+    """The texts of the best container, its like siblings, and its peers that other boxes hold, in page order."""
+    holders: set[int] = set()  # ancestors of the peers
+    for n in peers:
+        while n is not None and id(n) not in holders:
+            holders.add(id(n))
+            n = n.parent
+    path = [best]
+    while path[-1].parent is not None:
+        path.append(path[-1].parent)
+    # the lowest box around all of them, the best one's parent at least
+    top = path[1]
+    if peers:
+        ancestors = {id(n): k for k, n in enumerate(path)}
+        highest = 1
+        for n in peers:
+            while id(n) not in ancestors:
+                n = n.parent
+            highest = max(highest, ancestors[id(n)])
+        top = path[highest]
+    ours = {id(n) for n in path}
+    kept: list[str] = []
+
+    def collect(box: Node) -> None:
+        for c in box.children:
+            if isinstance(c, str) or c.dropped:
+                continue
+            if c is best:
+                kept.extend(blocks(c))
+                continue
+            density = c.links / c.prose if c.prose else 0.0
+            enough = c.points is not None and c.points >= max(10.0, best.points * 0.2)
+            prose = c.name == "p" and (c.prose > 80 and density < 0.25 or 0 < c.prose <= 80 and density == 0 and "." in "".join(_inline(c)))
+            beside = box is path[1] and (enough or prose)
+            if beside or id(c) in peer_ids:
+                kept.extend(blocks(c))
+            elif id(c) in ours or id(c) in holders:
+                collect(c)
+
+    peer_ids = {id(n) for n in peers}
+    collect(top)
+    return kept
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -8,6 +8,9 @@ from dataclasses import dataclass, field
 VECTOR_COMPONENTS = ("embedding_model", "embedding_dimension", "embed_input_mode")
 DERIVED_COMPONENTS = ("schema", "chunker_version", "semantic_text_version", "reranker_model")
 
+#: Fixed value: how a mismatch is told.
+MISMATCH = '{key} mismatch (index has "{stored}", binary expects "{wanted}")'
+
 
 @dataclass(frozen=True)
 class Verdict:
@@ -34,7 +37,7 @@ def assess(expected: Expected, stored: dict[str, str]) -> Verdict:
             if key not in stored:
                 missing.append(key)
             elif stored[key] != wanted[key]:
-                return Verdict(status, f'{key} mismatch (index has "{stored[key]}", binary expects "{wanted[key]}")')
+                return Verdict(status, MISMATCH.format(key=key, stored=stored[key], wanted=wanted[key]))
     return Verdict("unknown", missing=tuple(missing)) if missing else Verdict("compatible")
 
 
@@ -42,13 +45,14 @@ def hint(last_indexed: str | None, behind: int, verdict: Verdict, most_behind: i
     """What to do about a stale or unfit index; None if nothing."""
     said = []
     if last_indexed is None:
-        said.append("Index not built. Run the index command.")
+        said.append("Nothing has been indexed here yet: ingest the history first.")
     elif behind > most_behind:
-        said.append(f"Index is {behind} commits behind HEAD. Run the index command.")
-    if verdict.status == "query_compatible_needs_refresh":
-        said.append(f"Index is query-compatible but stale ({verdict.reason}). Run the index command with force to refresh.")
-    elif verdict.status == "needs_rebuild":
-        said.append(f"Index needs rebuild ({verdict.reason}). Rebuild it; searches are refused until then.")
-    elif verdict.status == "unknown":
-        said.append(f"Index has no recorded metadata for {', '.join(verdict.missing)}. Run the index command with force to record current versions.")
+        said.append(f"{behind} commits since the last ingest are missing from the answers: ingest them.")
+    told = {
+        "query_compatible_needs_refresh": f"Answers are usable, but parts of the index are out of date ({verdict.reason}): ingest everything again when there is time.",
+        "needs_rebuild": f"The index does not fit this version ({verdict.reason}): nothing can be searched before it is built again.",
+        "unknown": f"It is not known which versions made this index ({', '.join(verdict.missing)} unrecorded): ingest everything again to record them.",
+    }
+    if verdict.status in told:
+        said.append(told[verdict.status])
     return " ".join(said) or None

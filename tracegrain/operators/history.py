@@ -11,6 +11,9 @@ from tracegrain.functions.session import cut
 #: Directories of documentation, and the share from which ignoring is suggested.
 DOCS = ("Documentation/", "docs/", "doc/")
 HIGH_SHARE = 0.05
+#: What an answer says about lines that it leaves out.
+SKIPPED = " commit(s) older than the local index watermark were skipped: ["
+NO_LINES = "blame returned no attributable lines (file missing in HEAD or empty range)"
 
 
 def ancestors(commits: DataFrame, sha: str) -> DataFrame:
@@ -159,8 +162,8 @@ def limitation(total: Column, skipped: Column, first: Column, last: Column) -> C
     """What an answer about lines leaves out; null if nothing."""
     n = F.size(skipped)
     more = F.when(n > 3, F.concat(F.lit(" (+"), (n - 3).cast("string"), F.lit(" more)"))).otherwise(F.lit(""))
-    note = F.concat(n.cast("string"), F.lit(" commit(s) older than the local index watermark were skipped: ["), F.array_join(F.slice(skipped, 1, 3), ", "), F.lit("]"), more, F.lit("; range covered: "), first.cast("string"), F.lit("..="), last.cast("string"))
-    return F.when(total == 0, F.lit("blame returned no attributable lines (file missing in HEAD or empty range)")).when(n > 0, note)
+    note = F.concat(n.cast("string"), F.lit(SKIPPED), F.array_join(F.slice(skipped, 1, 3), ", "), F.lit("]"), more, F.lit("; range covered: "), first.cast("string"), F.lit("..="), last.cast("string"))
+    return F.when(total == 0, F.lit(NO_LINES)).when(n > 0, note)
 
 
 def path_shares(changes: DataFrame) -> DataFrame:

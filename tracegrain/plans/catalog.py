@@ -651,7 +651,7 @@ def explain_change_flagship(spark, d):
 
 @query(f"""WITH b AS (SELECT * FROM {BLAME} WHERE file = 'f3' AND line BETWEEN 1 AND 8), k AS (SELECT *, commit_sha IN (SELECT commit_sha FROM {COMMITS} WHERE commit_id % 2 = 0) AS known FROM b), s AS (SELECT list(DISTINCT commit_sha ORDER BY commit_sha) AS sk FROM k WHERE NOT known)
 SELECT 'f3' AS file, min(line) AS first_line, max(line) AS last_line, count(*) AS lines, count(*) FILTER (WHERE known) AS indexed_lines, count(*) FILTER (WHERE known) / count(*)::DOUBLE AS blame_coverage,
-CASE WHEN any_value(len(sk)) > 0 THEN any_value(len(sk)) || ' commit(s) older than the local index watermark were skipped: [' || any_value(array_to_string(sk[1:3], ', ')) || ']' || CASE WHEN any_value(len(sk)) > 3 THEN ' (+' || (any_value(len(sk)) - 3) || ' more)' ELSE '' END || '; range covered: ' || min(line) || '..=' || max(line) END AS limitation FROM k, s""")
+CASE WHEN any_value(len(sk)) > 0 THEN any_value(len(sk)) || '{history.SKIPPED}' || any_value(array_to_string(sk[1:3], ', ')) || ']' || CASE WHEN any_value(len(sk)) > 3 THEN ' (+' || (any_value(len(sk)) - 3) || ' more)' ELSE '' END || '; range covered: ' || min(line) || '..=' || max(line) END AS limitation FROM k, s""")
 def a7_j9_x30_explain_meta(spark, d):
     return explain.explain_meta(A.blame(spark, d), A.plain_commits(spark, d).where("commit_id % 2 = 0"), "f3", 1, 8)
 

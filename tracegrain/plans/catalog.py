@@ -15,7 +15,7 @@ from tracegrain.functions import intent
 from tracegrain.functions import text as T
 from tracegrain.functions import vectors as V
 from tracegrain.functions.session import scratch
-from tracegrain.operators import cells, chunking, fulltext, history, ignore, knn, ranking, segments, symbols, tables, trigrams
+from tracegrain.operators import cells, chunking, fulltext, history, ignore, knn, ownership, ranking, segments, symbols, tables, trigrams
 from tracegrain.plans import explain, retrieve
 from tracegrain.plans.index import DIM
 from tracegrain.sources import adapters as A
@@ -119,6 +119,18 @@ def s1_s8_generations(spark, d):
     return history.commit_scan(commits, parents=edges).select("commit_sha", "generation", "ts")
 
 
+@query("""WITH t AS (SELECT conv_id, turn, len(string_split(coalesce(text, ''), chr(10))) - CASE WHEN row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1 THEN 0 ELSE 1 END AS n FROM conversations)
+SELECT 'f' || conv_id AS file, (sum(n) OVER (PARTITION BY conv_id ORDER BY turn DESC) - n + 1)::BIGINT AS first_line, n::BIGINT AS n_lines, conv_id || '-' || turn AS commit_sha FROM t QUALIFY n > 0""")
+def s6_a6_ownership_from_diffs(spark, d):
+    """A turn is a commit whose diff takes away the first line of its file and puts the lines of its text before the rest."""
+    turns = A.read(spark, d, "conversations").withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    header = F.concat(F.when(F.col("place") == 1, "@@ -0,0 +1,").otherwise("@@ -1 +1,"), F.size(lines).cast("string"), F.lit(" @@\n"), F.when(F.col("place") == 1, "").otherwise("-?\n"))
+    diff = F.concat(header, F.array_join(F.transform(lines, lambda x: F.concat(F.lit("+"), x)), "\n"))
+    hunks = turns.select(F.concat(F.lit("f"), F.col("conv_id").cast("string")).alias("file_path"), F.col("turn").alias("ord"), F.concat_ws("-", "conv_id", "turn").alias("commit_sha"), diff.alias("diff_text"))
+    return ownership.runs(hunks).select("file", "first_line", "n_lines", "commit_sha")
+
+
 @query(f"SELECT hunk_id, file_path, language, length(diff_text) AS n_chars FROM {HUNKS} WHERE language = 'de' AND diff_text IS NOT NULL")
 def s2_f1_f2_diff_scan(spark, d):
     return A.hunks(spark, d).where("language = 'de' and diff_text is not null").select("hunk_id", "file_path", "language", F.length("diff_text").cast("long").alias("n_chars"))

@@ -25,6 +25,93 @@ _PATTERNS = {lang: [(kind, re.compile(p, re.M)) for kind, p in own] for lang, ow
 _PYTHON = re.compile(r"^([ \t]*)(?:async\s+)?(def|class)\s+(\w+)", re.M)
 
 
+#: How comments and strings begin, by language, in the order they are looked for.
+_STARTS = {
+    "rust": r"//|/\*|b?r#*\"|b?\"|b?'(?=\\|[^'\n]')",
+    "java": r"//|/\*|\"\"\"|\"|'",
+    "kotlin": r"//|/\*|\"\"\"|\"|'",
+    "javascript": r"//|/\*|\"|'|`|(?:(?<=[=(,:;!&|?{}\[\n])|(?<=\breturn))[ \t]*/(?![*/])",
+    "python": r"#|[rbfuRBFU]{0,2}(?:\"\"\"|\'\'\'|\"|')",
+}
+_STARTS["typescript"] = _STARTS["javascript"]
+_STARTS = {language: re.compile(p) for language, p in _STARTS.items()}
+_NESTED = frozenset(("rust", "kotlin"))
+_COMMENT_EDGE = re.compile(r"/\*|\*/")
+_TEMPLATE_EDGE = re.compile(r"\\.|`|\$\{", re.S)
+_HOLE_EDGE = re.compile(r"[{}`'\"]|//|/\*")
+_REGEX_END = re.compile(r"(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])*(?:/|(?=\n)|\Z)")
+
+
+def _token_end(source: str, at: int, start: str, language: str) -> int:
+    """Where a comment or string ends that begins with start, which ends at a place; without an end, at that of its line or of the source."""
+    opened = start.lstrip(" \t")
+    if opened in ("//", "#"):
+        end = source.find("\n", at)
+        return len(source) if end < 0 else end
+    if opened == "/*":
+        depth = 1
+        for edge in _COMMENT_EDGE.finditer(source, at):
+            if edge[0] == "*/":
+                depth -= 1
+                if depth == 0:
+                    return edge.end()
+            elif language in _NESTED:
+                depth += 1
+        return len(source)
+    if opened == "/":
+        return _REGEX_END.match(source, at).end()
+    if opened == "`":
+        return _template_end(source, at)
+    prefix = opened.rstrip("\"'#")
+    quotes = opened[len(prefix) :]
+    raw = "r" in prefix.lower() and language == "rust"
+    if raw or quotes == '"""' and language == "kotlin":
+        close = '"' + "#" * quotes.count("#") if raw else quotes
+        end = source.find(close, at)
+        return len(source) if end < 0 else end + len(close)
+    many = len(quotes) == 3 or language == "rust" and quotes == '"'
+    end = re.compile(r"\\.|" + re.escape(quotes) + ("" if many else r"|(?=\n)"), re.S)
+    for edge in end.finditer(source, at):
+        if not edge[0].startswith("\\"):
+            return edge.end()
+    return len(source)
+
+
+def _template_end(source: str, at: int) -> int:
+    """The end of a template string, whose holes are code that may hold braces, strings and templates."""
+    holes: list[int] = []  # open braces in each hole around
+    while True:
+        edge = (_HOLE_EDGE if holes else _TEMPLATE_EDGE).search(source, at)
+        if edge is None:
+            return len(source)
+        at = edge.end()
+        if not holes:
+            if edge[0] == "`":
+                return at
+            if edge[0] == "${":
+                holes.append(1)
+        elif edge[0] in "{}":
+            holes[-1] += 1 if edge[0] == "{" else -1
+            if holes[-1] == 0:
+                holes.pop()
+        else:
+            at = _token_end(source, at, edge[0], "javascript")
+
+
+def code_alone(source: str, language: str) -> str:
+    """A source with spaces for all of its comments and strings but their first character; places and lines stay."""
+    starts = _STARTS[language]
+    out, at = [], 0
+    while True:
+        m = starts.search(source, at)
+        if m is None:
+            return "".join([*out, source[at:]])
+        first = m.end() - len(m[0].lstrip(" \t")) + 1
+        end = _token_end(source, m.end(), m[0], language)
+        out += [source[at:first], re.sub(r"[^\n]", " ", source[first:end])]
+        at = max(end, first)
+
+
 def _braced_end(source: str, at: int) -> int:
     """The end of the block that opens after a place, or of its line if none does."""
     opened = re.compile(r"[{;\n]").search(source, at)
@@ -46,18 +133,19 @@ def extract(path: str, source: str) -> list[tuple[str, str, int, int]]:
     """(kind, name, start, end) in characters; where two patterns name a span, methods and classes stay."""
     language = PARSED.get(path.rsplit(".", 1)[-1]) if path and source and "." in path else None
     found: dict[tuple[int, int, str], str] = {}
+    code = code_alone(source, language) if language else ""
     if language == "python":
-        for m in _PYTHON.finditer(source):
+        for m in _PYTHON.finditer(code):
             deeper = re.compile(rf"^(?![ \t]{{{len(m[1]) + 1},}}|\s*$)", re.M)
-            end = deeper.search(source, source.find("\n", m.end()) + 1) if "\n" in source[m.end() :] else None
+            end = deeper.search(code, code.find("\n", m.end()) + 1) if "\n" in code[m.end() :] else None
             kind = "class" if m[2] == "class" else "method" if m[1] else "function"
             stop = len(source[: end.start()].rstrip()) if end else len(source.rstrip())
             found[(m.start(2), max(stop, m.end()), m[3])] = kind
     elif language:
         for kind, pattern in _PATTERNS[language]:
-            for m in pattern.finditer(source):
+            for m in pattern.finditer(code):
                 start = m.start() + len(m[0]) - len(m[0].lstrip())
-                key = (start, _braced_end(source, m.end()) if not m[0].endswith("{") else _braced_end(source, m.end() - 1), m[1])
+                key = (start, _braced_end(code, m.end()) if not m[0].endswith("{") else _braced_end(code, m.end() - 1), m[1])
                 if found.get(key) not in ("method", "class"):
                     found[key] = kind
     return [(kind, name, start, end) for (start, end, name), kind in sorted(found.items())]

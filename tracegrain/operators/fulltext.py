@@ -168,7 +168,7 @@ class TextIndex:
         raw = f"{path}/postings-unsorted"  # or the ranges' bounds would be found by splitting texts once more
         self.postings.write.mode("overwrite").parquet(raw)
         unsorted = spark.read.parquet(raw).select("doc_id", "term", "positions", "length")
-        blocked = unsorted.select(F.lit("").alias("segment"), topk.block(topk.histogram(unsorted.select("doc_id", "length").distinct())).alias("block"), "doc_id", "term", "positions", "length")
+        blocked = unsorted.select(F.lit("").alias("segment"), topk.block(topk.histogram(unsorted)).alias("block"), "doc_id", "term", "positions", "length")
         blocked.repartitionByRange("term", "block", "doc_id").sortWithinPartitions("term", "block", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(raw)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

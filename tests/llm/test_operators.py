@@ -822,6 +822,38 @@ def test_vector_search(spark, monkeypatch):
     assert vector_search.search(df.limit(0), df.limit(0), 20).count() == 0
 
 
+def test_units_and_sets_of_queries_lose_nothing(spark, monkeypatch):
+    """One cell in many units and many sets, every row of a block reranked: exactly what brute force gives."""
+    monkeypatch.setattr(vector_search, "UNIT_BYTES", 8 * 6 * 90)
+    monkeypatch.setattr(vector_search, "BLOCK", 40)
+    monkeypatch.setattr(vector_search, "QUERIES", 7)
+    monkeypatch.setattr(vector_search, "RERANK_LEAST", 1000)
+    rng = np.random.default_rng(14)
+    x = rng.integers(-3, 4, size=(700, 6)).astype(float)  # many ties and copies
+    x[~x.any(1)] = 1.0
+    df = spark.createDataFrame([(i, row.tolist(), 0) for i, row in enumerate(x)], "vec_id long, embedding array<double>, cell int")
+    shorter = spark.createDataFrame([(9000 + i, [1.0, 2.0], 0) for i in range(650)], "vec_id long, embedding array<double>, cell int")
+    df = df.unionByName(shorter)
+    got = found_by(vector_search.search(df, df.where("vec_id % 10 = 0"), 9).collect())
+    want = brute_search(np.arange(700), x, [(i, x[i]) for i in range(0, 700, 10)], 9)
+    assert {q: [(v, s) for _, v, s in own] for q, own in got.items()} == want
+
+
+def test_wide_vectors_bound_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "SAMPLE_BYTES", 8 * 32 * 64)
+    monkeypatch.setattr(vector_search, "CELL_ROWS", 50)
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(5, 32))[rng.integers(5, size=600)] + 0.1 * rng.normal(size=(600, 32))
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    seen = []
+    fit = vector_search.Cells.fit.__func__
+    monkeypatch.setattr(vector_search.Cells, "fit", classmethod(lambda cls, train, cells, k: seen.append((len(train), cells)) or fit(cls, train, cells, k)))
+    got = found_by(vector_search.search(df, df.where("vec_id % 100 = 0"), 10).collect())
+    assert seen == [(64, 4)]
+    want = brute_search(np.arange(600), x, [(i, x[i]) for i in range(0, 600, 100)], 10)
+    assert sum(v in dict(want[q]) for q, own in got.items() for _, v, _ in own) >= 0.9 * 60
+
+
 def test_a_vector_that_most_rows_share(spark, monkeypatch):
     monkeypatch.setattr(vector_search, "CELL_ROWS", 100)
     rng = np.random.default_rng(12)

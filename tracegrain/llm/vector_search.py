@@ -11,10 +11,11 @@ largest product with it.  How many is calibrated on the sample: as few as hold
 RECALL of the sample's own nearest, which lie farther out than those of the whole
 table, so that the table's are found more often rather than less.
 
-The cells are dealt to a few chunks, and a task has a chunk and QUERIES queries at
-most.  It reads its queries, then its cells in blocks, one after the other, and
-keeps the best k of each query, so that what leaves the tasks grows with the
-queries alone and memory with neither.  A query's products with all codewords are
+A cell is cut into units of UNIT_BYTES of vectors at most, and a unit stands in one
+place: the queries go to the units of the cells that they visit, and a vector moves once
+for every QUERIES queries that visit its cell, so that what is shuffled grows with the rows and
+with queries times visits.  A task reads a unit in blocks and then lets its queries go
+by, in batches, so that memory grows with neither, and the best k of each leave it.  A query's products with all codewords are
 its tables; two subspaces share a byte, so a block is scanned by lookups in tables
 of 256.  Equal vectors of a block are scanned as one, so copies take one place among
 those with the best approximate products; these, and all that tie with the last
@@ -24,10 +25,10 @@ smallest ids are enough for any answer, and only these go on to its block.
 
 Codebooks, centroids and the number of cells to visit come from a bounded sample,
 the rows whose hashed vec_id is smallest: SAMPLE of them, or PER_CELL for each of
-MOST_CELLS cells at most.
+MOST_CELLS cells at most, and of wide vectors as many as SAMPLE_BYTES hold.
 
-Defined cases: vectors that are null, zero, of another length than most of the
-sample's first, or hold null or non-finite components take no part; a query
+Defined cases: vectors that are null, zero, of another length than most
+(of two lengths as frequent, than the smaller), or hold null or non-finite components take no part; a query
 is never its own candidate, whichever rows repeat its id; rows that share an id
 are one candidate, of which the best counts; a query whose id has several vectors
 asks with each, and its best k are given once; ties go to the smaller vec_id;
@@ -43,7 +44,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -51,10 +52,10 @@ from . import common
 SAMPLE, ETA, CODES = 8192, 4.0, 16
 #: Rows of a cell, about, the most cells there are, and the sample's rows for each.
 CELL_ROWS, MOST_CELLS, PER_CELL = 2048, 16_384, 16
-#: Vectors of a block at most, about, and queries of a task.
-BLOCK, QUERIES = 8192, 16_384
-#: Chunks of cells, and best rows that leave the tasks while there may be more chunks for few queries.
-CHUNKS, LEAVING = 16, 1 << 19
+#: Bytes of the sample's vectors that reach the driver at most.
+SAMPLE_BYTES = 256 << 20
+#: Vectors of a block at most, bytes of a unit's vectors, about, and queries that go by one, about.
+BLOCK, UNIT_BYTES, QUERIES = 8192, 32 << 20, 131_072
 #: Share of the sample's nearest that the visited cells hold, of so many sampled queries.
 RECALL, PROBES = 0.97, 512
 #: Share of a block that is reranked, and the least number of its rows.
@@ -187,13 +188,19 @@ class Cells:
         return np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, : self.visits]
 
 
+def alike(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each distinct vector, and each row's number among them."""
+    x = np.ascontiguousarray(x + 0.0)  # without negative zeros, equal vectors have equal bytes
+    _, first, group = np.unique(x.view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel(), return_index=True, return_inverse=True)
+    return first, group
+
+
 class Block:
     """Rows of which equal vectors are scanned as one."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray):
         """ids, x: the rows; codes: their packed codes, a row each."""
-        x = x + 0.0  # without negative zeros, equal vectors have equal bytes
-        _, first, group = np.unique(x.view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel(), return_index=True, return_inverse=True)
+        first, group = alike(x)
         self.x, self.codes = x[first], np.ascontiguousarray(codes[first].T)
         order = np.lexsort((ids, group))
         self.ids = ids[order]  # a group's rows stand together, smallest id first
@@ -251,60 +258,35 @@ class Block:
         return ids[first], scores[first]
 
 
-class Asking:
-    """The queries of a task and the best k that each has found."""
-
-    def __init__(self, k: int, dim: int):
-        self.k, self.dim = k, dim
-        self.ids: list[int] = []
-        self.cells: list[np.ndarray] = []
-        self.vector: list[int] = []  # queries with equal vectors share their tables
-        self.known: dict[bytes, int] = {}
-        self.best: list[tuple[np.ndarray, np.ndarray] | None] = []
-        self.visiting: dict[int, np.ndarray] | None = None
-
-    def add(self, query_id: int, raw: bytes, cells: np.ndarray) -> None:
-        self.ids.append(query_id)
-        self.cells.append(cells)
-        self.vector.append(self.known.setdefault(raw, len(self.known)))
-        self.best.append(None)
-
-    def ask(self, cell: int, block: Block, books: Codebooks) -> None:
-        """Let the queries that visit a cell scan a block of it."""
-        if self.visiting is None:
-            self.q = np.frombuffer(b"".join(self.known), float).reshape(-1, self.dim)
-            every, owner = np.concatenate(self.cells), np.repeat(np.arange(len(self.ids)), [len(c) for c in self.cells])
-            order = np.lexsort((np.asarray(self.vector)[owner], every))
-            cuts = np.flatnonzero(np.diff(every[order])) + 1
-            self.visiting = {int(every[part[0]]): owner[part] for part in np.split(order, cuts)}
-        rows = self.visiting.get(cell, ())
-        vectors = [self.vector[r] for r in rows]
-        starts = [i for i, v in enumerate(vectors) if i == 0 or v != vectors[i - 1]]
-        for i in range(0, len(starts), AT_ONCE):
-            some = starts[i : i + AT_ONCE]
-            near = block.near(books.tables(self.q[[vectors[a] for a in some]]))
-            for j, (a, b) in enumerate(zip(some, [*starts[i + 1 : i + len(some)], starts[i + len(some)] if i + len(some) < len(starts) else len(rows)], strict=True)):
-                for r in rows[a:b]:
-                    held = self.best[r]
-                    least = held[1][-1] if held is not None and len(held[1]) == self.k else -np.inf
-                    self._merge(r, *block.nearest(self.ids[r], self.q[vectors[a]], near[j].copy() if b - a > 1 else near[j], self.k, least))
-
-    def _merge(self, r: int, ids: np.ndarray, scores: np.ndarray) -> None:
-        held = self.best[r]
-        if held is not None and not len(ids):
-            return
-        if held is not None:
-            ids, scores = np.concatenate([held[0], ids]), np.concatenate([held[1], scores])
-            top = np.lexsort((ids, -scores))
-            ids, scores = ids[top], scores[top]
-            first = np.sort(np.unique(ids, return_index=True)[1])[: self.k]
-            ids, scores = ids[first], scores[first]
-        self.best[r] = ids, scores
-
-    def answer(self) -> pa.RecordBatch:
-        done = [(i, *b) for i, b in zip(self.ids, self.best, strict=True) if b is not None]
-        columns = [np.repeat([i for i, *_ in done], [len(x) for _, x, _ in done]).astype(np.int64), *[np.concatenate([np.zeros(0, t), *[d[n] for d in done]]) for n, t in ((1, np.int64), (2, float))]]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
+def ask(blocks: list[Block], books: Codebooks, ids: np.ndarray, q: np.ndarray, k: int) -> pa.RecordBatch:
+    """The best k of a unit's blocks for each query; queries with equal vectors share a scan."""
+    first, group = alike(q)
+    order = np.argsort(group, kind="stable")
+    cuts = np.searchsorted(group[order], np.arange(len(first) + 1))
+    best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for i in range(0, len(first), AT_ONCE):
+        tables = books.tables(q[first[i : i + AT_ONCE]])
+        for block in blocks:
+            near = block.near(tables)
+            for j in range(len(tables)):
+                same = order[cuts[i + j] : cuts[i + j + 1]].tolist()
+                for r in same:
+                    held = best.get(r)
+                    floor = held[1][-1] if held is not None and len(held[1]) == k else -np.inf
+                    found = block.nearest(ids[r], q[r], near[j].copy() if len(same) > 1 else near[j], k, floor)
+                    if len(found[0]):
+                        best[r] = found if held is None else _merged(held, found, k)
+    columns = [np.repeat(ids[list(best)], [len(b[0]) for b in best.values()]).astype(np.int64), *[np.concatenate([np.zeros(0, t), *[b[n] for b in best.values()]]) for n, t in ((0, np.int64), (1, float))]]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
+
+
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best k ids of two, each id by its best."""
+    ids, scores = (np.concatenate(both) for both in zip(a, b, strict=True))
+    top = np.lexsort((ids, -scores))
+    ids, scores = ids[top], scores[top]
+    first = np.sort(np.unique(ids, return_index=True)[1])[:k]
+    return ids[first], scores[first]
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -318,17 +300,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, sample: int = SAMPLE,
     """query_id, rank, vec_id, score: each query's k largest inner products among the vectors of another id."""
     spark = vectors.sparkSession
     rows, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
-    cells = min(MOST_CELLS, -(-rows.count() // CELL_ROWS))
-    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(sample, PER_CELL * cells)).toArrow()
     schema = "query_id long, rank int, vec_id long, score double"
-    if not chosen.num_rows:
+    most = rows.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    if most is None:
         return spark.createDataFrame([], schema)
-    held = chosen.column(1).combine_chunks()
-    lengths = held.value_lengths().to_numpy()
-    dim = int(np.bincount(lengths).argmax())
-    train = held.filter(pa.array(lengths == dim)).flatten().to_numpy().reshape(-1, dim)
-    index = spark.sparkContext.broadcast((Codebooks.fit(train[:sample]), Cells.fit(train, cells, k)))
+    dim, n = most
     rows, asked = rows.where(F.size("vector") == dim), asked.where(F.size("vector") == dim)
+    bound = max(k + 2, SAMPLE_BYTES // (8 * dim))
+    cells = max(1, min(MOST_CELLS, -(-n // CELL_ROWS), bound // PER_CELL))
+    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(bound, max(sample, PER_CELL * cells))).toArrow()
+    train = chosen.column(1).combine_chunks().flatten().to_numpy().reshape(-1, dim)
+    index = spark.sparkContext.broadcast((Codebooks.fit(train[:sample]), Cells.fit(train, cells, k)))
 
     def matrix(column: pa.Array) -> np.ndarray:
         return column.flatten().to_numpy().reshape(-1, dim) + 0.0  # without negative zeros, equal vectors have equal bytes
@@ -347,70 +329,70 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, sample: int = SAMPLE,
             yield pa.RecordBatch.from_arrays(columns, ["vec_id", "mark", "cell", "raw", "codes"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coarse = index.value[1]
         for batch in batches:
             q = matrix(batch.column(1))
-            visited = pa.array(list(index.value[1].visited(q).astype(np.int32)), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in q], pa.binary()), visited], ["query_id", "query", "cells"])
+            raw = [v.tobytes() for v in q]
+            mark = np.fromiter((xxhash.xxh64_intdigest(v) for v in raw), np.uint64, len(raw)).view(np.int64)
+            visited = pa.array(list(coarse.visited(q).astype(np.int32)), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mark), pa.array(raw, pa.binary()), visited], ["vec_id", "mark", "raw", "cells"])
 
     coded = common.stage(rows.mapInArrow(encode, "vec_id long, mark long, cell int, raw binary, codes binary"), "codes")
-    asking = common.stage(asked.mapInArrow(route, "query_id long, query binary, cells array<int>"), "routes")
+    asking = common.stage(asked.mapInArrow(route, "vec_id long, mark long, raw binary, cells array<int>"), "routes")
     hot = common.stage(coded.groupBy("mark").count().where(F.col("count") > k + 1).select("mark"), "hot-vectors")
     if hot.limit(1).count():
         place = F.dense_rank().over(Window.partitionBy("mark", "raw").orderBy("vec_id"))
         few = common.attach(coded, hot, ["mark"], "left_semi").withColumn("place", place).where(F.col("place") <= k + 1).drop("place")
         coded = common.stage(common.attach(coded, hot, ["mark"], "left_anti").unionByName(few), "codes")
-    counts = {r.cell: r["count"] for r in coded.groupBy("cell").count().collect()}  # MOST_CELLS at most
-    n_asked = asking.count()
-    sets = max(1, -(-n_asked // QUERIES))
-    chunks = max(CHUNKS, min(common.parallelism(spark), LEAVING // (k * n_asked + 1)))
-    load, dealt = np.zeros(chunks, np.int64), []
-    for cell, n in sorted(counts.items(), key=lambda c: (-c[1], c[0])):  # the largest first, each to the chunk with the least
-        dealt.append((cell, int(load.argmin()), -(-n // BLOCK)))
-        load[load.argmin()] += n
-    plan = F.broadcast(spark.createDataFrame(dealt, "cell int, chunk int, blocks int"))
-    data = coded.join(plan, "cell").select("chunk", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("set"), F.lit(1).alias("kind"), "cell", F.pmod("mark", "blocks").cast("int").alias("block"), F.col("vec_id").alias("id"), "raw", "codes", F.lit(None).cast("array<int>").alias("cells"))
-    asks = asking.select(F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.pmod(F.xxhash64("query_id"), F.lit(sets)).cast("int").alias("set"), F.lit(0).alias("kind"), F.lit(0).alias("cell"), F.lit(0).alias("block"), F.col("query_id").alias("id"), F.col("query").alias("raw"), F.lit(None).cast("binary").alias("codes"), "cells")
-    # of a chunk and a set, the queries come first, then the chunk's blocks
-    met = asks.unionByName(data).repartition("chunk", "set").sortWithinPartitions("chunk", "set", "kind", "cell", "block")
+    # a row a cell, MOST_CELLS at most: how many units it has, and how many times each stands
+    visiting = asking.select(F.explode("cells").alias("cell")).groupBy("cell").count()
+    counts = coded.groupBy("cell").count().join(visiting.withColumnRenamed("count", "asks"), "cell")
+    of_cell = counts.select("cell", F.ceil(F.col("count") * (8 * dim) / UNIT_BYTES).cast("int").alias("units"), F.ceil(F.col("asks") / QUERIES).cast("int").alias("sets"))
+    plan = F.broadcast(spark.createDataFrame(of_cell.toArrow()))
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    data = coded.join(plan, "cell").select("cell", F.pmod("mark", "units").cast("int").alias("unit"), every("sets").alias("set"), F.lit(0).alias("kind"), "mark", "vec_id", "raw", "codes")
+    visits = asking.withColumn("cell", F.explode("cells")).join(plan, "cell")
+    asks = visits.select("cell", every("units").alias("unit"), F.pmod(F.xxhash64("vec_id"), "sets").cast("int").alias("set"), F.lit(1).alias("kind"), "mark", "vec_id", "raw", F.lit(None).cast("binary").alias("codes"))
+    # the vectors of a unit come first, then the queries that visit it; equal vectors stand together
+    met = data.unionByName(asks).repartition("cell", "unit", "set").sortWithinPartitions("cell", "unit", "set", "kind", "mark")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books = index.value[0]
-        task = block = None  # (chunk, set) and (cell, block) that are being read
+        unit = None  # (cell, unit, set) that is being read
+        blocks: list[Block] = []
         held: list[pa.RecordBatch] = []
-        asking = Asking(k, dim)
 
         def settle() -> None:
-            if held and asking.ids:
-                ids = np.concatenate([b.column(5).to_numpy() for b in held])
-                x = np.frombuffer(b"".join(v for b in held for v in b.column(6).to_pylist()), float).reshape(-1, dim)
-                codes = np.frombuffer(b"".join(v for b in held for v in b.column(7).to_pylist()), np.uint8).reshape(len(ids), -1)
-                asking.ask(block[0], Block(ids, x, codes), books)
+            """Make blocks of the vectors held."""
+            ids = np.concatenate([b.column(5).to_numpy() for b in held])
+            x = np.frombuffer(b"".join(v for b in held for v in b.column(6).to_pylist()), float).reshape(-1, dim)
+            codes = np.frombuffer(b"".join(v for b in held for v in b.column(7).to_pylist()), np.uint8).reshape(len(ids), -1)
             held.clear()
+            edges = np.linspace(0, len(ids), -(-len(ids) // BLOCK) + 1).astype(int).tolist()
+            blocks.extend(Block(ids[a:b], x[a:b], codes[a:b]) for a, b in zip(edges, edges[1:], strict=False))
 
         for batch in batches:
-            keys = np.stack([batch.column(i).to_numpy() for i in range(5)], 1)
+            keys = np.stack([batch.column(i).to_numpy() for i in range(4)], 1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
                     continue
-                chunk, set_, kind, cell, part = keys[a].tolist()
-                if (chunk, set_) != task:
-                    settle()
-                    if asking.ids:
-                        yield asking.answer()
-                    task, block, asking = (chunk, set_), None, Asking(k, dim)
-                own = batch.slice(a, b - a)
+                *own, kind = keys[a].tolist()
+                if own != unit:
+                    unit = own
+                    blocks.clear()
+                    held.clear()
+                part = batch.slice(a, b - a)
                 if kind == 0:
-                    for row in zip(own.column(5).to_pylist(), own.column(6).to_pylist(), own.column(8), strict=True):
-                        asking.add(row[0], row[1], np.asarray(row[2].values))
+                    held.append(part)
                     continue
-                if (cell, part) != block:
+                if held:
                     settle()
-                    block = cell, part
-                held.append(own)
-        settle()
-        if asking.ids:
-            yield asking.answer()
+                q = np.frombuffer(b"".join(part.column(6).to_pylist()), float).reshape(-1, dim)
+                yield ask(blocks, books, part.column(5).to_numpy(), q, k)
 
     best = met.mapInArrow(scan, "query_id long, vec_id long, score double").repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -39,6 +39,8 @@ ROOM, END_ID = 2048, 0
 #: Pieces of one length that are numbered in a task, about.
 PART_ROWS = 100_000
 WORDS_KEPT = 200_000
+#: Bytes of texts that go to Python at a time, about, or a single text; Spark's own 64 MB are held by each task and by its worker.
+BATCH_BYTES = 4 << 20
 #: A space that doesn't start a word.
 _LOOSE = re.compile(r" (?:\s|\Z)")
 
@@ -198,7 +200,8 @@ def pack(docs: DataFrame, tokenizer_path: str, room: int = ROOM, id_col: str = "
     Pieces of a length are numbered in as many parts as they need.
     """
     spark = docs.sparkSession
-    cut = common.stage(pieces(docs, tokenizer_path, room, id_col, text_col), "pieces")
+    with common.arrow_batches(spark, BATCH_BYTES):
+        cut = common.stage(pieces(docs, tokenizer_path, room, id_col, text_col), "pieces")
     histogram = {r.length: r["count"] for r in cut.where(F.col("length") < room).groupBy("length").count().collect()}
     plan = layout(best_two_fit(histogram, room))
     sent = spark.sparkContext.broadcast(plan)

@@ -827,6 +827,7 @@ def test_units_and_sets_of_queries_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(vector_search, "UNIT_BYTES", 8 * 6 * 90)
     monkeypatch.setattr(vector_search, "BLOCK", 40)
     monkeypatch.setattr(vector_search, "QUERIES", 7)
+    monkeypatch.setattr(vector_search, "HELD", 12)
     monkeypatch.setattr(vector_search, "RERANK_LEAST", 1000)
     rng = np.random.default_rng(14)
     x = rng.integers(-3, 4, size=(700, 6)).astype(float)  # many ties and copies

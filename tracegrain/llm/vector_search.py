@@ -15,7 +15,8 @@ A cell is cut into units of UNIT_BYTES of vectors at most, and a unit stands in
 place: the queries go to the units of the cells that they visit, and a vector moves once
 for every QUERIES queries that visit its cell, so that what is shuffled grows with the rows and
 with queries times visits.  A task reads a unit in blocks and then lets its queries go
-by, in batches, so that memory grows with neither, and the best k of each leave it.  A query's products with all codewords are
+by, in batches; it keeps the best k of HELD queries over all its units, and more send theirs
+on sooner, so that memory grows with neither.  A query's products with all codewords are
 its tables; two subspaces share a byte, so a block is scanned by lookups in tables
 of 256.  Equal vectors of a block are scanned as one, so copies take one place among
 those with the best approximate products; these, and all that tie with the last
@@ -56,6 +57,8 @@ CELL_ROWS, MOST_CELLS, PER_CELL = 2048, 16_384, 16
 SAMPLE_BYTES = 256 << 20
 #: Vectors of a block at most, bytes of a unit's vectors, about, and queries that go by one, about.
 BLOCK, UNIT_BYTES, QUERIES = 8192, 32 << 20, 131_072
+#: Queries whose best a task keeps, about.
+HELD = 32_768
 #: Share of the sample's nearest that the visited cells hold, of so many sampled queries.
 RECALL, PROBES = 0.97, 512
 #: Share of a block that is reranked, and the least number of its rows.
@@ -258,12 +261,14 @@ class Block:
         return ids[first], scores[first]
 
 
-def ask(blocks: list[Block], books: Codebooks, ids: np.ndarray, q: np.ndarray, k: int) -> pa.RecordBatch:
-    """The best k of a unit's blocks for each query; queries with equal vectors share a scan."""
+Best = dict[int, tuple[np.ndarray, np.ndarray]]
+
+
+def ask(blocks: list[Block], books: Codebooks, ids: list[int], q: np.ndarray, k: int, best: Best) -> None:
+    """Add what a unit's blocks hold to the best k of each query, by its id; queries with equal vectors share a scan."""
     first, group = alike(q)
     order = np.argsort(group, kind="stable")
     cuts = np.searchsorted(group[order], np.arange(len(first) + 1))
-    best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for i in range(0, len(first), AT_ONCE):
         tables = books.tables(q[first[i : i + AT_ONCE]])
         for block in blocks:
@@ -271,12 +276,15 @@ def ask(blocks: list[Block], books: Codebooks, ids: np.ndarray, q: np.ndarray, k
             for j in range(len(tables)):
                 same = order[cuts[i + j] : cuts[i + j + 1]].tolist()
                 for r in same:
-                    held = best.get(r)
-                    floor = held[1][-1] if held is not None and len(held[1]) == k else -np.inf
-                    found = block.nearest(ids[r], q[r], near[j].copy() if len(same) > 1 else near[j], k, floor)
+                    held = best.get(ids[r])
+                    least = held[1][-1] if held is not None and len(held[1]) == k else -np.inf
+                    found = block.nearest(ids[r], q[r], near[j].copy() if len(same) > 1 else near[j], k, least)
                     if len(found[0]):
-                        best[r] = found if held is None else _merged(held, found, k)
-    columns = [np.repeat(ids[list(best)], [len(b[0]) for b in best.values()]).astype(np.int64), *[np.concatenate([np.zeros(0, t), *[b[n] for b in best.values()]]) for n, t in ((0, np.int64), (1, float))]]
+                        best[ids[r]] = found if held is None else _merged(held, found, k)
+
+
+def answer(best: Best) -> pa.RecordBatch:
+    columns = [np.repeat(np.fromiter(best, np.int64, len(best)), [len(b[0]) for b in best.values()]), *[np.concatenate([np.zeros(0, t), *[b[n] for b in best.values()]]) for n, t in ((0, np.int64), (1, float))]]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 
 
@@ -364,6 +372,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, sample: int = SAMPLE,
         unit = None  # (cell, unit, set) that is being read
         blocks: list[Block] = []
         held: list[pa.RecordBatch] = []
+        best: Best = {}
 
         def settle() -> None:
             """Make blocks of the vectors held."""
@@ -392,7 +401,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, sample: int = SAMPLE,
                 if held:
                     settle()
                 q = np.frombuffer(b"".join(part.column(6).to_pylist()), float).reshape(-1, dim)
-                yield ask(blocks, books, part.column(5).to_numpy(), q, k)
+                ask(blocks, books, part.column(5).to_pylist(), q, k, best)
+                if len(best) > HELD:
+                    yield answer(best)
+                    best.clear()
+        if best:
+            yield answer(best)
 
     best = met.mapInArrow(scan, "query_id long, vec_id long, score double").repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

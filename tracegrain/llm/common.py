@@ -24,13 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or in tests a folder made here."""
+    """The folder all executors see: spark.checkpoint.dir, or in local mode a folder made here."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
         found = sc._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
         found = tempfile.mkdtemp(prefix="tracegrain-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

@@ -840,6 +840,20 @@ def test_units_and_sets_of_queries_lose_nothing(spark, monkeypatch):
     assert {q: [(v, s) for _, v, s in own] for q, own in got.items()} == want
 
 
+def test_queries_unlike_the_rows_miss_nothing(spark, monkeypatch):
+    """Rows in tight clusters, queries anywhere: neither cells nor codes that were fitted to the rows fit the queries."""
+    monkeypatch.setattr(vector_search, "CELL_ROWS", 100)
+    monkeypatch.setattr(vector_search, "RERANK_LEAST", 25)
+    rng = np.random.default_rng(16)
+    x = rng.normal(size=(60, 24))[rng.integers(60, size=3000)] + 0.2 * rng.normal(size=(3000, 24))
+    x[::50] = rng.normal(size=(60, 24))
+    x[1::7] *= np.exp(rng.normal(size=(429, 1)))
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = found_by(vector_search.search(df, df.where("vec_id % 50 = 0"), 20).collect())
+    want = brute_search(np.arange(3000), x, [(i, x[i]) for i in range(0, 3000, 50)], 20)
+    assert {q: [v for _, v, _ in own] for q, own in got.items()} == {q: [v for v, _ in own] for q, own in want.items()}
+
+
 def test_wide_vectors_bound_the_sample(spark, monkeypatch):
     monkeypatch.setattr(vector_search, "SAMPLE_BYTES", 8 * 32 * 64)
     monkeypatch.setattr(vector_search, "CELL_ROWS", 50)

@@ -21,7 +21,12 @@ its tables; two subspaces share a byte, so a block is scanned by lookups in tabl
 of 256.  Equal vectors of a block are scanned as one, so copies take one place among
 those with the best approximate products; these, and all that tie with the last
 of them, are reranked by exact products of the original vectors in double
-precision, and the best are expanded to the rows that hold them.  Of a vector that very many rows share, the k + 1
+precision, and the best are expanded to the rows that hold them.  What a code gets wrong
+of a product is at most the length of its residual times the query's, so every vector that
+could still pass the k-th best product is reranked too.  A second round does the same for cells: a query goes to
+those that it has not visited and whose centroid and radius allow a product as large as its k-th of
+the first round.  So nothing is missed, whatever the rows and queries are like; the codes and the
+calibration decide how much is read, not what is found.  Of a vector that very many rows share, the k + 1
 smallest ids are enough for any answer, and only these go on to its block.
 
 Codebooks, centroids and the number of cells to visit come from a bounded sample,
@@ -65,6 +70,8 @@ RECALL, PROBES = 0.97, 512
 RERANK_SHARE, RERANK_LEAST = 0.06, 150
 #: Queries that a block is scanned for at a time.
 AT_ONCE = 32
+#: Bounds are taken to be as far off as this, of one; products of tables, in single precision, as far as TABLE_SLACK.
+SLACK, TABLE_SLACK = 1e-9, 1e-5
 
 
 @dataclass
@@ -128,6 +135,11 @@ class Codebooks:
                 along = rest + onto[s, rows, codes[:, s]]
         return codes
 
+    def off(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """How far each row is from what its codes stand for."""
+        made = self.words[np.arange(len(self.words)), codes].reshape(len(x), -1)[:, : x.shape[1]]
+        return np.sqrt(((x - made) ** 2).sum(1))
+
     def pack(self, codes: np.ndarray) -> np.ndarray:
         """Two four-bit codes a byte."""
         if codes.shape[1] % 2:
@@ -190,6 +202,18 @@ class Cells:
         """The cells that each query visits, a row a query."""
         return np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, : self.visits]
 
+    def missed(self, q: np.ndarray, least: np.ndarray, radius: np.ndarray, longest: np.ndarray) -> list[np.ndarray]:
+        """Of each query the cells that it does not visit and that may hold a product so large.
+
+        radius, longest: of each cell how far its rows are from the centroid, and how long, at most; below zero if it has none.
+        """
+        size = np.sqrt((q * q).sum(1))[:, None]
+        off = SLACK * size * (np.sqrt((self.centroids**2).sum(1)) + longest)
+        most = np.minimum(q @ self.centroids.T + size * radius, size * longest) + off
+        may = (most >= least[:, None]) & (radius >= 0)
+        np.put_along_axis(may, self.visited(q), False, 1)
+        return [np.flatnonzero(m).astype(np.int32) for m in may]
+
 
 def alike(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first row of each distinct vector, and each row's number among them."""
@@ -201,9 +225,10 @@ def alike(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Block:
     """Rows of which equal vectors are scanned as one."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray):
-        """ids, x: the rows; codes: their packed codes, a row each."""
+    def __init__(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, off: np.ndarray | None = None):
+        """ids, x: the rows; codes: their packed codes, a row each; off: how far each row is from what its codes stand for."""
         first, group = alike(x)
+        self.off = None if off is None else off[first]
         self.x, self.codes = x[first], np.ascontiguousarray(codes[first].T)
         order = np.lexsort((ids, group))
         self.ids = ids[order]  # a group's rows stand together, smallest id first
@@ -219,19 +244,37 @@ class Block:
         near = np.zeros((len(tables), len(self.count)), np.float32)
         for j, code in enumerate(self.codes):
             near += np.take(tables[:, j], code, axis=1)
+        odd = ~np.isfinite(near)
+        if odd.any():  # beyond single precision: reranked in any case
+            near[odd] = np.finfo(np.float32).max
         return near
 
-    def nearest(self, query_id: int, q: np.ndarray, near: np.ndarray, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
-        """vec_id and product of the best k ids other than the query's whose product is at least so large; near is changed."""
+    def nearest(self, query_id: int, q: np.ndarray, near: np.ndarray, k: int, least: float = -np.inf, slack: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """vec_id and product of the best k ids other than the query's whose product is at least so large; near, off by slack at most, is changed."""
         held = self.group[slice(*np.searchsorted(self.known, [query_id, query_id + 1]))]
         if len(held):
             own, times = np.unique(held, return_counts=True)
             near[own[times == self.count[own]]] = -np.inf  # vectors of the query's id alone
         most = min(len(near), max(self.most, k))
-        at = np.flatnonzero(near >= max(np.partition(near, len(near) - most)[len(near) - most], np.finfo(np.float32).min))
+        first = near >= max(np.partition(near, len(near) - most)[len(near) - most], np.finfo(np.float32).min)
+        at, exact = self._exact(np.flatnonzero(first), q, least)
+        found = self._best(query_id, at, exact, q, k, len(held))
+        if self.off is None or first.all():
+            return found
+        if len(found[1]) == k:
+            least = max(least, found[1][-1])
+        may = near + (np.sqrt((q * q).sum()) * self.off * (1 + SLACK) + slack) >= least
+        more, products = self._exact(np.flatnonzero(may & ~first & (near > -np.inf)), q, least)
+        return self._best(query_id, np.append(at, more), np.append(exact, products), q, k, len(held)) if len(more) else found
+
+    def _exact(self, at: np.ndarray, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the vectors whose product is at least so large, and the products."""
         exact = (self.x[at] * q).sum(1)  # numpy's pairwise sum, the same wherever a row stands
         enough = exact >= least
-        at, exact = at[enough], exact[enough]
+        return at[enough], exact[enough]
+
+    def _best(self, query_id: int, at: np.ndarray, exact: np.ndarray, q: np.ndarray, k: int, held: int) -> tuple[np.ndarray, np.ndarray]:
+        """The best k ids that stand in vectors; held: the rows that the query's id has here."""
         if self.plain:
             ids = self.ids[at]
             top = np.lexsort((ids, -exact))[:k]
@@ -242,7 +285,7 @@ class Block:
             best = at[order[:n]]
             if n < len(order):  # with all that tie with the last
                 best = at[exact >= exact[order[n - 1]]]
-            ids, scores = self._expanded(query_id, best, q, k + len(held))
+            ids, scores = self._expanded(query_id, best, q, k + held)
             if len(ids) >= k or n >= len(order):
                 return ids[:k], scores[:k]
             n *= 4  # ids that stand in several vectors
@@ -264,13 +307,17 @@ class Block:
 Best = dict[int, tuple[np.ndarray, np.ndarray]]
 
 
-def ask(blocks: list[Block], books: Codebooks, ids: list[int], q: np.ndarray, k: int, best: Best) -> None:
-    """Add what a unit's blocks hold to the best k of each query, by its id; queries with equal vectors share a scan."""
+def ask(blocks: list[Block], books: Codebooks, ids: list[int], q: np.ndarray, k: int, best: Best, floor: np.ndarray | None = None) -> None:
+    """Add what a unit's blocks hold to the best k of each query, by its id; queries with equal vectors share a scan.
+
+    floor: of each query a product below which nothing is asked for.
+    """
     first, group = alike(q)
     order = np.argsort(group, kind="stable")
     cuts = np.searchsorted(group[order], np.arange(len(first) + 1))
     for i in range(0, len(first), AT_ONCE):
         tables = books.tables(q[first[i : i + AT_ONCE]])
+        slack = TABLE_SLACK * np.abs(tables).max(2).sum(1, dtype=float)
         for block in blocks:
             near = block.near(tables)
             for j in range(len(tables)):
@@ -278,7 +325,9 @@ def ask(blocks: list[Block], books: Codebooks, ids: list[int], q: np.ndarray, k:
                 for r in same:
                     held = best.get(ids[r])
                     least = held[1][-1] if held is not None and len(held[1]) == k else -np.inf
-                    found = block.nearest(ids[r], q[r], near[j].copy() if len(same) > 1 else near[j], k, least)
+                    if floor is not None:
+                        least = max(least, floor[r])
+                    found = block.nearest(ids[r], q[r], near[j].copy() if len(same) > 1 else near[j], k, least, slack[j])
                     if len(found[0]):
                         best[ids[r]] = found if held is None else _merged(held, found, k)
 
@@ -331,10 +380,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, sample: int = SAMPLE,
             first = {pair: i for i, pair in reversed(list(enumerate(zip(ids.tolist(), raw, strict=True))))}
             kept = np.sort(np.fromiter(first.values(), np.int64, len(first)))  # rows that repeat both are one
             x, ids, raw = x[kept], ids[kept], [raw[i] for i in kept]
-            codes = [c.tobytes() for c in books.pack(books.encode(x))]
+            coded = books.encode(x)
+            codes, off = [c.tobytes() for c in books.pack(coded)], books.off(x, coded)
+            home = coarse.home(x)
             mark = np.fromiter((xxhash.xxh64_intdigest(v) for v in raw), np.uint64, len(raw)).view(np.int64)
-            columns = [pa.array(ids), pa.array(mark), pa.array(coarse.home(x).astype(np.int32)), pa.array(raw, pa.binary()), pa.array(codes, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["vec_id", "mark", "cell", "raw", "codes"])
+            columns = [pa.array(ids), pa.array(mark), pa.array(home.astype(np.int32)), pa.array(raw, pa.binary()), pa.array(codes, pa.binary()), pa.array(off), pa.array(np.sqrt(((x - coarse.centroids[home]) ** 2).sum(1))), pa.array(np.sqrt((x * x).sum(1)))]
+            yield pa.RecordBatch.from_arrays(columns, ["vec_id", "mark", "cell", "raw", "codes", "bound", "radius", "long"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coarse = index.value[1]
@@ -345,27 +396,39 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, sample: int = SAMPLE,
             visited = pa.array(list(coarse.visited(q).astype(np.int32)), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mark), pa.array(raw, pa.binary()), visited], ["vec_id", "mark", "raw", "cells"])
 
-    coded = common.stage(rows.mapInArrow(encode, "vec_id long, mark long, cell int, raw binary, codes binary"), "codes")
+    coded = common.stage(rows.mapInArrow(encode, "vec_id long, mark long, cell int, raw binary, codes binary, bound double, radius double, long double"), "codes")
     asking = common.stage(asked.mapInArrow(route, "vec_id long, mark long, raw binary, cells array<int>"), "routes")
     hot = common.stage(coded.groupBy("mark").count().where(F.col("count") > k + 1).select("mark"), "hot-vectors")
     if hot.limit(1).count():
         place = F.dense_rank().over(Window.partitionBy("mark", "raw").orderBy("vec_id"))
         few = common.attach(coded, hot, ["mark"], "left_semi").withColumn("place", place).where(F.col("place") <= k + 1).drop("place")
         coded = common.stage(common.attach(coded, hot, ["mark"], "left_anti").unionByName(few), "codes")
-    # a row a cell, MOST_CELLS at most: how many units it has, and how many times each stands
-    visiting = asking.select(F.explode("cells").alias("cell")).groupBy("cell").count()
-    counts = coded.groupBy("cell").count().join(visiting.withColumnRenamed("count", "asks"), "cell")
-    of_cell = counts.select("cell", F.ceil(F.col("count") * (8 * dim) / UNIT_BYTES).cast("int").alias("units"), F.ceil(F.col("asks") / QUERIES).cast("int").alias("sets"))
-    plan = F.broadcast(spark.createDataFrame(of_cell.toArrow()))
+    # a row a cell, MOST_CELLS at most
+    sizes = coded.groupBy("cell").agg(F.count("*").alias("count"), F.max("radius").alias("radius"), F.max("long").alias("long")).toArrow()
+    reach = np.full((2, len(index.value[1].centroids)), -1.0)
+    reach[:, sizes["cell"].to_numpy()] = sizes["radius"].to_numpy(), sizes["long"].to_numpy()
+    sized = F.broadcast(spark.createDataFrame(sizes.select(["cell", "count"])))
 
     def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    data = coded.join(plan, "cell").select("cell", F.pmod("mark", "units").cast("int").alias("unit"), every("sets").alias("set"), F.lit(0).alias("kind"), "mark", "vec_id", "raw", "codes")
-    visits = asking.withColumn("cell", F.explode("cells")).join(plan, "cell")
-    asks = visits.select("cell", every("units").alias("unit"), F.pmod(F.xxhash64("vec_id"), "sets").cast("int").alias("set"), F.lit(1).alias("kind"), "mark", "vec_id", "raw", F.lit(None).cast("binary").alias("codes"))
-    # the vectors of a unit come first, then the queries that visit it; equal vectors stand together
-    met = data.unionByName(asks).repartition("cell", "unit", "set").sortWithinPartitions("cell", "unit", "set", "kind", "mark")
+    def met(asking: DataFrame) -> DataFrame:
+        """The vectors of each unit, and behind them the queries that visit it; asking: vec_id, mark, raw, cells, bound."""
+        visiting = asking.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("asks"))
+        # a row a cell: how many units it has, and how many times each stands
+        of_cell = visiting.join(sized, "cell").select("cell", F.ceil(F.col("count") * (8 * dim) / UNIT_BYTES).cast("int").alias("units"), F.ceil(F.col("asks") / QUERIES).cast("int").alias("sets"))
+        plan = F.broadcast(spark.createDataFrame(of_cell.toArrow()))
+        data = coded.join(plan, "cell").select("cell", F.pmod("mark", "units").cast("int").alias("unit"), every("sets").alias("set"), F.lit(0).alias("kind"), "mark", "vec_id", "raw", "codes", "bound")
+        visits = asking.withColumn("cell", F.explode("cells")).join(plan, "cell")
+        asks = visits.select("cell", every("units").alias("unit"), F.pmod(F.xxhash64("vec_id"), "sets").cast("int").alias("set"), F.lit(1).alias("kind"), "mark", "vec_id", "raw", F.lit(None).cast("binary").alias("codes"), "bound")
+        # equal vectors stand together
+        return data.unionByName(asks).repartition("cell", "unit", "set").sortWithinPartitions("cell", "unit", "set", "kind", "mark")
+
+    def missed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coarse = index.value[1]
+        for batch in batches:
+            cells = coarse.missed(matrix(pa.array([np.frombuffer(v) for v in batch.column(2).to_pylist()], pa.list_(pa.float64()))), batch.column(3).to_numpy(), *reach)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cells, pa.list_(pa.int32())), batch.column(3)], ["vec_id", "mark", "raw", "cells", "bound"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books = index.value[0]
@@ -379,9 +442,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, sample: int = SAMPLE,
             ids = np.concatenate([b.column(5).to_numpy() for b in held])
             x = np.frombuffer(b"".join(v for b in held for v in b.column(6).to_pylist()), float).reshape(-1, dim)
             codes = np.frombuffer(b"".join(v for b in held for v in b.column(7).to_pylist()), np.uint8).reshape(len(ids), -1)
+            off = np.concatenate([b.column(8).to_numpy() for b in held])
             held.clear()
             edges = np.linspace(0, len(ids), -(-len(ids) // BLOCK) + 1).astype(int).tolist()
-            blocks.extend(Block(ids[a:b], x[a:b], codes[a:b]) for a, b in zip(edges, edges[1:], strict=False))
+            blocks.extend(Block(ids[a:b], x[a:b], codes[a:b], off[a:b]) for a, b in zip(edges, edges[1:], strict=False))
 
         for batch in batches:
             keys = np.stack([batch.column(i).to_numpy() for i in range(4)], 1)
@@ -401,13 +465,26 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, sample: int = SAMPLE,
                 if held:
                     settle()
                 q = np.frombuffer(b"".join(part.column(6).to_pylist()), float).reshape(-1, dim)
-                ask(blocks, books, part.column(5).to_pylist(), q, k, best)
+                ask(blocks, books, part.column(5).to_pylist(), q, k, best, part.column(8).to_numpy())
                 if len(best) > HELD:
                     yield answer(best)
                     best.clear()
         if best:
             yield answer(best)
 
-    best = met.mapInArrow(scan, "query_id long, vec_id long, score double").repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def best_of(found: DataFrame) -> DataFrame:
+        best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def scanned(asking: DataFrame) -> DataFrame:
+        return met(asking).mapInArrow(scan, "query_id long, vec_id long, score double").repartition("query_id")
+
+    lowest = F.lit(float("-inf"))
+    near = common.stage(best_of(scanned(asking.withColumn("bound", lowest))), "near")
+    kth = near.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
+    again = asking.join(kth, "vec_id", "left").select("vec_id", "mark", "raw", F.coalesce("bound", lowest).alias("bound"))
+    again = common.stage(again.mapInArrow(missed, "vec_id long, mark long, raw binary, cells array<int>, bound double").where("size(cells) > 0"), "routes")
+    if not again.limit(1).count():
+        return near
+    return best_of(near.drop("rank").unionByName(scanned(again)))

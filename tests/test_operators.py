@@ -238,3 +238,17 @@ def test_parents_come_first_whatever_the_clocks_say(spark):
     assert {r.commit_sha: r.generation for r in history.commit_scan(commits, known, parents).collect()} == {"c": 0, "d": 1, "m": 2, "n": 3, "x": 0}
     with pytest.raises(ValueError):
         history.generations(commits, spark.createDataFrame([("a", "b"), ("b", "a")], parents.schema)).collect()
+
+
+def test_live_attribution_meets_distinct_sides(spark, monkeypatch):
+    """Rows that repeat don't multiply the pairs; hunks with two files and files dealt to many tasks lose nothing."""
+    monkeypatch.setattr(symbols, "PAIRS", 50)
+    hunks = spark.createDataFrame([(i, f"f{i % 2}") for i in range(60)] * 2 + [(5, "f0"), (None, "f1"), (70, None)], "hunk_id long, file_path string")
+    named = spark.createDataFrame([(f"f{i % 3}", "fn", f"n{i % 7}") for i in range(200)] + [(None, "fn", "x"), ("f0", None, "y")], "file_path string, kind string, name string")
+    want = {(h.hunk_id, s.kind, s.name, "exact_span") for h in hunks.collect() for s in named.collect() if h.file_path == s.file_path and h.file_path}
+    found = symbols.live_attribution(hunks, named)
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Union") < plan.index("Join")
+    assert plan[: plan.index("Join")].count("Aggregate") <= 1  # pairs of hunks with several files alone are made distinct

@@ -52,10 +52,34 @@ def historical_symbol_hunks(hunk_symbols: DataFrame, commits_of: DataFrame, quer
     return top.withColumn("ord", place).groupBy("hunk_id").agg(F.min("ord").alias("ord"), F.min_by(similarity, F.col("ord")).alias("similarity"))
 
 
+#: Pairs of hunks and symbols that a task makes, about, and the parts that a file's hunks are dealt to at most.
+PAIRS, MOST_PARTS = 2_000_000, 4096
+
+
 def live_attribution(hunks: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Every symbol of a hunk's file, as exact: hunk_id, symbol_kind, symbol_name, attribution_kind."""
-    met = hunks.select("hunk_id", "file_path").join(symbols.select("file_path", F.col("kind").alias("symbol_kind"), F.col("name").alias("symbol_name")), "file_path")
-    return met.select("hunk_id", "symbol_kind", "symbol_name").distinct().withColumn("attribution_kind", F.lit("exact_span"))
+    """Every symbol of a hunk's file, as exact: hunk_id, symbol_kind, symbol_name, attribution_kind.
+
+    Both sides are made distinct before they meet, so that the pairs of a hunk that has
+    one file are too and are not shuffled.  A file with more than PAIRS of them is dealt to many tasks.
+    """
+    files = hunks.where("file_path is not null").groupBy("hunk_id").agg(F.collect_set("file_path").alias("files"))
+    named = symbols.where("file_path is not null").select("file_path", F.col("kind").alias("symbol_kind"), F.col("name").alias("symbol_name")).distinct()
+    counted = hunks.groupBy("file_path").agg(F.count("*").alias("n")).join(named.groupBy("file_path").agg(F.count("*").alias("m")), "file_path")
+    pairs = F.col("n").cast("double") * F.col("m")
+    parts = counted.select("file_path", F.least(F.ceil(pairs / PAIRS), "n", F.lit(MOST_PARTS)).cast("int").alias("parts"))
+    dealt = named.join(parts, "file_path").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    more = parts.agg(F.sum(F.col("parts") - 1)).first()[0] or 0
+    tasks = int(symbols.sparkSession.conf.get("spark.sql.shuffle.partitions")) + min(more, MOST_PARTS)
+
+    def met(owned: DataFrame) -> DataFrame:
+        at = owned.join(parts, "file_path").withColumn("part", F.pmod(F.xxhash64("hunk_id"), "parts").cast("int")).drop("parts")
+        # so many partitions in any case: few rows go in, and very many come out
+        left, right = (x.repartition(tasks, "file_path", "part") for x in (at, dealt))
+        return left.join(right.hint("merge"), ["file_path", "part"]).select("hunk_id", "symbol_kind", "symbol_name")
+
+    alone = met(files.where(F.size("files") == 1).select("hunk_id", F.col("files")[0].alias("file_path")))
+    several = met(files.where(F.size("files") > 1).select("hunk_id", F.explode("files").alias("file_path"))).distinct()
+    return alone.unionByName(several).withColumn("attribution_kind", F.lit("exact_span"))
 
 
 #: Lines of the narrowest bucket, how much wider each level is, and the number of levels.

@@ -252,3 +252,13 @@ def test_live_attribution_meets_distinct_sides(spark, monkeypatch):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Union") < plan.index("Join")
     assert plan[: plan.index("Join")].count("Aggregate") <= 1  # pairs of hunks with several files alone are made distinct
+
+
+def test_attribution_meets_each_span_once(spark):
+    """A span that repeats is one before it meets hunks, and no side is broadcast, as sizes leave out their buckets."""
+    hunks = spark.createDataFrame([(i, "f", f"@@ -1 +{i % 5 + 1},3 @@\n+x") for i in range(40)], "hunk_id long, file_path string, diff_text string")
+    spans = spark.createDataFrame([("f", "function", "a", 2, 4), ("f", "class", "b", 90, 95)] * 500, "file_path string, kind string, name string, line_start int, line_end int")
+    found = symbols.attribute(hunks, spans)
+    assert sorted(map(tuple, found.collect())) == [(i, "function", "a", "exact_span") for i in range(40) if i % 5 + 1 <= 4 and i % 5 + 3 >= 2]
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") >= 2

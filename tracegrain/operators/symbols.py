@@ -112,7 +112,8 @@ def overlapping(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     begins = F.greatest(F.least("s", "e"), F.least("line_start", "line_end")).cast("long")
 
     def met(a: DataFrame, b: DataFrame) -> DataFrame:
-        pairs = a.join(b, [key, "width", "bucket"]).where("line_start <= e and s <= line_end")
+        # neither side is broadcast: Spark's sizes leave out how many buckets a row has
+        pairs = a.join(b.hint("merge"), [key, "width", "bucket"]).where("line_start <= e and s <= line_end")
         return pairs.where(F.floor(begins / F.col("width")) == F.col("bucket")).drop("width", "bucket")
 
     def sides(ours: int | None, theirs: int | None) -> DataFrame:
@@ -125,11 +126,12 @@ def attribute(hunks: DataFrame, symbols: DataFrame) -> DataFrame:
     """Symbols whose lines a hunk changes, and else those its headers name.
 
     hunks: hunk_id, file_path, diff_text; symbols: file_path, kind, name,
-    line_start, line_end.  A name found both ways is exact.
+    line_start, line_end.  A name found both ways is exact.  Spans that repeat
+    are one before they meet.
     """
     ranges = hunks.select("hunk_id", "file_path", F.explode(T.post_image_ranges(F.col("diff_text"))).alias("r"))
     changed = ranges.select("hunk_id", "file_path", F.col("r.start").alias("s"), (F.col("r.start") + F.col("r.count") - 1).alias("e"))
-    spans = symbols.select("file_path", "kind", "name", "line_start", "line_end")
+    spans = symbols.select("file_path", "kind", "name", "line_start", "line_end").distinct()
     exact = overlapping(changed, spans, "file_path").select("hunk_id", F.col("kind").alias("symbol_kind"), F.col("name").alias("symbol_name"), F.lit("exact_span").alias("attribution_kind"))
     named = hunks.select("hunk_id", F.explode(T.header_suffixes(F.col("diff_text"))).alias("suffix")).select("hunk_id", T.header_symbol(F.col("suffix")).alias("s")).where("s is not null")
     header = named.select("hunk_id", F.col("s.kind").alias("symbol_kind"), F.col("s.name").alias("symbol_name"), F.lit("hunk_header").alias("attribution_kind"))

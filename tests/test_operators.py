@@ -262,3 +262,24 @@ def test_attribution_meets_each_span_once(spark):
     assert sorted(map(tuple, found.collect())) == [(i, "function", "a", "exact_span") for i in range(40) if i % 5 + 1 <= 4 and i % 5 + 3 >= 2]
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") >= 2
+
+
+def test_only_the_terms_asked_for_are_made(spark, monkeypatch):
+    """Of an index that isn't written, a query's postings and counts are those of all postings, without Python; all are grouped few at a time."""
+    rows = [(1, "a b a", "b"), (2, "c", None), (3, None, "a_b the"), (4, "", "")] + [(i, "the b " * (i % 5), "x") for i in range(5, 30)]
+    docs = spark.createDataFrame(rows, "id long, one string, two string").coalesce(1)
+    index = fulltext.TextIndex.build(docs, "id", ["one", "two"])
+
+    def told(df):
+        return sorted((r.doc_id, r.term, list(r.positions), r.length) for r in df.collect())
+
+    whole = told(index.postings)
+    for terms in (["a"], ["b", "the"], ["nowhere"]):
+        assert told(index.of(terms)) == [r for r in whole if r[1] in terms]
+        assert index.in_docs(terms) == {t: sum(r[1] == t for r in whole) for t in terms}
+    assert index.known() == tuple(fulltext.corpus_stats(docs, ["one", "two"]).first())
+    assert sorted(map(tuple, index.terms.collect())) == sorted(map(tuple, fulltext.term_counts(index.postings).collect()))
+    for df in (fulltext.search(index, "b NOT a_b"), index.terms):
+        assert "MapInArrow" not in df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(fulltext, "AT_ONCE", 7)
+    assert told(fulltext.build_postings(docs, "id", ["one", "two"])) == whole

@@ -105,6 +105,21 @@ def scored_phrases(expression: object) -> list[Phrase]:
     return found
 
 
+#: Tokens that are grouped at a time, about, or those of a single document.
+AT_ONCE = 250_000
+
+
+def few_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (an id, then lists of tokens) in slices of AT_ONCE tokens or one row, so that memory doesn't follow how long texts are."""
+    for batch in batches:
+        n = sum(c.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[1:])
+        piece = (np.cumsum(n) - 1) // AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a < b:
+                yield batch.slice(a, b - a)
+
+
 def build_postings(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     """doc_id, term, positions, length: the tokens of the columns, one after the other.
 
@@ -113,7 +128,7 @@ def build_postings(docs: DataFrame, id_col: str, columns: list[str]) -> DataFram
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[tokens(F.col(c)).alias(f"c{i}") for i, c in enumerate(columns)])
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_tokens(batches):
             words, doc, pos, length = [], [], [], np.zeros(batch.num_rows, np.int64)
             for i in range(1, batch.num_columns):
                 lists = batch.column(i)
@@ -135,6 +150,36 @@ def build_postings(docs: DataFrame, id_col: str, columns: list[str]) -> DataFram
     return rows.mapInArrow(group, "doc_id long, term string, positions array<int>, length long")
 
 
+def _words(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    """doc_id, w: the tokens of each column (c0, c1, ...), found once a document whatever is asked of them."""
+    each = F.struct(*[tokens(F.col(c)).alias(f"c{i}") for i, c in enumerate(columns)])
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.explode(F.array(each)).alias("w"))
+
+
+def _holds_word(n_columns: int, term: str) -> Column:
+    out = F.lit(False)
+    for i in range(n_columns):
+        out = out | F.array_contains(f"w.c{i}", term)
+    return out
+
+
+def _length(n_columns: int) -> Column:
+    return sum((F.size(f"w.c{i}") for i in range(1, n_columns)), F.size("w.c0")).cast("long")
+
+
+def postings_of(docs: DataFrame, id_col: str, columns: list[str], terms: list[str]) -> DataFrame:
+    """The rows that build_postings has of some terms, without making the others and without Python."""
+
+    def places(i: int, term: str) -> Column:
+        at = F.filter(F.transform(f"w.c{i}", lambda x, n: F.when(x == term, n + i * COLUMN_GAP)), lambda n: n.isNotNull())
+        return F.when(F.array_contains(f"w.c{i}", term), at).otherwise(F.array().cast("array<int>"))
+
+    rows = _words(docs, id_col, columns)
+    each = [F.struct(F.lit(t).alias("term"), F.concat(*[places(i, t) for i in range(len(columns))]).alias("positions")) for t in terms]
+    found = rows.select("doc_id", _length(len(columns)).alias("length"), F.explode(F.array(*each)).alias("t"))
+    return found.select("doc_id", "t.term", "t.positions", "length").where(F.size("positions") > 0)
+
+
 def corpus_stats(docs: DataFrame, columns: list[str]) -> DataFrame:
     """n_docs, avg_length over all documents, empty ones too."""
     length = sum((F.size(tokens(F.col(c))) for c in columns[1:]), F.size(tokens(F.col(columns[0]))))
@@ -145,6 +190,18 @@ def term_counts(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions").cast("long")).alias("cf"))
 
 
+def count_words(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    """What term_counts has of all postings, without making them: term, df, cf."""
+    said = _words(docs, id_col, columns).select(F.concat(*[F.col(f"w.c{i}") for i in range(len(columns))]).alias("said"))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+
+    def counted(words: Column, df: Column, cf: Column) -> Column:
+        return F.transform(words, lambda x: F.struct(x.alias("term"), df.alias("df"), cf.alias("cf")))
+
+    each = said.select(F.explode(F.concat(counted(F.array_distinct("said"), one, none), counted(F.col("said"), none, one))).alias("t")).select("t.*")
+    return each.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
 @dataclass
 class TextIndex:
     postings: DataFrame
@@ -155,12 +212,14 @@ class TextIndex:
     docs: DataFrame | None = None
     #: of an index that is written, by whose blocks the postings are
     blocks: DataFrame | None = None
+    #: the id and the texts among docs' columns
+    columns: tuple[str, list[str]] | None = None
     _known: tuple[int, float] | None = field(default=None, repr=False)
 
     @classmethod
     def build(cls, docs: DataFrame, id_col: str, columns: list[str]) -> TextIndex:
         postings = build_postings(docs, id_col, columns)
-        return cls(postings, corpus_stats(docs, columns), term_counts(postings), docs)
+        return cls(postings, corpus_stats(docs, columns), count_words(docs, id_col, columns), docs, columns=(id_col, columns))
 
     def write(self, path: str) -> None:
         """Texts are split once; all else comes from the postings that are written."""
@@ -188,6 +247,22 @@ class TextIndex:
         schema = "segment string, block long, doc_id long, term string, positions array<int>, length long"
         return cls(spark.read.schema(schema).parquet(f"{path}/postings"), spark.read.schema("n_docs long, avg_length double").parquet(f"{path}/stats"), spark.read.schema("term string, df long, cf long").parquet(f"{path}/terms"), blocks=spark.read.schema(topk.BLOCKS).parquet(f"{path}/blocks"))
 
+    def of(self, terms: list[str]) -> DataFrame:
+        """The postings of some terms; only these are made, of an index that isn't written yet."""
+        if self.docs is not None and self.columns:
+            return postings_of(self.docs, *self.columns, terms)
+        return self.postings.where(F.col("term").isin(terms))
+
+    def in_docs(self, terms: list[str]) -> dict[str, int]:
+        """How many documents hold each of some terms; what known() gives is read along, of an index that isn't written yet."""
+        if self.docs is None or not self.columns:
+            return {r.term: r.df for r in self.terms.where(F.col("term").isin(terms)).select("term", "df").collect()}
+        n = len(self.columns[1])
+        holding = [F.count(F.when(_holds_word(n, t), 1)).alias(f"t{i}") for i, t in enumerate(terms)]
+        row = _words(self.docs, *self.columns).agg(F.count("*").alias("n_docs"), F.avg(_length(n)).alias("avg_length"), *holding).first()
+        self._known = row.n_docs, row.avg_length or 0.0
+        return {t: row[f"t{i}"] for i, t in enumerate(terms)}
+
     def known(self) -> tuple[int, float]:
         """n_docs and avg_length, read once."""
         if self._known is None:
@@ -207,7 +282,7 @@ def saturation(tf: Column, length: Column, avg_length: Column) -> Column:
 def search(index: TextIndex, query: str, lenient: bool = False) -> DataFrame:
     """doc_id, score of all matches of one query; the score is negative, stronger matches are smaller.
 
-    Only the query's terms are read.  Positions are compared inside a row, so
+    Only the query's terms are read, or made.  Positions are compared inside a row, so
     phrases cost no join.  Statistics are of the whole corpus, whatever is
     filtered afterwards; those of words were counted when the index was made,
     those of phrases are counted here, in one job.
@@ -221,10 +296,9 @@ def search(index: TextIndex, query: str, lenient: bool = False) -> DataFrame:
     wanted = phrases(expression)
     terms = sorted({t for p in wanted for t in p.terms})
     held = {t: f"p{i}" for i, t in enumerate(terms)}
-    df = F.broadcast(index.terms.where(F.col("term").isin(terms)).select("term", "df"))  # a row for each of the terms
-    read = index.postings.where(F.col("term").isin(terms)).join(df, "term")
-    own = [F.first(F.when(F.col("term") == t, F.col(value)), ignorenulls=True).alias(c + end) for t, c in held.items() for value, end in (("positions", ""), ("df", "_df"))]
-    hits = read.groupBy("doc_id").agg(F.first("length").alias("length"), *own)
+    df = index.in_docs(terms)
+    own = [F.first(F.when(F.col("term") == t, F.col("positions")), ignorenulls=True).alias(c) for t, c in held.items()]
+    hits = index.of(terms).groupBy("doc_id").agg(F.first("length").alias("length"), *own)
 
     def occurrences(phrase: Phrase) -> Column:
         first, *rest = (F.coalesce(F.col(held[t]), F.array().cast("array<int>")) for t in phrase.terms)
@@ -239,7 +313,7 @@ def search(index: TextIndex, query: str, lenient: bool = False) -> DataFrame:
 
         return F.size(F.filter(first, follows))
 
-    counted = hits.select("doc_id", "length", *[c + "_df" for c in held.values()], *[occurrences(p).alias(f"f{i}") for i, p in enumerate(wanted)])
+    counted = hits.select("doc_id", "length", *[occurrences(p).alias(f"f{i}") for i, p in enumerate(wanted)])
     at = {p: f"f{i}" for i, p in enumerate(wanted)}
 
     def holds(e: object) -> Column:
@@ -257,7 +331,7 @@ def search(index: TextIndex, query: str, lenient: bool = False) -> DataFrame:
     score = F.lit(0.0)
     for p in scored:
         c = at[p]
-        in_docs = F.col(held[p.terms[0]] + "_df") if len(p.terms) == 1 else F.lit(seen[c] or 0)
+        in_docs = F.lit(df.get(p.terms[0], 0) if len(p.terms) == 1 else seen[c] or 0)
         score = score - F.when(F.col(c) > 0, idf(n_docs, in_docs) * saturation(F.col(c), F.col("length"), avg_length)).otherwise(0.0)
     return counted.where(holds(expression)).select("doc_id", score.alias("score"))
 

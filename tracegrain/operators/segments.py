@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tracegrain.functions.text import tokens
 
 from . import topk
-from .fulltext import COLUMN_GAP, TextIndex
+from .fulltext import COLUMN_GAP, TextIndex, few_tokens
 
 FORWARD = "segment string, doc_id long, length long, terms array<string>, positions array<array<int>>"
 POSTINGS = "segment string, block long, doc_id long, term string, positions array<int>, length long"
@@ -45,7 +45,7 @@ def forward(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[tokens(F.col(c)).alias(f"c{i}") for i, c in enumerate(columns)])
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_tokens(batches):
             n_docs = batch.num_rows
             words, doc, pos, length = [], [], [], np.zeros(n_docs, np.int64)
             for i in range(1, batch.num_columns):

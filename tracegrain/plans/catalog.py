@@ -291,7 +291,7 @@ SELECT hunk_id, f, round(-(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f *
 def t2_t3_bm25_phrase(spark, d):
     index = _text_index(spark, d)
     found = fulltext.search(index, PHRASE)
-    pair = index.postings.where("term in ('of', 'the')").groupBy("doc_id").agg(F.first(F.when(F.col("term") == "of", F.col("positions")), ignorenulls=True).alias("a"), F.first(F.when(F.col("term") == "the", F.col("positions")), ignorenulls=True).alias("b"))
+    pair = index.of(["of", "the"]).groupBy("doc_id").agg(F.first(F.when(F.col("term") == "of", F.col("positions")), ignorenulls=True).alias("a"), F.first(F.when(F.col("term") == "the", F.col("positions")), ignorenulls=True).alias("b"))
     counted = pair.select("doc_id", F.size(F.filter("a", lambda x: F.array_contains("b", x + 1))).cast("long").alias("f"))
     return found.join(counted, "doc_id").select(F.col("doc_id").alias("hunk_id"), "f", r9(F.col("score")).alias("score"))
 

@@ -74,3 +74,19 @@ def test_a_batch_of_any_number_of_queries(spark, rows, vectors, monkeypatch):
         got.setdefault(r.qid, []).append((r["rank"], r.hunk_id))
     assert {q: [i for _, i in sorted(x)] for q, x in got.items()} == {q: scan(rows, np.array(rows[q][1]), 3) for q in range(10)}
     assert knn.nearest_batch(vectors, asked.limit(0), 3).count() == 0
+
+
+def test_queries_meet_a_cell_many_at_a_time(spark, rows, vectors, tmp_path, monkeypatch):
+    """Cells of many units and queries of many batches lose nothing, and no distance is computed pair by pair in a plan."""
+    monkeypatch.setattr(cells, "CELL_ROWS", 300)
+    monkeypatch.setattr(cells, "UNIT_ROWS", 50)
+    monkeypatch.setattr(cells, "AT_ONCE", 3)
+    root = str(tmp_path / "c")
+    held = cells.view(spark, root, cells.build(spark, root, vectors))
+    asked = vectors.where("hunk_id < 9000 and hunk_id % 20 = 0").select(F.col("hunk_id").alias("qid"), F.col("vector").alias("query"))
+    found = cells.nearest_batch(held, asked, 10)
+    assert "zip_with" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.qid, []).append((r["rank"], r.hunk_id))
+    assert {q: [i for _, i in sorted(x)] for q, x in got.items()} == {q: scan(rows, np.array(rows[q][1]), 10) for q in range(0, 1440, 20)}

@@ -35,6 +35,8 @@ SLACK = 1e-6
 MOST_NAMED = 64
 #: Bytes of a row group, so that a few cells' rows can be read without the rest.
 BLOCK = 4 << 20
+#: Rows of a cell that stand in one place, about, and queries that meet them at a time.
+UNIT_ROWS, AT_ONCE = 16_384, 256
 ROWS = "cell int, r double, id long, vector array<float>"
 
 
@@ -207,11 +209,30 @@ def nearest(index: CellIndex, query: list[float], k: int, id_col: str = "hunk_id
     return top.select(F.col("id").alias(id_col), "distance", distance_similarity(F.col("distance")).alias("similarity"))
 
 
+def _best(ids: np.ndarray, rows: np.ndarray, qids: np.ndarray, queries: np.ndarray, most: np.ndarray, k: int) -> pa.RecordBatch:
+    """qid, id, distance: of each query the k nearest rows, none of them farther than most."""
+    scale = (rows**2).sum(1)
+    square = scale - 2 * queries @ rows.T + (queries**2).sum(1)[:, None]
+    out: list[list[np.ndarray]] = [[], [], []]
+    for i, q in enumerate(queries):
+        # products may be off by rounding, more so far from the origin: what is as near as the k-th but for that is computed exactly
+        off = 1e-12 * len(q) * (scale.max() + (q**2).sum())
+        cut = np.partition(square[i], k - 1)[k - 1] + 2 * off if len(ids) > k else np.inf
+        at = np.flatnonzero(~(square[i] > cut))
+        distance = np.sqrt(np.add.accumulate((rows[at] - q) ** 2, 1)[:, -1])  # from the first component to the last, as l2_distance adds them
+        near = distance <= most[i] + SLACK
+        at, distance = at[near], distance[near]
+        top = np.lexsort((ids[at], distance))[:k]
+        for held, x in zip(out, (np.full(len(top), qids[i]), ids[at][top], distance[top]), strict=True):
+            held.append(x)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["qid", "id", "distance"])
+
+
 def nearest_batch(index: CellIndex, queries: DataFrame, k: int, id_col: str = "hunk_id") -> DataFrame:
     """qid, id, distance, rank: the k nearest of each of any number of queries (qid, once each, and query).
 
-    A query goes to the cells that it must see and meets their rows there; each
-    task keeps k rows of a query before they are shuffled.
+    A query goes to the cells that it must see and meets their rows there, many
+    queries at a time; k rows of a query leave a cell before they are shuffled.
     """
     spark = index.rows.sparkSession
     sent = spark.sparkContext.broadcast((index.centres, index.counts, index.radii))  # MOST_CELLS rows at most
@@ -235,17 +256,44 @@ def nearest_batch(index: CellIndex, queries: DataFrame, k: int, id_col: str = "h
                     cells.append(own)
                 row, cell = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (at, cells))
                 t = most[row]
-                out = [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(cell.astype(np.int32)), pa.array(d[row, cell] - t - SLACK), pa.array(d[row, cell] + t + SLACK)]
-                yield pa.RecordBatch.from_arrays(out, ["qid", "query", "cell", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(cell.astype(np.int32)), pa.array(t)], ["qid", "query", "cell", "t"])
 
         return run
 
     asked = queries.where(F.col("query").isNotNull()).select(F.col("qid").cast("long").alias("qid"), F.col("query").cast("array<double>").alias("query"))
-    schema = "qid long, query array<double>, cell int, lo double, hi double"
+    schema = "qid long, query array<double>, cell int, t double"
+    wide = [x for c in np.flatnonzero(index.counts > UNIT_ROWS).tolist() for x in (F.lit(c), F.lit(-(-int(index.counts[c]) // UNIT_ROWS)))]
+    units = F.coalesce(F.element_at(F.create_map(*wide), F.col("cell")), F.lit(1)) if wide else F.lit(1)
 
     def met(visited: DataFrame) -> DataFrame:
-        rows = index.rows.join(visited, "cell").where("r between lo and hi")
-        return rows.select("qid", "id", l2_distance(F.col("vector"), F.col("query")).alias("distance"))
+        """The rows of each unit of a cell, and behind them the queries that visit it."""
+        rows = index.rows.join(F.broadcast(visited.select("cell").distinct()), "cell", "left_semi")  # MOST_CELLS rows at most
+        held = rows.select("cell", F.pmod(F.xxhash64("id"), units).cast("int").alias("unit"), F.lit(0).alias("kind"), "id", F.col("vector").cast("array<double>").alias("vector"), F.lit(None).cast("double").alias("t"))
+        asks = visited.select("cell", F.explode(F.sequence(F.lit(0), units - 1)).alias("unit"), F.lit(1).alias("kind"), F.col("qid").alias("id"), F.col("query").alias("vector"), "t")
+        return held.unionByName(asks).repartition("cell", "unit").sortWithinPartitions("cell", "unit", "kind").mapInArrow(scan, "qid long, id long, distance double")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, held = None, []
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                *own, kind = keys[a].tolist()
+                if own != unit:
+                    unit, held = own, []
+                part = batch.slice(a, b - a)
+                if kind == 0:
+                    held.append((part.column(3).to_numpy(), _matrix(part.column(4), dim)))
+                    continue
+                if not held:
+                    continue
+                if len(held) > 1:
+                    held = [tuple(np.concatenate(x) for x in zip(*held, strict=True))]
+                for i in range(0, b - a, AT_ONCE):
+                    some = part.slice(i, AT_ONCE)
+                    yield _best(*held[0], some.column(3).to_numpy(), _matrix(some.column(4), dim), some.column(5).to_numpy(), k)
 
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
     near = cut(met(asked.withColumn("t", F.lit(float("inf"))).mapInArrow(visits(True), schema)).withColumn("rank", rank).where(F.col("rank") <= k))

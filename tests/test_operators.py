@@ -283,3 +283,12 @@ def test_only_the_terms_asked_for_are_made(spark, monkeypatch):
         assert "MapInArrow" not in df._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(fulltext, "AT_ONCE", 7)
     assert told(fulltext.build_postings(docs, "id", ["one", "two"])) == whole
+
+
+def test_an_embedder_gets_few_texts_at_a_time(spark):
+    def embedder(texts, dim):
+        return [[float(len(texts))] + [0.0] * (dim - 1)] * len(texts)
+
+    rows = spark.range(1000).select("id", F.lit("x").alias("text")).coalesce(1)
+    sizes = [r.diff_emb[0] for r in chunking.embed(rows, dim=4, embedder=embedder).collect()]
+    assert len(sizes) == 1000 and max(sizes) <= 256

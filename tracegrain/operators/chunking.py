@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 MAX_TOKENS = 500
+#: Texts that an embedder gets at a time, at most.
+AT_ONCE = 256
 CHUNK_SCHEMA = "file_path string, kind string, name string, sibling_names array<string>, span_start int, span_end int, tokens int"
 
 
@@ -51,15 +53,15 @@ def hashing_embedder(texts: pd.Series, dim: int) -> list[np.ndarray]:
 
 
 def embed(rows: DataFrame, text_col: str = "text", dim: int = 384, embedder=hashing_embedder) -> DataFrame:
-    """rows with diff_emb; the embedder gets (texts, dim), as many as Arrow's batches have, and gives a vector of dim for each."""
+    """rows with diff_emb; the embedder gets (texts, dim), as many as Arrow's batches have but AT_ONCE at most, and gives a vector of dim for each."""
     schema = StructType([*rows.schema, StructField("diff_emb", ArrayType(FloatType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (whole.iloc[i : i + AT_ONCE] for whole in batches for i in range(0, len(whole), AT_ONCE)):
             made = embedder(pdf[text_col], dim)
             if len(made) != len(pdf) or any(len(v) != dim for v in made):
                 raise ValueError(f"an embedder gave {len(made)} vectors for {len(pdf)} texts, or one that has not {dim} numbers")
-            yield pdf.assign(diff_emb=[np.asarray(v, np.float32).tolist() for v in made])
+            yield pdf.assign(diff_emb=[np.asarray(v, np.float32) for v in made])
 
     return rows.mapInPandas(run, schema)
 

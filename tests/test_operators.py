@@ -240,6 +240,29 @@ def test_parents_come_first_whatever_the_clocks_say(spark):
         history.generations(commits, spark.createDataFrame([("a", "b"), ("b", "a")], parents.schema)).collect()
 
 
+def test_only_merges_choose_among_their_parents(spark, monkeypatch):
+    """Chains hang on their merges before any choice is made; numbers that two commits share are dealt anew."""
+    edges, names = [], [f"c{i:03}" for i in range(300)]
+    for i in range(1, 300):
+        edges += [(i, max(i - 2, 0))] + ([(i, i - 1)] if i % 7 == 0 else []) + ([(i, i // 2)] if i % 11 == 0 else [])
+    want = [0] * 300
+    for c, p in edges:
+        want[c] = max(want[c], want[p] + 1)
+    rows = [(names[c], names[p]) for c, p in edges] + [("c005", "gone")]
+    commits, parents = spark.createDataFrame([(x,) for x in names], "commit_sha string"), spark.createDataFrame(rows, "commit_sha string, parent_sha string")
+    asked, plain = [], history._longest
+    monkeypatch.setattr(history, "_longest", lambda edges, n: asked.append(edges.select("c").distinct().count()) or plain(edges, n))
+    number = history._number
+    monkeypatch.setattr(history, "_number", lambda sha, salt: number(sha, salt) if salt else F.length(sha).cast("long"))
+    got = {r.commit_sha: r.generation for r in history.generations(commits, parents).collect()}
+    assert got == dict(zip(names, want, strict=True))
+    assert len(asked) == 1 and asked[0] < 80
+    assert {r.generation for r in history.generations(commits, parents.limit(0)).collect()} == {0}
+    with pytest.raises(ValueError):
+        loop = [("a", "b"), ("a", "c"), ("b", "a"), ("b", "c"), ("c", "b"), ("c", "a")]
+        history.generations(spark.createDataFrame([("a",), ("b",), ("c",)], "commit_sha string"), spark.createDataFrame(loop, parents.schema)).collect()
+
+
 def test_live_attribution_meets_distinct_sides(spark, monkeypatch):
     """Rows that repeat don't multiply the pairs; hunks with two files and files dealt to many tasks lose nothing."""
     monkeypatch.setattr(symbols, "PAIRS", 50)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,45 +37,89 @@ def ancestors(commits: DataFrame, sha: str) -> DataFrame:
         jump = cut(jump.alias("a").join(jump.alias("b"), F.col("a.p") == F.col("b.c")).select(F.col("a.c").alias("c"), F.col("b.p").alias("p")))
 
 
+def _number(sha: Column, salt: int) -> Column:
+    return F.xxhash64(F.lit(salt), sha)
+
+
 def generations(commits: DataFrame, parents: DataFrame) -> DataFrame:
     """commit_sha, generation: the length of the longest way to a commit without parents, by any of its parents.
 
     commits: commit_sha; parents: commit_sha, parent_sha, a row for each parent; those
-    not among the commits count for nothing.  Each commit chooses one parent; the
-    lengths of the ways that this makes are found by pointer doubling, in as many
-    rounds as the longest has binary digits; then each commit chooses the parent
-    with the longest way, until no choice would make a way longer.
+    not among the commits count for nothing.  Commits go by numbers that are theirs alone.
+    Those with one parent hang on the merge or root that they lead to, again and again
+    while that takes a quarter of the edges away; only what is left chooses: each merge one
+    parent, then, when the lengths of the ways that this makes are known, the one with the
+    longest, until no choice would make a way longer.
     """
     nodes = commits.select("commit_sha").where("commit_sha is not null").distinct()
-    edges = parents.select("commit_sha", "parent_sha").where("commit_sha is not null and parent_sha is not null").distinct()
-    edges = edges.join(nodes, "commit_sha", "left_semi").join(nodes.withColumnRenamed("commit_sha", "parent_sha"), "parent_sha", "left_semi")
-    edges = cut(edges)
-    chosen = cut(nodes.join(edges.groupBy("commit_sha").agg(F.min("parent_sha").alias("p")), "commit_sha", "left"))
-    n = chosen.count()
+    edges = parents.select("commit_sha", "parent_sha").where("commit_sha is not null and parent_sha is not null")
+    edges = edges.join(nodes.withColumnRenamed("commit_sha", "parent_sha"), "parent_sha", "left_semi").join(nodes, "commit_sha", "left_semi").distinct()
+    salt, n = 0, None
+    while n is None:
+        told = nodes.agg(F.count("*").alias("n"), F.count_distinct(_number(F.col("commit_sha"), salt)).alias("numbers")).first()
+        n, salt = (told.n, salt) if told.n == told.numbers else (None, salt + 1)
+    edges = cut(edges.select(_number(F.col("commit_sha"), salt).alias("c"), _number(F.col("parent_sha"), salt).alias("p"), F.lit(1).cast("long").alias("w")))
+    hung = []
+    while True:
+        single = cut(edges.groupBy("c").agg(F.count("*").alias("parents"), F.first("p").alias("p"), F.first("w").alias("w")).where("parents = 1").select("c", "p", "w"))
+        left = edges.count()
+        if not left or 4 * single.count() < left:
+            break
+        way = _ends(single, n)
+        hung.append(way)
+        further = way.select(F.col("c").alias("p"), F.col("p").alias("next"), F.col("w").alias("more"))
+        merges = edges.join(single.select("c"), "c", "left_anti").join(further, "p", "left")
+        merges = merges.select("c", F.coalesce("next", "p").alias("p"), (F.col("w") + F.coalesce("more", F.lit(0))).alias("w"))
+        edges = cut(merges.groupBy("c", "p").agg(F.max("w").alias("w")))
+    level = _longest(edges, n) if left else None
+    for way in reversed(hung):
+        own = way.select("c", F.col("w").alias("generation"))
+        if level is not None:
+            known = level.select(F.col("c").alias("p"), "generation")
+            own = level.unionByName(way.join(known, "p", "left").select("c", (F.col("w") + F.coalesce("generation", F.lit(0))).alias("generation")))
+        level = own
+    numbered = nodes.select("commit_sha", _number(F.col("commit_sha"), salt).alias("c"))
+    if level is None:
+        return numbered.select("commit_sha", F.lit(0).cast("long").alias("generation"))
+    return numbered.join(level, "c", "left").select("commit_sha", F.coalesce("generation", F.lit(0).cast("long")).alias("generation"))
+
+
+def _longest(edges: DataFrame, n: int) -> DataFrame:
+    """c, generation: the longest way along edges (c, p, w), by choices that are made anew until none makes a way longer."""
+    chosen = edges.groupBy("c").agg(F.max(F.struct("w", "p")).alias("e")).select("c", "e.p", "e.w")
+    chosen = cut(chosen)
     while True:  # each choice makes a way longer, so this ends
-        level = _lengths(chosen, n)
-        best = edges.join(level.select(F.col("commit_sha").alias("parent_sha"), F.col("generation").alias("g")), "parent_sha").groupBy("commit_sha").agg(F.max(F.struct("g", "parent_sha")).alias("best"))
-        judged = level.join(best, "commit_sha", "left")
-        longer = F.coalesce(F.col("best.g") + 1 > F.col("generation"), F.lit(False))
-        judged = cut(judged.join(chosen, "commit_sha").select("commit_sha", "generation", F.when(longer, F.col("best.parent_sha")).otherwise(F.col("p")).alias("p"), longer.alias("longer")))
+        level = _ends(chosen, n).select("c", F.col("w").alias("generation"))
+        ahead = level.select(F.col("c").alias("p"), F.col("generation").alias("more"))
+        length = (F.col("w") + F.coalesce("more", F.lit(0))).alias("g")
+        best = edges.join(ahead, "p", "left").select("c", F.struct(length, "p", "w").alias("e")).groupBy("c").agg(F.max("e").alias("e"))
+        longer = F.col("e.g") > F.col("generation")
+        judged = chosen.join(level, "c").join(best, "c")
+        judged = cut(judged.select("c", *[F.when(longer, F.col(f"e.{x}")).otherwise(F.col(x)).alias(x) for x in ("p", "w")], longer.alias("longer")))
         if not judged.where("longer").limit(1).count():
-            return judged.select("commit_sha", "generation")
-        chosen = judged.select("commit_sha", "p")
+            return level
+        chosen = judged.select("c", "p", "w")
+
 
+def _ends(way: DataFrame, n: int) -> DataFrame:
+    """way (c, p, w; a row for each c) with p followed to the first that is no c, and w summed on the way; n: how many commits there are.
 
-def _lengths(chosen: DataFrame, n: int) -> DataFrame:
-    """commit_sha, generation: how many steps p (null at the end) leads on; n: how many commits there are."""
-    jump = chosen.select("commit_sha", "p", F.when(F.col("p").isNull(), 0).otherwise(1).cast("long").alias("generation"))
+    Pointer doubling, in as many rounds as the longest way has binary digits; what has
+    come to its end is looked up but moves no more.
+    """
+    ended: list[DataFrame] = []
+    going = way.withColumn("at_end", F.lit(False))
     while True:
-        longest = jump.where("p is not null").agg(F.max("generation").alias("g")).first().g
+        ahead = reduce(DataFrame.unionByName, ended, going).select(F.col("c").alias("p"), F.col("p").alias("next"), F.col("w").alias("more"), F.col("at_end").alias("last"))
+        met = going.select("c", "p", "w").join(ahead, "p", "left")
+        met = cut(met.select("c", F.coalesce("next", "p").alias("p"), (F.col("w") + F.coalesce("more", F.lit(0))).alias("w"), F.coalesce("last", F.lit(True)).alias("at_end")))
+        ended.append(met.where("at_end"))
+        going = met.where("not at_end")
+        longest = going.agg(F.max("w").alias("w")).first().w
         if longest is None:
-            return jump.select("commit_sha", "generation")
+            return reduce(DataFrame.unionByName, ended).select("c", "p", "w")
         if longest > n:
             raise ValueError("the parents of commits form a cycle")
-        for _ in range(2):
-            ahead = jump.select(F.col("commit_sha").alias("p"), F.col("p").alias("next"), F.col("generation").alias("more"))
-            jump = jump.join(ahead, "p", "left").select("commit_sha", F.col("next").alias("p"), (F.col("generation") + F.coalesce("more", F.lit(0))).alias("generation"))
-        jump = cut(jump)
 
 
 def commit_scan(commits: DataFrame, known: DataFrame | None = None, parents: DataFrame | None = None) -> DataFrame:

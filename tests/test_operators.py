@@ -308,6 +308,22 @@ def test_only_the_terms_asked_for_are_made(spark, monkeypatch):
     assert told(fulltext.build_postings(docs, "id", ["one", "two"])) == whole
 
 
+def test_a_search_splits_texts_once(spark):
+    """Counts, lengths, matches and what else is asked about the same terms come from one reading of the texts."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(text):
+        seen.add(1)
+        return text
+
+    docs = spark.range(40).select("id", read(F.when(F.col("id") % 3 == 0, "the end of the day").otherwise("of day")).alias("one")).coalesce(1)
+    index = fulltext.TextIndex.build(docs, "id", ["one"])
+    assert {r.doc_id for r in fulltext.search(index, "of_the").collect()} == set(range(0, 40, 3))
+    assert index.of(["of", "the"]).count() == 40 + 14 and index.known() == (40, (14 * 5 + 26 * 2) / 40)
+    assert seen.value == 40
+
+
 def test_an_embedder_gets_few_texts_at_a_time(spark):
     def embedder(texts, dim):
         return [[float(len(texts))] + [0.0] * (dim - 1)] * len(texts)

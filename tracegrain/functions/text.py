@@ -31,7 +31,8 @@ SEPARATORS = r"[^\p{L}\p{N}\p{Co}]+"
 
 def fold(text: Column) -> Column:
     """Lower case, Latin letters without diacritics, no combining marks; what has no plain letter in place is deleted."""
-    return F.lower(F.translate(text, ACCENTED + MARKS, PLAIN))
+    plain = F.octet_length(text) == F.length(text)  # only ASCII, which has nothing to translate
+    return F.lower(F.when(plain, text).otherwise(F.translate(text, ACCENTED + MARKS, PLAIN)))
 
 
 def fold_word(word: str) -> tuple[str, ...]:

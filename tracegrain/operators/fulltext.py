@@ -12,12 +12,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracegrain.functions.session import cut
 from tracegrain.functions.text import fold_word, tokens
 
 from . import topk
@@ -156,28 +158,26 @@ def _words(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.explode(F.array(each)).alias("w"))
 
 
-def _holds_word(n_columns: int, term: str) -> Column:
-    out = F.lit(False)
-    for i in range(n_columns):
-        out = out | F.array_contains(f"w.c{i}", term)
-    return out
-
-
 def _length(n_columns: int) -> Column:
     return sum((F.size(f"w.c{i}") for i in range(1, n_columns)), F.size("w.c0")).cast("long")
 
 
-def postings_of(docs: DataFrame, id_col: str, columns: list[str], terms: list[str]) -> DataFrame:
-    """The rows that build_postings has of some terms, without making the others and without Python."""
+def term_rows(docs: DataFrame, id_col: str, columns: list[str], terms: list[str]) -> DataFrame:
+    """doc_id, length and where each of some terms stands (p0, p1, ...) of every document, one without them too; texts are split once and without Python."""
 
     def places(i: int, term: str) -> Column:
         at = F.filter(F.transform(f"w.c{i}", lambda x, n: F.when(x == term, n + i * COLUMN_GAP)), lambda n: n.isNotNull())
         return F.when(F.array_contains(f"w.c{i}", term), at).otherwise(F.array().cast("array<int>"))
 
-    rows = _words(docs, id_col, columns)
-    each = [F.struct(F.lit(t).alias("term"), F.concat(*[places(i, t) for i in range(len(columns))]).alias("positions")) for t in terms]
-    found = rows.select("doc_id", _length(len(columns)).alias("length"), F.explode(F.array(*each)).alias("t"))
-    return found.select("doc_id", "t.term", "t.positions", "length").where(F.size("positions") > 0)
+    own = [F.concat(*[places(i, t) for i in range(len(columns))]).alias(f"p{k}") for k, t in enumerate(terms)]
+    return _words(docs, id_col, columns).select("doc_id", _length(len(columns)).alias("length"), *own)
+
+
+def postings_of(rows: DataFrame, terms: list[str]) -> DataFrame:
+    """The rows that build_postings has of some terms, from their term_rows."""
+    each = [F.struct(F.lit(t).alias("term"), F.col(f"p{k}").alias("positions")) for k, t in enumerate(terms)]
+    found = rows.where(reduce(Column.__or__, [F.size(f"p{k}") > 0 for k in range(len(terms))]))
+    return found.select("doc_id", "length", F.explode(F.array(*each)).alias("t")).select("doc_id", "t.term", "t.positions", "length").where(F.size("positions") > 0)
 
 
 def corpus_stats(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -215,6 +215,7 @@ class TextIndex:
     #: the id and the texts among docs' columns
     columns: tuple[str, list[str]] | None = None
     _known: tuple[int, float] | None = field(default=None, repr=False)
+    _rows: tuple[list[str], DataFrame] | None = field(default=None, repr=False)
 
     @classmethod
     def build(cls, docs: DataFrame, id_col: str, columns: list[str]) -> TextIndex:
@@ -247,21 +248,26 @@ class TextIndex:
         schema = "segment string, block long, doc_id long, term string, positions array<int>, length long"
         return cls(spark.read.schema(schema).parquet(f"{path}/postings"), spark.read.schema("n_docs long, avg_length double").parquet(f"{path}/stats"), spark.read.schema("term string, df long, cf long").parquet(f"{path}/terms"), blocks=spark.read.schema(topk.BLOCKS).parquet(f"{path}/blocks"))
 
+    def _split(self, terms: list[str]) -> DataFrame:
+        """The term_rows of an index that isn't written yet, written when its terms are asked for first."""
+        if self._rows is None or self._rows[0] != terms:
+            self._rows = list(terms), cut(term_rows(self.docs, *self.columns, terms))
+        return self._rows[1]
+
     def of(self, terms: list[str]) -> DataFrame:
         """The postings of some terms; only these are made, of an index that isn't written yet."""
         if self.docs is not None and self.columns:
-            return postings_of(self.docs, *self.columns, terms)
+            return postings_of(self._split(terms), terms)
         return self.postings.where(F.col("term").isin(terms))
 
     def in_docs(self, terms: list[str]) -> dict[str, int]:
         """How many documents hold each of some terms; what known() gives is read along, of an index that isn't written yet."""
         if self.docs is None or not self.columns:
             return {r.term: r.df for r in self.terms.where(F.col("term").isin(terms)).select("term", "df").collect()}
-        n = len(self.columns[1])
-        holding = [F.count(F.when(_holds_word(n, t), 1)).alias(f"t{i}") for i, t in enumerate(terms)]
-        row = _words(self.docs, *self.columns).agg(F.count("*").alias("n_docs"), F.avg(_length(n)).alias("avg_length"), *holding).first()
+        holding = [F.count(F.when(F.size(f"p{k}") > 0, 1)).alias(f"t{k}") for k in range(len(terms))]
+        row = self._split(terms).agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"), *holding).first()
         self._known = row.n_docs, row.avg_length or 0.0
-        return {t: row[f"t{i}"] for i, t in enumerate(terms)}
+        return {t: row[f"t{k}"] for k, t in enumerate(terms)}
 
     def known(self) -> tuple[int, float]:
         """n_docs and avg_length, read once."""

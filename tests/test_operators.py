@@ -3,8 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tracegrain.functions import session
 from tracegrain.functions.text import fold_word, tokens
-from tracegrain.operators import chunking, fulltext, history, ignore, ranking, symbols, tables
+from tracegrain.operators import chunking, fulltext, history, ignore, ranking, segments, symbols, tables
 from tracegrain.sources.parser import extract, head_symbols
 
 
@@ -331,3 +332,31 @@ def test_an_embedder_gets_few_texts_at_a_time(spark):
     rows = spark.range(1000).select("id", F.lit("x").alias("text")).coalesce(1)
     sizes = [r.diff_emb[0] for r in chunking.embed(rows, dim=4, embedder=embedder).collect()]
     assert len(sizes) == 1000 and max(sizes) <= 256
+
+
+def test_texts_reach_python_in_few_bytes(spark, tmp_path, monkeypatch):
+    """Writing an index or a segment hands few bytes of tokens to Python at a time, whatever the rows allow; the session's limit stays, and many queries of an unwritten index take no Python."""
+    key, before = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    largest = spark.sparkContext.accumulator(0)
+
+    def seen(batches, cut=fulltext.few_tokens):
+        for batch in batches:
+            if batch.nbytes > 400_000:
+                largest.add(1)
+            yield from cut([batch])
+
+    monkeypatch.setattr(fulltext, "few_tokens", seen)
+    monkeypatch.setattr(segments, "few_tokens", seen)
+    monkeypatch.setattr(session, "BATCH_BYTES", 100_000)
+    docs = spark.range(400).select("id", F.expr("repeat('one two three ', 400)").alias("one")).coalesce(1)
+    index = fulltext.TextIndex.build(docs, "id", ["one"])
+    index.write(str(tmp_path / "t"))
+    segments.add(spark, str(tmp_path / "s"), segments.empty(), docs, "id", ["one"])
+    assert largest.value == 0 and spark.conf.get(key) == before
+    asked = spark.createDataFrame([(1, "two one"), (2, "one nowhere")], "qid int, text string")
+    found = fulltext.search_batch(index, asked, 3)
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r.qid, r.doc_id) for r in found.orderBy("rank").collect()] == [(1, 0), (1, 1), (1, 2)]
+    written = fulltext.TextIndex.read(spark, str(tmp_path / "t"))
+    written.blocks = None
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, fulltext.search_batch(written, asked, 3).collect()))

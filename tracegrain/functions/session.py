@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +52,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch that holds the tokens of texts, about.
+BATCH_BYTES = 4 << 20
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of jobs that start within this have BATCH_BYTES, about, or a single row; a lower limit of the session's stands.
+
+    Spark bounds them in rows alone, and so many long texts fill a Python worker.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    limit = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before)
+    if limit <= 0 or limit > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def resources(cores: int, intensity: str = "auto") -> dict[str, int]:
     """Batch sizes by cores; conservative halves and aggressive doubles them."""
     cores = max(cores, 1)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracegrain.functions.session import cut
+from tracegrain.functions.session import arrow_batches, cut
 from tracegrain.functions.text import fold_word, tokens
 
 from . import topk
@@ -125,7 +125,8 @@ def few_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_postings(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     """doc_id, term, positions, length: the tokens of the columns, one after the other.
 
-    Tokens are grouped where their document is: nothing is shuffled.
+    Tokens are grouped where their document is: nothing is shuffled.  Who writes all of
+    them does so within arrow_batches, as what Python gets at a time is bounded in rows alone.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[tokens(F.col(c)).alias(f"c{i}") for i, c in enumerate(columns)])
 
@@ -162,6 +163,12 @@ def _length(n_columns: int) -> Column:
     return sum((F.size(f"w.c{i}") for i in range(1, n_columns)), F.size("w.c0")).cast("long")
 
 
+def said(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    """doc_id, length, term: a row for each token."""
+    every = F.concat(*[F.col(f"w.c{i}") for i in range(len(columns))])
+    return _words(docs, id_col, columns).select("doc_id", _length(len(columns)).alias("length"), F.explode(every).alias("term"))
+
+
 def term_rows(docs: DataFrame, id_col: str, columns: list[str], terms: list[str]) -> DataFrame:
     """doc_id, length and where each of some terms stands (p0, p1, ...) of every document, one without them too; texts are split once and without Python."""
 
@@ -226,7 +233,8 @@ class TextIndex:
         """Texts are split once; all else comes from the postings that are written."""
         spark = self.postings.sparkSession
         raw = f"{path}/postings-unsorted"  # or the ranges' bounds would be found by splitting texts once more
-        self.postings.write.mode("overwrite").parquet(raw)
+        with arrow_batches(spark):
+            self.postings.write.mode("overwrite").parquet(raw)
         unsorted = spark.read.parquet(raw).select("doc_id", "term", "positions", "length")
         blocked = unsorted.select(F.lit("").alias("segment"), topk.block(topk.histogram(unsorted)).alias("block"), "doc_id", "term", "positions", "length")
         blocked.repartitionByRange("term", "block", "doc_id").sortWithinPartitions("term", "block", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
@@ -346,17 +354,21 @@ def search_batch(index: TextIndex, queries: DataFrame, k: int) -> DataFrame:
     """qid, doc_id, score, rank: the k best matches of each of many queries of words, all of which must occur.
 
     queries: qid, text.  One join by term serves all queries; scores are summed
-    by query and document with partial aggregation.  An index that has blocks is
-    read where the k best can be alone.
+    by query and document with partial aggregation.  Of an index that isn't written yet
+    the words asked for are counted, in the JVM; one that has blocks is read where
+    the k best can be alone.
     """
     if index.blocks is not None:
         return topk.search(index, queries, k)
     asked = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     need = asked.groupBy("qid").agg(F.count("*").alias("need"))
     asked = asked.join(index.terms.select("term", "df"), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    hits = index.postings.join(asked, "term")
+    if index.docs is not None and index.columns:
+        hits = said(index.docs, *index.columns).join(asked, "term").groupBy("qid", "doc_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"), F.first("df").alias("df"))
+    else:
+        hits = index.postings.join(asked, "term").withColumn("tf", F.size("positions"))
     n_docs, avg_length = map(F.lit, index.known())
-    part = idf(n_docs, F.col("df")) * saturation(F.size("positions"), F.col("length"), avg_length)
+    part = idf(n_docs, F.col("df")) * saturation(F.col("tf"), F.col("length"), avg_length)
     scored = hits.groupBy("qid", "doc_id").agg((-F.sum(part)).alias("score"), F.count("*").alias("got"))
     full = scored.join(need, "qid").where("got = need")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("score", "doc_id"))

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracegrain.functions.session import arrow_batches
 from tracegrain.functions.text import tokens
 
 from . import topk
@@ -73,7 +74,8 @@ def _write(spark: SparkSession, root: str, rows: DataFrame) -> dict:
     name = uuid.uuid4().hex
     here = f"{root}/{name}"
     columns = [c.split()[0] for c in FORWARD.split(", ")]
-    rows.withColumn("segment", F.lit(name)).select(columns).write.parquet(f"{here}/forward")
+    with arrow_batches(spark):
+        rows.withColumn("segment", F.lit(name)).select(columns).write.parquet(f"{here}/forward")
     held = spark.read.schema(FORWARD).parquet(f"{here}/forward")
     size = held.agg(F.count("*").alias("docs"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first()
     each = held.withColumn("block", topk.block(topk.histogram(held))).select("segment", "block", "doc_id", "length", F.explode(F.arrays_zip("terms", "positions")).alias("t"))

@@ -261,3 +261,39 @@ def test_golden_reader(spark, tmp_path):
 def test_similarity_modes(spark):
     strict, fixed = spark.range(1).select(V.bm25_similarity(F.lit(-3.0)), V.bm25_similarity(F.lit(-3.0), strict=False)).first()
     assert (strict, fixed) == (0.25, 0.75)
+
+
+def test_a_corpus_splits_texts_once(spark, monkeypatch):
+    """The text and the semantic lane share what texts are split into, and no text moves to its message."""
+    d, seen = "/root/testdata/sf0.001", spark.sparkContext.accumulator(0)
+    hunks = catalog.A.hunks(spark, d).cache()
+
+    @F.udf("string")
+    def read(text):
+        seen.add(1)
+        return text
+
+    monkeypatch.setattr(catalog.A, "hunks", lambda *_: hunks.withColumn("diff_text", read("diff_text")))
+    corpus = catalog.corpus(spark, d)
+    hits = [{(r.doc_id, round(r.score, 9)) for r in fulltext.search(i, "of_the OR thnd").collect()} for i in (corpus.text, corpus.semantic)]
+    assert hits[0] and seen.value == hunks.count()
+    built = fulltext.TextIndex.build(corpus.semantic.docs, "hunk_id", ["sem"])
+    assert hits[1] == {(r.doc_id, round(r.score, 9)) for r in fulltext.search(built, "of_the OR thnd").collect()}
+
+
+def test_heads_before_texts(spark):
+    """Counts, lengths and places of texts with heads are those of the joined texts: empty sides, phrases over the border, heads shared or missing."""
+    texts = spark.createDataFrame([(1, 7, "the end"), (2, 7, None), (3, 8, "b a"), (4, 8, ""), (5, 9, "the end a"), (6, None, "a")], "id long, c long, one string")
+    heads = spark.createDataFrame([(7, "Look at THE"), (8, ""), (10, "a")], "c long, said string")
+    whole = texts.join(heads, "c").select("id", F.concat("said", F.lit("\n\n"), F.coalesce("one", F.lit(""))).alias("sem"))
+    made = fulltext.TextIndex.build(texts, "id", ["one"], ("c",)).before(heads, "said", "c", whole, "sem")
+    built = fulltext.TextIndex.build(whole, "id", ["sem"])
+    terms = ["the", "a", "nowhere", "look"]
+    assert made.in_docs(terms) == built.in_docs(terms) and made.known() == built.known()
+
+    def told(df):
+        return sorted((r.doc_id, r.term, list(r.positions), r.length) for r in df.collect())
+
+    assert told(made.of(terms)) == told(built.of(terms))
+    for query in ("the_the", "the NOT look", "a", "look the end"):
+        assert sorted(map(tuple, fulltext.search(made, query).collect())) == sorted(map(tuple, fulltext.search(built, query).collect()))

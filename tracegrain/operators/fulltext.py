@@ -10,7 +10,8 @@ lets a batch of queries skip what cannot be among the best (operators.topk).
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import threading
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -153,10 +154,10 @@ def build_postings(docs: DataFrame, id_col: str, columns: list[str]) -> DataFram
     return rows.mapInArrow(group, "doc_id long, term string, positions array<int>, length long")
 
 
-def _words(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """doc_id, w: the tokens of each column (c0, c1, ...), found once a document whatever is asked of them."""
+def _words(docs: DataFrame, id_col: str, columns: list[str], kept: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, kept, w: the tokens of each column (c0, c1, ...), found once a document whatever is asked of them."""
     each = F.struct(*[tokens(F.col(c)).alias(f"c{i}") for i, c in enumerate(columns)])
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.explode(F.array(each)).alias("w"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), *kept, F.explode(F.array(each)).alias("w"))
 
 
 def _length(n_columns: int) -> Column:
@@ -169,15 +170,25 @@ def said(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     return _words(docs, id_col, columns).select("doc_id", _length(len(columns)).alias("length"), F.explode(every).alias("term"))
 
 
-def term_rows(docs: DataFrame, id_col: str, columns: list[str], terms: list[str]) -> DataFrame:
-    """doc_id, length and where each of some terms stands (p0, p1, ...) of every document, one without them too; texts are split once and without Python."""
+def term_rows(docs: DataFrame, id_col: str, columns: list[str], terms: list[str], kept: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, kept, length and where each of some terms stands (p0, p1, ...) of every document, one without them too; texts are split once and without Python."""
 
     def places(i: int, term: str) -> Column:
         at = F.filter(F.transform(f"w.c{i}", lambda x, n: F.when(x == term, n + i * COLUMN_GAP)), lambda n: n.isNotNull())
         return F.when(F.array_contains(f"w.c{i}", term), at).otherwise(F.array().cast("array<int>"))
 
     own = [F.concat(*[places(i, t) for i in range(len(columns))]).alias(f"p{k}") for k, t in enumerate(terms)]
-    return _words(docs, id_col, columns).select("doc_id", _length(len(columns)).alias("length"), *own)
+    return _words(docs, id_col, columns, kept).select("doc_id", *kept, _length(len(columns)).alias("length"), *own)
+
+
+def put_before(rows: DataFrame, heads: DataFrame, head: str, key: str, terms: list[str]) -> DataFrame:
+    """term_rows of texts that have heads (key, head) put before them with a separator, from the term_rows of the texts; heads of texts alone are split, and no text moves."""
+    at = [f"p{k}" for k in range(len(terms))]
+    own = rows.select("doc_id", key, F.struct("length", *at).alias("tail"))
+    met = own.join(heads.select(key, head), key).drop(key)
+    both = term_rows(met, "doc_id", [head], terms, ("tail",)).withColumnRenamed("length", "before")  # or the lambda would take the new length
+    moved = [F.concat(p, F.transform(f"tail.{p}", lambda n: n + F.col("before").cast("int"))).alias(p) for p in at]
+    return both.select("doc_id", (F.col("before") + F.col("tail.length")).alias("length"), *moved)
 
 
 def postings_of(rows: DataFrame, terms: list[str]) -> DataFrame:
@@ -221,13 +232,24 @@ class TextIndex:
     blocks: DataFrame | None = None
     #: the id and the texts among docs' columns
     columns: tuple[str, list[str]] | None = None
+    #: columns that the term_rows of an index that isn't written keep
+    kept: tuple[str, ...] = ()
+    #: what makes the term_rows of such an index in a shorter way
+    rows_of: Callable[[list[str]], DataFrame] | None = None
+    _lock: threading.Lock = field(default_factory=threading.Lock, repr=False)
     _known: tuple[int, float] | None = field(default=None, repr=False)
     _rows: tuple[list[str], DataFrame] | None = field(default=None, repr=False)
 
     @classmethod
-    def build(cls, docs: DataFrame, id_col: str, columns: list[str]) -> TextIndex:
+    def build(cls, docs: DataFrame, id_col: str, columns: list[str], kept: tuple[str, ...] = ()) -> TextIndex:
         postings = build_postings(docs, id_col, columns)
-        return cls(postings, corpus_stats(docs, columns), count_words(docs, id_col, columns), docs, columns=(id_col, columns))
+        return cls(postings, corpus_stats(docs, columns), count_words(docs, id_col, columns), docs, columns=(id_col, columns), kept=kept)
+
+    def before(self, heads: DataFrame, head: str, key: str, whole: DataFrame, column: str) -> TextIndex:
+        """The index of whole (this one's id, column): this one's texts with heads (key, head) before them; a search of both, not yet written, splits the texts once."""
+        made = TextIndex.build(whole, self.columns[0], [column])
+        made.rows_of = lambda terms: put_before(self._split(terms), heads, head, key, terms)
+        return made
 
     def write(self, path: str) -> None:
         """Texts are split once; all else comes from the postings that are written."""
@@ -257,10 +279,12 @@ class TextIndex:
         return cls(spark.read.schema(schema).parquet(f"{path}/postings"), spark.read.schema("n_docs long, avg_length double").parquet(f"{path}/stats"), spark.read.schema("term string, df long, cf long").parquet(f"{path}/terms"), blocks=spark.read.schema(topk.BLOCKS).parquet(f"{path}/blocks"))
 
     def _split(self, terms: list[str]) -> DataFrame:
-        """The term_rows of an index that isn't written yet, written when its terms are asked for first."""
-        if self._rows is None or self._rows[0] != terms:
-            self._rows = list(terms), cut(term_rows(self.docs, *self.columns, terms))
-        return self._rows[1]
+        """The term_rows of an index that isn't written yet, written when its terms are asked for first; who asks meanwhile waits."""
+        with self._lock:
+            if self._rows is None or self._rows[0] != terms:
+                made = self.rows_of(terms) if self.rows_of else term_rows(self.docs, *self.columns, terms, self.kept)
+                self._rows = list(terms), cut(made)
+            return self._rows[1]
 
     def of(self, terms: list[str]) -> DataFrame:
         """The postings of some terms; only these are made, of an index that isn't written yet."""

@@ -306,8 +306,10 @@ toks AS (SELECT hunk_id, len(ts) AS dl, unnest(ts) AS t FROM docs), stats AS (SE
 fs AS (SELECT hunk_id, dl, count(*) AS f FROM toks WHERE t = 'thnd' GROUP BY ALL)
 SELECT hunk_id, round(-(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM fs, stats, (SELECT count(*) AS df FROM fs) ORDER BY score, hunk_id LIMIT 20""")
 def t7_x5_semantic_lane(spark, d):
-    rows = A.hunks(spark, d).join(A.plain_commits(spark, d).select("commit_id", "message"), "commit_id").where("diff_text is not null").withColumn("sem", T.semantic_text(F.col("message"), F.col("diff_text")))
-    found = fulltext.search(fulltext.TextIndex.build(rows, "hunk_id", ["sem"]), "thnd")
+    hunks, commits = A.hunks(spark, d).where("diff_text is not null"), A.plain_commits(spark, d).select("commit_id", "message")
+    rows = hunks.join(commits, "commit_id").withColumn("sem", T.semantic_text(F.col("message"), F.col("diff_text")))
+    text = fulltext.TextIndex.build(hunks, "hunk_id", ["diff_text"], ("commit_id",))
+    found = fulltext.search(text.before(commits, "message", "commit_id", rows, "sem"), "thnd")
     return found.select(F.col("doc_id").alias("hunk_id"), r6(F.col("score")).alias("score")).orderBy("score", "hunk_id").limit(20)
 
 
@@ -869,8 +871,9 @@ def j5_hunks_of_file_in_commit(spark, d):
 def corpus(spark: SparkSession, d: str) -> retrieve.Corpus:
     hunks, commits = A.hunks(spark, d), A.plain_commits(spark, d)
     rows = hunks.join(commits.select("commit_id", "message"), "commit_id").withColumn("sem", T.semantic_text(F.col("message"), F.coalesce("diff_text", F.lit(""))))
-    semantic = fulltext.TextIndex.build(rows, "hunk_id", ["sem"])
-    return retrieve.Corpus(hunks, commits, A.vectors(spark, d), _text_index(spark, d), semantic, _head_index(spark, d), A.symbols(spark, d), A.hunk_symbols(spark, d))
+    text = fulltext.TextIndex.build(hunks, "hunk_id", ["diff_text"], ("commit_id",))
+    semantic = text.before(commits, "message", "commit_id", rows, "sem")
+    return retrieve.Corpus(hunks, commits, A.vectors(spark, d), text, semantic, _head_index(spark, d), A.symbols(spark, d), A.hunk_symbols(spark, d))
 
 
 SEMANTIC = f"(SELECT hunk_id, c.message || chr(10) || chr(10) || coalesce(diff_text, '') AS sem FROM {HUNKS} h JOIN {COMMITS} c USING (commit_id))"

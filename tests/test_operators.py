@@ -360,3 +360,10 @@ def test_texts_reach_python_in_few_bytes(spark, tmp_path, monkeypatch):
     written = fulltext.TextIndex.read(spark, str(tmp_path / "t"))
     written.blocks = None
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, fulltext.search_batch(written, asked, 3).collect()))
+
+
+def test_tokens_are_compiled(spark):
+    """Splitting a text takes no lambda, which Spark would interpret for each token."""
+    found = spark.createDataFrame([(" a,,b ",), ("",), (None,), ("--",)], "t string").select(tokens(F.col("t")).alias("x"))
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.x for r in found.collect()] == [["a", "b"], [], [], []]

@@ -43,7 +43,7 @@ def fold_word(word: str) -> tuple[str, ...]:
 
 def tokens(text: Column) -> Column:
     """Full-text tokens: maximal runs of letters, numbers and private-use characters, folded."""
-    return F.filter(F.split(fold(F.coalesce(text, F.lit(""))), SEPARATORS), lambda t: t != "")
+    return F.array_remove(F.split(fold(F.coalesce(text, F.lit(""))), SEPARATORS), "")  # compiled, which a lambda is not
 
 
 def lines(text: Column) -> Column:

@@ -47,6 +47,48 @@ def test_blocks_of_segments_with_their_dead(spark, docs, tmp_path, monkeypatch):
     assert shape(fulltext.search_batch(segments.view(spark, root, state), asked, 7)) == shape(fulltext.search_batch(whole, asked, 7))
 
 
+def shuffled(spark):
+    """Bytes that all stages of the session have shuffled so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_postings_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Writing an index moves its texts at most, and blocks hold whole documents of which there are few, or one that is long."""
+    monkeypatch.setattr(topk, "BLOCK_TOKENS", 900, raising=False)
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(500)}" for _ in range(rng.randint(0, 400)))) for i in range(800)] + [(5000, "long " * 2000), (5001, None)]
+    held = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    size, before = sum(len(t or "") for _, t in rows), shuffled(spark) if held.count() else 0
+    whole = fulltext.TextIndex.build(held, "doc_id", ["text"])
+    whole.write(str(tmp_path / "t"))
+    assert shuffled(spark) - before < 1.5 * size
+    before, root = shuffled(spark), str(tmp_path / "s")
+    state = segments.add(spark, root, segments.empty(), held, "doc_id", ["text"])
+    assert shuffled(spark) - before < 0.5 * size
+    told = lambda df: sorted((r.doc_id, r.term, tuple(r.positions), r.length) for r in df.collect())
+    want, written = told(whole.postings), fulltext.TextIndex.read(spark, str(tmp_path / "t"))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(key)
+    spark.conf.set(key, "300")  # documents go on in the next batch
+    try:
+        fulltext.TextIndex(written.postings, written.stats, written.terms).write(str(tmp_path / "again"))
+    finally:
+        spark.conf.set(key, usual)
+    for index in (written, segments.view(spark, root, state), fulltext.TextIndex.read(spark, str(tmp_path / "again"))):
+        assert told(index.postings) == want and sorted(index.terms.collect()) == sorted(whole.terms.collect())
+        each = index.blocks.select("term", "block", "n", "cf", "max_tf", "min_length", "hits").collect()
+        assert len({(r.term, r.block) for r in each}) == len(each)
+        blocks = {}
+        for r in each:
+            tf = [len(h.positions) for h in r.hits]
+            assert (r.n, r.cf, r.max_tf, r.min_length) == (len(tf), sum(tf), max(tf), min(h.length for h in r.hits))
+            blocks.setdefault(r.block, {}).update({h.doc_id: h.length for h in r.hits})
+        assert max(map(len, blocks.values())) <= topk.BLOCK_DOCS and all(sum(b.values()) <= 900 or len(b) == 1 for b in blocks.values())
+        assert sum(map(len, blocks.values())) == len({d for d, *_ in want})  # each in one block
+
+
 def test_trigrams_find_what_like_finds(spark):
     from tracegrain.operators import trigrams
 

@@ -2,9 +2,10 @@
 
 An index is three tables: postings (doc_id, term, positions, length), one row
 for each term of a document; terms (term, df); and the corpus statistics.  Postings
-and terms are written sorted by term, so a query's terms prune the scan by
-row-group statistics; a fourth table, of what blocks of documents can score at most,
-lets a batch of queries skip what cannot be among the best (operators.topk).
+are written as chunks, one row for each term of a block of documents, with what the block
+can score at most, which lets a batch of queries skip what cannot be among the best
+(operators.topk).  The files of chunks and terms are sorted by term, so a query's terms prune
+the scan by row-group statistics.
 """
 
 from __future__ import annotations
@@ -123,13 +124,13 @@ def few_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield batch.slice(a, b - a)
 
 
-def build_postings(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """doc_id, term, positions, length: the tokens of the columns, one after the other.
+def _tokens(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    """doc_id and the tokens of each column (c0, c1, ...)."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), *[tokens(F.col(c)).alias(f"c{i}") for i, c in enumerate(columns)])
 
-    Tokens are grouped where their document is: nothing is shuffled.  Who writes all of
-    them does so within arrow_batches, as what Python gets at a time is bounded in rows alone.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[tokens(F.col(c)).alias(f"c{i}") for i, c in enumerate(columns)])
+
+def _by_document() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What makes postings of batches of _tokens, those of a document together."""
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few_tokens(batches):
@@ -151,7 +152,16 @@ def build_postings(docs: DataFrame, id_col: str, columns: list[str]) -> DataFram
             terms = coded.dictionary.take(pa.array(code[first])) if len(first) else pa.array([], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[first])), terms.cast(pa.string()), positions, pa.array(length[doc[first]])], ["doc_id", "term", "positions", "length"])
 
-    return rows.mapInArrow(group, "doc_id long, term string, positions array<int>, length long")
+    return group
+
+
+def build_postings(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    """doc_id, term, positions, length: the tokens of the columns, one after the other.
+
+    Tokens are grouped where their document is: nothing is shuffled.  Who writes all of
+    them does so within arrow_batches, as what Python gets at a time is bounded in rows alone.
+    """
+    return _tokens(docs, id_col, columns).mapInArrow(_by_document(), "doc_id long, term string, positions array<int>, length long")
 
 
 def _words(docs: DataFrame, id_col: str, columns: list[str], kept: tuple[str, ...] = ()) -> DataFrame:
@@ -228,8 +238,10 @@ class TextIndex:
     terms: DataFrame
     #: the documents, of an index that isn't written yet
     docs: DataFrame | None = None
-    #: of an index that is written, by whose blocks the postings are
+    #: of an index that is written, the chunks that hold its postings
     blocks: DataFrame | None = None
+    #: segment, doc_id of what the chunks still hold and the postings don't
+    dead: DataFrame | None = None
     #: the id and the texts among docs' columns
     columns: tuple[str, list[str]] | None = None
     #: columns that the term_rows of an index that isn't written keep
@@ -252,19 +264,20 @@ class TextIndex:
         return made
 
     def write(self, path: str) -> None:
-        """Texts are split once; all else comes from the postings that are written."""
+        """Texts are split once; all else comes from the chunks that are written.  Texts are shuffled, so that tasks have like shares of them; postings, which take many times as much, are not."""
         spark = self.postings.sparkSession
-        raw = f"{path}/postings-unsorted"  # or the ranges' bounds would be found by splitting texts once more
-        with arrow_batches(spark):
-            self.postings.write.mode("overwrite").parquet(raw)
-        unsorted = spark.read.parquet(raw).select("doc_id", "term", "positions", "length")
-        blocked = unsorted.select(F.lit("").alias("segment"), topk.block(topk.histogram(unsorted)).alias("block"), "doc_id", "term", "positions", "length")
-        blocked.repartitionByRange("term", "block", "doc_id").sortWithinPartitions("term", "block", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(raw)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        topk.block_table(spark.read.parquet(f"{path}/postings")).repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/blocks")
-        terms = term_counts(spark.read.parquet(f"{path}/postings"))
-        terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+        block = topk.by_block()
+        if self.docs is not None and self.columns:
+            id_col, columns = self.columns
+            size = reduce(Column.__add__, [F.coalesce(F.octet_length(c), F.lit(0)) for c in columns])
+            docs = self.docs.select(id_col, *columns).repartition(id_col).sortWithinPartitions(size, id_col)
+            postings = _by_document()
+            made = _tokens(docs, id_col, columns).mapInArrow(lambda batches: block(postings(batches)), topk.MADE)
+        else:
+            rows = self.postings.select("doc_id", "term", "positions", "length").repartition("doc_id").sortWithinPartitions("length", "doc_id")
+            made = rows.mapInArrow(block, topk.MADE)
+        chunks = topk.write(spark, made, "", f"{path}/chunks")
+        topk.term_counts(chunks).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
         if self.docs is None:
             stats = self.stats
         else:
@@ -275,8 +288,8 @@ class TextIndex:
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> TextIndex:
-        schema = "segment string, block long, doc_id long, term string, positions array<int>, length long"
-        return cls(spark.read.schema(schema).parquet(f"{path}/postings"), spark.read.schema("n_docs long, avg_length double").parquet(f"{path}/stats"), spark.read.schema("term string, df long, cf long").parquet(f"{path}/terms"), blocks=spark.read.schema(topk.BLOCKS).parquet(f"{path}/blocks"))
+        chunks = spark.read.schema(topk.CHUNKS).parquet(f"{path}/chunks")
+        return cls(topk.postings(chunks), spark.read.schema("n_docs long, avg_length double").parquet(f"{path}/stats"), spark.read.schema("term string, df long, cf long").parquet(f"{path}/terms"), blocks=chunks)
 
     def _split(self, terms: list[str]) -> DataFrame:
         """The term_rows of an index that isn't written yet, written when its terms are asked for first; who asks meanwhile waits."""

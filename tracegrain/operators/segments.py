@@ -1,8 +1,8 @@
 """A full-text index in immutable segments, which grows and shrinks without being built again.
 
 A batch of documents becomes one segment: `forward` (doc_id, length, terms,
-positions; a row a document), `postings` (the same by term, sorted), `terms`
-(term, df, cf) and `blocks` (operators.topk; what has died can only make its bounds too large).  Deleting writes a tombstone part: the ids, and what they take
+positions; a row a document), `chunks` (the same by term and block, sorted; operators.topk; what has
+died can only make their bounds too large) and `terms` (term, df, cf).  Deleting writes a tombstone part: the ids, and what they take
 away from the counts of terms.  Counts are summed over segments when a query asks for
 its terms, so results are those of an index that was built at once.  Segments of like size are merged
 when FANOUT of them have come together, without their dead.
@@ -29,7 +29,6 @@ from . import topk
 from .fulltext import COLUMN_GAP, TextIndex, few_tokens
 
 FORWARD = "segment string, doc_id long, length long, terms array<string>, positions array<array<int>>"
-POSTINGS = "segment string, block long, doc_id long, term string, positions array<int>, length long"
 TERMS = "term string, df long, cf long"
 DEAD = "segment string, doc_id long"
 DEAD_TERMS = "segment string, term string, df long, cf long"
@@ -69,22 +68,31 @@ def forward(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     return rows.mapInArrow(group, "doc_id long, length long, terms array<string>, positions array<array<int>>")
 
 
+def chunked(held: DataFrame) -> DataFrame:
+    """Rows of topk.MADE from forward rows; nothing is shuffled."""
+    block = topk.by_block()
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc_id, length, terms, positions = batch.columns
+            at = pa.array(np.repeat(np.arange(batch.num_rows), terms.value_lengths().to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([doc_id.take(at), terms.flatten(), positions.flatten(), length.take(at)], ["doc_id", "term", "positions", "length"])
+
+    rows = held.select("doc_id", "length", "terms", "positions").sortWithinPartitions("length", "doc_id")
+    return rows.mapInArrow(lambda batches: block(flat(batches)), topk.MADE)
+
+
 def _write(spark: SparkSession, root: str, rows: DataFrame) -> dict:
     """Write a segment of forward rows (doc_id, length, terms, positions); its name and size."""
     name = uuid.uuid4().hex
     here = f"{root}/{name}"
     columns = [c.split()[0] for c in FORWARD.split(", ")]
     with arrow_batches(spark):
-        rows.withColumn("segment", F.lit(name)).select(columns).write.parquet(f"{here}/forward")
+        rows.withColumn("segment", F.lit(name)).select(columns).write.option("parquet.block.size", topk.GROUP_BYTES).parquet(f"{here}/forward")
     held = spark.read.schema(FORWARD).parquet(f"{here}/forward")
     size = held.agg(F.count("*").alias("docs"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first()
-    each = held.withColumn("block", topk.block(topk.histogram(held))).select("segment", "block", "doc_id", "length", F.explode(F.arrays_zip("terms", "positions")).alias("t"))
-    postings = each.select("segment", "block", "doc_id", F.col("t.terms").alias("term"), F.col("t.positions").alias("positions"), "length")
-    postings.repartitionByRange("term", "block", "doc_id").sortWithinPartitions("term", "block", "doc_id").write.parquet(f"{here}/postings")
-    blocks = topk.block_table(spark.read.schema(POSTINGS).parquet(f"{here}/postings"))
-    blocks.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{here}/blocks")
-    counts = spark.read.schema(POSTINGS).parquet(f"{here}/postings").groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions").cast("long")).alias("cf"))
-    counts.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{here}/terms")
+    chunks = topk.write(spark, chunked(held), name, f"{here}/chunks")
+    topk.term_counts(chunks).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{here}/terms")
     return {"id": name, "docs": size.docs, "length": size.length}
 
 
@@ -136,7 +144,7 @@ def size(state: dict) -> tuple[int, int]:
 
 def view(spark: SparkSession, root: str, state: dict) -> TextIndex:
     """The living documents as one index to search."""
-    postings = _living(_read(spark, root, state, "postings", POSTINGS), _dead(spark, root, state, "dead", DEAD))
+    chunks, dead = _read(spark, root, state, "chunks", topk.CHUNKS), _dead(spark, root, state, "dead", DEAD)
     terms = _read(spark, root, state, "terms", TERMS)
     taken = _dead(spark, root, state, "dead_terms", DEAD_TERMS)
     if taken is not None:
@@ -145,7 +153,7 @@ def view(spark: SparkSession, root: str, state: dict) -> TextIndex:
         terms = terms.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where("df > 0")
     n, total = size(state)
     stats = spark.range(1).select(F.lit(n).cast("long").alias("n_docs"), F.lit(total / n if n else 0.0).alias("avg_length"))
-    return TextIndex(postings, stats, terms, blocks=_read(spark, root, state, "blocks", topk.BLOCKS), _known=(n, total / n if n else 0.0))
+    return TextIndex(_living(topk.postings(chunks), dead), stats, terms, blocks=chunks, dead=dead, _known=(n, total / n if n else 0.0))
 
 
 def _tier(docs: int) -> int:
